@@ -19,6 +19,7 @@ Edge cases: a null text has no ids but the end id; no documents give no files.
 
 from __future__ import annotations
 
+import functools
 import os
 import struct
 import uuid
@@ -45,7 +46,7 @@ _HEAD = struct.Struct("<II")
 _ENTRY = struct.Struct("<III")
 _FOOT = struct.Struct("<IBI")
 #: Entries of one worker's memo of encoded chunks, and the longest chunk kept in it.
-MEMO, MEMO_LENGTH = 500_000, 48
+MEMO, MEMO_LENGTH = 900_000, 48
 _PLAIN = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
 
@@ -217,6 +218,12 @@ class ChunkEncoder:
             memo.update((w, array(code, e.ids).tobytes()) for w, e in zip(part, self.encode([w.decode() for w in part], add_special_tokens=False), strict=True))
 
 
+@functools.lru_cache(1)
+def chunk_encoder(path: str, width: int) -> ChunkEncoder:
+    """One for a worker process, so that its memo serves all the tasks the worker runs."""
+    return ChunkEncoder(path, width)
+
+
 def id_width(tokenizer_path: str) -> int:
     from tokenizers import Tokenizer
 
@@ -237,7 +244,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, *, end_id: int
     cuts = sorted(set(cuts or []))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer_path, width)
+        encoder = chunk_encoder(tokenizer_path, width)
         end = np.array([end_id], f"<u{width}").tobytes()
         bounds = np.array(cuts, np.int64)
         for b in batches:
