@@ -20,6 +20,7 @@ repeated rows give repeated results; invalid UTF-8 decodes to U+FFFD.
 from __future__ import annotations
 
 import codecs
+import functools
 import hashlib
 import heapq
 import json
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from .common import by_batch, only
 
 #: Entries of a worker's two memos.
-MEMO = 300_000
+MEMO = 500_000
 _SHIFT = 20
 
 
@@ -326,14 +327,19 @@ class Decoder:
         return "".join([*map(self.feed, ids), self.close()])
 
 
+@functools.lru_cache(1)
+def _encoder(path: str) -> tuple[Encoder, dict[str, tuple[int, str, str]]]:
+    """One for a worker process, with its memo of chunks, so that they serve all the tasks the worker runs."""
+    return Encoder(path), {}
+
+
 def encode_decode(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document row: doc_id, n_tokens, ids_sha256 (of decimal ids joined by blanks), decoded_sha256 (of the joined decoding)."""
     rows = only(docs, doc_id, text).toDF("doc_id", "text")
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = Encoder(tokenizer_path)
+        e, memo = _encoder(tokenizer_path)
         d = Decoder(e.spec, joined=True)
-        memo: dict[str, tuple[int, str, str]] = {}
         get = memo.get
 
         def learn(c: str) -> tuple[int, str, str]:
@@ -370,7 +376,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", tex
     rows = only(docs, doc_id, text).toDF("doc_id", "text")
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = Encoder(tokenizer_path)
+        e, _ = _encoder(tokenizer_path)
         d = Decoder(e.spec)
         for b in batches:
             ids = [e.encode(t) for t in b.column(1).to_pylist()]
