@@ -78,8 +78,6 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if tag:
             tag, attributes = tag.lower(), m[2] if m[1] else m[5]
             if tag in SILENT and not attributes.endswith("/"):
-                if tag not in INLINE:
-                    close()
                 low = low if low is not None else page.lower()
                 end = low.find(f"</{tag}", at)
                 if end < 0:

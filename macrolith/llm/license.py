@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from .common import by_batch, only
 
-CUES = ("licen", "copyright", "permission is hereby", "redistribut", "spdx", "warrant")
+CUES = ("licen", "copyright", "permission is hereby", "redistribut", "spdx", "warrant", "public domain")
 AROUND, EDITS, LEVEL = 400, 0.15, 3
 
 #: Short public notices by which licenses are named or granted.

@@ -2,7 +2,7 @@
 
 P(y <= k) = sigmoid(threshold_k - w.x): one weight vector shared by all
 thresholds, which are kept in order by construction. x marks the distinct words
-of the whole text, hashed to ``BITS`` bits. The severity is the expected grade.
+of the whole text and their first ``STEM`` bytes, hashed to ``BITS`` bits. The severity is the expected grade.
 Grades are whatever integers the label column has (0 and 1 where it is a flag).
 
 The model is fitted on a bounded sample of labelled documents: the ``SAMPLE``
@@ -31,14 +31,20 @@ from .decontaminate import words_of
 BITS = 18
 SAMPLE = 20_000
 #: Words in fewer sampled documents than this get no weight.
-LEAST_DOCS = 3
-L2, STEPS, RATE = 2e-4, 250, 0.1
+LEAST_DOCS = 2
+#: Standard errors by which a feature's grades must differ from all grades to get a weight.
+SCREEN = 3.5
+#: Bytes at the beginning of a longer word that are a feature besides the word, for forms not seen before.
+STEM = 5
+L2, STEPS, RATE = 2e-5, 250, 0.1
 
 
 def features(text: str | None, bits: int = BITS) -> np.ndarray:
-    """Sorted slots of the distinct words."""
+    """Sorted slots of the distinct words and of their beginnings."""
     mask = (1 << bits) - 1
-    return np.unique(np.array([zlib.crc32(w) & mask for w in set(words_of(text))], np.int32))
+    words = set(words_of(text))
+    stems = {w[:STEM] for w in words if len(w) > STEM}
+    return np.unique(np.array([zlib.crc32(w) & mask for w in words] + [zlib.crc32(w, 1) & mask for w in stems], np.int32))
 
 
 class Ordinal:
@@ -48,7 +54,7 @@ class Ordinal:
         self.grades, self.weights, self.thresholds = np.array(grades, float), weights, thresholds
 
     @classmethod
-    def fit(cls, rows: list[np.ndarray], y: list[int], bits: int = BITS, l2: float = L2, steps: int = STEPS, rate: float = RATE, least_docs: int = LEAST_DOCS) -> Ordinal:
+    def fit(cls, rows: list[np.ndarray], y: list[int], bits: int = BITS, l2: float = L2, steps: int = STEPS, rate: float = RATE, least_docs: int = LEAST_DOCS, screen: float = SCREEN) -> Ordinal:
         grades = sorted(set(y)) or [0]
         w = np.zeros(1 << bits)
         if len(grades) == 1:
@@ -58,7 +64,10 @@ class Ordinal:
         size = np.array([len(r) for r in rows])
         slot = np.concatenate(rows)
         row = np.repeat(np.arange(len(rows)), size)
-        often = np.bincount(slot, minlength=1 << bits) >= least_docs
+        # Screened by the score test of each feature alone, so that chance words don't crowd the model.
+        count = np.bincount(slot, minlength=1 << bits)
+        spread = np.sqrt(np.maximum(count * (1 - count / len(rows)), 1e-9)) * np.std(k)
+        often = (count >= least_docs) & (np.abs(np.bincount(slot, (k - k.mean())[row], 1 << bits)) >= screen * spread)
         slot, row = slot[often[slot]], row[often[slot]]
         used, col = np.unique(slot, return_inverse=True)
         beta = np.zeros(len(used))

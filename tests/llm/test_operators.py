@@ -1,0 +1,359 @@
+"""Each operator against brute force, a round trip or held-out labels, with nulls, empty and repeated rows, empty tables and clashing columns."""
+
+import hashlib
+import io
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from macrolith.llm import bpe, decontaminate, html_main, langid, license, media, pll, simhash, tokenbin, toxicity
+from macrolith.llm.components import components
+from macrolith.llm.queries import tokenizer_path
+
+SMALL = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, n_words int, media string, spans int"
+
+
+def docs_of(spark, texts, lang=None):
+    rows = [(k, t, lang[k] if lang else "en", "s", len(t or ""), "x", 1, "y", 2) for k, t in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+EDGE = [None, "", " \n\t ", "one", "One one ONE", "a b c d e f g", "a b c d e f g", "Ünï çödé 漢字 🎉", "x" * 5000, "word " * 3000, "<|endoftext|> it's"]
+
+
+@pytest.fixture(scope="module")
+def edge(spark):
+    d = docs_of(spark, EDGE)
+    return d.union(d.where("doc_id = 5"))
+
+
+def brute_hits(words, items, window):
+    hit, names = set(), set()
+    for i, x in items:
+        for k in range(max(1, len(x) - window + 1)) if x else ():
+            q = x[k : k + window]
+            for p in range(len(words) - len(q) + 1):
+                if words[p : p + len(q)] == q:
+                    names.add(i)
+                    hit.update(range(p, p + len(q)))
+    return hit, names
+
+
+def test_automaton_against_brute_force():
+    r = random.Random(3)
+    for _ in range(300):
+        alphabet = [b"a", b"b", b"c"][: r.randint(1, 3)]
+        items = [(str(i), [r.choice(alphabet) for _ in range(r.randint(0, 9))]) for i in range(6)]
+        window = r.randint(1, 5)
+        a = decontaminate.Automaton(items, window)
+        words = [r.choice([*alphabet, b"z"]) for _ in range(30)]
+        spans, found = a.matches(words)
+        hit, names = brute_hits(words, items, window)
+        assert {a.ids[k] for k in found} == names
+        assert [p for x, y in spans for p in range(x, y)] == sorted(hit)
+
+
+def test_contamination_blocks_and_edges(spark, edge):
+    items = spark.createDataFrame([(1, "a b c d"), (2, None), (3, ""), (4, "one"), (5, " ".join(f"w{k}" for k in range(40)))], "item_id long, text string")
+    docs = edge.union(docs_of(spark, ["z " * 30 + " ".join(f"W{k}" for k in range(10, 30)) + " z" * 500]).withColumn("doc_id", F.lit(99).cast("long")))
+    one = sorted(map(tuple, decontaminate.contamination(docs, items).drop("spans", "items").collect()), key=str)
+    cut = sorted(map(tuple, decontaminate.contamination(docs, items, block_words=20).drop("spans", "items").collect()), key=str)
+    assert one == cut and len(one) == 13
+    by = {r[0]: r for r in one}
+    assert by[0][1:3] == (0, 0) and by[3][1:4] == (1, 1, 1) and by[5][2] == 4 and by[99][2] == 20 and not by[99][5] and by[99][6] == 20
+    kept = decontaminate.decontaminate(docs, items)
+    assert kept.columns == docs.columns
+    left = sorted(r.doc_id for r in kept.collect())
+    assert left == sorted(r[0] for r in one if not r[5])
+    assert left == sorted(r.doc_id for r in decontaminate.decontaminate(docs, items, block_words=20).collect())
+    assert decontaminate.contamination(docs.limit(0), items).count() == 0
+    assert not any(r.contaminated for r in decontaminate.contamination(docs, items.limit(0)).collect())
+    assert decontaminate.decontaminate(docs, items, longest=13).where("doc_id = 99 and text not like '%W15%'").count() == 1
+    assert decontaminate.excise("Aa, bb! cc dd", [(1, 3)]) == "Aa,  dd"
+
+
+def library(texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    t.no_truncation()
+    t.no_padding()
+    return t, [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+
+
+TRICKY = ["a,. b,, c'. 's, x\x1c, é, İ, Σας, ΟΔΟΣ. <|endoftext|>, <|EndOfText|>", "﷽,", "it's we'll 'rex!'s 1234 ½²", "\u0085 x y é ñ.", "'", "<|endoftext|>" * 3]
+
+
+def test_token_files_round_trip(spark, edge):
+    out = "file:///tmp/macrolith-test-tokens"
+    docs = edge.union(docs_of(spark, TRICKY).withColumn("doc_id", F.col("doc_id") + 100))
+    manifest = tokenbin.write_tokens(docs, tokenizer_path(), out, files=3)
+    got = sorted(tokenbin.read_tokens(manifest, out).collect(), key=lambda r: r.start)
+    rows = sorted((r.doc_id, r.text) for r in docs.fillna("").collect())
+    _, ids = library([t for _, t in rows])
+    start = 0
+    for r, (d, _), want in zip(got, rows, ids, strict=True):
+        want = [*want, 2]
+        assert (r.doc_id, r.start, r.n_tokens, r.ids) == (d, start, len(want), want)
+        assert r.ids_crc32 == zlib.crc32(np.array(want, "<u4").tobytes())
+        start += len(want)
+    assert tokenbin.token_files(docs.limit(0), tokenizer_path()).count() == 0
+
+
+def test_frames_are_independent_and_checked():
+    out = io.BytesIO()
+    w = tokenbin.FrameWriter(out, 2, frame_bytes=64)
+    want = {k: np.arange(k, dtype="<u2") for k in range(50)}
+    for k, v in want.items():
+        w.add(k, v.tobytes())
+    w.close()
+    raw = out.getvalue()
+    r = tokenbin.FrameReader(io.BytesIO(raw), len(raw))
+    assert len(r.frames) > 10 and all((r.find(k)[0] == v).all() for k, v in reversed(want.items()))
+    bad = bytearray(raw)
+    bad[r.offsets[3] + 8] ^= 0xFF
+    broken = tokenbin.FrameReader(io.BytesIO(bytes(bad)), len(bad))
+    assert (broken.find(3)[0] == want[3]).all()
+    with pytest.raises(Exception):
+        broken.frame(3)
+
+
+def test_bpe_against_library(spark, edge):
+    e = bpe.Encoder(tokenizer_path())
+    r = random.Random(1)
+    texts = [t or "" for t in EDGE] + TRICKY
+    for _ in range(40):
+        letters = r.choice(["ab", "thean", "aeiouäöß", "!?.'", "a'slr!", "漢é🎉a", "<|endoftext|>a", "in"])
+        texts.append("".join(r.choice(letters) for _ in range(r.randint(1, 3000))))
+    texts += ["".join(r.choice(e.spec.merges[r.randrange(3000)]).replace("</w>", "") for _ in range(600)) for _ in range(20)]
+    t, want = library(texts)
+    joined = bpe.Decoder(e.spec, joined=True)
+    most = 0
+    for x, ids in zip(texts, want, strict=True):
+        assert e.encode(x) == ids, x[:60]
+        assert joined.decode(ids) == t.decode(ids, skip_special_tokens=False)
+        tr, out, at = bpe.Transducer(e), [], 0
+        while at < len(x):
+            n = r.randint(1, 300)
+            out += tr.feed(x[at : at + n])
+            at += n
+            most = max(most, len(tr.raw) + len(tr.text) + len(tr.held))
+        assert out + tr.close() == ids, x[:60]
+    assert most < 8 * e.window  # constant memory
+    assert bpe.Decoder(e.spec).decode(e.encode("Grüße, 漢字 ok")) == "grüße , 漢字 ok "
+    rows = {r.doc_id: r for r in bpe.encode_decode(edge, tokenizer_path()).collect()}
+    ids = library([EDGE[7]])[1][0]
+    assert rows[7].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() and rows[0].n_tokens == 0
+    assert bpe.encode_decode(edge.limit(0), tokenizer_path()).count() == 0
+
+
+def test_fingerprint_against_plain_version():
+    import xxhash
+
+    for t in [*EDGE, "A b C d", "a b"]:
+        words = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode().split()
+        grams = [b" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []
+        h = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+        assert simhash.fingerprint(t) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_golay_keys_meet_all_near_segments():
+    keys = [set(k.tolist()) for k in simhash.segment_keys()]
+    r = random.Random(5)
+    assert max(map(len, keys)) <= 6
+    for x in r.sample(range(1 << 16), 3000):
+        assert all(keys[x] & keys[x ^ 1 << b] for b in range(16))
+
+
+def near_components(fps):
+    root = list(range(len(fps)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i, a in enumerate(fps):
+        for j in range(i):
+            if (a ^ fps[j]).bit_count() <= 3:
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return [find(k) for k in range(len(fps))]
+
+
+@pytest.mark.parametrize("block", [2048, 8])
+def test_links_connect_what_brute_force_connects(spark, block):
+    r = random.Random(9)
+    base = [r.getrandbits(64) for _ in range(20)] + [0]
+    fps = sorted({b ^ sum(1 << k for k in r.sample(range(64), r.randint(0, 4))) for b in base for _ in range(30)})
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    found = components(simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), block=block))
+    of = {r.vertex: r.root for r in found.collect()}
+    want = near_components(fps)
+    groups: dict[int, set] = {}
+    for x, w in zip(signed, want, strict=True):
+        groups.setdefault(w, set()).add(of.get(x, x))
+    assert all(len(g) == 1 for g in groups.values()) and len({min(g) for g in groups.values()}) == len(groups)
+
+
+def test_near_duplicates_and_survivors(spark, edge):
+    rows = simhash.near_duplicates(edge).collect()
+    assert len(rows) == 12
+    by = {r.doc_id: r for r in rows}
+    assert by[0].fingerprint == "0" * 16 and by[2].component_id == 0 and by[6].component_id == 5
+    kept = simhash.one_of_each(edge)
+    assert kept.columns == edge.columns and sorted(r.doc_id for r in kept.collect()) == sorted({r.component_id for r in rows})
+    assert simhash.near_duplicates(edge.limit(0)).count() == 0
+
+
+def test_ordinal_regression_orders_grades(spark, edge):
+    r = random.Random(2)
+    texts, grades = [], []
+    for _ in range(600):
+        g = r.randrange(4)
+        texts.append(" ".join([r.choice(["fine", "plain", "day", "sun"]) for _ in range(20)] + ["vile"] * (g >= 1) + ["foul"] * (g >= 2) + ["awful"] * (g >= 3)))
+        grades.append(g)
+    m = toxicity.Ordinal.fit([toxicity.features(t) for t in texts], grades)
+    assert (np.diff(m.thresholds) > 0).all()
+    expect = [m.probabilities(toxicity.features(t)) @ m.grades for t in ("fine day", "vile day", "vile foul day", "vile foul awful day")]
+    assert expect == sorted(expect) and expect[0] < 0.5 and expect[3] > 2.5
+    docs = docs_of(spark, texts)
+    labels = spark.createDataFrame([(k, g if k % 2 else None, 1) for k, g in enumerate(grades)], "doc_id long, toxic int, text int")
+    found = toxicity.severity(docs, labels).collect()
+    assert np.mean([x.grade == g for x, g in zip(sorted(found), grades, strict=True)]) > 0.95
+    none = toxicity.severity(edge, labels.limit(0)).collect()
+    assert len(none) == 12 and all(x.severity == 0 and not x.toxic for x in none)
+    assert toxicity.without_toxic(edge, labels).columns == edge.columns
+    assert toxicity.severity(edge.limit(0), labels).count() == 0
+
+
+def test_toxicity_on_held_out_labels(spark):
+    d, y = spark.read.parquet(f"{SMALL}/../sf0.01/documents.parquet"), spark.read.parquet(f"{SMALL}/../sf0.01/labels.parquet")
+    rows = toxicity.severity(d, y.where("doc_id % 3 <> 0")).withColumnRenamed("toxic", "pred").join(y.where("doc_id % 3 = 0"), "doc_id").collect()
+    assert np.mean([r.pred == bool(r.toxic) for r in rows]) > 0.93
+    assert sum(r.pred and not r.toxic for r in rows) == 0
+
+
+def test_language_on_held_out_documents(spark, edge):
+    from macrolith.llm.queries import op7_language
+
+    rows = op7_language(spark, f"{SMALL}/../sf0.01").join(spark.read.parquet(f"{SMALL}/../sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.96
+    m = langid.train(spark.read.parquet(f"{SMALL}/documents.parquet"))
+    got = {r.doc_id: r for r in langid.identify(edge, m).collect()}
+    assert all(got[k].lang_pred == "und" and got[k].score == 0 and got[k].rejected for k in (0, 1, 2))
+    assert all(0 <= r.score <= 1 for r in got.values())
+    assert langid.train(edge.limit(0)).predict("hello") == ("und", 0.0)
+    assert langid.train(edge).predict("hello") == ("en", 1.0)
+    assert langid.with_language(edge, m).columns == edge.columns
+
+
+def test_media_round_trip(spark, edge):
+    rows = media.media_features(edge).collect()
+    assert len(rows) == 12
+    for r in rows:
+        raw = (EDGE[r.doc_id] or "").encode()
+        n, pay = media.payload(EDGE[r.doc_id])
+        assert (r.n_bytes, r.payload_bytes) == (len(raw), max(64, -(-len(raw) // 64) * 64)) and pay.rstrip(b"\0") == raw.rstrip(b"\0")
+        assert r.payload_sha256 == hashlib.sha256(pay).hexdigest() and r.tail_crc32 == zlib.crc32(pay[-64:])
+        stored = media.write_wav(pay)
+        assert r.media_sha256 == hashlib.sha256(stored).hexdigest() and media.read_wav(stored) == pay and r.media_bytes == len(stored)
+    tone = bytes(int(128 + 100 * np.sin(2 * np.pi * 20 * k / 256)) for k in range(4096))
+    bins, _ = media.peaks(tone)
+    assert (bins[:, 0] == 20).all()
+    t, c = media.pairs(bins)
+    assert ((c >> 6 & 0x1FF) == 20).all() and (np.diff(t) >= 0).all()
+    assert media.media_features(edge.limit(0)).count() == 0
+
+
+def test_network_gradient_and_scores(spark, edge):
+    net = pll.Network(hidden=4, classes=3)
+    net.flat = net.flat.astype(np.float64)
+    rng = np.random.default_rng(0)
+    ids = np.concatenate(([9, 9], rng.integers(0, 9, 200), [9, 9]))
+    rows, target = net.rows(ids), ids[2:-2]
+    w = net.parts(net.flat)
+    # Probabilities of all tokens at one place add up to one.
+    total = sum(np.exp(net.forward(w, rows[:1], np.array([t]))[0][0]) for t in range(9))
+    assert abs(total - 1) < 1e-9
+    loss = lambda flat: -net.forward(net.parts(flat), rows, target)[0].mean()
+    flat = net.flat.copy()
+    net.step(flat, rows, target, 1e-3)
+    move = (net.flat - flat) / 1e-3
+    at = 0
+    for name, shape in net.shapes.items():
+        size = int(np.prod(shape))
+        for k in rng.integers(at, at + size, 5):
+            up, down = net.flat.copy(), net.flat.copy()
+            up[k] += 1e-5
+            down[k] -= 1e-5
+            assert abs((loss(up) - loss(down)) / 2e-5 * (8 if name == "table" else 1) - move[k]) < 1e-4, name
+        at += size
+    docs = docs_of(spark, ["the cat sat on the mat"] * 400 + ["mat the on sat cat the"] + [None, ""])
+    m = pll.train(docs, rounds=4)
+    got = {r.doc_id: r for r in pll.score(docs, m).collect()}
+    assert got[0].pll > got[400].pll + 1 and got[401].pll == 0 and got[402].perplexity is None and got[0].n_tokens == 6
+    assert pll.score(edge.limit(0)).count() == 0 and pll.score(edge).count() == 12
+
+
+def test_vocabulary_counts_everything(spark):
+    docs = docs_of(spark, ["b a a", "A c b", None])
+    assert pll.vocabulary(docs, 2) == [b"a", b"b"]
+
+
+def test_edits_against_plain_dynamic_program():
+    r = random.Random(4)
+    for _ in range(100):
+        t, b = [[r.choice("abc") for _ in range(r.randint(1, n))] for n in (6, 12)]
+        d = [[0] * (len(b) + 1)] + [[k] + [0] * len(b) for k in range(1, len(t) + 1)]
+        for i in range(1, len(t) + 1):
+            for j in range(1, len(b) + 1):
+                d[i][j] = min(d[i - 1][j - 1] + (t[i - 1] != b[j - 1]), d[i - 1][j] + 1, d[i][j - 1] + 1)
+        assert license.edits(t, b) == min(d[-1])
+
+
+def test_license_scan(spark, edge):
+    texts = [f"some words\nx {t} and more words\n" for t in license.TEMPLATES.values()]
+    rows = sorted(license.scan(docs_of(spark, [*texts, "a license to chill", "Licensed under CC BY-SA 4.0.", None])).collect())
+    for r, name in zip(rows, license.TEMPLATES, strict=False):
+        assert name in r.licenses.split(",") and r.n_confirmed >= 1
+    assert rows[-3].licenses == "" and rows[-3].n_blocks == 1 and rows[-1].n_blocks == 0
+    assert len(license.scan(edge).collect()) == 12 and license.scan(edge.limit(0)).count() == 0
+
+
+def test_leaf_blocks():
+    text = lambda p: [b.text for b in html_main.leaf_blocks(p)]
+    assert text("<body><p>a <b>b</b><br>c<p>d &amp; &lt;e&gt;</p>f<!-- x <p> --><script>var t='</p>';</script>g") == ["a b c", "d & <e>", "fg"]
+    assert text('<div title="a>b">x</div><ul><li>1<li>2</ul>y < z') == ["x", "1", "2", "y < z"]
+    assert text("<head><title>t</title></head><body>a<style>p{}</style> b</body>") == ["a b"]
+    assert text(None) == [] and text("") == [] and text("<p") == []
+
+
+def test_chain_on_pages_it_was_not_trained_on(spark):
+    c = html_main.train()
+    wrong = total = 0
+    for page, labels in html_main.labelled_pages(150, 77):
+        got = c.label(html_main.leaf_blocks(page))
+        wrong += sum(a != b for a, b in zip(got, labels, strict=True))
+        total += len(labels)
+    assert wrong < 0.015 * total
+    pages = spark.createDataFrame([(1, "u", None, "z"), (2, None, "", "z"), (3, "u", "<nav><a href=x>Home</a></nav><article><h1>T</h1><p>One two three.</p></article><footer>&copy; me</footer>", "z")], "page_id long, url string, html string, text string")
+    assert [(r.page_id, r.text, r.n_chars) for r in sorted(html_main.extract(pages, c).collect(), key=lambda r: r.page_id)] == [(1, "", 0), (2, "", 0), (3, "T\nOne two three.", 16)]
+
+
+def test_viterbi_is_the_best_path():
+    c = html_main.Chain(["bias"], np.array([0.3]), np.array([[0.5, -0.2], [-0.7, 0.1]]), np.array([0.2, -0.1]))
+    blocks = html_main.leaf_blocks("<p>a<p>b. <a href=x>x</a><p>c<p>d" * 2)
+    got = c.label(blocks)
+    import itertools
+
+    e = 0.3
+
+    def value(y):
+        return c.start[y[0]] + sum(e * k for k in y) + sum(c.moves[a][b] for a, b in zip(y, y[1:], strict=False))
+
+    assert value(got) == max(value(y) for y in itertools.product((0, 1), repeat=len(blocks)))
