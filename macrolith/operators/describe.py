@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dist
+from ..functions.columns import normal_cdf, normal_quantile
 from ..plans.ordered import running_sum
 
 
@@ -55,13 +57,15 @@ def correlation_test(df: DataFrame, x: str, y: str, method: str = "pearson", lev
     return rows(df.sparkSession, [{"method": method, "n": n, "estimate": r, "statistic": t, "p_value": dist.t_two_sided(t, n - 2), "lower": math.tanh(z - half), "upper": math.tanh(z + half)}], "method string, n long, estimate double, statistic double, p_value double, lower double, upper double")
 
 
+#: Distinct value pairs that one kernel counts.
+KENDALL_PAIRS = 2_000_000
+
+
 def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Tau-b: pairs counted from the table of distinct value pairs by a merge-sort count in a kernel."""
+    """Tau-b: counted from the table of distinct value pairs in a kernel, which takes KENDALL_PAIRS of them at most; more raise ValueError."""
     cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).cast("double").alias("a"), F.col(y).cast("double").alias("b")).agg(F.count("*").alias("n"))
 
     def tau(pdf):
-        import pandas as pd
-
         pdf = pdf.sort_values(["a", "b"])
         _, bi = np.unique(pdf.b.to_numpy(), return_inverse=True)
         n, a = pdf.n.to_numpy(float), pdf.a.to_numpy()
@@ -95,7 +99,10 @@ def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
         ty = sum(g * (g - 1) / 2 for g in pdf.groupby("b").n.sum())
         return pd.DataFrame({"n": [int(total)], "tau": [(con - dis) / math.sqrt((pairs - tx) * (pairs - ty))]})
 
-    return cells.groupBy(F.lit(1)).applyInPandas(tau, "n long, tau double")
+    cells = cells.limit(KENDALL_PAIRS + 1).withColumn("k", F.lit(1))
+    if cells.count() > KENDALL_PAIRS:
+        raise ValueError(f"more than {KENDALL_PAIRS} distinct pairs")
+    return cells.groupBy("k").applyInPandas(tau, "n long, tau double")
 
 
 def t_test(df: DataFrame, y: str, group: str | None = None, mu: float = 0.0, equal_var: bool = False, pair: str | None = None) -> DataFrame:
@@ -162,8 +169,7 @@ def equality_tests(df: DataFrame, y: str, group: str) -> DataFrame:
     ss = ranked.agg(F.var_samp("r")).first()[0]
     stat = sum(c.n * (c.m - (n + 1) / 2) ** 2 for c in by_rank) / ss
     add("kruskal_wallis", stat, k - 1, None, dist.chi2_sf(stat, k - 1))
-    quantile = F.udf(lambda r: dist.norm_ppf(r / (n + 1)), "double")
-    scores = ranked.select("r").distinct().withColumn("z", quantile("r"))
+    scores = ranked.select("r").distinct().withColumn("z", normal_quantile(F.col("r") / (n + 1)))
     scored = ranked.join(scores, "r")
     z = cells_of(scored, "z")
     v = scored.agg(F.sum(F.col("z") * F.col("z"))).first()[0] / (n - 1)
@@ -190,14 +196,7 @@ def edf_statistics(df: DataFrame, y: str) -> DataFrame:
     d = df.select(F.col(y).cast("double").alias("y")).where("y is not null")
     n, m, s = d.agg(F.count("*"), F.avg("y"), F.stddev_samp("y")).first()
     z = (F.col("y") - m) / s
-    # No built-in error function: one vectorised batch function over the distinct values.
-    import pandas as pd
-
-    @F.pandas_udf("double")
-    def phi(x: pd.Series) -> pd.Series:
-        return pd.Series([min(max(dist.norm_cdf(v), 1e-300), 1 - 1e-16) for v in x])
-
-    values = d.groupBy("y").agg(F.count("*").alias("c")).withColumn("p", phi(z))
+    values = d.groupBy("y").agg(F.count("*").alias("c")).withColumn("p", F.greatest(F.least(normal_cdf(z), F.lit(1 - 1e-16)), F.lit(1e-300)))
     v = running_sum(values, "y", "c", "hi").withColumn("hi", F.col("hi").cast("long")).withColumn("lo", F.col("hi") - F.col("c"))
     i = lambda e: F.aggregate(F.sequence(F.col("lo") + 1, F.col("hi")), F.lit(0.0), e)
     got = v.agg(

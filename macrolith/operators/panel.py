@@ -213,20 +213,19 @@ def aggregate_att(att: DataFrame) -> DataFrame:
 
 
 def imputation(df: DataFrame, y: str, unit: str, time: str, first: str) -> DataFrame:
-    """event_time, att, n: two-way effects fitted on untreated cells, effects of treated cells averaged. The small unit and time effects are solved by alternating means."""
+    """event_time, att, n: two-way effects fitted on untreated cells, effects of treated cells averaged. A period without any untreated cell has no effect to compare with and is left out."""
     d = df.select(F.col(unit).alias("u"), F.col(time).alias("t"), F.coalesce(F.col(first), F.lit(0)).alias("g"), F.col(y).cast("double").alias("y")).dropna()
     clean = d.where("g = 0 or t < g")
-    from ..plans.store import stored
-
-    a = clean.groupBy("u").agg(F.avg("y").alias("a"))
-    b = None
-    for k in range(60):
-        b = stored(clean.join(a, "u").groupBy("t").agg(F.avg(F.col("y") - F.col("a")).alias("b")))
-        new = stored(clean.join(b, "t").groupBy("u").agg(F.avg(F.col("y") - F.col("b")).alias("a")))
-        moved = new.join(a.withColumnRenamed("a", "o"), "u").agg(F.max(F.abs(F.col("a") - F.col("o"))), F.max(F.abs("a"))).first()
-        a = new
-        if moved[0] <= 1e-10 * max(1.0, moved[1]):
-            break
+    times = sorted(r.t for r in clean.select("t").distinct().limit(1001).collect())
+    if len(times) > 1000:
+        raise ValueError("more than 1000 periods")
+    # Unit effects go by demeaning, time effects are the coefficients of period marks: one Gram aggregate.
+    names = [f"t{k}" for k in range(1, len(times))]
+    marked = clean.select("u", "y", *[(F.col("t") == v).cast("double").alias(n) for n, v in zip(names, times[1:], strict=True)])
+    effect, _, _ = Moments.of(demean(marked, ["y", *names], ["u"]), ["y", *names]).solve("y", names)
+    spark = df.sparkSession
+    b = spark.createDataFrame([(v, float(e)) for v, e in zip(times, [0.0, *effect], strict=True)], f"t {d.schema['t'].dataType.simpleString()}, b double")
+    a = clean.join(F.broadcast(b), "t").groupBy("u").agg(F.avg(F.col("y") - F.col("b")).alias("a"))
     eff = d.where("g > 0 and t >= g").join(a, "u").join(b, "t").select((F.col("t") - F.col("g")).cast("int").alias("event_time"), (F.col("y") - F.col("a") - F.col("b")).alias("e"))
     return eff.groupBy("event_time").agg(F.avg("e").alias("att"), F.count("*").alias("n"))
 

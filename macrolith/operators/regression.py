@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dist
+from ..functions.columns import normal_cdf
 from ..functions.linalg import guarded_inverse
 from ..plans.gram import Moments, gram
 from .describe import rows
@@ -209,7 +210,6 @@ def binary(df: DataFrame, y: str, x: list[str], link: str = "logit", cov: str =
     df = _complete(df, [y, *x])
     terms = ["const", *x]
     b = np.zeros(len(terms))
-    phi = F.udf(lambda v: None if v is None else dist.norm_cdf(v), "double")
     for step in range(1, maxiter + 1):
         eta = F.greatest(F.least(linear(b, terms), F.lit(30.0)), F.lit(-30.0))
         d = df.withColumn("_eta", eta)
@@ -218,7 +218,7 @@ def binary(df: DataFrame, y: str, x: list[str], link: str = "logit", cov: str =
             d = d.withColumn("_p", p).withColumn("_w", F.greatest(F.col("_p") * (1 - F.col("_p")), F.lit(1e-12))).withColumn("_z", F.col("_eta") + (F.col(y) - F.col("_p")) / F.col("_w"))
         else:
             dens = F.exp(-F.col("_eta") * F.col("_eta") / 2) / math.sqrt(2 * math.pi)
-            d = d.withColumn("_p", F.greatest(F.least(phi("_eta"), F.lit(1 - 1e-12)), F.lit(1e-12))).withColumn("_f", dens)
+            d = d.withColumn("_p", F.greatest(F.least(normal_cdf("_eta"), F.lit(1 - 1e-12)), F.lit(1e-12))).withColumn("_f", dens)
             d = d.withColumn("_w", F.greatest(F.col("_f") * F.col("_f") / (F.col("_p") * (1 - F.col("_p"))), F.lit(1e-12))).withColumn("_z", F.col("_eta") + (F.col(y) - F.col("_p")) / F.greatest(F.col("_f"), F.lit(1e-12)))
         m = Moments.of(d.select("_z", "_w", *x), ["_z", *x], "_w")
         new, inv, _ = m.solve("_z", terms)
@@ -227,7 +227,7 @@ def binary(df: DataFrame, y: str, x: list[str], link: str = "logit", cov: str =
         if done:
             break
     eta = linear(b, terms)
-    p = 1 / (1 + F.exp(-eta)) if link == "logit" else phi(eta)
+    p = 1 / (1 + F.exp(-eta)) if link == "logit" else normal_cdf(eta)
     r = df.select(F.col(y).alias("y"), F.greatest(F.least(p, F.lit(1 - 1e-15)), F.lit(1e-15)).alias("p")).agg(F.sum(F.when(F.col("y") > 0.5, F.log("p")).otherwise(F.log(1 - F.col("p")))), F.avg("y"), F.count("*")).first()
     null = r[2] * (r[1] * math.log(r[1]) + (1 - r[1]) * math.log(1 - r[1]))
     fit = Fit(y, terms, b, inv, inv, r[2], 0.0, 1.0, df, cov, {"loglik": r[0], "pseudo_r2": 1 - r[0] / null, "steps": step, "link": link})

@@ -26,7 +26,7 @@ def apply_tcodes(df: DataFrame, codes: dict[str, int], order: str, by: list[str]
     if logs:
         low = df.agg(*[F.min(c).alias(c) for c in logs]).first()
         codes = {c: 2 if c in logs and low[c] is not None and low[c] <= 0 else k for c, k in codes.items()}
-    lost = max([max(LOSS[k], k == 4) for k in codes.values()], default=0)
+    lost = max([1 if k == 4 else LOSS[k] for k in codes.values()], default=0)
     out = df.withColumns({c: tcode(F.col(c), k, w) for c, k in codes.items()} | {"_k": F.row_number().over(w)})
     return (out.where(F.col("_k") > lost) if trim else out).drop("_k")
 
