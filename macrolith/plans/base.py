@@ -16,7 +16,7 @@ BASE = {
     "tsm": f"SELECT {_SHIP} AS t, sum(l_extendedprice) / 1e6 AS revenue, sum(l_quantity) / 1e4 AS qty, avg(l_discount) * 100 AS disc, avg(l_tax) * 100 AS tax FROM {{lineitem}} GROUP BY {_SHIP}",
     "panel": f"SELECT c_nationkey AS unit, {_ORDER} AS t, sum(o_totalprice) / 1e6 AS y, CAST(count(*) AS DOUBLE) / 10 AS x FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey GROUP BY c_nationkey, {_ORDER}",
     "gaps": f"SELECT o_orderpriority AS unit, {_ORDER} AS t, sum(o_totalprice) / 1e6 AS y FROM {{orders}} WHERE o_orderstatus = 'P' GROUP BY o_orderpriority, {_ORDER}",
-    "did": "SELECT c_nationkey AS unit, CAST(year(o_orderdate) AS INT) AS t, sum(o_totalprice) / 1e6 AS y, CASE WHEN n_regionkey = 0 THEN 0 WHEN n_regionkey <= 2 THEN 1994 ELSE 1996 END AS first FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey GROUP BY c_nationkey, CAST(year(o_orderdate) AS INT), CASE WHEN n_regionkey = 0 THEN 0 WHEN n_regionkey <= 2 THEN 1994 ELSE 1996 END",
+    "did": "SELECT c_nationkey AS unit, CAST(year(o_orderdate) AS INT) AS t, sum(o_totalprice) / 1e6 AS y, CASE WHEN n_regionkey = 0 THEN 0 WHEN n_regionkey <= 2 THEN 1997 ELSE 1999 END AS first FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey GROUP BY c_nationkey, CAST(year(o_orderdate) AS INT), CASE WHEN n_regionkey = 0 THEN 0 WHEN n_regionkey <= 2 THEN 1997 ELSE 1999 END",
     "hours": "SELECT event_type AS kind, CAST((day(ts) - 1) * 24 + hour(ts) AS INT) AS t, avg(value) AS v, CAST(count(*) AS DOUBLE) AS n FROM {events} GROUP BY event_type, CAST((day(ts) - 1) * 24 + hour(ts) AS INT)",
     "flows": "SELECT s.n_regionkey AS i, c.n_regionkey AS j, sum(l_extendedprice) / 1e6 AS value FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey JOIN {nation} s ON s_nationkey = s.n_nationkey JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {nation} c ON c_nationkey = c.n_nationkey GROUP BY s.n_regionkey, c.n_regionkey",
     "sales": "SELECT n_regionkey AS i, sum(l_extendedprice) / 1e6 AS value FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey JOIN {nation} ON s_nationkey = n_nationkey GROUP BY n_regionkey",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cleaning, containers, describe, forecasting, inputoutput, multivariate, panel, regression, series, transforms
+from ..operators import cleaning, containers, describe, dynamics, forecasting, inputoutput, limited, multivariate, panel, regression, series, transforms
 from ..streaming import running
 from .base import base, rounded, sql, table
 
@@ -877,3 +877,175 @@ def _(t):
 @register("stream_windowed_regression", "SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS start, count(*) AS n, round(regr_slope(value, user_id), 6) + 0.0 AS slope, round(regr_intercept(value, user_id), 6) + 0.0 AS intercept FROM {events} GROUP BY 1")
 def _(t):
     return running.windowed_regression(t("events"), "ts", "value", "user_id").withColumn("start", F.col("start").cast("timestamp").cast("long"))
+
+
+# -- limited dependent variables, robust estimation --------------------------
+
+
+@register("ordered_logit")
+def _(t):
+    return limited.ordered(t("bin").withColumn("g", F.col("y") + F.col("en")), "g", ["x"])
+
+
+@register("ordered_probit")
+def _(t):
+    return limited.ordered(t("bin").withColumn("g", F.col("y") + F.col("en")), "g", ["x"], "probit")
+
+
+@register("multinomial_logit")
+def _(t):
+    return limited.multinomial(t("xs"), "flag", ["q", "d"])
+
+
+@register("tobit")
+def _(t):
+    return limited.tobit(t("xs").withColumn("c", F.greatest(F.col("y") - 3, F.lit(0.0))), "c", ["q", "d"])
+
+
+@register("truncated_regression")
+def _(t):
+    return limited.truncated(t("xs"), "y", ["q", "d"], 1.0)
+
+
+@register("heckman_two_step")
+def _(t):
+    return limited.heckman(t("bin").withColumn("w", F.col("x") * 2 + F.col("en")), "w", ["en"], "y", ["x", "en"])
+
+
+for _psi in ("huber", "bisquare"):
+
+    @register(f"robust_{_psi}")
+    def _(t, psi=_psi):
+        return limited.robust_regression(t("xs"), "y", ["q", "d"], psi).table()
+
+
+for _m in ("forward", "backward", "best"):
+
+    @register(f"select_variables_{_m}")
+    def _(t, m=_m):
+        return limited.select_variables(t("xs"), "y", ["q", "d", "tax"], m)
+
+
+@register("gmm_linear")
+def _(t):
+    return limited.gmm(t("tsm"), "disc", ["revenue"], ["qty", "tax"])
+
+
+_JB = " UNION ALL ".join(f"SELECT '{c}' AS variable, round(n / 6.0 * (power(k3, 2) + power(k4 - 3, 2) / 4), 4) + 0.0 AS statistic FROM (SELECT any_value(n) AS n, avg(power(({c} - m) / s, 3)) AS k3, avg(power(({c} - m) / s, 4)) AS k4 FROM (SELECT {c}, avg({c}) OVER () AS m, stddev_pop({c}) OVER () AS s, count(*) OVER () AS n FROM {{xs}}))" for c in ("y", "q"))
+
+
+@register("jarque_bera", _JB, digits=4)
+def _(t):
+    return limited.jarque_bera(t("xs"), ["y", "q"]).drop("p_value")
+
+
+_D2 = "(SELECT (power(q - mq, 2) * vd - 2 * (q - mq) * (d - md) * c + power(d - md, 2) * vq) / (vq * vd - c * c) AS m FROM {xs} CROSS JOIN (SELECT avg(q) AS mq, avg(d) AS md, var_pop(q) AS vq, var_pop(d) AS vd, covar_pop(q, d) AS c FROM {xs}))"
+
+
+@register("mardia_kurtosis", f"SELECT count(*) AS n, round(avg(m * m), 6) + 0.0 AS kurtosis, round((avg(m * m) - 8) / sqrt(64.0 / count(*)), 4) + 0.0 AS statistic FROM {_D2}")
+def _(t):
+    return limited.mardia(t("xs"), ["q", "d"]).drop("p_value").withColumn("statistic", F.round("statistic", 4))
+
+
+@register("mean_group", "WITH g AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM {panel} GROUP BY unit) SELECT 'const' AS term, round(avg(a), 6) + 0.0 AS estimate, round(stddev_samp(a) / sqrt(count(a)), 6) + 0.0 AS std_error FROM g UNION ALL SELECT 'x', round(avg(b), 6) + 0.0, round(stddev_samp(b) / sqrt(count(b)), 6) + 0.0 FROM g")
+def _(t):
+    return limited.mean_group(t("panel"), "y", ["x"], "unit")
+
+
+_LPD = " UNION ALL ".join(
+    f"SELECT CAST({h} AS INT) AS horizon, round(sum((s - ms) * (dy - md)) / sum(power(s - ms, 2)), 6) + 0.0 AS estimate, count(*) AS n FROM (SELECT *, avg(s) OVER (PARTITION BY t) AS ms, avg(dy) OVER (PARTITION BY t) AS md FROM (SELECT a.t, CASE WHEN a.first = a.t THEN 1.0 ELSE 0.0 END AS s, c.y - b.y AS dy FROM {{did}} a JOIN {{did}} b ON b.unit = a.unit AND b.t = a.t - 1 JOIN {{did}} c ON c.unit = a.unit AND c.t = a.t + ({h}) WHERE a.first = a.t OR a.first = 0 OR a.first > a.t + {max(h, 0)}))" for h in (-2, 0, 1, 2)
+)
+
+
+@register("did_local_projections", _LPD)
+def _(t):
+    return limited.lp_did(t("did"), "y", "unit", "t", "first", 2, 2)
+
+
+# -- state space, breaks, regimes, expectations --------------------------------
+
+
+@register("local_level", digits=2)
+def _(t):
+    return dynamics.local_level(t("tsm"), "revenue", "t").select("t", "value", "level")
+
+
+@register("local_linear_trend", digits=2)
+def _(t):
+    return dynamics.local_level(t("tsm"), "revenue", "t", True).select("t", "value", "level")
+
+
+@register("arma_order_selection", digits=2)
+def _(t):
+    return dynamics.order_selection(t("tsm"), "revenue", "t", 2, 1)
+
+
+@register("long_memory_gph")
+def _(t):
+    return dynamics.gph(t("hours"), "v", "t", by="kind")
+
+
+@register("cusum", "SELECT count(*) - 2 AS n, 1.0e0 AS last_cusumsq FROM {tsm}")
+def _(t):
+    return dynamics.cusum(t("tsm"), "revenue", ["qty"], "t").agg(F.count("*").alias("n"), F.max("cusumsq").alias("last_cusumsq"))
+
+
+_S = "(SELECT row_number() OVER (ORDER BY t) AS r, revenue AS y, count(*) OVER () AS n FROM {tsm})"
+
+
+@register("sup_f_break", f"WITH s AS {_S}, k AS (SELECT b FROM range(2, (SELECT count(*) FROM s)) g(b), (SELECT any_value(n) AS n FROM s) WHERE b >= greatest(2, CAST(floor(0.15 * n) AS INT)) AND b < least(n - 2, CAST(floor(0.85 * n) AS INT))), f AS (SELECT b, var_pop(y) * count(*) AS total, var_pop(y) FILTER (r <= b) * count(*) FILTER (r <= b) + var_pop(y) FILTER (r > b) * count(*) FILTER (r > b) AS rss, count(*) AS n FROM s CROSS JOIN k GROUP BY b) SELECT round(max((total - rss) / (rss / (n - 2))), 5) + 0.0 AS sup_f FROM f", digits=5)
+def _(t):
+    return dynamics.sup_f(t("tsm"), "revenue", [], "t").select("sup_f")
+
+
+@register("bai_perron_breaks")
+def _(t):
+    return dynamics.bai_perron(t("tsm"), "revenue", "t", 2)
+
+
+@register("zivot_andrews")
+def _(t):
+    return dynamics.zivot_andrews(t("tsm"), "revenue", "t")
+
+
+@register("explosive_roots")
+def _(t):
+    return dynamics.explosive(t("tsm"), "revenue", "t", 30)
+
+
+@register("markov_switching", digits=3)
+def _(t):
+    return dynamics.estimate_markov_switching(t("tsm"), "revenue", "t")
+
+
+@register("state_local_projection")
+def _(t):
+    return dynamics.state_local_projection(t("tsm"), _PAIR, "revenue", "qty", "t", horizon=4, lags=1)
+
+
+@register("nardl")
+def _(t):
+    return dynamics.nardl(t("tsm"), "revenue", "disc", "t")
+
+
+@register("constant_correlation", digits=3)
+def _(t):
+    return dynamics.dynamic_correlation(t("tsm"), _PAIR, "t", True)
+
+
+@register("dynamic_correlation", digits=2)
+def _(t):
+    return dynamics.dynamic_correlation(t("tsm"), _PAIR, "t")
+
+
+@register("sign_bias", digits=2)
+def _(t):
+    return dynamics.sign_bias(t("hours"), "v", "t", "kind")
+
+
+@register("rational_expectations_irf", " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS id, CAST(k AS INT) AS horizon, 'y' AS variable, 'e' AS shock, round(power({r}, k) / (1 - {b} * {r}), 6) + 0.0 AS value FROM range(0, 6) g(k)" for i, (b, r) in enumerate(((0.5, 0.8), (0.9, 0.5)))))
+def _(t):
+    # y = beta E y(+1) + z, z = rho z(-1) + e: the response of y is rho^k / (1 - beta rho).
+    models = [(i, [[b, 0], [0, 0]], [[-1, 1], [0, -1]], [[0, 0], [0, r]], [[0], [1]]) for i, (b, r) in enumerate(((0.5, 0.8), (0.9, 0.5)))]
+    spark = t("region").sparkSession
+    return dynamics.linear_irf(spark, models, ["y", "z"], ["e"], 6).where("variable = 'y'")
