@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cleaning, containers, describe, dynamics, forecasting, inputoutput, limited, multivariate, panel, regression, series, transforms
+from ..operators import cleaning, containers, describe, dynamics, forecasting, further, inputoutput, limited, multivariate, panel, regression, series, transforms
 from ..streaming import running
 from .base import base, rounded, sql, table
 
@@ -1049,3 +1049,125 @@ def _(t):
     models = [(i, [[b, 0], [0, 0]], [[-1, 1], [0, -1]], [[0, 0], [0, r]], [[0], [1]]) for i, (b, r) in enumerate(((0.5, 0.8), (0.9, 0.5)))]
     spark = t("region").sparkSession
     return dynamics.linear_irf(spark, models, ["y", "z"], ["e"], 6).where("variable = 'y'")
+
+
+# -- further -------------------------------------------------------------------
+
+
+@register("panel_iv_just_identified", "SELECT 'x' AS term, round(sum(z * y) / sum(z * x), 6) + 0.0 AS estimate FROM (SELECT y - avg(y) OVER w AS y, x - avg(x) OVER w AS x, t - avg(t) OVER w AS z FROM {panel} WINDOW w AS (PARTITION BY unit))")
+def _(t):
+    return further.panel_iv(t("panel").withColumn("z", F.col("t")), "y", [], ["x"], ["z"], "unit").select("term", "estimate")
+
+
+@register("panel_difference_gmm")
+def _(t):
+    return further.difference_gmm(t("panel"), "y", ["x"], "unit", "t")
+
+
+@register("panel_var", "WITH l AS (SELECT a.unit, a.y, b.y AS z FROM {panel} a JOIN {panel} b ON a.unit = b.unit AND b.t = a.t - 1), d AS (SELECT y - avg(y) OVER w AS y, z - avg(z) OVER w AS z FROM l WINDOW w AS (PARTITION BY unit)) SELECT 'y' AS equation, 'y_l1' AS term, round(sum(y * z) / sum(z * z), 6) + 0.0 AS estimate FROM d")
+def _(t):
+    return further.panel_var(t("panel"), ["y"], "unit", "t")
+
+
+@register("panel_var_two_variables")
+def _(t):
+    return further.panel_var(t("panel"), ["y", "x"], "unit", "t", 2)
+
+
+@register("levin_lin_chu")
+def _(t):
+    return further.levin_lin_chu(t("panel"), "y", "unit", "t", 1)
+
+
+_KP = "(SELECT unit, sum(s * s) / power(any_value(n), 2) / (any_value(q) / any_value(n)) AS k FROM (SELECT *, sum(z) OVER (PARTITION BY unit ORDER BY t) AS s, sum(z * z) OVER (PARTITION BY unit) AS q FROM (SELECT unit, t, y - avg(y) OVER (PARTITION BY unit) AS z, count(*) OVER (PARTITION BY unit) AS n FROM {panel})) GROUP BY unit)"
+
+
+@register("hadri", f"SELECT round(avg(k), 6) + 0.0 AS lm, round(sqrt(count(*)) * (avg(k) - 1.0 / 6) / sqrt(1.0 / 45), 5) + 0.0 AS z FROM {_KP}")
+def _(t):
+    return further.hadri(t("panel"), "y", "unit", "t").select("lm", F.round("z", 5).alias("z"))
+
+
+@register("cips")
+def _(t):
+    return further.cips(t("panel"), "y", "unit", "t")
+
+
+@register("kao")
+def _(t):
+    return further.kao(t("panel"), "y", ["x"], "unit", "t")
+
+
+@register("pedroni")
+def _(t):
+    return further.pedroni(t("panel"), "y", ["x"], "unit", "t")
+
+
+@register("vecm")
+def _(t):
+    return further.vecm(t("tsm"), _PAIR, "t", 2, 1)
+
+
+@register("phillips_ouliaris")
+def _(t):
+    return further.phillips_ouliaris(t("tsm"), "revenue", ["qty"], "t")
+
+
+@register("gregory_hansen")
+def _(t):
+    return further.gregory_hansen(t("tsm"), "revenue", ["qty"], "t")
+
+
+for _m in ("expalmon", "beta", "unrestricted"):
+
+    @register(f"midas_{_m}", digits=3)
+    def _(t, m=_m):
+        d = t("tsm").withColumn("t", F.col("t") - 1)
+        low = d.groupBy((F.col("t") / 3).cast("int").alias("t")).agg(F.sum("revenue").alias("y"), F.count("*").alias("n")).where("n = 3")
+        return further.midas(low, d, "y", "qty", "t", 3, 4, m)
+
+
+@register("kernel_regression", "WITH h AS (SELECT min(q) AS lo, max(q) AS hi, 1.06 * stddev_samp(q) * power(count(*), -0.2) AS h FROM {xs}), g AS (SELECT lo + (hi - lo) * k / 10.0 AS x, h FROM h CROSS JOIN range(0, 11) r(k)), w AS (SELECT x, (q - x) / h AS u, exp(-power((q - x) / h, 2) / 2) AS w, y FROM g CROSS JOIN {xs}) SELECT round(x, 6) + 0.0 AS x, round((sum(w * u * u) * sum(w * y) - sum(w * u) * sum(w * u * y)) / (sum(w) * sum(w * u * u) - power(sum(w * u), 2)), 5) + 0.0 AS fitted FROM w GROUP BY x")
+def _(t):
+    return further.kernel_regression(t("xs"), "y", "q").select("x", F.round("fitted", 5).alias("fitted"))
+
+
+@register("lowess")
+def _(t):
+    return further.lowess(t("tsm"), "revenue", "qty")
+
+
+@register("smooth_transition", digits=3)
+def _(t):
+    return further.smooth_transition(t("tsm"), "revenue", "t")
+
+
+@register("local_whittle", digits=3)
+def _(t):
+    return further.local_whittle(t("hours"), "v", "t", by="kind")
+
+
+@register("nowcast", digits=3)
+def _(t):
+    d = t("tsm")
+    last = d.agg(F.max("t")).first()[0]
+    return further.nowcast(d.withColumn("revenue", F.when(F.col("t") < last - 1, F.col("revenue"))), ["revenue", "qty", "disc"], "t", "revenue")
+
+
+@register("identify_external_volatility")
+def _(t):
+    return further.identify_by_volatility(t("tsm").withColumn("regime", (F.col("t") % 24 >= 12).cast("double")), _PAIR, "t", "regime")
+
+
+@register("identify_independent_components", digits=4)
+def _(t):
+    return further.identify_by_independence(t("tsm"), _PAIR, "t")
+
+
+@register("propensity_effect")
+def _(t):
+    return further.propensity_projection(t("bin"), "x", "en", ["y"])
+
+
+@register("forecast_encompassing")
+def _(t):
+    return further.forecast_encompassing(_forecasts(t), "y", "f1", "f12", "t", "unit")

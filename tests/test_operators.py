@@ -40,6 +40,14 @@ def test_gram_is_the_same_both_ways(spark):
         assert n == 50 and np.allclose(g, x.T @ x, rtol=1e-12)
 
 
+def test_large_means_cost_no_digits(spark):
+    x = RNG.normal(size=(200, 2))
+    p = pd.DataFrame({"y": 3 + x @ [1.0, -2.0], "a": x[:, 0] + 1e7, "b": x[:, 1] - 1e7})
+    for weight in (None, "w"):
+        f = regression.ols(spark.createDataFrame(p.assign(w=2.0)), "y", ["a", "b"], "ols", weight=weight)
+        assert np.allclose(f.b[1:], [1, -2], atol=1e-6) and f.rss < 1e-10
+
+
 @pytest.mark.parametrize("cov", ["ols", "hc0", "hc1", "hc2", "hc3", "cluster"])
 def test_ols_covariances(xy, cov):
     y, x = arrays(xy, "y", "x", "w")
