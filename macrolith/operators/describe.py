@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import dist
 from ..functions.columns import normal_cdf, normal_quantile
-from ..plans.ordered import running_sum
+from ..plans.ordered import exact_quantiles, running_sum
+from ..plans.store import stored
 
 
 def rows(spark, records: list[dict], schema: str) -> DataFrame:
@@ -21,14 +22,14 @@ def rows(spark, records: list[dict], schema: str) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """variable, n, mean, sd, min, q25, median, q75, max, skewness, excess kurtosis; finite values only, one pass."""
+    """variable, n, mean, sd, min, q25, median, q75, max, skewness, excess kurtosis; finite values only."""
+    finite = df.select(*[F.when(~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf")), F.col(c).cast("double")).alias(c) for c in columns])
+    q = exact_quantiles(finite, {c: [0.25, 0.5, 0.75] for c in columns})
     parts = []
     for c in columns:
-        x = F.col(c).cast("double")
-        x = F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
-        few = F.count(x) <= 2
-        parts.append(F.struct(F.lit(c).alias("variable"), F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.min(x).alias("min"), F.percentile(x, 0.25).alias("q25"), F.percentile(x, 0.5).alias("median"), F.percentile(x, 0.75).alias("q75"), F.max(x).alias("max"), F.when(few, 0.0).otherwise(F.skewness(x)).alias("skewness"), F.when(few, 0.0).otherwise(F.kurtosis(x)).alias("kurtosis")))
-    return df.agg(F.array(*parts).alias("v")).select(F.inline("v"))
+        x, few = F.col(c), F.count(c) <= 2
+        parts.append(F.struct(F.lit(c).alias("variable"), F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.min(x).alias("min"), *[F.lit(v).cast("double").alias(n) for v, n in zip(q[c], ("q25", "median", "q75"), strict=True)], F.max(x).alias("max"), F.when(few, 0.0).otherwise(F.skewness(x)).alias("skewness"), F.when(few, 0.0).otherwise(F.kurtosis(x)).alias("kurtosis")))
+    return finite.agg(F.array(*parts).alias("v")).select(F.inline("v"))
 
 
 def rank_average(df: DataFrame, column: str, name: str, by: list[str] | None = None) -> DataFrame:
@@ -159,12 +160,14 @@ def equality_tests(df: DataFrame, y: str, group: str) -> DataFrame:
     scale = 1 + (sum(1 / (c.n - 1) for c in cells) - 1 / (n - k)) / (3 * (k - 1))
     stat = ((n - k) * math.log(pooled) - sum((c.n - 1) * math.log(c.v) for c in cells)) / scale
     add("bartlett", stat, k - 1, None, dist.chi2_sf(stat, k - 1))
-    centres = d.groupBy("g").agg(F.avg("y").alias("mean"), F.percentile("y", 0.5).alias("median"))
-    spread = d.join(centres, "g").select("g", F.abs(F.col("y") - F.col("mean")).alias("a"), F.abs(F.col("y") - F.col("median")).alias("b"))
+    # Each group's values in a column of its own, so that all medians come from the same passes.
+    medians = exact_quantiles(d.select("y", *[F.when(F.col("g") == F.lit(c.g), F.col("y")).alias(f"y{i}") for i, c in enumerate(cells)]), {"y": [0.5]} | {f"y{i}": [0.5] for i in range(k)})
+    pick = lambda v: F.create_map(*[F.lit(x) for c, m in zip(cells, v, strict=True) for x in (c.g, float(m))])[F.col("g")]
+    spread = d.select("g", F.abs(F.col("y") - pick([c.m for c in cells])).alias("a"), F.abs(F.col("y") - pick([medians[f"y{i}"][0] for i in range(k)])).alias("b"))
     for test, c in (("levene", "a"), ("brown_forsythe", "b")):
         f, p, q = _one_way(cells_of(spread, c), k, n)
         add(test, f, p, q, dist.f_sf(f, p, q))
-    ranked = rank_average(d, "y", "r")
+    ranked = stored(rank_average(d, "y", "r"))
     by_rank = cells_of(ranked, "r")
     ss = ranked.agg(F.var_samp("r")).first()[0]
     stat = sum(c.n * (c.m - (n + 1) / 2) ** 2 for c in by_rank) / ss
@@ -175,7 +178,7 @@ def equality_tests(df: DataFrame, y: str, group: str) -> DataFrame:
     v = scored.agg(F.sum(F.col("z") * F.col("z"))).first()[0] / (n - 1)
     stat = sum(c.n * c.m**2 for c in z) / v
     add("van_der_waerden", stat, k - 1, None, dist.chi2_sf(stat, k - 1))
-    median = d.agg(F.percentile("y", 0.5)).first()[0]
+    median = medians["y"][0]
     over = {r.g: r.c for r in d.groupBy("g").agg(F.count_if(F.col("y") > median).alias("c")).collect()}
     share = sum(over.values()) / n
     stat = sum((over[c.g] - c.n * share) ** 2 / (c.n * share * (1 - share)) for c in cells)

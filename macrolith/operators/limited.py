@@ -13,6 +13,7 @@ from ..functions.columns import normal_cdf
 from ..functions.linalg import guarded_inverse
 from ..plans.gram import Moments, gram
 from ..plans.likelihood import Maximum, maximise
+from ..plans.ordered import exact_quantiles
 from .describe import rows
 from .regression import Fit, binary, coefficient_table, linear, ols
 
@@ -142,7 +143,7 @@ def robust_regression(df: DataFrame, y: str, x: list[str], psi: str = "huber", s
     k = TUNING[psi]
     for _ in range(steps):
         e = f.residual()
-        s = df.agg(F.percentile(F.abs(e), 0.5)).first()[0] / 0.6744897501960817
+        s = exact_quantiles(df.select(F.abs(e).alias("a")), {"a": [0.5]})["a"][0] / 0.6744897501960817
         u = F.abs(e) / (k * s)
         w = F.when(u <= 1, 1.0).otherwise(1 / u) if psi == "huber" else F.when(u < 1, F.pow(1 - u * u, 2)).otherwise(0.0)
         m = Moments.of(df.select(y, *x, w.alias("_w")), [y, *x], "_w")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import dist
 from ..functions.linalg import lags as lag_matrix
 from ..functions.linalg import ols
+from ..plans.ordered import exact_quantiles
 from .kernels import per_series
 
 
@@ -582,7 +583,8 @@ def estimate_threshold(df: DataFrame, column: str, order: str, p: int = 1, d: in
 
 def kde(df: DataFrame, column: str, points: int = 21, bandwidth: float | None = None) -> DataFrame:
     """x, density: Gaussian kernel at equally spaced points, one aggregate over all rows with a row a point."""
-    n, lo, hi, sd, q = df.agg(F.count(column), F.min(column), F.max(column), F.stddev_samp(column), F.percentile(column, [0.25, 0.75])).first()
+    n, lo, hi, sd = df.agg(F.count(column), F.min(column), F.max(column), F.stddev_samp(column)).first()
+    q = exact_quantiles(df, {column: [0.25, 0.75]})[column]
     h = bandwidth or 0.9 * min(sd, (q[1] - q[0]) / 1.349 or sd) * n**-0.2
     xs = np.linspace(lo, hi, points)
     sums = df.agg(*[F.sum(F.exp(-F.pow((F.col(column) - float(x)) / h, 2) / 2)).alias(f"d{i}") for i, x in enumerate(xs)])

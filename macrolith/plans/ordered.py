@@ -18,7 +18,7 @@ def running_sum(df: DataFrame, order: str, value: str, name: str, parts: int = P
     """
     cuts = df.select(F.percentile_approx(order, [k / parts for k in range(1, parts)], 2000)).first()[0] or []
     cuts = sorted(set(cuts))
-    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(order))) if cuts else F.lit(0)
+    bucket = sum(((F.col(order) > F.lit(c)).cast("int") for c in cuts), F.lit(0))
     d = df.withColumn("_bucket", bucket)
     totals = dict(d.groupBy("_bucket").agg(F.sum(value)).collect())  # one row a bucket
     keys = sorted(totals)
@@ -26,3 +26,62 @@ def running_sum(df: DataFrame, order: str, value: str, name: str, parts: int = P
     shift = F.create_map(*[F.lit(x) for k in keys for x in (k, float(before[k]))]) if keys else F.create_map(F.lit(0), F.lit(0.0))
     w = Window.partitionBy("_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return d.withColumn(name, F.sum(value).over(w) + shift[F.col("_bucket")]).drop("_bucket")
+
+
+#: Values that a quantile's bracket may hold when they are looked at one by one.
+BRACKET = 100_000
+
+
+def exact_quantiles(df: DataFrame, wanted: dict[str, list[float]]) -> dict[str, list[float | None]]:
+    """Quantiles with linear interpolation (type 7) of several columns, without one buffer of all distinct values.
+
+    Approximate quantiles give brackets about the ranks sought, one pass counts
+    what lies below and inside, and the distinct values inside are read with
+    their counts. A bracket that holds too many values is narrowed the same way.
+    """
+    todo = [(c, p) for c, ps in wanted.items() for p in ps]
+    names = list(wanted)
+    eps = 2e-4
+    first = df.agg(*[F.count(c) for c in names], *[F.percentile_approx(F.col(c).cast("double"), [max(0.0, p - eps), min(1.0, p + eps)], 10_000) for c, p in todo]).first()
+    size = dict(zip(names, first[: len(names)], strict=True))
+    bracket = {k: tuple(v) if v else None for k, v in zip(todo, first[len(names) :], strict=True)}
+    found: dict[tuple[str, float], float | None] = {k: None for k in todo if not size[k[0]]}
+    for _ in range(20):
+        open_ = [k for k in todo if k not in found]
+        if not open_:
+            break
+        x = lambda k: F.col(k[0]).cast("double")
+        counts = df.agg(*[F.count_if(x(k) < bracket[k][0]) for k in open_], *[F.count_if(x(k) <= bracket[k][1]) for k in open_]).first()
+        m = len(open_)
+        small = []
+        for i, k in enumerate(open_):
+            below, upto = counts[i], counts[m + i]
+            lo, hi = bracket[k]
+            rank = k[1] * (size[k[0]] - 1)
+            low, high = int(rank), min(int(rank) + 1, size[k[0]] - 1)
+            if low < below or high >= upto:  # the approximation missed; widen to everything on that side
+                bracket[k] = (float("-inf") if low < below else lo, float("inf") if high >= upto else hi)
+            elif lo == hi:
+                found[k] = lo
+            elif upto - below <= BRACKET:
+                small.append((k, below, rank))
+            else:
+                # Narrow by approximate quantiles of the values inside.
+                inside = df.select(x(k).alias("v")).where((F.col("v") >= lo) & (F.col("v") <= hi))
+                part = upto - below
+                q = [max(0.0, (low - below) / part - eps), min(1.0, (high - below) / part + eps)]
+                new = tuple(inside.agg(F.percentile_approx("v", q, 10_000)).first()[0])
+                if new == (lo, hi):
+                    small.append((k, below, rank))
+                bracket[k] = new
+        if small:
+            cells = F.filter(F.array(*[F.struct(F.lit(i).alias("i"), x(k).alias("v"), ((x(k) >= bracket[k][0]) & (x(k) <= bracket[k][1])).alias("ok")) for i, (k, _, _) in enumerate(small)]), lambda s: F.coalesce(s["ok"], F.lit(False)))
+            got = df.select(F.explode(cells).alias("s")).groupBy("s.i", "s.v").count().collect()
+            for i, (k, below, rank) in enumerate(small):
+                values = sorted((r.v, r["count"]) for r in got if r.i == i)
+                ends = list(accumulate((c for _, c in values), initial=below))
+                at = lambda n, values=values, ends=ends: next(v for (v, _), e in zip(values, ends[1:], strict=True) if n < e)
+                low = int(rank)
+                a, b = at(low), at(min(low + 1, size[k[0]] - 1))
+                found[k] = a if a == b else a * (low + 1 - rank) + b * (rank - low)
+    return {c: [found[c, p] for p in ps] for c, ps in wanted.items()}

@@ -100,3 +100,11 @@ def test_beveridge_nelson_of_a_walk_is_the_walk():
 def test_quadratic_spectral_and_bartlett_agree_on_noise():
     x = RNG.normal(size=4000)
     assert abs(series.long_run_covariance(x, 3, "bartlett")[0, 0] - 1) < 0.15 and abs(series.long_run_covariance(x, 3, "quadratic_spectral")[0, 0] - 1) < 0.15
+
+
+def test_vectorised_normal_quantile():
+    from macrolith.functions.columns import norm_ppf_array
+
+    p = np.array([1e-12, 1e-6, 0.01, 0.3, 0.5, 0.7, 0.999, 1 - 1e-9, 0.0, 1.0])
+    z = norm_ppf_array(p)
+    assert np.allclose([dist.norm_cdf(v) for v in z[:8]], p[:8], rtol=1e-9) and np.isnan(z[8:]).all()

@@ -106,6 +106,19 @@ def test_running_sum_and_ranks(spark):
     assert np.allclose(pd.Series(v).rank().to_numpy(), [ranks[k] for k in v])
 
 
+def test_exact_quantiles(spark, monkeypatch):
+    from macrolith.plans import ordered
+
+    p = pd.DataFrame({"a": RNG.normal(size=20_000), "b": RNG.integers(0, 3, 20_000).astype(float), "c": np.where(RNG.uniform(size=20_000) < 0.7, 1.0, RNG.normal(size=20_000))})
+    d = spark.createDataFrame(p).union(spark.createDataFrame([(None, None, None)], "a double, b double, c double"))
+    want = {c: [0.0, 0.1, 0.25, 0.5, 0.501, 0.9, 1.0] for c in "abc"}
+    for most in (100_000, 3):
+        monkeypatch.setattr(ordered, "BRACKET", most)
+        got = ordered.exact_quantiles(d, want)
+        assert all(np.allclose(got[c], np.quantile(p[c], want[c])) for c in want)
+    assert ordered.exact_quantiles(d.where("a is null"), {"a": [0.5]}) == {"a": [None]}
+
+
 def test_kendall_with_ties(spark):
     p = pd.DataFrame({"a": RNG.integers(0, 6, 80), "b": RNG.integers(0, 6, 80)})
     got = describe.kendall(spark.createDataFrame(p), "a", "b").first()
