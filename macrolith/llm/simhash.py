@@ -207,7 +207,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents, in all their columns, one of each component: the row of the smallest doc_id, then of the smallest text hash; of fully equal rows one."""
     found = near_duplicates(docs, doc_id=doc_id, text=text, text_hash=True, **options)
-    stay = found.groupBy("component_id").agg(F.min(F.struct("doc_id", F.coalesce("text_hash", F.lit(0)).alias("h"))).alias("k")).select(F.col("k.doc_id").alias("_keep_id"), F.col("k.h").alias("_keep_hash"))
+    stay = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("text_hash").alias("h"))).alias("k")).select(F.col("k.doc_id").alias("_keep_id"), F.col("k.h").alias("_keep_hash"))
     names = docs.columns
     inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
     i, t = f"c{names.index(doc_id)}", f"c{names.index(text)}"

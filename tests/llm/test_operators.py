@@ -210,6 +210,13 @@ def test_near_duplicates_and_survivors(spark, edge):
     assert simhash.near_duplicates(edge.limit(0)).count() == 0
 
 
+def test_survivors_without_ids_and_with_repeated_ids(spark):
+    docs = docs_of(spark, ["a b c d", "a b c d", "a b c d", "x y z", "x y z", "p q"]).withColumn("doc_id", F.expr("CASE doc_id WHEN 0 THEN NULL WHEN 1 THEN 7 WHEN 2 THEN 7 WHEN 3 THEN NULL WHEN 4 THEN NULL ELSE doc_id END"))
+    assert sorted((r.doc_id or 0, r.text) for r in simhash.one_of_each(docs).collect()) == [(0, "x y z"), (5, "p q"), (7, "a b c d")]
+    other = docs_of(spark, ["a b c d", "e f g h"]).withColumn("doc_id", F.lit(3).cast("long"))
+    assert simhash.one_of_each(other).count() == 2
+
+
 def test_ordinal_regression_orders_grades(spark, edge):
     r = random.Random(2)
     texts, grades = [], []
