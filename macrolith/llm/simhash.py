@@ -192,22 +192,26 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, seed: int = SEED, distance: int = DISTANCE, text_hash: bool = False) -> DataFrame:
-    """Per document row: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable)."""
+    """Per document row: doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable).
+
+    With text_hash also text_hash and root, a fingerprint that names the
+    component even where several components have rows of the same doc_id.
+    """
     shared_root(docs.sparkSession)
     own = stored(fingerprints(docs, doc_id=doc_id, text=text, shingle=shingle, seed=seed, text_hash=text_hash), "fingerprints")
     distinct = stored(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(distinct, distance))
     grouped = distinct.join(roots, F.col("fp") == F.col("vertex"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = stored(grouped.join(least, "root").select("fp", "component_id"), "components")
-    more = ["text_hash"] if text_hash else []
+    found = stored(grouped.join(least, "root").select("fp", "component_id", "root"), "components")
+    more = ["text_hash", "root"] if text_hash else []
     return own.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *more)
 
 
 def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents, in all their columns, one of each component: the row of the smallest doc_id, then of the smallest text hash; of fully equal rows one."""
     found = near_duplicates(docs, doc_id=doc_id, text=text, text_hash=True, **options)
-    stay = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("text_hash").alias("h"))).alias("k")).select(F.col("k.doc_id").alias("_keep_id"), F.col("k.h").alias("_keep_hash"))
+    stay = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("text_hash").alias("h"))).alias("k")).select(F.col("k.doc_id").alias("_keep_id"), F.col("k.h").alias("_keep_hash"))
     names = docs.columns
     inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
     i, t = f"c{names.index(doc_id)}", f"c{names.index(text)}"
