@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from .common import by_batch, only
 
 #: Entries of a worker's two memos.
-MEMO = 150_000
+MEMO = 500_000
 _SHIFT = 20
 
 
