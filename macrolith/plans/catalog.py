@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cleaning, containers, describe, dynamics, forecasting, further, inputoutput, limited, multivariate, panel, regression, series, transforms
+from ..operators import cleaning, containers, describe, dynamics, forecasting, further, inputoutput, limited, multivariate, panel, regression, series, structural, transforms
 from ..streaming import running
 from .base import base, rounded, sql, table
 
@@ -1171,3 +1171,67 @@ def _(t):
 @register("forecast_encompassing")
 def _(t):
     return further.forecast_encompassing(_forecasts(t), "y", "f1", "f12", "t", "unit")
+
+
+# -- structural models ------------------------------------------------------
+
+
+def _growth() -> structural.Model:
+    return structural.Model(["1 / c[t] = beta * alpha * exp(a[t+1]) * k[t]**(alpha - 1) / c[t+1]", "c[t] + k[t] = exp(a[t]) * k[t-1]**alpha", "a[t] = rho * a[t-1] + s * e[t]"], ["c", "k", "a"], ["e"], {"alpha": 0.3, "beta": 0.95, "rho": 0.8, "s": 0.01})
+
+
+_GUESS = {"c": 0.5, "k": 0.2, "a": 0.0}
+_AR = structural.Model(["y[t] = rho * y[t-1] + s * e[t]"], ["y"], ["e"], {"rho": 0.5, "s": 1.0})
+
+
+def _scaled(t):
+    d = t("tsm").crossJoin(F.broadcast(t("tsm").agg(F.avg("revenue").alias("m"), F.stddev_samp("revenue").alias("sd"))))  # one row
+    return d.select("t", ((F.col("revenue") - F.col("m")) / F.col("sd")).alias("y"))
+
+
+@register("structural_solution")
+def _(t):
+    return structural.solution_table(t("tsm").sparkSession, structural.Solution(_growth(), _GUESS))
+
+
+@register("structural_irf", "WITH p AS (SELECT 0.3e0 AS al, 0.8e0 AS rho, 0.01e0 AS s, power(0.285e0, 1 / 0.7e0) AS kbar), r AS (SELECT CAST(h AS INT) AS horizon, s * power(rho, h) AS a, kbar * s * (power(rho, h + 1) - power(al, h + 1)) / (rho - al) AS k FROM p CROSS JOIN range(0, 20) q(h)) SELECT horizon, 'a' AS variable, 'e' AS shock, round(a, 6) + 0.0 AS value FROM r UNION ALL SELECT horizon, 'k', 'e', round(k, 6) + 0.0 FROM r UNION ALL SELECT horizon, 'c', 'e', round(k * 0.715e0 / 0.285e0, 6) + 0.0 FROM r")
+def _(t):
+    return structural.impulse_table(t("tsm").sparkSession, structural.Solution(_growth(), _GUESS))
+
+
+@register("structural_variance_shares")
+def _(t):
+    return structural.variance_shares(t("tsm").sparkSession, structural.Solution(_growth(), _GUESS))
+
+
+@register("structural_simulation")
+def _(t):
+    return structural.simulate(t("tsm").sparkSession, structural.Solution(_growth(), _GUESS), 100, 50, seed=1)
+
+
+@register("structural_likelihoods", "WITH z AS (SELECT t, (revenue - avg(revenue) OVER ()) / stddev_samp(revenue) OVER () AS y FROM {tsm}), l AS (SELECT t, y, lag(y) OVER (ORDER BY t) AS b FROM z), g AS (SELECT k / 10.0e0 AS rho FROM range(0, 10) q(k)) SELECT round(rho, 6) + 0.0 AS rho, round(sum(CASE WHEN b IS NULL THEN -0.5 * (ln(2 * pi() / (1 - rho * rho)) + y * y * (1 - rho * rho)) ELSE -0.5 * (ln(2 * pi()) + power(y - rho * b, 2)) END), 6) + 0.0 AS log_likelihood FROM g CROSS JOIN l GROUP BY rho")
+def _(t):
+    d = _scaled(t)
+    return structural.likelihoods(d, _AR, d.sparkSession.range(10).select((F.col("id") / 10).alias("rho")), ["y"], guess={"y": 0.0})
+
+
+@register("structural_posterior", digits=4)
+def _(t):
+    draws = structural.posterior(_scaled(t), _AR, {"rho": ("beta", 0.5, 0.2), "s": ("gamma", 1.0, 0.5)}, ["y"], draws=300, burn=200, chains=4, guess={"y": 0.0})
+    return structural.posterior_summary(draws, ["rho", "s"])
+
+
+@register("incomplete_markets_wealth", digits=4)
+def _(t):
+    return structural.wealth_table(t("tsm").sparkSession, structural.aiyagari(states=3, points=80, top=60.0, tol=1e-4))
+
+
+@register("incomplete_markets_households", digits=4)
+def _(t):
+    return structural.simulate_panel(t("tsm").sparkSession, structural.aiyagari(states=3, points=80, top=60.0, tol=1e-4), 500, 40)
+
+
+@register("perpetual_youth_transition")
+def _(t):
+    m, at = structural.perpetual_youth()
+    return structural.transition(t("tsm").sparkSession, structural.Solution(m, at), {"k": 0.8 * at["k"]})
