@@ -190,6 +190,62 @@ def simulate(spark: SparkSession, s: Solution, periods: int, replicates: int = 1
     return spark.range(replicates).mapInPandas(go, "replicate long, t int, " + ", ".join(f"`{n}` double" for n in names))
 
 
+# -- occasionally binding bounds ----------------------------------------------
+
+
+def bounded_path(s: Solution, variable: str, lower: float | None, upper: float | None, shocks: dict[str, float], periods: int = 40, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """Levels (a row a period) after shocks in the first period, and when the bound binds.
+
+    The equation ``variable[t] = ...`` gives way to the bound while its right side lies beyond it.
+    Piecewise linear: guesses of the binding periods are checked until one confirms itself; past the last period none binds.
+    """
+    if (lower is None) == (upper is None):
+        raise ValueError("give either a lower or an upper bound")
+    bound, side = (lower, 1.0) if upper is None else (upper, -1.0)
+    m, steady = s.model, s.steady
+    own = [k for k, e in enumerate(m.equations) if e.partition("=")[0].replace(" ", "") == f"{variable}[t]"]
+    if len(own) != 1:
+        raise ValueError(f"there must be one equation that begins with {variable}[t] =")
+    j, i = own[0], m.variables.index(variable)
+    a, b, c, d = linearize(m, steady)
+    a2, b2, c2, d2 = a.copy(), b.copy(), c.copy(), d.copy()
+    a2[j] = c2[j] = d2[j] = 0.0
+    b2[j] = np.eye(len(b))[i]
+    shift = np.zeros(len(b))
+    shift[j] = steady[i] - bound
+    first = d @ np.array([shocks.get(e, 0.0) for e in m.shocks])
+    first2 = d2 @ np.array([shocks.get(e, 0.0) for e in m.shocks])
+    binds = np.zeros(periods, bool)
+    for _ in range(rounds):
+        p, r, rules = s.g, np.zeros(len(b)), []
+        for t in reversed(range(periods)):
+            at, bt, ct, ft, et = (a2, b2, c2, shift, first2) if binds[t] else (a, b, c, 0.0, first)
+            inv = np.linalg.inv(at @ p + bt)
+            p, r = -inv @ ct, -inv @ (at @ r + ft + (et if t == 0 else 0.0))
+            rules.append((p, r))
+        y, path = np.zeros(len(b)), []
+        for p, r in reversed(rules):
+            y = p @ y + r
+            path.append(y)
+        path = np.array(path)
+        lead, lag = np.vstack([path[1:], s.g @ path[-1]]), np.vstack([np.zeros(len(b)), path[:-1]])
+        # What the own equation leaves over: the variable less its right side.
+        over = lead @ a[j] + path @ b[j] + lag @ c[j]
+        over[0] += first[j]
+        new = np.where(binds, side * over > 1e-12, side * (path[:, i] + steady[i] - bound) < -1e-12)
+        if (new == binds).all():
+            return path + steady, binds
+        binds = new
+    raise ValueError("no guess of the binding periods confirmed itself")
+
+
+def bounded_impulses(spark: SparkSession, s: Solution, variable: str, shocks: dict[str, float], periods: int = 40, lower: float | None = None, upper: float | None = None) -> DataFrame:
+    """horizon, variable, bounded, free (levels with and without the bound), binds."""
+    y, binds = bounded_path(s, variable, lower, upper, shocks, periods)
+    free = s.impulse(periods) @ np.array([shocks.get(e, 0.0) for e in s.model.shocks]) + s.steady
+    return rows(spark, [{"horizon": t, "variable": v, "bounded": float(y[t, k]), "free": float(free[t, k]), "binds": bool(binds[t])} for t in range(periods) for k, v in enumerate(s.model.variables)], "horizon int, variable string, bounded double, free double, binds boolean")
+
+
 # -- likelihood and posterior -------------------------------------------------
 
 

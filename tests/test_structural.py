@@ -96,3 +96,16 @@ def test_perpetual_youth(spark):
     assert abs(0.36 * st.perpetual_youth(gamma=1.0)[1]["k"] ** -0.64 - 0.08 - (1 / 0.96 - 1)) < 1e-12
     path = st.transition(spark, s, {"k": 0.8 * at["k"]}, 60).orderBy("t").toPandas().k
     assert path.is_monotonic_increasing and abs(path.iloc[-1] / at["k"] - 1) < 0.05
+
+
+def test_bound_binds_as_long_as_the_rule_lies_beyond_it():
+    m = st.Model(["y[t] = y[t+1] - 0.5 * (i[t] - p[t+1]) + g[t]", "p[t] = 0.95 * p[t+1] + 0.1 * y[t]", "i[t] = 1.5 * p[t] + 0.3 * y[t]", "g[t] = 0.8 * g[t-1] + e[t]"], ["y", "p", "i", "g"], ["e"], {})
+    s = st.Solution(m, dict.fromkeys(m.variables, 0.0))
+    free, none = st.bounded_path(s, "i", -9.0, None, {"e": -1.0}, 40)
+    assert not none.any() and np.allclose(free, s.impulse(40)[:, :, 0] * -1, atol=1e-9)
+    y, binds = st.bounded_path(s, "i", -0.2, None, {"e": -1.0}, 40)
+    rule = 1.5 * y[:, 1] + 0.3 * y[:, 0]
+    assert binds[0] and not binds[-1] and np.allclose(y[:, 2], np.maximum(rule, -0.2), atol=1e-9)
+    assert np.allclose(y[:-1, 0], y[1:, 0] - 0.5 * (y[:-1, 2] - y[1:, 1]) + y[:-1, 3], atol=1e-9) and y[0, 0] < free[0, 0]
+    top, _ = st.bounded_path(s, "i", None, 0.2, {"e": 1.0}, 40)
+    assert np.allclose(top, -y, atol=1e-9)
