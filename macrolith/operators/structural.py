@@ -272,12 +272,50 @@ def log_likelihood(s: Solution, y: np.ndarray, observed: list[str], noise: float
 
 def _sample(df: DataFrame, observed: list[str], time: str) -> np.ndarray:
     """The observed series in order: one number a period and variable, of at most LONGEST periods."""
-    got = df.select(time, *[F.col(f"`{c}`").cast("double").alias(c) for c in observed]).limit(LONGEST + 1).toPandas()
+    got = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in dict.fromkeys([time, *observed])]).limit(LONGEST + 1).toPandas()
     if len(got) > LONGEST:
         raise ValueError(f"the sample has more than {LONGEST} periods; filter it")
     return got.sort_values(time)[observed].to_numpy(float)
 
 
+def smoothed(s: Solution, y: np.ndarray, observed: list[str], noise: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Variables (levels) and shocks by period, given the whole sample y (NaN where missing)."""
+    n, k = s.h.shape
+    g = np.block([[s.g, np.zeros((n, k))], [np.zeros((k, n + k))]])
+    h = np.vstack([s.h, np.eye(k)])
+    z = np.eye(n + k)[[s.model.variables.index(v) for v in observed]]
+    x, p, q = np.zeros(n + k), lyapunov(g, h @ h.T), h @ h.T
+    ahead, spread, xs, ps = [], [], [], []
+    for row in y - s.steady @ z[:, :n].T:
+        ahead.append(x)
+        spread.append(p)
+        seen = np.isfinite(row)
+        if seen.any():
+            zk = z[seen]
+            gain = p @ zk.T @ np.linalg.pinv(zk @ p @ zk.T + noise * np.eye(seen.sum()))
+            x, p = x + gain @ (row[seen] - zk @ x), p - gain @ zk @ p
+        xs.append(x)
+        ps.append(p)
+        x, p = g @ x, g @ p @ g.T + q
+    out = np.array(xs)
+    for t in reversed(range(len(out) - 1)):
+        # Singular forecasts are the rule here: there are fewer shocks than states.
+        out[t] = xs[t] + ps[t] @ g.T @ np.linalg.pinv(spread[t + 1], rcond=1e-11, hermitian=True) @ (out[t + 1] - ahead[t + 1])
+    return out[:, :n] + s.steady, out[:, n:]
+
+
+def shock_contributions(df: DataFrame, s: Solution, observed: list[str], time: str = "t", noise: float = 0.0) -> DataFrame:
+    """t, variable, shock, value: what each smoothed shock, and the state before the sample (shock "initial"), adds to the deviation from the steady state."""
+    y = _sample(df, [time, *observed], time)
+    levels, e = smoothed(s, y[:, 1:], observed, noise)
+    parts, out = np.zeros((len(s.g), len(s.model.shocks))), []
+    for t in range(len(y)):
+        parts = s.g @ parts + s.h * e[t]
+        rest = levels[t] - s.steady - parts.sum(1)
+        out += [{"t": int(y[t, 0]), "variable": v, "shock": name, "value": float(x)} for i, v in enumerate(s.model.variables) for name, x in [*zip(s.model.shocks, parts[i], strict=True), ("initial", rest[i])]]
+    return rows(df.sparkSession, out, "t long, variable string, shock string, value double")
+
+
 def _value(model: Model, y: np.ndarray, observed: list[str], noise: float, guess: dict | None) -> float:
     """The log-likelihood, minus infinity where the model has no unique stable solution."""
     try:

@@ -1243,3 +1243,9 @@ _FLOOR = structural.Model(["y[t] = 0.8 * y[t-1] + e[t]", "i[t] = 1.5 * y[t]", "c
 @register("bounded_rate_impulses", "WITH p AS (SELECT CAST(h AS INT) AS h, -power(0.8e0, h) AS y, greatest(-0.5e0, -1.5e0 * power(0.8e0, h)) AS i, -1.5e0 * power(0.8e0, h) AS f FROM range(0, 400) q(h)), c AS (SELECT a.h, -sum(power(0.9e0, b.h - a.h) * b.i) AS c, -sum(power(0.9e0, b.h - a.h) * b.f) AS f FROM p a JOIN p b ON b.h >= a.h WHERE a.h < 30 GROUP BY a.h), l AS (SELECT h, 'y' AS variable, y AS bounded, y AS free FROM p UNION ALL SELECT h, 'i', i, f FROM p UNION ALL SELECT h, 'c', c, f FROM c) SELECT h AS horizon, variable, round(bounded, 6) + 0.0 AS bounded, round(free, 6) + 0.0 AS free, -1.5e0 * power(0.8e0, h) < -0.5e0 AS binds FROM l WHERE h < 30")
 def _(t):
     return structural.bounded_impulses(t("tsm").sparkSession, structural.Solution(_FLOOR, {"y": 0.0, "i": 0.0, "c": 0.0}), "i", {"e": -1.0}, 30, lower=-0.5)
+
+
+@register("structural_shock_contributions")
+def _(t):
+    m = structural.Model(["y[t] = 0.6 * y[t-1] + u[t] + e[t]", "u[t] = 0.9 * u[t-1] + 0.3 * v[t]"], ["y", "u"], ["e", "v"], {})
+    return structural.shock_contributions(_scaled(t), structural.Solution(m, {"y": 0.0, "u": 0.0}), ["y"])

@@ -109,3 +109,22 @@ def test_bound_binds_as_long_as_the_rule_lies_beyond_it():
     assert np.allclose(y[:-1, 0], y[1:, 0] - 0.5 * (y[:-1, 2] - y[1:, 1]) + y[:-1, 3], atol=1e-9) and y[0, 0] < free[0, 0]
     top, _ = st.bounded_path(s, "i", None, 0.2, {"e": 1.0}, 40)
     assert np.allclose(top, -y, atol=1e-9)
+
+
+def test_smoother_against_one_large_regression(spark):
+    m = st.Model(["y[t] = 0.6 * y[t-1] + u[t] + e[t]", "u[t] = 0.9 * u[t-1] + 0.3 * v[t]"], ["y", "u"], ["e", "v"], {})
+    s = st.Solution(m, {"y": 0, "u": 0})
+    y = np.random.default_rng(5).normal(size=(12, 1))
+    y[4] = np.nan
+    levels, e = st.smoothed(s, y, ["y"], 0.1)
+    # Joint covariance of all states, then the conditional mean.
+    v, n = s.covariance(), len(y)
+    power = [np.linalg.matrix_power(s.g, k) for k in range(n)]
+    joint = np.block([[power[a - b] @ v if a >= b else v @ power[b - a].T for b in range(n)] for a in range(n)])
+    seen = [2 * t for t in range(n) if t != 4]
+    want = joint[:, seen] @ np.linalg.solve(joint[np.ix_(seen, seen)] + 0.1 * np.eye(n - 1), y[np.isfinite(y)])
+    assert np.allclose(levels.ravel(), want, atol=1e-8)
+    assert np.allclose(levels[1:], levels[:-1] @ s.g.T + e[1:] @ s.h.T, atol=1e-7)
+    df = spark.createDataFrame([(t, None if t == 4 else float(y[t, 0])) for t in range(n)], "t int, y double")
+    got = st.shock_contributions(df, s, ["y"], noise=0.1).groupBy("t", "variable").sum("value").toPandas().pivot(index="t", columns="variable", values="sum(value)")
+    assert np.allclose(got[["y", "u"]], levels, atol=1e-9)
