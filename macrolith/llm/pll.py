@@ -5,16 +5,21 @@ one table of rows a position, summed and rectified, then a softmax over token
 classes and one over the tokens of the class. The score of a document is the
 sum of log P(token | both sides) over all its tokens.
 
-Tokens are lower-cased words. The vocabulary holds the most frequent words of
-the whole corpus, counted exactly, words beyond it share ``BUCKETS`` hashed
-entries. Training is data-parallel and sees every token of every document: in
+Tokens are lower-cased words. All words of the corpus are counted exactly. The
+most frequent ones are entries of the network; words beyond them share
+``BUCKETS`` hashed entries, and P(word) there is P(entry | both sides) times
+the word's share of its entry's count. The table of those words is as long as
+the corpus has words, stays in the shared folder, and is joined with the words
+of the documents. Training is data-parallel and sees every token of every document: in
 each round the tasks run minibatch descent over their rows from the shared
 weights and hand back their weights with their token counts, and the weighted
 mean starts the next round. What is gathered is thus the counts of all words
 and one set of weights a task, which grow with the corpus. Weights come back as
 rows of an aggregate over slices, so that the driver only sees their sums.
 
-Edge cases: a null or empty text has no tokens and scores 0 with perplexity
+Edge cases: each hashed entry holds one more count for all words that the
+scorer never saw, spelled out byte by byte, so that they score below any word
+seen; a null or empty text has no tokens and scores 0 with perplexity
 null; sides beyond a document's ends are a boundary token; repeated rows get
 equal scores; without any token the network stays as it starts.
 """
@@ -37,6 +42,10 @@ BUCKETS = 64
 ROUNDS, RATE, STEP = 1, 2.0, 4096
 #: Words that a task's partial counts hold before they are handed on.
 COUNTED = 100_000
+#: The most frequent words whose counts the workers hold, at most; all others' counts are joined, with the same result.
+KNOWN = 200_000
+#: A byte of an unseen word: one of the 164 that words are made of, and whether it is the last.
+SPELL = -float(np.log(2 * 164))
 
 
 class Network:
@@ -113,25 +122,53 @@ def _sum_rows(table: np.ndarray, rows: np.ndarray, grad: np.ndarray, rate: np.fl
     table[r[first]] -= rate * np.add.reduceat(grad[order], first, axis=0)
 
 
-class Scorer:
-    """Vocabulary and network; picklable."""
+def bucket(word: bytes) -> int:
+    return (len(word) * 131 + word[0] * 31 + word[-1]) % BUCKETS
 
-    def __init__(self, words: list[bytes], net: Network):
-        self.ids, self.net = {w: k for k, w in enumerate(words)}, net
 
-    def encode(self, text: str | None) -> np.ndarray:
-        """Ids with boundary tokens at both ends."""
+class Scorer:
+    """Vocabulary and network; picklable without the table of counts (word, n), which only the driver needs."""
+
+    def __init__(self, words: list[bytes], net: Network, counts: DataFrame | None = None, known: int = KNOWN):
+        self.net, self.counts, base = net, counts, net.size - BUCKETS
+        self.ids = {w: k for k, w in enumerate(words)}
+        self.known, entry, own = dict(self.ids), list(range(len(words))), [0.0] * len(words)
+        #: log of each hashed entry's count, with the one for words never seen.
+        self.held = np.zeros(BUCKETS)
+        if counts is not None:
+            self.held = np.log(1.0 + _held(counts, self.ids))
+            for w, n in _frequent(counts, known):
+                if w not in self.known:
+                    self.known[w] = len(entry)
+                    entry.append(base + bucket(w))
+                    own.append(float(np.log(n) - self.held[bucket(w)]))
+        #: By number of a word in known: its entry, and log P(word | entry). The last is for words that are not in it.
+        self.entry, self.own = np.array([*entry, 0], np.int64), np.array([*own, 0.0])
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"counts": None}
+
+    def entries(self, words: list[bytes]) -> np.ndarray:
         ids, base = self.ids, self.net.size - BUCKETS
-        got = [ids[w] if w in ids else base + (len(w) * 131 + w[0] * 31 + w[-1]) % BUCKETS for w in words_of(text)]
-        edge = [self.net.size] * self.net.side
-        return np.array(edge + got + edge, np.int64)
-
-    def stream(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """rows, targets, and how many targets each text has."""
-        enc = [self.encode(t) for t in texts]
-        s = self.net.side
-        count = np.array([len(e) - 2 * s for e in enc])
-        return np.concatenate([self.net.rows(e) for e in enc]), np.concatenate([e[s : len(e) - s] for e in enc]), count
+        # bucket() inline, for speed.
+        return np.array([ids[w] if w in ids else base + (len(w) * 131 + w[0] * 31 + w[-1]) % BUCKETS for w in words], np.int64)
+
+    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Entries; log P(word | entry), without the count of words that are not in known; where those are."""
+        get, base = self.known.get, self.net.size - BUCKETS
+        number = np.array([get(w, -1) for w in words], np.int64)
+        entry, own, beyond = self.entry[number], self.own[number], np.flatnonzero(number < 0)
+        entry[beyond] = [base + bucket(words[k]) for k in beyond.tolist()]
+        own[beyond] = -self.held[entry[beyond] - base]
+        return entry, own, beyond
+
+    def sides(self, entries: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Rows of the table for the sides of each token, of texts of so many tokens one after another."""
+        s, v = self.net.side, self.net.size + 1
+        at = np.arange(len(entries)) + s * (1 + np.repeat(np.arange(len(count)), count))
+        flat = np.full(len(entries) + s * (len(count) + 1), self.net.size, np.int64)
+        flat[at] = entries
+        return np.stack([flat[at + d] + v * j for j, d in enumerate([*range(-s, 0), *range(1, s + 1)])], axis=1)
 
     def logps(self, rows: np.ndarray, target: np.ndarray) -> np.ndarray:
         w = self.net.parts(self.net.flat)
@@ -143,8 +180,8 @@ def _pieces(texts: list[str | None], most: int = 64) -> Iterator[list[str | None
         yield texts[a : a + most]
 
 
-def vocabulary(docs: DataFrame, size: int, text: str = "text") -> list[bytes]:
-    """The most frequent words of all documents; ties by the word."""
+def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """word, n: how often each word is in all documents."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[bytes] = Counter()
@@ -161,14 +198,52 @@ def vocabulary(docs: DataFrame, size: int, text: str = "text") -> list[bytes]:
                     yield out()
         yield out()
 
-    counts = by_batch(only(docs, text), go, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return by_batch(only(docs, text), go, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _first(counts: DataFrame, size: int) -> list[bytes]:
     return [bytes(r.word) for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]
 
 
+def vocabulary(docs: DataFrame, size: int, text: str = "text") -> list[bytes]:
+    """The most frequent words of all documents; ties by the word."""
+    return _first(word_counts(docs, text), size)
+
+
+def _frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """Words and counts above the least power of 2 ** 0.25 that at most so many words reach."""
+    level = F.floor(F.log2(F.col("n").cast("double")) * 4)
+    cut, seen = None, 0
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r.level):
+        seen += r.words
+        if seen > most:
+            break
+        cut = r.level
+    return [] if cut is None else [(bytes(r.word), r.n) for r in counts.where(level >= cut).collect()]
+
+
+def _held(counts: DataFrame, ids: dict[bytes, int]) -> np.ndarray:
+    """The count of each hashed entry."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [0] * BUCKETS
+        for b in batches:
+            for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if w not in ids:
+                    total[bucket(w)] += n
+        yield pa.RecordBatch.from_arrays([pa.array(range(BUCKETS), pa.int32()), pa.array(total, pa.int64())], ["entry", "n"])
+
+    out = np.zeros(BUCKETS)
+    for r in by_batch(only(counts, "word", "n"), go, "entry int, n long").groupBy("entry").agg(F.sum("n").alias("n")).collect():
+        out[r.entry] = r.n
+    return out
+
+
 def train(docs: DataFrame, *, text: str = "text", hidden: int = HIDDEN, classes: int = CLASSES, rounds: int = ROUNDS, rate: float = RATE) -> Scorer:
     spark = docs.sparkSession
     net = Network(hidden, classes)
-    scorer = Scorer(vocabulary(docs, net.size - BUCKETS, text), net)
+    counts = stored(word_counts(docs, text), "words")
+    scorer = Scorer(_first(counts, net.size - BUCKETS), net, counts)
     slices = np.array_split(np.arange(len(net.flat)), 16)
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(scorer)
@@ -178,7 +253,9 @@ def train(docs: DataFrame, *, text: str = "text", hidden: int = HIDDEN, classes:
             flat, seen = s.net.flat.copy(), 0
             for b in batches:
                 for part in _pieces(b.column(0).to_pylist()):
-                    rows, target, _ = s.stream(part)
+                    texts = [words_of(t) for t in part]
+                    target = s.entries([w for x in texts for w in x])
+                    rows = s.sides(target, np.array([len(x) for x in texts], np.int64))
                     for a in range(0, len(target), STEP):
                         t = target[a : a + STEP]
                         s.net.step(flat, rows[a : a + STEP], t, rate * len(t) / STEP)
@@ -207,22 +284,40 @@ def train(docs: DataFrame, *, text: str = "text", hidden: int = HIDDEN, classes:
 
 def score(docs: DataFrame, scorer: Scorer | None = None, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document row: doc_id, n_tokens, pll (sum of log probabilities), perplexity (exp of minus their mean)."""
-    shared = docs.sparkSession.sparkContext.broadcast(scorer or train(docs, text=text))
-    rows = only(docs, doc_id, text).toDF("doc_id", "text")
+    scorer = scorer or train(docs, text=text)
+    shared = docs.sparkSession.sparkContext.broadcast(scorer)
+    rows = only(docs, doc_id, text).toDF("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A row for each document, and one for each of its words that are not in known. The former have a key that is no word and differs from row to row, so the join spreads them.
         s = shared.value
         for b in batches:
-            n_out, p_out = [], []
+            at = 0
             for part in _pieces(b.column(1).to_pylist()):
-                r, t, count = s.stream(part)
+                texts = [words_of(t) for t in part]
+                words, count = [w for x in texts for w in x], np.array([len(x) for x in texts], np.int64)
+                t, own, beyond = s.look_up(words)
+                logp = s.logps(s.sides(t, count), t) + own
                 ends = np.cumsum(count)
-                total = np.concatenate(([0.0], np.cumsum(s.logps(r, t), dtype=np.float64)))
-                p_out += (total[ends] - total[ends - count]).tolist()
-                n_out += count.tolist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_out, pa.int64()), pa.array(p_out, pa.float64())], ["doc_id", "n_tokens", "pll"])
-
-    scored = by_batch(rows, go, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, pll double")
+                total = np.concatenate(([0.0], np.cumsum(logp)))
+                number = b.column(2).slice(at, len(part)).to_pylist()
+                pairs = Counter(zip(np.repeat(number, count)[beyond].tolist(), [words[k] for k in beyond.tolist()], strict=True))
+                word = [b"\0%d" % n for n in number] + [w for _, w in pairs]
+                times = [0] * len(part) + list(pairs.values())
+                of = number + [n for n, _ in pairs]
+                more = len(word) - len(part)
+                first = b.column(0).slice(at, len(part))
+                cols = [pa.array(of, pa.int64()), pa.concat_arrays([first, pa.nulls(more, first.type)]), pa.array(count.tolist() + [0] * more, pa.int64()), pa.array((total[ends] - total[ends - count]).tolist() + [0.0] * more, pa.float64()), pa.array(word, pa.binary()), pa.array(times, pa.int32())]
+                yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "n_tokens", "pll", "word", "times"])
+                at += len(part)
+
+    parts = by_batch(rows.select("doc_id", "text", "row"), go, f"row long, doc_id {kind}, n_tokens long, pll double, word binary, times int")
+    if scorer.counts is not None:
+        parts = parts.join(only(scorer.counts, "word", "n"), "word", "left")
+        own = F.coalesce(F.log(F.col("n").cast("double")), F.octet_length("word") * F.lit(SPELL))
+        parts = parts.withColumn("pll", F.when(F.col("times") > 0, F.col("times") * own).otherwise(F.col("pll")))
+    scored = parts.groupBy("row").agg(F.first("doc_id", True).alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum("pll").alias("pll")).drop("row")
     # Equal texts sit in different blocks, so the last bits are rounded off.
     scored = scored.withColumn("pll", F.round("pll", 3))
     return scored.withColumn("perplexity", F.when(F.col("n_tokens") > 0, F.round(F.exp(-F.col("pll") / F.col("n_tokens")), 6)))

@@ -312,6 +312,28 @@ def test_vocabulary_counts_everything(spark):
     assert pll.vocabulary(docs, 2) == [b"a", b"b"]
 
 
+def test_rare_words_score_by_their_own_counts(spark):
+    # qaaz and qbbz share a hashed entry, as their length, first and last byte are equal.
+    docs = docs_of(spark, [" ".join(f"f{k}x" for k in range(1000))] * 6 + ["qaaz"] * 4 + ["qbbz", None])
+    m = pll.train(docs)
+    first = list(m.ids)
+    got = {r.doc_id: r for r in pll.score(docs, m).collect()}
+    # Counts that are joined give what counts that workers hold give.
+    assert len(m.known) == 1002
+    joined = pll.Scorer(first, m.net, m.counts, known=0)
+    assert len(joined.known) == 960
+    for r in pll.score(docs, joined).collect():
+        assert abs(r.pll - got[r.doc_id].pll) < 0.002 and r.n_tokens == got[r.doc_id].n_tokens
+    assert abs(got[6].pll - got[10].pll - np.log(4)) < 0.002 and got[11].pll == 0
+    unseen = {r.doc_id: r for r in pll.score(docs_of(spark, ["qccz", "qbbz"]), m).collect()}
+    assert unseen[1].pll == got[10].pll and abs(unseen[0].pll - unseen[1].pll - 4 * pll.SPELL) < 0.002
+    # The shares of an entry's words and of those never seen add up to one.
+    slot = pll.bucket(b"qaaz")
+    n = {bytes(r.word): r.n for r in m.counts.collect()}
+    rare = sum(v for w, v in n.items() if w not in first and pll.bucket(w) == slot)
+    assert len(n) == 1002 and abs(np.exp(m.held[slot]) - rare - 1) < 1e-6
+
+
 def test_edits_against_plain_dynamic_program():
     r = random.Random(4)
     for _ in range(100):
