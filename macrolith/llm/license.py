@@ -3,9 +3,15 @@
 Candidate blocks are windows of ``AROUND`` characters about the words that
 license notices share. Each block is compressed alone and with every template
 as a zstandard raw-content dictionary; templates are ranked by how many bytes
-they save. Winners are confirmed in rank order by the exact wording: the least
-number of word edits that turn the template into some stretch of the block must
-not be over ``EDITS`` of its words. Every window of a text is scanned.
+they save. Winners are confirmed by the exact wording: the word edits that turn
+the template into a stretch of the block must not be over ``EDITS`` of its
+words, and none may touch a word of ``DECIDING``, those that tell licenses
+apart (families, versions, clauses), in the template or in the text. Of
+confirmed stretches that overlap only the one with the least edits counts, the
+longer one among equals. Every window of a text is scanned.
+
+Versions are one word, without a final .0 (2.0 is 2, GPLv3 is gpl 3). The
+names of an SPDX expression are a word each, and each follows the tag anew.
 
 Edge cases: null and empty texts have no block; a notice twice in a text counts
 once in licenses and twice in n_confirmed; ties of saved bytes go to the name.
@@ -23,7 +29,7 @@ from pyspark.sql import DataFrame
 
 from .common import by_batch, only
 
-CUES = ("licen", "copyright", "permission is hereby", "redistribut", "spdx", "warrant", "public domain")
+CUES = ("licen", "copyright", "permission is hereby", "redistribut", "spdx", "warrant", "public domain", "creative commons", "cc0")
 AROUND, EDITS, LEVEL = 400, 0.15, 3
 
 #: Short public notices by which licenses are named or granted.
@@ -41,13 +47,70 @@ TEMPLATES = {
     "MIT-grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "AGPL-3.0-header": "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "Artistic-2.0": "Licensed under the Artistic License 2.0.",
+    "BSD-2-Clause": "Licensed under the BSD 2-Clause License.",
+    "BSD-3-Clause": "Licensed under the BSD 3-Clause License.",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
+    "CC0-1.0": "This work is licensed under CC0 1.0.",
+    "CC0-1.0-long": "This work is dedicated to the public domain under Creative Commons Zero 1.0 Universal.",
+    "EPL-1.0": "Licensed under the Eclipse Public License 1.0.",
+    "EPL-2.0": "Licensed under the Eclipse Public License 2.0.",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-2.0-header": "it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "ISC-name": "Released under the ISC License.",
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-2.1-header": "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "LGPL-3.0-header": "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "MPL-2.0-name": "Licensed under the Mozilla Public License, Version 2.0.",
+    "MPL-2.0-short": "Licensed under the Mozilla License, Version 2.0.",
 }
 
-_WORD = re.compile(r"\w+")
+_CLAUSES = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC": "Attribution-NonCommercial", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+for _k, _long in _CLAUSES.items():
+    for _v, _kind in (("4.0", "International"), ("3.0", "Unported")):
+        for _name, _text in ((f"CC-{_k}-{_v}-long", f"This work is licensed under a Creative Commons {_long} {_v} {_kind} License."), (f"CC-{_k}-{_v}-short", f"Licensed under CC {_k} {_v}.")):
+            if _text not in TEMPLATES.values():
+                TEMPLATES[_name if _name.rsplit("-", 1)[0] in TEMPLATES else _name.rsplit("-", 1)[0]] = _text
+
+#: Names of the SPDX list that a tag may give.
+SPDX = """0BSD AFL-3.0 AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSD-4-Clause BSL-1.0 CC0-1.0
+CC-BY-3.0 CC-BY-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CC-BY-ND-4.0 CC-BY-NC-4.0 CC-BY-NC-SA-4.0 CC-BY-NC-ND-4.0 CDDL-1.0 EPL-1.0 EPL-2.0 EUPL-1.2
+GPL-2.0 GPL-2.0+ GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0+ GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.0-only LGPL-2.0-or-later LGPL-2.1 LGPL-2.1-only
+LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later MIT MIT-0 MPL-1.1 MPL-2.0 MS-PL NCSA OFL-1.1 PSF-2.0 Python-2.0 Unlicense WTFPL Zlib""".split()
+TEMPLATES |= {f"{k}-spdx": f"SPDX-License-Identifier: {k}" for k in SPDX}
+
+#: Words that tell licenses apart, besides versions and the names of SPDX tags.
+DECIDING = frozenset("apache mit bsd isc mozilla mpl gnu gpl lgpl agpl general lesser library affero creative commons cc cc0 zero attribution sharealike noncommercial noderivatives noderivs by nc sa nd share alike non commercial derivatives artistic boost eclipse epl unlicense clause only".split())
+
+_TAG = re.compile(r"spdx-license-identifier:[ \t]*([(]*[\w.+-]+[)]*(?:[ \t]+(?:or|and|with)[ \t]+[(]*[\w.+-]+[)]*)*)")
+_NAME = re.compile(r"[\w+-]+(?:\.[\w+-]+)*")
+_WORD = re.compile(r"\d+(?:\.\d+)*(?![^\W\d_])|[^\W_]+")
+_VERSION = re.compile(r"\d+(?:\.\d+)*")
+_GLUED = re.compile(r"(v|l?gpl|agpl|mpl|epl)v?(\d)(?![^\W\d_])")
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Lower-cased words; versions without a final .0; names of an SPDX tag start with =."""
+    low, out, at = text.lower(), [], 0
+    for m in _TAG.finditer(low):
+        out += _plain(low[at : m.start()])
+        for name in _NAME.findall(m[1]):
+            if name not in ("or", "and", "with"):
+                out += ["spdx", "license", "identifier", "=" + name]
+        at = m.end()
+    return out + _plain(low[at:])
+
+
+def _plain(low: str) -> list[str]:
+    out = _WORD.findall(_GLUED.sub(r"\1 \2", low))
+    return [re.sub(r"(\.0+)+$", "", w) if w[0].isdigit() else w for w in out]
+
+
+def decides(word: str) -> bool:
+    return word in DECIDING or word[0] == "=" or _VERSION.fullmatch(word) is not None
 
 
 def edits(template: list[str], block: list[str]) -> int:
@@ -66,6 +129,26 @@ def edits(template: list[str], block: list[str]) -> int:
     return int(row.min())
 
 
+def stretches(template: list[str], block: list[str], most: int) -> list[tuple[int, int, int]]:
+    """Edits, start and end (words of the block) of the best stretch for each end that takes at most so many edits, none of a deciding word."""
+    never = 1 << 20
+    cost_b = [never if decides(w) else 1 for w in block]
+    # (edits, start) by number of words of the block; a stretch starts anywhere.
+    row = [(0, j) for j in range(len(block) + 1)]
+    for w in template:
+        gone = never if decides(w) else 1
+        new = [(row[0][0] + gone, 0)]
+        for j, b in enumerate(block):
+            d, s = row[j]
+            if b != w:
+                d += max(gone, cost_b[j])
+            up, left = row[j + 1], new[j]
+            new.append(min((d, -s), (up[0] + gone, -up[1]), (left[0] + cost_b[j], -left[1])))
+            new[-1] = (new[-1][0], -new[-1][1])
+        row = new
+    return [(d, s, j) for j, (d, s) in enumerate(row) if d <= most and s < j]
+
+
 def blocks(text: str | None, around: int = AROUND) -> list[str]:
     """Windows about the cues; those that overlap are one, up to eight windows long."""
     if not text:
@@ -92,6 +175,7 @@ class Scanner:
     def __init__(self, templates: dict[str, str] | None = None, edit_share: float = EDITS, level: int = LEVEL):
         self.templates = dict(sorted((templates or TEMPLATES).items()))
         self.words = {k: words(t) for k, t in self.templates.items()}
+        self.deciding = {k: {w for w in t if decides(w)} for k, t in self.words.items()}
         self.share = edit_share
         self.plain = zstandard.ZstdCompressor(level=level)
         self.packers = {k: zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, t in self.templates.items()}
@@ -107,11 +191,21 @@ class Scanner:
         found, bs = [], blocks(text)
         for b in bs:
             own = words(b)
+            had, near = set(own), []
             for saved, k in self.rank(b):
                 if saved <= 0:
                     break
-                if (d := edits(self.words[k], own)) <= int(self.share * len(self.words[k])):
-                    found.append((k, saved, d))
+                if not self.deciding[k] <= had:
+                    continue
+                most = int(self.share * len(self.words[k]))
+                # The bound on edits with all words alike is quick; the exact one with deciding words comes after it.
+                if edits(self.words[k], own) <= most:
+                    near += [(d, lo - hi, -saved, k, lo, hi) for d, lo, hi in stretches(self.words[k], own, most)]
+            taken: list[tuple[int, int]] = []
+            for d, _, saved, k, lo, hi in sorted(near):
+                if all(hi <= x or y <= lo for x, y in taken):
+                    taken.append((lo, hi))
+                    found.append((k, -saved, d))
         return len(bs), found
 
 

@@ -354,6 +354,29 @@ def test_license_scan(spark, edge):
     assert len(license.scan(edge).collect()) == 12 and license.scan(edge.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Licensed under CC BY-SA 4.0.", ["CC-BY-SA-4.0-short"]),
+        ("Licensed under CC BY 4.0.", ["CC-BY-4.0-short"]),
+        ("Licensed under CC BY-NC-SA 4.0.", ["CC-BY-NC-SA-4.0-short"]),
+        ("Licensed under CC BY-NC 2.5.", []),
+        ("This work is licensed under the GNU General Public License, version 2.", ["GPL-2.0"]),
+        ("This work is licensed under the GNU General Public License, version 1.", []),
+        ("This work is licensed under the GNU Lesser General Public License, version 2.1.", ["LGPL-2.1"]),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", ["CC-BY-NC-4.0-long"]),
+        ("Licensed under the Mozilla License, Version 2.0.", ["MPL-2.0-short"]),
+        ("Licensed under the Foo License, Version 2.0.", []),
+        ("This work is licensed under the GNU General Public Licence, version 3.0.", ["GPL-3.0"]),
+        ("SPDX-License-Identifier: MIT-0", ["MIT-0-spdx"]),
+        ("SPDX-License-Identifier: (GPL-2.0-only OR Apache-2.0)", ["Apache-2.0-spdx", "GPL-2.0-only-spdx"]),
+        ("Released under the MIT License. " * 2, ["MIT", "MIT"]),
+    ],
+)
+def test_licenses_differ_by_their_deciding_words(text, want):
+    assert sorted(f[0] for f in license.Scanner().scan(f"some words\nx {text} and more words\n")[1]) == want
+
+
 def test_leaf_blocks():
     text = lambda p: [b.text for b in html_main.leaf_blocks(p)]
     assert text("<body><p>a <b>b</b><br>c<p>d &amp; &lt;e&gt;</p>f<!-- x <p> --><script>var t='</p>';</script>g") == ["a b c", "d & <e>", "fg"]
