@@ -259,6 +259,20 @@ def test_language_on_held_out_documents(spark, edge):
     assert langid.with_language(edge, m).columns == edge.columns
 
 
+def test_short_clean_texts_keep_their_language(spark):
+    docs = spark.read.parquet(f"{SMALL}/../sf0.01/documents.parquet")
+    m = langid.train(docs)
+    texts = [" ".join(r.text.split()[:3]) for r in docs.where("lang is not null").orderBy("doc_id").limit(300).collect()]
+    found = [m.predict(t) for t in texts]
+    # Whole bytes tie for many of them.
+    tied = sum(len({*sorted(m.sizes(t.lower().encode()))[:2]}) == 1 for t in texts)
+    assert tied > 10 and sum(k != "und" and x < langid.MARGIN for k, x in found) <= 2
+    assert langid.with_language(docs_of(spark, texts), m).count() >= len(texts) - 4
+    # Probabilities of all bytes in a place add up to one.
+    c = langid.Contexts(b"the cat and the hat\n" * 3)
+    assert abs(sum(2 ** (c.bits(b"the") - c.bits(b"the" + bytes([k]))) for k in range(256)) - 1) < 1e-9
+
+
 def test_media_round_trip(spark, edge):
     rows = media.media_features(edge).collect()
     assert len(rows) == 12
