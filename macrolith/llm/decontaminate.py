@@ -13,7 +13,8 @@ has at most ``BLOCK_WORDS`` words; a larger benchmark is cut into such blocks
 matched one after another, the hits being carried along with the rows.
 
 Edge cases: a null or empty text has no words and comes out with zeros and
-contaminated = false; null or empty items have no window; repeated rows are
+contaminated = false; null or empty items have no window; items without an id
+count as one item in n_items and are not in items or their digest; repeated rows are
 judged each for itself; an empty benchmark hits nothing.
 """
 
@@ -215,7 +216,7 @@ class Automaton:
 
 def _blocks(items: DataFrame, item_id: str, text: str, window: int, block_words: int) -> Iterator[Automaton]:
     """Automata of at most block_words words each, one at a time. An item beyond that is cut with an overlap."""
-    pairs = items.select(F.col(f"`{item_id}`").cast("string").alias("i"), F.col(f"`{text}`").alias("t")).where("t is not null and i is not null")
+    pairs = items.select(F.col(f"`{item_id}`").cast("string").alias("i"), F.col(f"`{text}`").alias("t")).where("t is not null")
     block: list[tuple[str, list[bytes]]] = []
     held = 0
     # Bytes bound words; only a benchmark that fits one block is collected at once.
@@ -234,8 +235,13 @@ def _blocks(items: DataFrame, item_id: str, text: str, window: int, block_words:
         yield Automaton(block, window)
 
 
-def _digest(found: set[str]) -> str:
-    return hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+def _in_order(found: set[str | None]) -> list[str | None]:
+    """Sorted, null last."""
+    return sorted(found - {None}) + [None] * (None in found)
+
+
+def _digest(found: set[str | None]) -> str:
+    return hashlib.sha256(",".join(sorted(found - {None})).encode()).hexdigest()
 
 
 _CARRIED = "_spans array<int>, _items array<string>"
@@ -276,7 +282,7 @@ def _carry(shared, carried: bool):
                 s, f = a.matches(words_of(text))
                 s = _union(s, old)
                 spans.append([x for p in s for x in p])
-                items.append(sorted(known | {a.ids[k] for k in f}))
+                items.append(_in_order(known | {a.ids[k] for k in f}))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], ["doc_id", "text", "_spans", "_items"])
 
     return go
@@ -301,7 +307,7 @@ def _final(shared, carried: bool, cover: int):
                     s = _union(s, old)
                 items = known | {a.ids[k] for k in f}
                 hit = sum(y - x for x, y in s)
-                for to, v in zip(out, (len(words), hit, len(items), _digest(items) if items else none, hit > 0 and cover * hit >= len(words), [x for p in s for x in p], max((y - x for x, y in s), default=0), sorted(items)), strict=True):
+                for to, v in zip(out, (len(words), hit, len(items), _digest(items) if items else none, hit > 0 and cover * hit >= len(words), [x for p in s for x in p], max((y - x for x, y in s), default=0), sorted(items - {None})), strict=True):
                     to.append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.int32()), pa.int32(), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(v, k) for v, k in zip(out, kinds, strict=True)]], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans", "longest_span", "items"])

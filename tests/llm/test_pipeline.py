@@ -60,3 +60,19 @@ def test_registered_sql(spark):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = sorted(map(tuple, c.execute(oracle_sql()["op1_decontamination"]).fetchall()))
     assert sorted(map(tuple, op1_decontamination(spark, SF).collect())) == want
+
+
+def test_items_without_an_id_count(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "x a b c d y"), (2, "e f g h a b c d"), (3, "one two")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "a b c d"), (None, "f g"), (7, "e f"), (None, None)], "item_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = sorted(map(tuple, c.execute(oracle_sql()["op1_decontamination"]).fetchall()))
+    got = sorted(map(tuple, op1_decontamination(spark, str(tmp_path)).collect()))
+    assert got == want and [r[3] for r in got] == [1, 2, 0]
+    cut = decontaminate.contamination(docs, items, block_words=4).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert sorted(map(tuple, cut.collect())) == want
+    assert [r.doc_id for r in decontaminate.decontaminate(docs, items).collect()] == [3]
