@@ -8,7 +8,7 @@ strongest local maxima of the magnitude, and pairs each with those of the next
 go with their frame as two arrays, times and codes.
 
 Edge cases: a null or empty text is one block of zero bytes; a payload shorter
-than a frame is padded with silence for the transform only; silence has no
+than a frame, or whose last frame is not full, is padded with silence for the transform only; silence has no
 peaks; equal payloads have equal results; long ones are transformed in blocks.
 """
 
@@ -58,8 +58,8 @@ def read_wav(media: bytes) -> bytes:
 def peaks(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Frames by PEAKS: bins of the strongest local maxima (0: none), and their magnitudes."""
     x = np.frombuffer(samples, np.uint8).astype(np.float32) - 128
-    if len(x) < FRAME:
-        x = np.concatenate((x, np.zeros(FRAME - len(x), np.float32)))
+    if short := FRAME - len(x) if len(x) < FRAME else (FRAME - len(x)) % HOP:
+        x = np.concatenate((x, np.zeros(short, np.float32)))
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     bins, size = [], []
     for at in range(0, len(frames), 2048):

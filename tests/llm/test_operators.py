@@ -291,6 +291,12 @@ def test_media_round_trip(spark, edge):
     assert media.media_features(edge.limit(0)).count() == 0
 
 
+def test_last_samples_are_in_a_frame():
+    one, other = bytes(range(256)) + b"a" * 64, bytes(range(256)) + bytes(range(40, 168, 2))
+    assert len(media.peaks(one)[0]) == 2 and (media.peaks(one)[0] != media.peaks(other)[0]).any()
+    assert [len(media.peaks(bytes(n))[0]) for n in (64, 256, 320, 384, 448)] == [1, 1, 2, 2, 3]
+
+
 def test_network_gradient_and_scores(spark, edge):
     net = pll.Network(hidden=4, classes=3)
     net.flat = net.flat.astype(np.float64)
