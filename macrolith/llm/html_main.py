@@ -168,7 +168,7 @@ def text_features(block: Block, k: int, n: int) -> list[str]:
     t = block.text
     share = min(1.0, block.linked / max(1, len(t)))
     out = [f"links {0 if share == 0 else 1 if share < 0.3 else 2 if share < 0.8 else 3}", f"size {min(6, int(math.log2(len(t) + 1)) // 2)}", "first" if not k else "last" if k == n - 1 else "mid"]
-    out += [f"mark {name}" for name, p in _MARKS if len(t) < 2000 and p.search(t)]
+    out += [f"mark {name}" for name, p in _MARKS if p.search(t)]
     return out
 
 

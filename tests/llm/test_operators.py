@@ -405,6 +405,12 @@ def test_leaf_blocks():
     assert text(None) == [] and text("") == [] and text("<p") == []
 
 
+def test_marks_of_long_blocks():
+    text = "We use cookies. " * 200
+    block = html_main.leaf_blocks(f"<p>{text}</p>")[0]
+    assert len(block.text) > 2000 and {"mark cookie", "mark sentence"} <= set(html_main.text_features(block, 0, 1))
+
+
 def test_chain_on_pages_it_was_not_trained_on(spark):
     c = html_main.train()
     wrong = total = 0
