@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -10,26 +11,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes of one Arrow batch between the JVM and a Python worker.
-BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
+#: Rows and bytes of one Arrow batch between the JVM and a Python worker, and rows that a Parquet scan decodes at once.
+BATCH_ROWS, BATCH_BYTES, SCAN_ROWS = 1024, 8 << 20, 1024
+#: Bytes of a row group of stored rows, which its writer holds.
+ROW_GROUP = 32 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
     """Very long texts must not make an Arrow batch outgrow a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", SCAN_ROWS)
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode one of our own where that is unset."""
     sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
-        root = sc.getCheckpointDir()
-        if not root:
-            root = "file://" + tempfile.mkdtemp(prefix="macrolith-")
-            sc.setCheckpointDir(root)
-        return root
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="macrolith-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
     return root
@@ -42,10 +44,24 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows, written as Parquet to the shared folder and read again: short lineage, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return reread(df, keep(df, name))
+
+
+def keep(df: DataFrame, name: str) -> str:
+    """Writes the rows below the shared folder and returns the path."""
+    path = shared_path(df.sparkSession, name)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    return path
+
+
+def reread(df: DataFrame, path: str) -> DataFrame:
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes what keep() wrote, when nothing reads it any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def only(df: DataFrame, *names: str) -> DataFrame:

@@ -11,10 +11,14 @@ the file and decompresses just the frames of the documents asked for.
 
 Files of a dataset follow one another in ascending doc_id order. Documents are
 encoded where they are read; only ids are shuffled, to ranges of doc_id whose
-bounds come from a scan of doc_id alone. Ties of doc_id are kept, ordered by
-their ids' bytes. One doc_id with very many rows stays one range.
-
-Edge cases: a null text has no ids but the end id; no documents give no files.
+bounds come from a scan of doc_id alone. Rows of one doc_id are all kept; an id
+that fills several ranges is dealt out over them. A range is written as files of
+about ``FILE_BYTES``, so that neither a file nor its index grows with the data.
+
+Edge cases: a null text has no ids but the end id; documents without a doc_id
+come after all others and are marked in the index; no documents give no files; a
+doc_id that isn't of an integer type raises ValueError; other columns are left
+alone; a very long text is one document of one frame.
 """
 
 from __future__ import annotations
@@ -31,12 +35,15 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .chunks import MEMO_BYTES, ChunkTable, layout
 from .common import by_batch, bounded_batches, only, shared_path, stored
 
 FRAME_BYTES = 256 << 10
@@ -45,9 +52,12 @@ SKIP_INDEX, SKIP_SEEK, SEEK_END = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 _HEAD = struct.Struct("<II")
 _ENTRY = struct.Struct("<III")
 _FOOT = struct.Struct("<IBI")
-#: Entries of one worker's memo of encoded chunks, and the longest chunk kept in it.
-MEMO, MEMO_LENGTH = 900_000, 48
-_PLAIN = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
+#: Of the document index: bytes of an id, documents, and how many of them, the last ones, have no doc_id.
+_INDEX = struct.Struct("<BQQ")
+#: Bytes of ids after which a file is closed and the next one begun.
+FILE_BYTES = 256 << 20
+#: Bytes of files that one reader task takes about.
+READ_BYTES = 32 << 20
 
 
 def _byte_chars() -> dict[int, int]:
@@ -66,12 +76,19 @@ class FrameWriter:
         self.out, self.width, self.frame_bytes = out, width, frame_bytes
         self.pack = zstandard.ZstdCompressor(level=level, write_content_size=True)
         self.frames: list[tuple[int, int, int]] = []
-        self.docs: list[tuple[int, int, int]] = []
+        self.docs, self.counts, self.frame_of = array("q"), array("I"), array("I")
         self.held: list[bytes] = []
-        self.held_bytes = self.tokens = 0
-
-    def add(self, doc_id: int, ids: bytes) -> None:
-        self.docs.append((doc_id, len(ids) // self.width, len(self.frames)))
+        self.held_bytes = self.tokens = self.nameless = 0
+
+    def add(self, doc_id: int | None, ids: bytes) -> None:
+        """Documents without an id come after those with one."""
+        if doc_id is None:
+            self.nameless += 1
+        elif self.nameless:
+            raise ValueError("documents without an id come last")
+        self.docs.append(0 if doc_id is None else doc_id)
+        self.counts.append(len(ids) // self.width)
+        self.frame_of.append(len(self.frames))
         self.held.append(ids)
         self.held_bytes += len(ids)
         self.tokens += len(ids) // self.width
@@ -88,8 +105,7 @@ class FrameWriter:
 
     def close(self) -> None:
         self._flush()
-        d = np.array(self.docs, np.int64).reshape(-1, 3)
-        index = self.pack.compress(struct.pack("<BQ", self.width, len(d)) + d[:, 0].astype("<i8").tobytes() + d[:, 1].astype("<u4").tobytes() + d[:, 2].astype("<u4").tobytes())
+        index = self.pack.compress(_INDEX.pack(self.width, len(self.docs), self.nameless) + b"".join(np.array(x).astype(k).tobytes() for x, k in ((self.docs, "<i8"), (self.counts, "<u4"), (self.frame_of, "<u4"))))
         self.out.write(_HEAD.pack(SKIP_INDEX, len(index)) + index)
         self.frames.append((8 + len(index), 0, xxhash.xxh64_intdigest(b"") & 0xFFFFFFFF))
         table = b"".join(_ENTRY.pack(*f) for f in self.frames) + _FOOT.pack(len(self.frames), 0x80, SEEK_END)
@@ -114,10 +130,12 @@ class FrameReader:
         if magic != SKIP_INDEX:
             raise ValueError("no document index before the seek table")
         raw = zstandard.ZstdDecompressor().decompress(f.read(length))
-        self.width, n = struct.unpack_from("<BQ", raw)
-        self.doc_ids = np.frombuffer(raw, "<i8", n, 9)
-        self.counts = np.frombuffer(raw, "<u4", n, 9 + 8 * n).astype(np.int64)
-        self.frame_of = np.frombuffer(raw, "<u4", n, 9 + 12 * n)
+        self.width, n, nameless = _INDEX.unpack_from(raw)
+        at = _INDEX.size
+        self.doc_ids = np.frombuffer(raw, "<i8", n, at)
+        self.named = n - nameless
+        self.counts = np.frombuffer(raw, "<u4", n, at + 8 * n).astype(np.int64)
+        self.frame_of = np.frombuffer(raw, "<u4", n, at + 12 * n)
         self.starts = np.cumsum(self.counts) - self.counts
         self._first = np.searchsorted(self.frame_of, np.arange(len(self.frames)))
         self._kept: tuple[int, bytes] = (-1, b"")
@@ -139,7 +157,7 @@ class FrameReader:
         return np.frombuffer(self.frame(k), f"<u{self.width}", int(self.counts[n]), at * self.width)
 
     def find(self, doc_id: int) -> list[np.ndarray]:
-        lo, hi = np.searchsorted(self.doc_ids, [doc_id, doc_id + 1])
+        lo, hi = np.searchsorted(self.doc_ids[: self.named], [doc_id, doc_id + 1])
         return [self.ids(n) for n in range(lo, hi)]
 
 
@@ -151,15 +169,10 @@ def file_system(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path)
 
 
-class ChunkEncoder:
-    """Ids of texts by the tokenizers library, memoised by chunk between blanks.
+class LibraryEncoder:
+    """Ids of batches of texts by the tokenizers library; where the file's layout allows, each distinct chunk is encoded once (see ``chunks``)."""
 
-    Exact for tokenizers that drop white space and never look across it: chunks
-    end only at space and line feed. Letters A-Z are folded in the memo's keys
-    when the tokenizer lower-cases.
-    """
-
-    def __init__(self, path: str, width: int):
+    def __init__(self, path: str, width: int, memo_bytes: int = MEMO_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -167,61 +180,47 @@ class ChunkEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        self.kind = f"<u{width}"
-        self.fold = self.tokenizer.encode("ABC xyz", add_special_tokens=False).ids == self.tokenizer.encode("abc xyz", add_special_tokens=False).ids
-        self.split = "".join(self.tokenizer.encode(" ", add_special_tokens=False).tokens) == ""
-        self.memo: dict[bytes, bytes] = {}
-        self.code, self.model = {2: "H", 4: "I"}[width], self.tokenizer.model
-        # Words of letters only may go to the library's model itself where that gives the same ids.
-        tests = ["hello", "thereof", "über", "ça", "the"]
-        self.direct = self.fold and self.split and all([t.id for t in self.model.tokenize(w.encode().decode("latin-1").translate(_BYTE_CHARS))] == self.tokenizer.encode(w, add_special_tokens=False).ids for w in tests)
-
-    def batch(self, texts: list[str | None]) -> list[bytes]:
-        if not self.split:
-            return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-        memo, get = self.memo, self.memo.get
-        if len(memo) > MEMO:
-            memo.clear()
-        chunks, found, missing = [], [], set()
-        for t in texts:
-            raw = (t or "").encode()
-            c = (raw.lower() if self.fold and b"<|" not in raw else raw).replace(b"\n", b" ").split(b" ")
-            f = [get(w) for w in c]
-            if None in f:
-                missing.update([w for w, x in zip(c, f, strict=True) if x is None])
-            chunks.append(c)
-            found.append(f)
-        # A comma or full stop after a letter or digit is a token of its own, so the rest serves for both.
-        cores = {w: w[:-1] for w in missing if len(w) > 1 and w[-1] in b",." and (w[-2] in _PLAIN or w[-2] > 0x7F and w.decode()[-2].lower()[-1].isalpha())}
-        self._learn([w for w in missing.difference(cores).union(cores.values(), (b",", b".")) if w not in memo])
-        for w, core in cores.items():
-            memo[w] = memo[core] + memo[w[-1:]]
-        out = [b"".join(f) if None not in f else b"".join([memo[w] if x is None else x for w, x in zip(c, f, strict=True)]) for c, f in zip(chunks, found, strict=True)]
-        for w in missing:
-            if len(w) > MEMO_LENGTH:
-                memo.pop(w, None)
-                memo.pop(cores.get(w), None)
-        return out
-
-    def _learn(self, words: list[bytes]) -> None:
-        memo, rest, tokenize, code = self.memo, [], self.model.tokenize, self.code
-        for w in words:
-            s = w.decode()
-            if self.direct and s.isalpha() and (s.isascii() or max(s) < "\u0250" and is_normalized("NFC", s)):
-                s = s.lower()
+        self.width, self.code, self.model = width, {2: "H", 4: "I"}[width], self.tokenizer.model
+        words, self.fold = layout(path)
+        self.table = ChunkTable(self._learn, width, self.fold, True, memo_bytes=memo_bytes) if words else None
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after another, and where each text's begin (with the end of the last)."""
+        if self.table:
+            return self.table.ids(texts)
+        got = [np.array(e.ids, f"<u{self.width}") for e in self.tokenizer.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, f"<u{self.width}"), *got]), np.cumsum([0, *map(len, got)])
+
+    def _learn(self, chunks: list[bytes]) -> list[bytes]:
+        """Words of letters only go to the library's model itself, which saves the steps before it."""
+        out: list[bytes] = [b""] * len(chunks)
+        rest, tokenize, code = [], self.model.tokenize, self.code
+        for k, c in enumerate(chunks):
+            s = c.decode()
+            if s.isalpha() and (s.isascii() or max(s) < "\u0250" and is_normalized("NFC", s)):
+                s = s.lower() if self.fold else s
                 if s.isascii() or s.isalpha():
-                    memo[w] = array(code, [t.id for t in tokenize(s if s.isascii() else s.encode().decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
+                    out[k] = array(code, [t.id for t in tokenize(s if s.isascii() else s.encode().decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
                     continue
-            rest.append(w)
+            rest.append(k)
         for at in range(0, len(rest), 4096):
             part = rest[at : at + 4096]
-            memo.update((w, array(code, e.ids).tobytes()) for w, e in zip(part, self.encode([w.decode() for w in part], add_special_tokens=False), strict=True))
+            for k, e in zip(part, self.encode([chunks[k].decode() for k in part], add_special_tokens=False), strict=True):
+                out[k] = array(code, e.ids).tobytes()
+        return out
 
 
 @functools.lru_cache(1)
-def chunk_encoder(path: str, width: int) -> ChunkEncoder:
+def library_encoder(path: str, width: int) -> LibraryEncoder:
     """One for a worker process, so that its memo serves all the tasks the worker runs."""
-    return ChunkEncoder(path, width)
+    return LibraryEncoder(path, width)
+
+
+def with_end(ids: np.ndarray, begin: np.ndarray, end_id: int) -> pa.Array:
+    """A binary value a text: its ids and the end id."""
+    n, w = len(begin) - 1, ids.dtype.itemsize
+    out = np.insert(ids, begin[1:], end_id)
+    return pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer((begin + np.arange(n + 1)) * w), pa.py_buffer(out)])
 
 
 def id_width(tokenizer_path: str) -> int:
@@ -230,59 +229,75 @@ def id_width(tokenizer_path: str) -> int:
     return 2 if Tokenizer.from_file(tokenizer_path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, *, end_id: int = 2, doc_id: str = "doc_id", text: str = "text", files: int | None = None) -> DataFrame:
-    """Writes every document's ids below the folder ``out``; returns the manifest: file number, path, documents, tokens, first token.
+def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, *, end_id: int = 2, doc_id: str = "doc_id", text: str = "text", parts: int | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Writes every document's ids below the folder ``out``; returns the manifest: file number, path, documents, tokens, bytes, first token.
 
-    Each task attempt writes a file of its own name, and the manifest lists the
-    ones that count, so a task that is run again does no harm.
+    ``parts`` ranges of doc_id are written side by side, each as files of about
+    ``file_bytes``. Each task attempt writes files of its own names, and the
+    manifest lists the ones that count, so a task that is run again does no harm.
     """
     spark = docs.sparkSession
     width = id_width(tokenizer_path)
-    rows = only(docs, doc_id, text).toDF("doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = rows.select(F.percentile_approx("doc_id", [k / files for k in range(1, files)], 10_000)).first()[0] if files > 1 else []
-    cuts = sorted(set(cuts or []))
+    rows = only(docs, doc_id, text).toDF("doc_id", "text")
+    if not isinstance(rows.schema["doc_id"].dataType, T.IntegralType):
+        raise ValueError("doc_id must be of an integer type")
+    rows = rows.withColumn("doc_id", F.col("doc_id").cast("long"))
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts, total, named = rows.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [1.0], max(10_000, 20 * parts)), F.count("*"), F.count("doc_id")).first()
+    bounds = np.array((cuts or [])[: parts - 1], np.int64)
+    # Documents without an id follow, over their share of the parts.
+    spare = -(-parts * (total - named) // max(1, total))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = chunk_encoder(tokenizer_path, width)
-        end = np.array([end_id], f"<u{width}").tobytes()
-        bounds = np.array(cuts, np.int64)
+        encoder = library_encoder(tokenizer_path, width)
+        seen = 0
         for b in batches:
-            part = np.searchsorted(bounds, b.column(0).to_numpy(zero_copy_only=False), "left").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(part), pa.array([x + end for x in encoder.batch(b.column(1).to_pylist())], pa.binary())], ["doc_id", "part", "ids"])
+            d = b.column(0)
+            at = np.arange(seen, seen + len(d))
+            seen += len(d)
+            x = pc.fill_null(d, 0).to_numpy(zero_copy_only=False)
+            # An id that fills several ranges is dealt out over all of them.
+            lo, hi = np.searchsorted(bounds, x, "left"), np.searchsorted(bounds, x, "right")
+            part = lo + at % (hi - lo + 1)
+            none = d.is_null().to_numpy(zero_copy_only=False)
+            part[none] = len(bounds) + 1 + at[none] % max(1, spare)
+            ids = with_end(*encoder.ids(b.column(1)), end_id)
+            yield pa.RecordBatch.from_arrays([d, pa.array(part.astype(np.int32)), ids.cast(pa.binary())], ["doc_id", "part", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, writer, stream = None, None, None
+        now, writer, stream, number = None, None, None, 0
         done: list[tuple] = []
 
         def close():
             writer.close()
             stream.close()
-            done.append((now, path, len(writer.docs), writer.tokens))
+            done.append((now, number, path, len(writer.docs), writer.tokens))
 
         for b in batches:
             for d, p, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                if p != now:
+                if p != now or writer.tokens * width >= file_bytes:
                     if writer:
                         close()
+                    number = number + 1 if p == now else 0
                     now = p
                     store, root = file_system(out)
                     store.create_dir(root, recursive=True)
-                    path = f"{root}/{p:06d}-{uuid.uuid4().hex}.zst"
+                    path = f"{root}/{p:06d}-{number:06d}-{uuid.uuid4().hex}.zst"
                     stream = store.open_output_stream(path, compression=None)
                     writer = FrameWriter(stream, width)
                 writer.add(d, ids.as_py())
         if writer:
             close()
-        cols = list(zip(*done, strict=True)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["part", "path", "docs", "tokens"])
+        cols = list(zip(*done, strict=True)) or [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["part", "number", "path", "docs", "tokens"])
 
-    encoded = by_batch(rows.where("doc_id is not null"), encode, "doc_id long, part int, ids binary")
-    written = encoded.repartition(files, "part").sortWithinPartitions("part", "doc_id", "ids").mapInArrow(write, "part int, path string, docs long, tokens long")
-    # One row for each file, so a single ordered window over them is small whatever the tables hold.
+    encoded = by_batch(rows, encode, "doc_id long, part int, ids binary")
+    dealt = encoded.repartitionById(len(bounds) + 1 + spare, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_last(), "ids")
+    # One row for each file, so that one partition and one ordered window hold them whatever the tables hold.
+    written = dealt.mapInArrow(write, "part int, number int, path string, docs long, tokens long").repartition(1)
     manifest = stored(written, "manifest")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.withColumn("first_token", F.coalesce(F.sum("tokens").over(before), F.lit(0)).cast("long"))
+    before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
+    return manifest.withColumns({"bytes": F.col("tokens") * width, "first_token": F.coalesce(F.sum("tokens").over(before), F.lit(0)).cast("long")})
 
 
 def read_tokens(manifest: DataFrame, out: str) -> DataFrame:
@@ -305,13 +320,14 @@ def _read(manifest: DataFrame, out: str, ids: bool) -> DataFrame:
                     for lo in range(0, len(r.doc_ids), 512):
                         part = range(lo, min(lo + 512, len(r.doc_ids)))
                         raw = [r.ids(n).astype("<u4") for n in part]
-                        cols = [pa.array(r.doc_ids[lo : part.stop]), pa.array(first + r.starts[lo : part.stop]), pa.array(r.counts[lo : part.stop]), pa.array([zlib.crc32(x.tobytes()) for x in raw], pa.int64())]
+                        cols = [pa.array(r.doc_ids[lo : part.stop], mask=np.arange(lo, part.stop) >= r.named), pa.array(first + r.starts[lo : part.stop]), pa.array(r.counts[lo : part.stop]), pa.array([zlib.crc32(x.tobytes()) for x in raw], pa.int64())]
                         if ids:
                             cols.append(pa.array([x.astype(np.int64) for x in raw], pa.list_(pa.int64())))
                         yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(cols)])
 
-    n = max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = manifest.select("path", "first_token").repartition(n)
+    files, size = manifest.agg(F.count("*"), F.sum("bytes")).first()
+    tasks = max(1, min(files, max(2 * manifest.sparkSession.sparkContext.defaultParallelism, (size or 0) // READ_BYTES)))
+    rows = manifest.select("path", "first_token").repartition(tasks)
     return rows.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * ids)
 
 
