@@ -2,19 +2,30 @@
 
 From the merge list one pass in rank order computes the sufficient lookahead:
 for each token the number of symbols to the right of its end that can still
-decide whether it stands. A token whose end lies that far behind the input read
-so far is stable and is emitted; the rest is kept, so memory is bounded however
-long a word is. Words that end inside the window are merged whole and memoised.
+decide whether it stands. Texts are fed to the transducer in pieces. What lies
+before a blank is stable at once, for no merge crosses it; inside a word that
+goes on, a token is stable when its end lies that far behind the input read so
+far. Stable tokens are emitted, the rest is held, so what the transducer holds
+is bounded however long a text or a word is.
+
+``Lanes`` runs the transducers of a batch of texts side by side: every text is
+fed in pieces, cut at the last blank; the distinct chunks that a piece closes
+are merged in lockstep with numpy, or one after another by a ``Transducer`` if
+they are longer than its window, and their emissions are remembered in a memo
+of bounded size. The ids that a round emits go straight into the digests.
 
 Normaliser, splitter and merges come from a public tokenizer file in the JSON
 form of the tokenizers library; only the parts listed in ``Spec`` are known,
 others raise ValueError. The decoder is a state machine fed one id at a time,
 which writes either what the library's decode() gives without a decoder entry
 (tokens joined by blanks) or the text of the bytes, holding back incomplete
-UTF-8 sequences.
+UTF-8 sequences. For batches both are tables of what each id writes, gathered
+in Arrow, with the open UTF-8 sequence as the state between pieces.
 
 Edge cases: null and empty texts have no ids and decode to the empty text;
-repeated rows give repeated results; invalid UTF-8 decodes to U+FFFD.
+repeated rows give repeated results; invalid UTF-8 decodes to U+FFFD; a very
+long text is fed in pieces; other columns are left alone; null and repeated
+doc_ids come out as they went in.
 """
 
 from __future__ import annotations
@@ -27,14 +38,19 @@ import json
 import unicodedata
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
+from .chunks import MEMO_BYTES, ChunkTable, layout
 from .common import by_batch, only
 
-#: Entries of a worker's two memos.
-MEMO = 500_000
+#: Words that an encoder remembers for single texts.
+MEMO = 20_000
+#: Characters of a text that are fed at once.
+PIECE = 1 << 20
 _SHIFT = 20
 
 
@@ -97,7 +113,7 @@ class Spec:
 
 
 class Encoder:
-    """Encodes whole texts; long words go through a Transducer."""
+    """What a transducer needs of a tokenizer: normaliser, splitter, symbols and merges."""
 
     def __init__(self, path: str):
         s = self.spec = Spec(path)
@@ -115,8 +131,14 @@ class Encoder:
             self.rank[s.vocab[a] << _SHIFT | s.vocab[b]] = k
             self.made.append(s.vocab[a + b])
         self.size = {i: len(t.removesuffix(s.end) if s.end else t) for t, i in s.vocab.items()}
-        #: A chunk of more characters is fed to a transducer.
+        #: A word of more characters is emitted before its end.
         self.window = max(64, s.lookahead)
+        self.inner_of = np.array([self.inner[c] for c in chars], np.int64)
+        self.last_of = np.array([self.last[c] for c in chars], np.int64)
+        self.made_of = np.array(self.made, np.int64)
+        keys = np.array(list(self.rank), np.int64)
+        order = np.argsort(keys)
+        self.pair_keys, self.pair_rank = keys[order], np.array(list(self.rank.values()), np.int64)[order]
         self.words: dict[str, tuple[int, ...]] = {}
 
     def normal(self, text: str) -> str:
@@ -174,6 +196,59 @@ class Encoder:
                     heapq.heappush(heap, (q, x, ids[x], ids[y]))
         return [x for x in ids if x >= 0]
 
+    def merge_many(self, words: list[bytes]) -> list[np.ndarray]:
+        """As merge() of the symbols of each word that ends, all words in lockstep: one merge a word and round."""
+        if not words:
+            return []
+        none = len(self.made)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        ends = np.cumsum(size) - 1
+        sym = self.inner_of[raw]
+        sym[ends] = self.last_of[raw[ends]]
+        rank = np.full(len(sym), none, np.int64)
+        rank[:-1] = self._ranks(sym[:-1], sym[1:])
+        rank[ends] = none
+        of, done = np.arange(len(words)), []
+        while len(of):
+            begin = np.cumsum(size) - size
+            best = np.minimum.reduceat(rank, begin)
+            over = best == none
+            if over.any():
+                flag = np.repeat(over, size)
+                done.append((of[over], size[over], sym[flag]))
+                sym, rank, size, of, best = sym[~flag], rank[~flag], size[~over], of[~over], best[~over]
+                if not len(of):
+                    break
+            owner = np.repeat(np.arange(len(of)), size)
+            at = np.flatnonzero(rank == best[owner])
+            at = at[np.concatenate(([True], owner[at[1:]] != owner[at[:-1]]))]
+            sym[at] = self.made_of[best]
+            stop = np.cumsum(size) - 1
+            keep = np.ones(len(sym), bool)
+            keep[at + 1] = False
+            end = at + 1 == stop
+            sym, rank = sym[keep], rank[keep]
+            size = size - 1
+            at = at - np.arange(len(at))
+            rank[at] = none
+            k = at[~end]
+            rank[k] = self._ranks(sym[k], sym[k + 1])
+            k = at[at > np.cumsum(size) - size]
+            rank[k - 1] = self._ranks(sym[k - 1], sym[k])
+        order = np.concatenate([x[0] for x in done])
+        sizes = np.concatenate([x[1] for x in done])
+        parts = np.split(np.concatenate([x[2] for x in done]), np.cumsum(sizes)[:-1])
+        out: list = [None] * len(words)
+        for k, p in zip(order.tolist(), parts, strict=True):
+            out[k] = p
+        return out
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left.astype(np.int64) << _SHIFT | right
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_rank[at], len(self.made))
+
     def word(self, word: str) -> tuple[int, ...]:
         ids = self.words.get(word)
         if ids is None:
@@ -183,16 +258,6 @@ class Encoder:
             self.words[word] = ids
         return ids
 
-    def chunk(self, chunk: str) -> list[int]:
-        """Ids of a text without special tokens."""
-        if len(chunk) > self.window:
-            t = Transducer(self)
-            return [i for at in range(0, len(chunk), 4 * self.window) for i in t.feed(chunk[at : at + 4 * self.window])] + t.close()
-        out: list[int] = []
-        for w in self.pattern.findall(self.normal(chunk)):
-            out += self.word(w)
-        return out
-
     def parts(self, text: str) -> Iterator[tuple[str, bool]]:
         """Pieces of the text, and whether each is a special token."""
         last = 0
@@ -204,14 +269,9 @@ class Encoder:
         yield text[last:], False
 
     def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
-        for part, special in self.parts(text or ""):
-            if special:
-                out.append(self.spec.special[part])
-            else:
-                for c in part.replace("\n", " ").split(" "):
-                    out += self.chunk(c)
-        return out
+        """Ids of one text, by a transducer."""
+        t, text = Transducer(self), text or ""
+        return [i for at in range(0, len(text), PIECE) for i in t.feed(text[at : at + PIECE])] + t.close()
 
 
 class Transducer:
@@ -327,48 +387,137 @@ class Decoder:
         return "".join([*map(self.feed, ids), self.close()])
 
 
+class Lanes:
+    """The transducers of a batch of texts, side by side."""
+
+    def __init__(self, path: str, memo_bytes: int = MEMO_BYTES, piece: int = PIECE):
+        words, fold = layout(path)
+        self.e, self.piece, self.width = Encoder(path), piece, 4
+        if not words:
+            raise ValueError("a tokenizer that looks across blanks is not known")
+        self.table = ChunkTable(self._emissions, self.width, fold, True, memo_bytes=memo_bytes)
+        d = {i: t for t, i in self.e.spec.vocab.items()} | {i: t for t, i in self.e.spec.special.items()}
+        byte, end = {c: b for b, c in enumerate(byte_chars())}, self.e.spec.end
+        special = set(self.e.spec.special.values())
+
+        def written(i: int) -> bytes:
+            t = d.get(i, "")
+            if i in special:
+                return t.encode()
+            stop = bool(end) and t.endswith(end)
+            return bytes(byte[c] for c in (t.removesuffix(end) if stop else t)) + b" " * stop
+
+        every = range(max(d) + 1)
+        #: What each id writes: its number and its token, each after a blank, and its bytes.
+        self.numbers = pa.array([b" %d" % i for i in every], pa.large_binary())
+        self.tokens = pa.array([b" " + d[i].encode() if i in d else b"" for i in every], pa.large_binary())
+        self.bytes = pa.array([written(i) for i in every], pa.large_binary())
+
+    def _emissions(self, chunks: list[bytes]) -> list[bytes]:
+        """What a transducer emits for each chunk that a blank or the text's end closes."""
+        e, words, plan = self.e, [], []
+        for c in chunks:
+            s = c.decode()
+            if len(s) > e.window:
+                plan.append(np.array(e.encode(s), np.int64))
+                continue
+            if s.isascii() and s.isalpha():
+                plan.append((len(words), len(words) + 1, None))
+                words.append(c.lower() if e.spec.lower else c)
+                continue
+            first, special = len(words), []
+            for part, is_special in e.parts(s):
+                if is_special:
+                    special.append((len(words) - first, e.spec.special[part]))
+                else:
+                    words += [w.encode() for w in e.pattern.findall(e.normal(part))]
+            plan.append((first, len(words), special or None))
+        ids = e.merge_many(words)
+        out = []
+        for p in plan:
+            if isinstance(p, np.ndarray):
+                out.append(p.astype("<u4").tobytes())
+            elif p[2] is None:
+                out.append(ids[p[0]].astype("<u4").tobytes() if p[1] - p[0] == 1 else b"".join([x.astype("<u4").tobytes() for x in ids[p[0] : p[1]]]))
+            else:
+                row = [x.tolist() for x in ids[p[0] : p[1]]]
+                for at, i in reversed(p[2]):
+                    row.insert(at, [i])
+                out.append(np.array([i for x in row for i in x], "<u4").tobytes())
+        return out
+
+    def rounds(self, texts: pa.Array) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+        """Feeds a piece of each text at a time; gives the rows fed, the ids that became stable, and where each row's begin (with the end of the last)."""
+        if (pc.max(pc.utf8_length(texts)).as_py() or 0) <= self.piece:
+            yield list(range(len(texts))), *self.table.ids(texts)
+            return
+        left = {k: (t or "", 0, "") for k, t in enumerate(texts.to_pylist())}
+        while left:
+            rows, fed, after = list(left), [], {}
+            for k, (t, at, held) in left.items():
+                piece = held + t[at : at + self.piece]
+                at += self.piece
+                if at >= len(t):
+                    fed.append(piece)
+                    continue
+                cut = max(piece.rfind(" "), piece.rfind("\n")) + 1
+                fed.append(piece[:cut])
+                after[k] = (t, at, piece[cut:])
+            yield rows, *self.table.ids(pa.array(fed, pa.large_string()))
+            left = after
+
+
+class _Digests:
+    """Of one text's ids as decimal numbers, of its joined decoding and of its bytes' text, each fed as it comes."""
+
+    def __init__(self):
+        self.n = 0
+        self.ids, self.joined, self.text = hashlib.sha256(), hashlib.sha256(), hashlib.sha256()
+        self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
+
+    def feed(self, n: int, numbers: memoryview, tokens: memoryview, raw: memoryview) -> None:
+        if n:
+            skip = not self.n
+            self.ids.update(numbers[skip:])
+            self.joined.update(tokens[skip:])
+            self.text.update(self.utf8.decode(raw).encode())
+            self.n += n
+
+    def close(self) -> tuple[int, str, str, str]:
+        self.text.update(self.utf8.decode(b"", True).encode())
+        return self.n, self.ids.hexdigest(), self.joined.hexdigest(), self.text.hexdigest()
+
+
+def _pieces(table: pa.Array, ids: np.ndarray, begin: np.ndarray) -> list[memoryview]:
+    """What the ids of each row write, one memory view a row."""
+    got = table.take(pa.array(ids))
+    _, offsets, data = got.buffers()
+    at = np.frombuffer(offsets, np.int64, len(got) + 1, 8 * got.offset)[begin].tolist() if len(got) else [0] * len(begin)
+    view = memoryview(data if data is not None else b"")
+    return [view[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
 @functools.lru_cache(1)
-def _encoder(path: str) -> tuple[Encoder, dict[str, tuple[int, str, str]]]:
-    """One for a worker process, with its memo of chunks, so that they serve all the tasks the worker runs."""
-    return Encoder(path), {}
+def _lanes(path: str) -> Lanes:
+    """One for a worker process, so that its memo serves all the tasks the worker runs."""
+    return Lanes(path)
 
 
 def encode_decode(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document row: doc_id, n_tokens, ids_sha256 (of decimal ids joined by blanks), decoded_sha256 (of the joined decoding)."""
+    """Per document row: doc_id, n_tokens, ids_sha256 (of decimal ids joined by blanks), decoded_sha256 (of the joined decoding), text_sha256 (of the text of the ids' bytes)."""
     rows = only(docs, doc_id, text).toDF("doc_id", "text")
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, memo = _encoder(tokenizer_path)
-        d = Decoder(e.spec, joined=True)
-        get = memo.get
-
-        def learn(c: str) -> tuple[int, str, str]:
-            ids = e.chunk(c)
-            v = len(ids), " ".join(map(str, ids)), d.decode(ids)
-            if len(c) <= e.window:
-                if len(memo) > MEMO:
-                    memo.clear()
-                memo[c] = v
-            return v
-
+        lanes = _lanes(tokenizer_path)
         for b in batches:
-            out: list[list] = [[], [], []]
-            for t in b.column(1).to_pylist():
-                found: list[tuple[int, str, str]] = []
-                for part, special in e.parts(t or ""):
-                    if special:
-                        i = e.spec.special[part]
-                        found.append((1, str(i), d.decode([i])))
-                    else:
-                        # A-Z fold as the normaliser folds them, so that one memo entry serves both.
-                        cs = (part.lower() if e.spec.lower and part.isascii() else part).replace("\n", " ").split(" ")
-                        found += [get(c) or learn(c) for c in cs]
-                out[0].append(sum([x[0] for x in found]))
-                out[1].append(hashlib.sha256(" ".join([x[1] for x in found if x[0]]).encode()).hexdigest())
-                out[2].append(hashlib.sha256(" ".join([x[2] for x in found if x[0]]).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return by_batch(rows, go, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            own = [_Digests() for _ in range(b.num_rows)]
+            for fed, ids, begin in lanes.rounds(b.column(1)):
+                for k, n, x, y, z in zip(fed, np.diff(begin).tolist(), *[_pieces(t, ids, begin) for t in (lanes.numbers, lanes.tokens, lanes.bytes)], strict=True):
+                    own[k].feed(n, x, y, z)
+            out = list(zip(*[d.close() for d in own], strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out[0], pa.int64()), *[pa.array(x, pa.string()) for x in out[1:]]], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "text_sha256"])
+
+    return by_batch(rows, go, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, text_sha256 string")
 
 
 def encoded(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -376,10 +525,13 @@ def encoded(docs: DataFrame, tokenizer_path: str, *, doc_id: str = "doc_id", tex
     rows = only(docs, doc_id, text).toDF("doc_id", "text")
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, _ = _encoder(tokenizer_path)
-        d = Decoder(e.spec)
+        lanes = _lanes(tokenizer_path)
+        d = Decoder(lanes.e.spec)
         for b in batches:
-            ids = [e.encode(t) for t in b.column(1).to_pylist()]
+            ids: list[list[int]] = [[] for _ in range(b.num_rows)]
+            for fed, got, begin in lanes.rounds(b.column(1)):
+                for k, x in zip(fed, np.split(got, begin[1:-1]), strict=True):
+                    ids[k] += x.tolist()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([d.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
 
     return by_batch(rows, go, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
