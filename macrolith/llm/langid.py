@@ -4,31 +4,36 @@ Each language has a zstandard raw-content dictionary of sample text. A text is
 encoded with every dictionary and belongs to the one that makes it smallest.
 Long texts are cut into blocks of ``BLOCK`` bytes that are each encoded afresh,
 all of them, so that the dictionary counts throughout and memory stays bounded.
+A text is encoded in as many rotations of its words as make up ``LEAST`` bytes
+(``TURNS`` at most, one from there on), as the size of one encoding is coarse.
 The margin is 1 - smallest size / second smallest size; a text whose margin is
-under the limit is rejected. Sizes are whole bytes, in which short texts often
-tie and then say nothing; so languages of a short text within ``MARGIN`` of the
-smallest are measured again in fractions of a bit, by how an arithmetic coder
-would encode the text with the dictionary's contexts of up to ``ORDER`` bytes,
-and that tells the language and the margin. What ties even so goes to the
-language first in name order.
+under the limit is rejected. Sizes are whole bytes, which tie now and then and
+then say nothing; so languages within ``MARGIN`` of the smallest are measured
+again in fractions of a bit, by how an arithmetic coder would encode the text
+with the dictionary's contexts of up to ``ORDER`` bytes, and that tells the
+language and the margin. What ties even so goes to the language first in name
+order.
 
 Dictionaries hold up to ``DICTIONARY`` bytes a language, from the ``SALTS``
 documents that have the smallest hash in their share of the hashes: a bounded
-sample of the labelled rows, found by a scan of ids and languages alone.
-
-Edge cases: null texts and texts without a letter get ``und`` with score 0;
-null languages are not learned from; without any labelled row all is ``und``;
-with one language the score is 1; repeated rows get equal results.
+sample of the labelled rows, found by a scan of ids and languages alone. Rows
+that share a doc_id (or have none) and a language count as one in it, by their
+smallest text.
+
+Edge cases: null texts and texts without a letter (category L; numerals are
+none) get ``und`` with score 0; null languages and null texts are not learned
+from; without any labelled row all is ``und``; with one language the score is
+1; repeated rows get equal results; very long texts are encoded block by block.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,11 +45,11 @@ DICTIONARY, SALTS, BLOCK, LEVEL = 110 << 10, 128, 4 << 10, 6
 PIECE = 1 << 10
 #: Shares of the smallest size under which a margin counts as narrow.
 MARGIN = 0.001
-#: A text of fewer bytes is encoded in this many rotations of its words, whose sizes add up, as one size is too coarse.
-SHORT, TURNS = 1 << 10, 8
+#: Bytes that the rotations of a text make up, and the most rotations.
+LEAST, TURNS = 2 << 10, 8
 #: Bytes of context in the finer measure.
 ORDER = 4
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 class Contexts:
@@ -97,9 +102,10 @@ class Model:
                 d.precompute_compress(level=self.level)
                 self._packers.append(zstandard.ZstdCompressor(dict_data=d, level=self.level, write_checksum=False, write_content_size=False).compress)
         parts = [raw[a : a + self.block] for a in range(0, len(raw), self.block)]
-        if len(raw) < SHORT:
+        turns = min(TURNS, -(-LEAST // max(1, len(raw))))
+        if turns > 1:
             w = raw.split()
-            parts = [b" ".join(w[k:] + w[:k]) for k in sorted({len(w) * t // TURNS for t in range(TURNS)})]
+            parts = [b" ".join(w[k:] + w[:k]) for k in sorted({len(w) * t // turns for t in range(turns)})]
         return [sum([len(f(p)) for p in parts]) for f in self._packers]
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -110,7 +116,7 @@ class Model:
         sizes = self.sizes(raw)
         best = min(sizes)
         near = [name for name, x in zip(self.samples, sizes, strict=True) if 1 - best / x < MARGIN]
-        if len(near) > 1 and len(raw) < SHORT:
+        if len(near) > 1:
             order = sorted((self.bits(name, raw), name) for name in near)
             return order[0][1], 1 - order[0][0] / order[1][0]
         k = sizes.index(best)
@@ -118,7 +124,7 @@ class Model:
         return list(self.samples)[k], (1 - best / min(rest)) if rest else 1.0
 
 
-def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", dictionary: int = DICTIONARY, salts: int = SALTS, block: int = BLOCK) -> Model:
+def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", dictionary: int = DICTIONARY, salts: int = SALTS, piece: int = PIECE, block: int = BLOCK) -> Model:
     """Learns from documents with a language; filter them before to hold some out."""
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).where("lang is not null").withColumn("h", F.xxhash64("id", "lang"))
     # Text of some length only, which the second scan checks; so thresholds take the first two of each share.
@@ -127,13 +133,14 @@ def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
     picked = [r.h for r in cuts.select("h").collect()]  # languages times salts
     if not picked:
         return Model({}, block=block)
-    got = rows.where(F.col("h").isin(picked)).select("lang", "h", F.substring("text", 1, 4 * PIECE).alias("text")).where("text is not null").collect()
+    # One row a hash, so that what comes to the driver is bounded whatever repeats.
+    got = rows.where(F.col("h").isin(picked)).select("lang", "h", F.substring("text", 1, 4 * piece).alias("text")).where("text is not null").groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
     samples: dict[str, bytes] = {}
     for r in sorted(got, key=lambda r: (r.lang, -len(r.text), r.h)):
         had = samples.get(r.lang, b"")
-        piece = r.text.lower().encode("utf-8", "surrogatepass")[:PIECE].decode("utf-8", "ignore").encode()
+        own = r.text.lower().encode("utf-8", "surrogatepass")[:piece].decode("utf-8", "ignore").encode()
         if len(had) < dictionary:
-            samples[r.lang] = had + piece + b"\n"
+            samples[r.lang] = had + own + b"\n"
     return Model({k: v[:dictionary] for k, v in samples.items()}, block=block)
 
 
