@@ -11,8 +11,10 @@ every document.
 
 Edge cases: a null or empty text has no words, its severity comes from the
 thresholds alone; labels without a document and null labels are not learned
-from, a doc_id with several labels counts with its largest; with no labels, or
-one grade only, that grade (0 without any) is the severity of all.
+from, a doc_id with several labels counts with its largest and one with several
+documents is learned from once, by its smallest text; rows without a doc_id are
+scored but not learned from; with no labels, or one grade only, that grade (0
+without any) is the severity of all; very long texts are a set of words too.
 """
 
 from __future__ import annotations
@@ -112,7 +114,9 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     graded = labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{grade}`").cast("int").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
     # At most sample rows of two numbers: small enough to broadcast whatever the tables hold.
     chosen = graded.orderBy(F.xxhash64("id"), "id").limit(sample)
-    rows = only(docs, doc_id, text).toDF("id", "text").join(F.broadcast(chosen), "id").select("y", "text")
+    rows = only(docs, doc_id, text).toDF("id", "text").join(F.broadcast(chosen), "id")
+    # One row an id, so that the sample bounds what comes to the driver.
+    rows = rows.groupBy("id").agg(F.min("y").alias("y"), F.min("text").alias("text")).select("y", "text")
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
