@@ -14,7 +14,9 @@ Versions are one word, without a final .0 (2.0 is 2, GPLv3 is gpl 3). The
 names of an SPDX expression are a word each, and each follows the tag anew.
 
 Edge cases: null and empty texts have no block; a notice twice in a text counts
-once in licenses and twice in n_confirmed; ties of saved bytes go to the name.
+once in licenses and twice in n_confirmed, also where blocks overlap, in which
+one notice counts once; ties of saved bytes go to the name; repeated rows get
+equal results; a very long text is scanned window by window.
 """
 
 from __future__ import annotations
@@ -149,8 +151,8 @@ def stretches(template: list[str], block: list[str], most: int) -> list[tuple[in
     return [(d, s, j) for j, (d, s) in enumerate(row) if d <= most and s < j]
 
 
-def blocks(text: str | None, around: int = AROUND) -> list[str]:
-    """Windows about the cues; those that overlap are one, up to eight windows long."""
+def blocks(text: str | None, around: int = AROUND) -> list[tuple[str, int]]:
+    """Windows about the cues; those that overlap are one, up to eight windows long. With each the characters that it shares with the one before."""
     if not text:
         return []
     low = text.lower()
@@ -161,7 +163,7 @@ def blocks(text: str | None, around: int = AROUND) -> list[str]:
             out[-1][1] = k + around
         else:
             out.append([max(0, k - around), k + around])
-    return [low[a:b] for a, b in out]
+    return [(low[a:b], max(0, before - a)) for (a, b), before in zip(out, [0, *[b for _, b in out]], strict=False)]
 
 
 def _all(text: str, cue: str) -> Iterator[int]:
@@ -187,6 +189,36 @@ class Scanner:
         return sorted(((alone - len(p.compress(raw)), k) for k, p in self.packers.items()), key=lambda x: (-x[0], x[1]))
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[str, int, int]]]:
+        """Number of blocks; name, bytes saved and word edits of each confirmed notice."""
+        found, bs = [], blocks(text)
+        before: set[tuple[str, int]] = set()
+        for b, shared in bs:
+            own = words(b)
+            had, near = set(own), []
+            for saved, k in self.rank(b):
+                if saved <= 0:
+                    break
+                if not self.deciding[k] <= had:
+                    continue
+                most = int(self.share * len(self.words[k]))
+                # The bound on edits with all words alike is quick; the exact one with deciding words comes after it.
+                if edits(self.words[k], own) <= most:
+                    near += [(d, lo - hi, -saved, k, lo, hi) for d, lo, hi in stretches(self.words[k], own, most)]
+            taken: list[tuple[int, int]] = []
+            # A notice that the block before confirmed too, as far from the end of what both share.
+            common = len(words(b[:shared]))
+            now = set()
+            for d, _, saved, k, lo, hi in sorted(near):
+                if all(hi <= x or y <= lo for x, y in taken):
+                    taken.append((lo, hi))
+                    now.add((k, len(own) - lo))
+                    if (k, common - lo) not in before:
+                        found.append((k, -saved, d))
+            before = now
+        return len(bs), found
+
+
+def scan(self, text: str | None) -> tuple[int, list[tuple[str, int, int]]]:
         """Number of blocks; name, bytes saved and word edits of each confirmed notice."""
         found, bs = [], blocks(text)
         for b in bs:
