@@ -5,7 +5,7 @@ reads such a column with the wave module, takes short-time Fourier transforms
 (``FRAME`` samples, Hann window, ``HOP`` apart), keeps in each frame the ``PEAKS``
 strongest local maxima of the magnitude, and pairs each with those of the next
 ``SPAN`` frames' first peak. A pair is the code f1 << 15 | f2 << 6 | frames apart; codes
-go with their frame as two arrays, times and codes.
+go with their frame as two arrays, times and codes, which ``feature`` sums up.
 
 Edge cases: a null or empty text is one block of zero bytes; a payload shorter
 than a frame, or whose last frame is not full, is padded with silence for the transform only; silence has no

@@ -59,7 +59,7 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_features(_table(spark, sf_dir, "documents")).drop("times", "codes")
+    return media.media_features(_table(spark, sf_dir, "documents"))
 
 
 def op9_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
