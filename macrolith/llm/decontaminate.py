@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import by_batch, bounded_batches, only, stored
 
@@ -338,23 +339,49 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", item
     whose remaining text stays; without, the others stay as they are.
     A null text is never contaminated.
     """
-    spark = docs.sparkSession
-    k = docs.columns.index(text)
-    bounded_batches(spark)
-    automata = [spark.sparkContext.broadcast(a) for a in _blocks(items, item_id, item_text, window, block_words)]
-    shared = automata[0] if automata else spark.sparkContext.broadcast(Automaton([], window))
-    if len(automata) > 1:  # beyond one block: each pass carries its hits with the rows
-        return _decontaminate_many(docs, automata, k, cover, longest)
+    sc = docs.sparkSession.sparkContext
+    k, schema = docs.columns.index(text), docs.schema
+    bounded_batches(docs.sparkSession)
+    rows = docs.toDF(*[f"c{i}" for i in range(len(schema))])
+    inner = rows.schema
+    wide = T.StructType([*inner.fields, T.StructField("_spans", T.ArrayType(T.IntegerType()))])
+    blocks = _blocks(items, item_id, item_text, window, block_words)
+    automaton, carried, number = next(blocks, None) or Automaton([], window), False, 0
+    # Beyond one block the rows carry their hits from one to the next, and no more than three blocks are held at once.
+    while (after := next(blocks, None)) is not None:
+        rows = rows.mapInArrow(_adding(sc.broadcast(automaton), k, len(schema), carried), wide)
+        automaton, carried, number = after, True, number + 1
+        if number % 3 == 0:
+            rows = stored(rows, "hits")
+    return rows.mapInArrow(_judging(sc.broadcast(automaton), k, len(schema), carried, cover, longest), inner).toDF(*schema.names)
+
+
+def _spans(shared, b: pa.RecordBatch, k: int, width: int, carried: bool) -> list[list[tuple[int, int]]]:
+    old = [list(zip(x[::2], x[1::2], strict=True)) for x in b.column(width).to_pylist()] if carried else [[]] * b.num_rows
+    found = [shared.value.matches(words_of(t))[0] for t in b.column(k).to_pylist()]
+    return [_union(s, o) if o else s for s, o in zip(found, old, strict=True)]
+
+
+def _adding(shared, k: int, width: int, carried: bool):
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans = [[x for p in s for x in p] for s in _spans(shared, b, k, width, carried)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(spans, pa.list_(pa.int32()))], [*b.schema.names[:width], "_spans"])
+
+    return go
+
 
+def _judging(shared, k: int, width: int, carried: bool, cover: int, longest: int | None):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield _judged(b, b, k, [shared.value.matches(words_of(t))[0] for t in b.column(k).to_pylist()], cover, longest)
+            kept = pa.RecordBatch.from_arrays(b.columns[:width], schema=pa.schema([b.schema.field(i) for i in range(width)]))
+            yield _judged(kept, k, _spans(shared, b, k, width, carried), cover, longest)
 
-    return docs.mapInArrow(go, docs.schema)
+    return go
 
 
-def _judged(b: pa.RecordBatch, kept: pa.RecordBatch, k: int, spans: list, cover: int, longest: int | None) -> pa.RecordBatch:
-    texts = b.column(k).to_pylist()
+def _judged(kept: pa.RecordBatch, k: int, spans: list, cover: int, longest: int | None) -> pa.RecordBatch:
+    texts = kept.column(k).to_pylist()
     stay = []
     for i, (t, s) in enumerate(zip(texts, spans, strict=True)):
         hit = sum(y - x for x, y in s)
@@ -364,36 +391,3 @@ def _judged(b: pa.RecordBatch, kept: pa.RecordBatch, k: int, spans: list, cover:
     if longest is not None:
         kept = kept.set_column(k, kept.schema.field(k), pa.array(texts, kept.schema.field(k).type))
     return kept.filter(pa.array(stay, pa.bool_()))
-
-
-def _decontaminate_many(docs: DataFrame, automata: list, k: int, cover: int, longest: int | None) -> DataFrame:
-    schema = docs.schema
-    names = [f"c{i}" for i in range(len(schema))]
-    rows = docs.toDF(*names)
-    inner = rows.schema
-    width = len(names)
-
-    def adding(shared, first: bool):
-        def go(batches):
-            for b in batches:
-                old = [[]] * b.num_rows if first else [list(zip(x[::2], x[1::2], strict=True)) for x in b.column(width).to_pylist()]
-                spans = [[x for p in _union(shared.value.matches(words_of(t))[0], o) for x in p] for t, o in zip(b.column(k).to_pylist(), old, strict=True)]
-                yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(spans, pa.list_(pa.int32()))], [*names, "_spans"])
-
-        return go
-
-    from pyspark.sql import types as T
-
-    wide = T.StructType([*inner.fields, T.StructField("_spans", T.ArrayType(T.IntegerType()))])
-    for i, a in enumerate(automata):
-        rows = rows.mapInArrow(adding(a, not i), wide)
-        if i % 3 == 2:
-            rows = stored(rows, "hits")
-
-    def last(batches):
-        for b in batches:
-            spans = [list(zip(x[::2], x[1::2], strict=True)) for x in b.column(width).to_pylist()]
-            kept = pa.RecordBatch.from_arrays(b.columns[:width], names)
-            yield _judged(kept, kept, k, spans, cover, longest)
-
-    return rows.mapInArrow(last, inner).toDF(*schema.names)
