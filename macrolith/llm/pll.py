@@ -10,18 +10,23 @@ most frequent ones are entries of the network; words beyond them share
 ``BUCKETS`` hashed entries, and P(word) there is P(entry | both sides) times
 the word's share of its entry's count. The table of those words is as long as
 the corpus has words, stays in the shared folder, and is joined with the words
-of the documents. Training is data-parallel and sees every token of every document: in
-each round the tasks run minibatch descent over their rows from the shared
-weights and hand back their weights with their token counts, and the weighted
-mean starts the next round. What is gathered is thus the counts of all words
-and one set of weights a task, which grow with the corpus. Weights come back as
-rows of an aggregate over slices, so that the driver only sees their sums.
+of the documents.
+
+Training is data-parallel and sees every token of every document. Documents are
+dealt to shards of about ``SHARD`` words by a hash of their id and text, so a
+text that many rows share is spread; a shard's documents, in the order of their
+hashes, run through minibatch descent from the shared weights, and the mean of
+the shards' weights, weighted by their words, starts the next round. What is
+gathered is thus the counts of all words and one set of weights a shard, which
+grow with the corpus. Weights are summed as whole numbers, and a document is
+scored by itself, so scores do not depend on how rows lie in files or tasks.
 
 Edge cases: each hashed entry holds one more count for all words that the
 scorer never saw, spelled out byte by byte, so that they score below any word
 seen; a null or empty text has no tokens and scores 0 with perplexity
 null; sides beyond a document's ends are a boundary token; repeated rows get
-equal scores; without any token the network stays as it starts.
+equal scores; without any token the network stays as it starts; a very long
+text is trained on and scored in steps of ``STEP`` words.
 """
 
 from __future__ import annotations
@@ -34,14 +39,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, only, stored
-from .decontaminate import words_of
+from .chunks import words_of_batch
+from .common import bounded_batches, by_batch, only, stored
 
 SIDE, HIDDEN, CLASSES = 2, 16, 32
 BUCKETS = 64
 ROUNDS, RATE, STEP = 1, 2.0, 4096
+#: Words of one shard.
+SHARD = 4_000_000
+#: Weights are summed in units of one part in this many.
+UNIT = 1 << 26
 #: Words that a task's partial counts hold before they are handed on.
-COUNTED = 100_000
+COUNTED = 200_000
 #: The most frequent words whose counts the workers hold, at most; all others' counts are joined, with the same result.
 KNOWN = 200_000
 #: A byte of an unseen word: one of the 164 that words are made of, and whether it is the last.
@@ -150,8 +159,7 @@ class Scorer:
 
     def entries(self, words: list[bytes]) -> np.ndarray:
         ids, base = self.ids, self.net.size - BUCKETS
-        # bucket() inline, for speed.
-        return np.array([ids[w] if w in ids else base + (len(w) * 131 + w[0] * 31 + w[-1]) % BUCKETS for w in words], np.int64)
+        return np.array([ids[w] if w in ids else base + bucket(w) for w in words], np.int64)
 
     def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Entries; log P(word | entry), without the count of words that are not in known; where those are."""
@@ -175,11 +183,6 @@ class Scorer:
         return np.concatenate([np.zeros(0, np.float32), *[self.net.forward(w, rows[a : a + STEP], target[a : a + STEP])[0] for a in range(0, len(target), STEP)]])
 
 
-def _pieces(texts: list[str | None], most: int = 64) -> Iterator[list[str | None]]:
-    for a in range(0, len(texts), most):
-        yield texts[a : a + most]
-
-
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """word, n: how often each word is in all documents."""
 
@@ -192,10 +195,11 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             return b
 
         for b in batches:
-            for t in b.column(0).to_pylist():
-                held.update(words_of(t))
-                if len(held) > COUNTED:
-                    yield out()
+            index, words, _ = words_of_batch(b.column(0))
+            for w, n in zip(words, np.bincount(index, minlength=len(words)).tolist(), strict=True):
+                held[w] += n
+            if len(held) > COUNTED:
+                yield out()
         yield out()
 
     return by_batch(only(docs, text), go, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -239,11 +243,17 @@ def _held(counts: DataFrame, ids: dict[bytes, int]) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, *, text: str = "text", hidden: int = HIDDEN, classes: int = CLASSES, rounds: int = ROUNDS, rate: float = RATE) -> Scorer:
+def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", hidden: int = HIDDEN, classes: int = CLASSES, rounds: int = ROUNDS, rate: float = RATE, shard: int = SHARD) -> Scorer:
     spark = docs.sparkSession
     net = Network(hidden, classes)
     counts = stored(word_counts(docs, text), "words")
     scorer = Scorer(_first(counts, net.size - BUCKETS), net, counts)
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if not total:
+        return scorer
+    shards = -(-total // shard)
+    rows = only(docs, doc_id, text).toDF("doc_id", "text").where("text is not null").select("text", F.xxhash64("doc_id", "text").alias("h"))
+    dealt = rows.repartitionById(shards, F.pmod("h", F.lit(shards)).cast("int")).sortWithinPartitions("h", "text").select("text")
     slices = np.array_split(np.arange(len(net.flat)), 16)
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(scorer)
@@ -251,40 +261,43 @@ def train(docs: DataFrame, *, text: str = "text", hidden: int = HIDDEN, classes:
         def go(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             s = shared.value
             flat, seen = s.net.flat.copy(), 0
-            for b in batches:
-                for part in _pieces(b.column(0).to_pylist()):
-                    texts = [words_of(t) for t in part]
-                    target = s.entries([w for x in texts for w in x])
-                    rows = s.sides(target, np.array([len(x) for x in texts], np.int64))
-                    for a in range(0, len(target), STEP):
-                        t = target[a : a + STEP]
-                        s.net.step(flat, rows[a : a + STEP], t, rate * len(t) / STEP)
-                        seen += len(t)
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(slices)), pa.int32()), pa.array([seen] * len(slices), pa.int64()), pa.array([flat[k] for k in slices], pa.list_(pa.float32()))], ["slice", "n", "w"])
-
-        got = stored(by_batch(only(docs, text), go, "slice int, n long, w array<float>"), "weights")
-        total = got.where("slice = 0").agg(F.sum("n")).first()[0]
-        if not total:
-            break
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+
+            def steps(last: bool) -> None:
+                """Steps are cut by words alone, wherever batches end."""
+                nonlocal seen
+                rows, target = [np.concatenate(x) for x in zip(*held, strict=True)]
+                end = len(target) if last else len(target) // STEP * STEP
+                for a in range(0, end, STEP):
+                    t = target[a : min(a + STEP, end)]
+                    s.net.step(flat, rows[a : a + len(t)], t, rate * len(t) / STEP)
+                    seen += len(t)
+                held[:] = [(rows[end:], target[end:])]
 
-        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = {}
             for b in batches:
-                for k, n, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                    held[k] = held.get(k, 0) + n * x.values.to_numpy().astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(list(held.values()), pa.list_(pa.float64()))], ["slice", "w"])
+                index, words, begin = words_of_batch(b.column(0))
+                target = s.entries(words)[index] if len(index) else np.zeros(0, np.int64)
+                held.append((s.sides(target, np.diff(begin)), target))
+                if sum(len(t) for _, t in held) >= 16 * STEP:
+                    steps(False)
+            if held:
+                steps(True)
+            if seen:
+                whole = np.rint(flat.astype(np.float64) * UNIT).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(slices)), pa.int32()), pa.array([seen] * len(slices), pa.int64()), pa.array([whole[k] for k in slices], pa.list_(pa.int64()))], ["slice", "n", "w"])
 
-        # Weighted mean: summed in each task that reads weights, then position by position, combined before the shuffle.
-        each = by_batch(got, sums, "slice int, w array<double>").select("slice", F.posexplode("w").alias("at", "x")).groupBy("slice", "at").agg((F.sum("x") / F.lit(float(total))).alias("x"))
+        bounded_batches(spark)
+        got = stored(dealt.mapInArrow(go, "slice int, n long, w array<long>"), "weights")
+        # Weighted mean, position by position, combined before the shuffle; whole numbers add up alike in any order.
+        each = got.select("slice", "n", F.posexplode("w").alias("at", "x")).groupBy("slice", "at").agg(F.sum(F.col("x").cast("decimal(38,0)") * F.col("n")).alias("x"))
         mean = each.groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("v")).select("slice", F.col("v.x").alias("x")).orderBy("slice").collect()
-        net.flat = np.concatenate([np.array(r.x, np.float32) for r in mean])
+        net.flat = np.concatenate([np.array([float(v) / (UNIT * total) for v in r.x], np.float32) for r in mean])
     return scorer
 
 
 def score(docs: DataFrame, scorer: Scorer | None = None, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document row: doc_id, n_tokens, pll (sum of log probabilities), perplexity (exp of minus their mean)."""
-    scorer = scorer or train(docs, text=text)
+    scorer = scorer or train(docs, doc_id=doc_id, text=text)
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
     rows = only(docs, doc_id, text).toDF("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -293,24 +306,23 @@ def score(docs: DataFrame, scorer: Scorer | None = None, *, doc_id: str = "doc_i
         # A row for each document, and one for each of its words that are not in known. The former have a key that is no word and differs from row to row, so the join spreads them.
         s = shared.value
         for b in batches:
-            at = 0
-            for part in _pieces(b.column(1).to_pylist()):
-                texts = [words_of(t) for t in part]
-                words, count = [w for x in texts for w in x], np.array([len(x) for x in texts], np.int64)
-                t, own, beyond = s.look_up(words)
-                logp = s.logps(s.sides(t, count), t) + own
-                ends = np.cumsum(count)
-                total = np.concatenate(([0.0], np.cumsum(logp)))
-                number = b.column(2).slice(at, len(part)).to_pylist()
-                pairs = Counter(zip(np.repeat(number, count)[beyond].tolist(), [words[k] for k in beyond.tolist()], strict=True))
-                word = [b"\0%d" % n for n in number] + [w for _, w in pairs]
-                times = [0] * len(part) + list(pairs.values())
-                of = number + [n for n, _ in pairs]
-                more = len(word) - len(part)
-                first = b.column(0).slice(at, len(part))
-                cols = [pa.array(of, pa.int64()), pa.concat_arrays([first, pa.nulls(more, first.type)]), pa.array(count.tolist() + [0] * more, pa.int64()), pa.array((total[ends] - total[ends - count]).tolist() + [0.0] * more, pa.float64()), pa.array(word, pa.binary()), pa.array(times, pa.int32())]
-                yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "n_tokens", "pll", "word", "times"])
-                at += len(part)
+            index, words, begin = words_of_batch(b.column(1))
+            entry, own, beyond = s.look_up(words)
+            target, ends = entry[index] if len(index) else np.zeros(0, np.int64), begin.tolist()
+            own_all = own[index] if len(index) else np.zeros(0)
+            # Each text by itself, so that its sum has the same last bits whatever lies beside it.
+            count = np.diff(begin)
+            sides = s.sides(target, count)
+            total = [float(s.logps(sides[x:y], target[x:y]).sum(dtype=np.float64) + own_all[x:y].sum()) if y > x else 0.0 for x, y in zip(ends, ends[1:], strict=False)]
+            unknown = np.zeros(len(words), bool)
+            unknown[beyond] = True
+            at = np.flatnonzero(unknown[index]) if len(index) else np.zeros(0, np.int64)
+            pair, times = np.unique(np.repeat(np.arange(len(count)), count)[at] * max(1, len(words)) + index[at], return_counts=True)
+            row, of = b.column(2), pair // max(1, len(words))
+            word = [b"\0%d" % n for n in row.to_pylist()] + [words[k] for k in (pair % max(1, len(words))).tolist()]
+            more, first = len(pair), b.column(0)
+            cols = [pa.concat_arrays([row, row.take(pa.array(of))]), pa.concat_arrays([first, pa.nulls(more, first.type)]), pa.array(np.concatenate((count, np.zeros(more, np.int64)))), pa.array(total + [0.0] * more, pa.float64()), pa.array(word, pa.binary()), pa.array(np.concatenate((np.zeros(len(count), np.int64), times)).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "n_tokens", "pll", "word", "times"])
 
     parts = by_batch(rows.select("doc_id", "text", "row"), go, f"row long, doc_id {kind}, n_tokens long, pll double, word binary, times int")
     if scorer.counts is not None:
@@ -318,6 +330,6 @@ def score(docs: DataFrame, scorer: Scorer | None = None, *, doc_id: str = "doc_i
         own = F.coalesce(F.log(F.col("n").cast("double")), F.octet_length("word") * F.lit(SPELL))
         parts = parts.withColumn("pll", F.when(F.col("times") > 0, F.col("times") * own).otherwise(F.col("pll")))
     scored = parts.groupBy("row").agg(F.first("doc_id", True).alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum("pll").alias("pll")).drop("row")
-    # Equal texts sit in different blocks, so the last bits are rounded off.
+    # Counts that are joined add up in any order, so the last bits are rounded off.
     scored = scored.withColumn("pll", F.round("pll", 3))
     return scored.withColumn("perplexity", F.when(F.col("n_tokens") > 0, F.round(F.exp(-F.col("pll") / F.col("n_tokens")), 6)))
