@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from macrolith.llm import bpe, decontaminate, html_main, langid, license, media, pll, simhash, tokenbin, toxicity
+from macrolith.llm import bpe, chunks, decontaminate, html_main, langid, license, media, pll, simhash, tokenbin, toxicity
 from macrolith.llm.components import components
 from macrolith.llm.queries import tokenizer_path
 
@@ -91,7 +91,7 @@ TRICKY = ["a,. b,, c'. 's, x\x1c, é, İ, Σας, ΟΔΟΣ. <|endoftext|>, <|End
 def test_token_files_round_trip(spark, edge):
     out = "file:///tmp/macrolith-test-tokens"
     docs = edge.union(docs_of(spark, TRICKY).withColumn("doc_id", F.col("doc_id") + 100))
-    manifest = tokenbin.write_tokens(docs, tokenizer_path(), out, files=3)
+    manifest = tokenbin.write_tokens(docs, tokenizer_path(), out, parts=3)
     got = sorted(tokenbin.read_tokens(manifest, out).collect(), key=lambda r: r.start)
     rows = sorted((r.doc_id, r.text) for r in docs.fillna("").collect())
     _, ids = library([t for _, t in rows])
@@ -104,6 +104,72 @@ def test_token_files_round_trip(spark, edge):
     assert tokenbin.token_files(docs.limit(0), tokenizer_path()).count() == 0
 
 
+def test_token_files_without_ids_hot_ids_and_small_files(spark):
+    texts = ["a b c"] * 60 + ["d e", None, "f", "word " * 200]
+    docs = docs_of(spark, texts).withColumn("doc_id", F.expr("CASE WHEN doc_id < 40 THEN 7 WHEN doc_id = 60 THEN NULL WHEN doc_id = 61 THEN NULL ELSE doc_id END"))
+    out = "file:///tmp/macrolith-test-tokens"
+    manifest = tokenbin.write_tokens(docs, tokenizer_path(), out, parts=6, file_bytes=40)
+    got = sorted(tokenbin.read_tokens(manifest, out).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted(r.doc_id for r in got if r.doc_id is not None) + [None, None]
+    assert sorted(len(r.ids) for r in got if r.doc_id is None) == [1, 3] and sum(r.doc_id == 7 for r in got) == 40
+    assert [r.start for r in got] == [sum(r.n_tokens for r in got[:k]) for k in range(len(got))]
+    files = manifest.collect()
+    # The hot id lies in files of several ranges; a file ends soon after its limit.
+    assert len(files) > 6 and sum(f.docs for f in files) == len(texts) and sum(f.tokens > 40 for f in files) <= 1
+    with pytest.raises(ValueError):
+        tokenbin.write_tokens(docs.withColumn("doc_id", F.lit("x")), tokenizer_path(), out)
+
+
+def test_chunks_equal_the_library_with_a_tiny_memo():
+    import pyarrow as pa
+
+    r = random.Random(7)
+    texts = [*EDGE, *TRICKY, *["".join(r.choice(s) for _ in range(r.randint(1, 80))) for _ in range(400) for s in ("ab.,'- ", "the (an).;[]\" ", "éß!? é.\n", "a'slr!. <|>", "İ.,Σσ Σ.", "1.2,½ ²")]]
+    want = library(texts)[1]
+    for size in (1 << 12, 1 << 24):
+        e = tokenbin.LibraryEncoder(tokenizer_path(), 2, size)
+        for at in range(0, len(texts), 500):
+            ids, begin = e.ids(pa.array(texts[at : at + 500]))
+            assert [x.tolist() for x in np.split(ids, begin[1:-1])] == want[at : at + 500]
+        assert e.table.held <= size
+    e = bpe.Encoder(tokenizer_path())
+    words = [x.encode() for x in "a hello thereof übermäßig 漢字 xyzzyxyzzy aaaaaaaaaaaaaaaaaaaaa".split()]
+    assert [x.tolist() for x in e.merge_many(words)] == [e.merge(e.symbols(w.decode(), True)) for w in words] and e.merge_many([]) == []
+
+
+def test_every_chunk_goes_through_the_transducer():
+    """Fed in pieces, whatever their size; all ids come from what the lanes emit."""
+    import pyarrow as pa
+
+    texts = [*EDGE, *TRICKY, "a b " * 500 + "y" * 900 + " end", "\n" * 900]
+    want = library(texts)[1]
+    for piece in (64, 1000, bpe.PIECE):
+        lanes = bpe.Lanes(tokenizer_path(), piece=piece)
+        got, fed_rows = [[] for _ in texts], 0
+        for fed, ids, begin in lanes.rounds(pa.array(texts)):
+            fed_rows += len(fed)
+            for k, x in zip(fed, np.split(ids, begin[1:-1]), strict=True):
+                got[k] += x.tolist()
+        assert got == want and lanes.table.learned > 0 and (piece == bpe.PIECE) == (fed_rows == len(texts))
+        decoded = [bpe._Digests() for _ in texts]
+        for fed, ids, begin in lanes.rounds(pa.array(texts)):
+            for k, n, *x in zip(fed, np.diff(begin).tolist(), *[bpe._pieces(t, ids, begin) for t in (lanes.numbers, lanes.tokens, lanes.bytes)], strict=True):
+                decoded[k].feed(n, *x)
+        t, plain = library([])[0], bpe.Decoder(lanes.e.spec)
+        for d, ids in zip(decoded, want, strict=True):
+            digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+            assert d.close() == (len(ids), digest(" ".join(map(str, ids))), digest(t.decode(ids, skip_special_tokens=False)), digest(plain.decode(ids)))
+
+
+def test_words_of_a_batch():
+    import pyarrow as pa
+
+    texts = [*EDGE, "A-b c", "--", "x", " é'É 1a"]
+    index, words, begin = chunks.words_of_batch(pa.array(texts))
+    assert [[words[k] for k in x] for x in np.split(index, begin[1:-1])] == [decontaminate.words_of(t) for t in texts]
+    assert chunks.words_of_batch(pa.array([], pa.string()))[2].tolist() == [0]
+
+
 def test_frames_are_independent_and_checked():
     out = io.BytesIO()
     w = tokenbin.FrameWriter(out, 2, frame_bytes=64)
@@ -257,6 +323,7 @@ def test_language_on_held_out_documents(spark, edge):
     assert langid.train(edge.limit(0)).predict("hello") == ("und", 0.0)
     assert langid.train(edge).predict("hello") == ("en", 1.0)
     assert langid.with_language(edge, m).columns == edge.columns
+    assert m.predict("½ ² 12 ③ Ⅷ _") == ("und", 0.0) and m.predict("x")[0] != "und"
 
 
 def test_short_clean_texts_keep_their_language(spark):
@@ -273,6 +340,17 @@ def test_short_clean_texts_keep_their_language(spark):
     assert abs(sum(2 ** (c.bits(b"the") - c.bits(b"the" + bytes([k]))) for k in range(256)) - 1) < 1e-9
 
 
+def test_samples_are_bounded_when_ids_repeat(spark):
+    docs = docs_of(spark, ["der die das"] * 300 + ["the and of"] * 300, ["de"] * 300 + ["en"] * 300)
+    one = langid.train(docs.withColumn("doc_id", F.lit(None).cast("long")), salts=4)
+    assert one.samples == {"de": b"der die das\n", "en": b"the and of\n"}
+    labels = spark.createDataFrame([(3, 1), (4, 0)], "doc_id long, toxic int")
+    m = toxicity.train(docs.withColumn("doc_id", F.lit(3).cast("long")).union(docs), labels)
+    assert m.grades.tolist() == [0, 1]
+    # The size of a text does not switch the method: rotations make up about as many bytes.
+    assert len({langid.Model({"en": b"the and of " * 50, "de": b"der die das " * 50}).predict("the and " * n)[0] for n in (1, 10, 100, 128, 129, 2000)}) == 1
+
+
 def test_media_round_trip(spark, edge):
     rows = media.media_features(edge).collect()
     assert len(rows) == 12
@@ -327,6 +405,15 @@ def test_network_gradient_and_scores(spark, edge):
     assert pll.score(edge.limit(0)).count() == 0 and pll.score(edge).count() == 12
 
 
+def test_scores_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(120)
+    got = []
+    for n in (1, 8):
+        d = docs.repartition(n, F.xxhash64("text"))
+        got.append(sorted(map(tuple, pll.score(d, pll.train(d, shard=9000)).collect())))
+    assert got[0] == got[1]
+
+
 def test_vocabulary_counts_everything(spark):
     docs = docs_of(spark, ["b a a", "A c b", None])
     assert pll.vocabulary(docs, 2) == [b"a", b"b"]
@@ -372,6 +459,10 @@ def test_license_scan(spark, edge):
         assert name in r.licenses.split(",") and r.n_confirmed >= 1
     assert rows[-3].licenses == "" and rows[-3].n_blocks == 1 and rows[-1].n_blocks == 0
     assert len(license.scan(edge).collect()) == 12 and license.scan(edge.limit(0)).count() == 0
+    # Notices where blocks are cut and overlap count once each.
+    for gap in (3, 20, 40, 41, 47, 90):
+        text = ("Released under the MIT License. " + "word " * gap) * 120
+        assert [f[0] for f in license.Scanner().scan(text)[1]] == ["MIT"] * 120, gap
 
 
 @pytest.mark.parametrize(
