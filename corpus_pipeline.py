@@ -27,7 +27,8 @@ def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Contaminated documents go; from the others every hit span of over a window's words is cut."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), longest=decontaminate.WINDOW)
 
 
 def encode_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
