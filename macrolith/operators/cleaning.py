@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.ordered import blocked
+
 INF = float("inf")
 
 
@@ -22,8 +24,12 @@ def dropna(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def keep_rows(df: DataFrame, order: list[str], positions: list[int]) -> DataFrame:
     """Rows by their 1-based position in an order."""
+    if len(order) == 1:
+        d, _ = blocked(df, order[0])
+        return d.where(F.col("_place").isin(positions)).drop("_block", "_place", "_halo")
+    # Of several columns the first rows up to the last position are enough.
     w = Window.orderBy(*order)
-    return df.withColumn("_row", F.row_number().over(w)).where(F.col("_row").isin(positions)).drop("_row")
+    return df.orderBy(*order).limit(max(positions, default=0)).withColumn("_row", F.row_number().over(w)).where(F.col("_row").isin(positions)).drop("_row")
 
 
 def diagnose(df: DataFrame, columns: list[str], short: int = 10) -> DataFrame:
@@ -38,7 +44,9 @@ def diagnose(df: DataFrame, columns: list[str], short: int = 10) -> DataFrame:
 
 def interpolate(df: DataFrame, column: str, order: str, by: list[str] | None = None) -> DataFrame:
     """Linear by row position inside, nearest value at both ends; within groups."""
-    w = Window.partitionBy(*(by or [])).orderBy(order)
+    if not by:
+        return _interpolate_all(df, column, order)
+    w = Window.partitionBy(*by).orderBy(order)
     back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     x = F.when(~_bad(column), F.col(column))
     d = df.withColumn("_k", F.row_number().over(w)).withColumn("_x", x)
@@ -49,6 +57,34 @@ def interpolate(df: DataFrame, column: str, order: str, by: list[str] | None = N
     return d.withColumn(column, value).drop("_k", "_x", "_x0", "_k0", "_x1", "_k1")
 
 
+def _interpolate_all(df: DataFrame, column: str, order: str) -> DataFrame:
+    """Over a whole order: stretches of it side by side, which know the nearest values of the others from one row a stretch."""
+    d, sizes = blocked(df, order)
+    d = d.withColumn("_x", F.when(~_bad(column), F.col(column)))
+    known = F.struct("_x", "_place")
+    ends = {r["_block"]: (r.first, r.last) for r in d.where("_x is not null").groupBy("_block").agg(F.min_by(known, "_place").alias("first"), F.max_by(known, "_place").alias("last")).collect()}
+    none = (None, None)
+    before, after, seen = [], [], none
+    for k in range(len(sizes)):
+        before.append(seen)
+        seen = (ends[k][1]["_x"], ends[k][1]["_place"]) if k in ends else seen
+    seen = none
+    for k in reversed(range(len(sizes))):
+        after.insert(0, seen)
+        seen = (ends[k][0]["_x"], ends[k][0]["_place"]) if k in ends else seen
+    of = lambda v, i, kind: F.create_map(*[F.lit(z) if j % 2 == 0 else F.lit(z).cast(kind) for k, p in enumerate(v) for j, z in enumerate((k, p[i]))])[F.col("_block")]
+    w = Window.partitionBy("_block").orderBy("_place")
+    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    at = F.when(F.col("_x").isNotNull(), F.col("_place"))
+    d = d.withColumns({
+        "_x0": F.coalesce(F.last("_x", True).over(back), of(before, 0, "double")), "_k0": F.coalesce(F.last(at, True).over(back), of(before, 1, "long")),
+        "_x1": F.coalesce(F.first("_x", True).over(ahead), of(after, 0, "double")), "_k1": F.coalesce(F.first(at, True).over(ahead), of(after, 1, "long")),
+    })
+    between = F.col("_x0") + (F.col("_x1") - F.col("_x0")) * (F.col("_place") - F.col("_k0")) / (F.col("_k1") - F.col("_k0"))
+    value = F.coalesce(F.col("_x"), F.when(F.col("_x0").isNull(), F.col("_x1")).when(F.col("_x1").isNull(), F.col("_x0")).otherwise(between))
+    return d.withColumn(column, value).drop("_x", "_x0", "_k0", "_x1", "_k1", "_block", "_place", "_halo")
+
+
 def fix(df: DataFrame, columns: list[str], method: str = "listwise", order: str | None = None, by: list[str] | None = None) -> DataFrame:
     """Infinite to missing, then listwise deletion, interpolation or mean fill (within groups), then constant columns go."""
     df = df.withColumns({c: F.when(~_bad(c), F.col(c)) for c in columns})

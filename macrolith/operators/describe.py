@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dist
@@ -194,20 +194,24 @@ def equality_tests(df: DataFrame, y: str, group: str) -> DataFrame:
     return rows(df.sparkSession, out, _TEST)
 
 
-def edf_statistics(df: DataFrame, y: str) -> DataFrame:
-    """Fit of a normal with estimated moments: lilliefors (KS), cramer_von_mises, anderson_darling, watson."""
-    d = df.select(F.col(y).cast("double").alias("y")).where("y is not null")
-    n, m, s = d.agg(F.count("*"), F.avg("y"), F.stddev_samp("y")).first()
-    z = (F.col("y") - m) / s
-    values = d.groupBy("y").agg(F.count("*").alias("c")).withColumn("p", F.greatest(F.least(normal_cdf(z), F.lit(1 - 1e-16)), F.lit(1e-300)))
+def edf_of(d: DataFrame, p: Column, n: int) -> dict[str, float]:
+    """ks, cramer_von_mises, anderson_darling and watson of column y against the distribution function p; one row a distinct value, sums over its places in closed form."""
+    values = d.groupBy("y").agg(F.count("*").alias("c")).withColumn("p", F.greatest(F.least(p, F.lit(1 - 1e-16)), F.lit(1e-300)))
     v = running_sum(values, "y", "c", "hi").withColumn("hi", F.col("hi").cast("long")).withColumn("lo", F.col("hi") - F.col("c"))
-    i = lambda e: F.aggregate(F.sequence(F.col("lo") + 1, F.col("hi")), F.lit(0.0), e)
+    u, l, c, q = F.col("hi") / n, F.col("lo") / n, F.col("c"), F.col("p")  # noqa: E741
     got = v.agg(
-        F.max(F.greatest(F.col("hi") / n - F.col("p"), F.col("p") - F.col("lo") / n)).alias("ks"),
-        F.sum(i(lambda a, k: a + F.pow(F.col("p") - (2 * k - 1) / (2 * n), 2))).alias("w"),
-        F.sum(i(lambda a, k: a + (2 * k - 1) * F.log(F.col("p")) + (2 * n + 1 - 2 * k) * F.log(1 - F.col("p")))).alias("a"),
-        (F.sum(F.col("p") * F.col("c")) / n).alias("mean"),
+        F.max(F.greatest(u - q, q - l)).alias("ks"),
+        F.sum(c * (F.pow(q - (u + l) / 2, 2) + F.pow(u - l, 2) / 12 - 1.0 / (12.0 * n * n))).alias("w"),
+        F.sum(c * ((u + l) * F.log(q) + (2 - u - l) * F.log(1 - q))).alias("a"),
+        (F.sum(q * c) / n).alias("mean"),
     ).first()
     w = got.w + 1 / (12 * n)
-    out = [("lilliefors", got.ks), ("cramer_von_mises", w), ("anderson_darling", -n - got.a / n), ("watson", w - n * (got.mean - 0.5) ** 2)]
-    return rows(df.sparkSession, [{"test": k, "n": n, "statistic": x} for k, x in out], "test string, n long, statistic double")
+    return {"ks": got.ks, "cramer_von_mises": w, "anderson_darling": -n - got.a, "watson": w - n * (got.mean - 0.5) ** 2}
+
+
+def edf_statistics(df: DataFrame, y: str) -> DataFrame:
+    """Fit of a normal with estimated moments: lilliefors (KS), cramer_von_mises, anderson_darling, watson."""
+    d = df.select(F.col(y).cast("double").alias("y")).where("y is not null")
+    n, m, s = d.agg(F.count("*"), F.avg("y"), F.stddev_samp("y")).first()
+    got = edf_of(d, normal_cdf((F.col("y") - m) / s), n)
+    return rows(df.sparkSession, [{"test": "lilliefors" if k == "ks" else k, "n": n, "statistic": x} for k, x in got.items()], "test string, n long, statistic double")

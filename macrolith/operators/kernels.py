@@ -27,3 +27,8 @@ def per_series(df: DataFrame, columns: list[str], order: str, f: Callable[[np.nd
 
     kind = f"{by} {df.schema[by].dataType.simpleString()}, " if by else ""
     return d.groupBy(key).applyInPandas(go, kind + schema)
+
+
+def tidy(names: tuple[str, ...], rows: list[tuple]) -> dict:
+    """Columns of a kernel's result from its rows."""
+    return dict(zip(names, zip(*rows, strict=True), strict=True)) if rows else {n: [] for n in names}

@@ -196,15 +196,22 @@ def stability(df: DataFrame, columns: list[str], order: str, p: int = 1, by: str
     return per_series(df, columns, order, lambda t, y: {"root": range(1, len(columns) * p + 1), "modulus": Var(y, p).roots}, "root int, modulus double", by)
 
 
-def _collect(df: DataFrame, columns: list[str], order: str) -> np.ndarray:
+#: Rows of one system that the driver takes; more are an error.
+SYSTEM_ROWS = 1_000_000
+
+
+def system(df: DataFrame, columns: list[str], order: str, most: int = SYSTEM_ROWS) -> np.ndarray:
     """One system's rows, which the model needs together in any case."""
-    return df.dropna(subset=columns).orderBy(order).select(*columns).toPandas().to_numpy(float)
+    got = df.dropna(subset=columns).select(order, *columns).limit(most + 1).toPandas()
+    if len(got) > most:
+        raise ValueError(f"a system has {most} rows at most")
+    return got.sort_values(order)[columns].to_numpy(float)
 
 
 def bootstrap_irf(df: DataFrame, columns: list[str], order: str, p: int = 1, horizon: int = 12, replicates: int = 200, level: float = 0.95, seed: int = 1) -> DataFrame:
     """horizon, variable, shock, value, lower, upper by residual bootstrap; replicates are rows."""
     spark = df.sparkSession
-    y = _collect(df, columns, order)
+    y = system(df, columns, order)
     m = Var(y, p)
     shared = spark.sparkContext.broadcast((y[:p], m.b, m.u - m.u.mean(0)))
     n = len(columns)
@@ -234,7 +241,7 @@ def bootstrap_irf(df: DataFrame, columns: list[str], order: str, p: int = 1, hor
 def sign_restricted_irf(df: DataFrame, columns: list[str], order: str, signs: dict[tuple[str, str], int], p: int = 1, horizon: int = 12, draws: int = 1000, seed: int = 1) -> DataFrame:
     """horizon, variable, shock, median, lower, upper over Haar rotations whose impact has the signs {(variable, shock): +-1}; rotations are rows."""
     spark = df.sparkSession
-    m = Var(_collect(df, columns, order), p)
+    m = Var(system(df, columns, order), p)
     shared = spark.sparkContext.broadcast((m.moving_average(horizon), m.impact()))
     at = {c: i for i, c in enumerate(columns)}
     want = [(at[v], at[s], g) for (v, s), g in signs.items()]
@@ -259,7 +266,7 @@ def sign_restricted_irf(df: DataFrame, columns: list[str], order: str, signs: di
 def bvar(df: DataFrame, columns: list[str], order: str, p: int = 1, draws: int = 500, tightness: float = 0.2, seed: int = 1) -> DataFrame:
     """equation, term, mean, sd, lower, upper: normal-inverse-Wishart posterior with Minnesota dummy rows, direct draws as rows."""
     spark = df.sparkSession
-    y = _collect(df, columns, order)
+    y = system(df, columns, order)
     n = y.shape[1]
     z, x = lag_matrix(y, p)
     s = np.array([math.sqrt((lambda e: e @ e / len(e))(ols(*(lambda q: (q[0][:, 0], q[1]))(lag_matrix(c, p)))[1])) for c in y.T])

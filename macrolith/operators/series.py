@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import dist
 from ..functions.linalg import lags as lag_matrix
 from ..functions.linalg import ols
-from ..plans.ordered import exact_quantiles
+from ..plans.ordered import blocked, exact_quantiles
 from .kernels import per_series
 
 
@@ -278,12 +278,17 @@ def baxter_king_weights(low: float = 6, high: float = 32, k: int = 12) -> np.nda
 
 def baxter_king(df: DataFrame, column: str, order: str, low: float = 6, high: float = 32, k: int = 12, by: list[str] | None = None) -> DataFrame:
     """Native: cycle as a weighted sum of window lags and leads; k rows are lost at both ends."""
-    w = Window.partitionBy(*(by or [])).orderBy(order)
+    d, w = df, Window.partitionBy(*(by or [])).orderBy(order)
+    if not by:
+        d, _ = blocked(df, order, k, k)
+        w = Window.partitionBy("_block").orderBy("_place")
     b = baxter_king_weights(low, high, k)
     cycle = F.lit(float(b[0])) * F.col(column)
     for j in range(1, k + 1):
         cycle = cycle + F.lit(float(b[j])) * (F.lag(column, j).over(w) + F.lead(column, j).over(w))
-    return df.select(*(by or []), order, F.col(column).alias("value"), cycle.alias("cycle")).where("cycle is not null").withColumn("trend", F.col("value") - F.col("cycle"))
+    out = d.select(*(by or []), order, F.col(column).alias("value"), cycle.alias("cycle"), *([] if by else ["_halo"]))
+    out = out.where("cycle is not null") if by else out.where("cycle is not null and not _halo").drop("_halo")
+    return out.withColumn("trend", F.col("value") - F.col("cycle"))
 
 
 def beveridge_nelson(y: np.ndarray, p: int = 2) -> np.ndarray:

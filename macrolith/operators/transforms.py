@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.ordered import blocked, running_sum
+
 #: Rows lost by code; a logarithm is charged one in the form for many columns.
 LOSS = {1: 0, 2: 1, 3: 2, 4: 0, 5: 1, 6: 2, 7: 2}
 
@@ -21,34 +23,47 @@ def tcode(x: Column, code: int, w) -> Column:
 
 def apply_tcodes(df: DataFrame, codes: dict[str, int], order: str, by: list[str] | None = None, trim: bool = True) -> DataFrame:
     """Each column by its code; a column with a value of 0 or less falls back from 4 and up to 2; leading rows go to the longest loss."""
-    w = Window.partitionBy(*(by or [])).orderBy(order)
     logs = [c for c, k in codes.items() if k >= 4]
     if logs:
         low = df.agg(*[F.min(c).alias(c) for c in logs]).first()
         codes = {c: 2 if c in logs and low[c] is not None and low[c] <= 0 else k for c, k in codes.items()}
     lost = max([1 if k == 4 else LOSS[k] for k in codes.values()], default=0)
-    out = df.withColumns({c: tcode(F.col(c), k, w) for c, k in codes.items()} | {"_k": F.row_number().over(w)})
-    return (out.where(F.col("_k") > lost) if trim else out).drop("_k")
+    d, w, place = _frames(df, order, by, 2)
+    out = d.withColumns({c: tcode(F.col(c), k, w) for c, k in codes.items()} | {"_k": place})
+    return (out.where(F.col("_k") > lost) if trim else out).where("not _halo").drop("_k", *_MARKS)
+
+
+_MARKS = ("_block", "_place", "_halo")
+
+
+def _frames(df: DataFrame, order: str, by: list[str] | None, before: int, after: int = 0):
+    """Rows, a window and the place in it: of groups, or of stretches of the whole order with their neighbours' rows."""
+    if by:
+        w = Window.partitionBy(*by).orderBy(order)
+        return df.withColumn("_halo", F.lit(False)), w, F.row_number().over(w)
+    d, _ = blocked(df, order, before, after)
+    return d, Window.partitionBy("_block").orderBy("_place"), F.col("_place")
 
 
 def inverse_tcode(df: DataFrame, column: str, code: int, order: str, previous: list[float]) -> DataFrame:
     """Levels again from a transformed column and the one or two levels before it (oldest first)."""
-    run = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     x = F.col(column)
+    run = lambda d, c, name: running_sum(d, order, c, name)
     if code == 1:
         return df
     if code == 4:
         return df.withColumn(column, F.exp(x))
     base = [F.log(F.lit(float(p))) if code in (5, 6) else F.lit(float(p)) for p in previous]
+    df = run(df, column, "_s")
     if code in (2, 5):
-        level = base[-1] + F.sum(x).over(run)
+        level = base[-1] + F.col("_s")
     elif code in (3, 6):
-        df = df.withColumn("_d", base[1] - base[0] + F.sum(x).over(run))
-        level = base[1] + F.sum("_d").over(run)
+        df = run(df.withColumn("_d", base[1] - base[0] + F.col("_s")), "_d", "_t")
+        level = base[1] + F.col("_t")
     else:
-        df = df.withColumn("_d", base[1] / base[0] - 1 + F.sum(x).over(run))
-        level = base[1] * F.exp(F.sum(F.log1p("_d")).over(run))
-    return df.withColumn(column, F.exp(level) if code in (5, 6) else level).drop("_d")
+        df = run(df.withColumn("_d", F.log1p(base[1] / base[0] - 1 + F.col("_s"))), "_d", "_t")
+        level = base[1] * F.exp(F.col("_t"))
+    return df.withColumn(column, F.exp(level) if code in (5, 6) else level).drop("_d", "_s", "_t")
 
 
 def panel_shift(df: DataFrame, column: str, k: int, unit: str, time: str) -> Column:
@@ -90,6 +105,6 @@ def two_way_demean(df: DataFrame, columns: list[str], unit: str, time: str) -> D
 
 def lag_design(df: DataFrame, columns: list[str], p: int, order: str, by: list[str] | None = None) -> DataFrame:
     """Columns and their lags 1..p as {column}_l{j}; rows without all lags go."""
-    w = Window.partitionBy(*(by or [])).orderBy(order)
-    out = df.withColumns({f"{c}_l{j}": F.lag(c, j).over(w) for j in range(1, p + 1) for c in columns} | {"_k": F.row_number().over(w)})
-    return out.where(F.col("_k") > p).drop("_k")
+    d, w, place = _frames(df, order, by, p)
+    out = d.withColumns({f"{c}_l{j}": F.lag(c, j).over(w) for j in range(1, p + 1) for c in columns} | {"_k": place})
+    return out.where((F.col("_k") > p) & ~F.col("_halo")).drop("_k", *_MARKS)

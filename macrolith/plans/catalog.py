@@ -142,9 +142,10 @@ def _(t):
     return containers.xtset(t("panel"), "unit", "t").select("y").group_data(3).df
 
 
-@register("within_demean", "SELECT unit, t, round(y - avg(y) OVER (PARTITION BY unit), 6) + 0.0 AS y FROM {panel}")
+# Of logarithms: sums of cents make exact ties at the last digit kept, which any order of summation decides its own way.
+@register("within_demean", "SELECT unit, t, round(ln(y) - avg(ln(y)) OVER (PARTITION BY unit), 6) + 0.0 AS y FROM {panel}")
 def _(t):
-    return transforms.demean(t("panel").select("unit", "t", "y"), ["y"], ["unit"])
+    return transforms.demean(t("panel").select("unit", "t", F.log("y").alias("y")), ["y"], ["unit"])
 
 
 @register("two_way_demean", "SELECT unit, t, round(y - avg(y) OVER (PARTITION BY unit) - avg(y) OVER (PARTITION BY t) + avg(y) OVER (), 6) + 0.0 AS y FROM {panel}")
@@ -1249,3 +1250,6 @@ def _(t):
 def _(t):
     m = structural.Model(["y[t] = 0.6 * y[t-1] + u[t] + e[t]", "u[t] = 0.9 * u[t-1] + 0.3 * v[t]"], ["y", "u"], ["e", "v"], {})
     return structural.shock_contributions(_scaled(t), structural.Solution(m, {"y": 0.0, "u": 0.0}), ["y"])
+
+
+from . import catalog_more  # noqa: E402, F401 - registers the further queries

@@ -28,6 +28,56 @@ def running_sum(df: DataFrame, order: str, value: str, name: str, parts: int = P
     return d.withColumn(name, F.sum(value).over(w) + shift[F.col("_bucket")]).drop("_bucket")
 
 
+def blocked(df: DataFrame, order: str, before: int = 0, after: int = 0, parts: int = PARTS) -> tuple[DataFrame, list[int]]:
+    """Rows with _block (consecutive stretches of the order), _place (1-based position among all) and _halo, and the rows of each block.
+
+    With before or after, each block also has that many rows of its neighbours,
+    marked _halo, so that windows over a block see them. Blocks come from
+    approximate quantiles and are merged until each has rows enough for its
+    neighbours. Order values must be distinct.
+    """
+    cuts = df.select(F.percentile_approx(order, [k / parts for k in range(1, parts)], 2000)).first()[0] or []
+    raw = F.coalesce(sum(((F.col(order) > F.lit(c)).cast("int") for c in sorted(set(cuts))), F.lit(0)), F.lit(0))
+    d = df.withColumn("_block", raw)
+    counts = dict(d.groupBy("_block").count().collect())  # at most parts rows
+    least, block, sizes = max(1, before, after), {}, []
+    held = 0
+    for k in sorted(counts):
+        block[k] = len(sizes)
+        held += counts[k]
+        if held >= least:
+            sizes.append(held)
+            held = 0
+    if held and sizes:
+        sizes[-1] += held
+        block = {k: min(v, len(sizes) - 1) for k, v in block.items()}
+    elif held:
+        sizes = [held]
+    sizes = sizes or [0]
+    start = [0, *accumulate(sizes)][:-1]
+    number = F.create_map(*[F.lit(x) for k, v in (block or {0: 0}).items() for x in (k, v)])
+    shift = F.create_map(*[F.lit(x) for k, v in enumerate(start) for x in (k, v)])
+    d = d.withColumn("_block", number[F.col("_block")])
+    d = d.withColumn("_place", (F.row_number().over(Window.partitionBy("_block").orderBy(order)) + shift[F.col("_block")]).cast("long"))
+    if not before and not after:
+        return d.withColumn("_halo", F.lit(False)), sizes
+    own, size = F.col("_place") - shift[F.col("_block")], F.create_map(*[F.lit(x) for k, v in enumerate(sizes) for x in (k, v)])[F.col("_block")]
+    to = F.filter(
+        F.array(F.col("_block"), F.when(own > size - before, F.col("_block") + 1), F.when(own <= after, F.col("_block") - 1)),
+        lambda b: b.isNotNull() & (b >= 0) & (b < len(sizes)),
+    )
+    names = [c for c in d.columns if c != "_block"]
+    out = d.select(*[F.col(f"`{c}`") for c in names], F.col("_block").alias("_own"), F.explode(to).alias("_block"))
+    return out.withColumn("_halo", F.col("_own") != F.col("_block")).drop("_own"), sizes
+
+
+def ordered_lags(df: DataFrame, column: str, order: str, lags: int) -> DataFrame:
+    """Adds {column}_l1..: values so many rows before in the order, null where there is none."""
+    d, _ = blocked(df, order, lags)
+    w = Window.partitionBy("_block").orderBy("_place")
+    return d.withColumns({f"{column}_l{j}": F.lag(column, j).over(w) for j in range(1, lags + 1)}).where("not _halo").drop("_block", "_place", "_halo")
+
+
 #: Values that a quantile's bracket may hold when they are looked at one by one.
 BRACKET = 100_000
 
