@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import dist
 from ..functions.columns import normal_cdf, normal_quantile
 from ..plans.ordered import exact_quantiles, running_sum
-from ..plans.store import stored
+from ..plans.store import Kept
 
 
 def rows(spark, records: list[dict], schema: str) -> DataFrame:
@@ -167,7 +167,8 @@ def equality_tests(df: DataFrame, y: str, group: str) -> DataFrame:
     for test, c in (("levene", "a"), ("brown_forsythe", "b")):
         f, p, q = _one_way(cells_of(spread, c), k, n)
         add(test, f, p, q, dist.f_sf(f, p, q))
-    ranked = stored(rank_average(d, "y", "r"))
+    kept = Kept(rank_average(d, "y", "r"))
+    ranked = kept.rows
     by_rank = cells_of(ranked, "r")
     ss = ranked.agg(F.var_samp("r")).first()[0]
     stat = sum(c.n * (c.m - (n + 1) / 2) ** 2 for c in by_rank) / ss
@@ -191,6 +192,7 @@ def equality_tests(df: DataFrame, y: str, group: str) -> DataFrame:
         sd = math.sqrt(cells[0].n * cells[1].n * ss / n)
         zs = (u - cells[0].n * cells[1].n / 2) / sd
         add("mann_whitney", zs, 1, None, 2 * (1 - dist.norm_cdf(abs(zs))))
+    kept.drop()
     return rows(df.sparkSession, out, _TEST)
 
 

@@ -176,14 +176,17 @@ def event_study(df: DataFrame, y: str, unit: str, time: str, first: str, leads:
 
 def alternating_demean(df: DataFrame, columns: list[str], unit: str, time: str, tol: float = 1e-10, most: int = 100) -> DataFrame:
     """Unit and time means out in turn until nothing moves; balanced panels need one pass."""
-    from ..plans.store import stored
+    from ..plans.store import Kept
 
     counts = df.groupBy(unit).count().agg(F.min("count"), F.max("count")).first()
     if counts[0] == counts[1] == df.select(F.count_distinct(time)).first()[0]:
         return two_way_demean(df, columns, unit, time)
+    before = None
     for _ in range(most):
-        new = demean(demean(df, columns, [unit]), columns, [time])
-        new = stored(new)
+        kept = Kept(demean(demean(df, columns, [unit]), columns, [time]))
+        if before:
+            before.drop()
+        before, new = kept, kept.rows
         moved = new.agg(*[F.max(F.abs(F.col(c))) for c in columns]).first()
         by = new.groupBy(unit).agg(*[F.abs(F.avg(c)).alias(c) for c in columns]).agg(*[F.max(c) for c in columns]).first()
         df = new

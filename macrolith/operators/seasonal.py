@@ -45,9 +45,13 @@ def smooth(y: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def centred(y: np.ndarray, s: int) -> np.ndarray:
-    """2 x s average (s even) or s average, ends by lines."""
+    """2 x s average (s even) or s average; the ends go on as a line through the nearest half season of averages, since shorter averages would take in the season."""
     w = np.concatenate(([0.5], np.ones(s - 1), [0.5])) / s if s % 2 == 0 else np.ones(s) / s
-    return smooth(y, w)
+    p, mid = len(w) // 2, np.convolve(y, w, "valid")
+    k = max(2, min(len(mid), s // 2 + 1))
+    x = np.arange(k)
+    first, last = np.polyfit(x, mid[:k], 1), np.polyfit(x, mid[-k:], 1)
+    return np.concatenate((np.polyval(first, np.arange(-p, 0)), mid, np.polyval(last, np.arange(k, k + p))))
 
 
 def seasonal_average(y: np.ndarray, s: int, k: int = 3) -> np.ndarray:
@@ -64,6 +68,14 @@ def seasonal_average(y: np.ndarray, s: int, k: int = 3) -> np.ndarray:
     return out
 
 
+def _level(seasonal: np.ndarray, s: int) -> np.ndarray:
+    """Centred average of a season, the nearest value being kept at both ends."""
+    w = np.concatenate(([0.5], np.ones(s - 1), [0.5])) / s if s % 2 == 0 else np.ones(s) / s
+    mid = np.convolve(seasonal, w, "valid")
+    p = len(w) // 2
+    return np.concatenate((np.full(p, mid[0]), mid, np.full(p, mid[-1])))
+
+
 def extreme_weights(irregular: np.ndarray, centre: float, s: int, low: float = 1.5, high: float = 2.5) -> np.ndarray:
     """1 within low deviations, 0 beyond high, linear between; deviations over five years about each."""
     n, out = len(irregular), np.empty(len(irregular))
@@ -87,14 +99,14 @@ def decompose(y: np.ndarray, s: int, multiplicative: bool) -> dict[str, np.ndarr
         trend = centred(x, s) if not turn else smooth(less(x, seasonal), henderson(length))
         si = less(x, trend)
         seasonal = seasonal_average(si, s, 3 if not turn else 5)
-        seasonal = less(seasonal, centred(seasonal, s))
+        seasonal = less(seasonal, _level(seasonal, s))
         irregular = less(si, seasonal)
         w = extreme_weights(irregular, one, s)
         # Extremes give way to the seasonal part alone.
         x = more(more(trend, seasonal), w * irregular + (1 - w) * one) if not multiplicative else trend * seasonal * (w * irregular + (1 - w))
     si = less(x, trend)
     seasonal = seasonal_average(si, s, 5)
-    seasonal = less(seasonal, centred(seasonal, s))
+    seasonal = less(seasonal, _level(seasonal, s))
     adjusted = less(y, seasonal)
     trend = smooth(less(x, seasonal), henderson(length))
     return {"seasonal": seasonal, "trend": trend, "irregular": less(adjusted, trend), "adjusted": adjusted}

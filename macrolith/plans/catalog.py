@@ -1252,4 +1252,4 @@ def _(t):
     return structural.shock_contributions(_scaled(t), structural.Solution(m, {"y": 0.0, "u": 0.0}), ["y"])
 
 
-from . import catalog_more  # noqa: E402, F401 - registers the further queries
+from . import catalog_more, oracles  # noqa: E402, F401 - registers the further queries and their SQL
