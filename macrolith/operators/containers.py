@@ -89,11 +89,22 @@ class TimeSeries(Data):
     def set_time_index(self, by: Column):
         return dataclasses.replace(self, df=self.df.withColumn(self.time, by))
 
+    def set_dates(self, by: Column, name: str = "date"):
+        """Labels of the times, a column beside them."""
+        return dataclasses.replace(self, df=self.df.withColumn(name, by.cast("string")))
+
+    def dates(self, name: str = "date") -> DataFrame:
+        """Times and their labels; no rows if there are none."""
+        return self.df.select(self.time, name) if name in self.df.columns else self.df.select(self.time, F.lit(None).cast("string").alias(name)).limit(0)
+
 
 @dataclass(frozen=True)
 class CrossSection(Data):
     obs: str = "obs_id"
 
+    def set_obs_id(self, by: Column):
+        return dataclasses.replace(self, df=self.df.withColumn(self.obs, by))
+
 
 @dataclass(frozen=True)
 class Panel(Data):

@@ -21,6 +21,14 @@ def rows(spark, records: list[dict], schema: str) -> DataFrame:
     return spark.createDataFrame([tuple(clean(r.get(n)) for n in names) for r in records], schema)
 
 
+def bounded(df: DataFrame, most: int, what: str) -> pd.DataFrame:
+    """Rows that a model needs on the driver, as many as its size; more than ``most`` are an error."""
+    got = df.limit(most + 1).toPandas()
+    if len(got) > most:
+        raise ValueError(f"more than {most} {what}")
+    return got
+
+
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """variable, n, mean, sd, min, q25, median, q75, max, skewness, excess kurtosis; finite values only."""
     finite = df.select(*[F.when(~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf")), F.col(c).cast("double")).alias(c) for c in columns])

@@ -14,7 +14,7 @@ from ..functions.linalg import guarded_inverse
 from ..functions.linalg import lags as lag_matrix
 from ..functions.linalg import ols
 from ..plans.gram import Moments, gram
-from .describe import rows
+from .describe import bounded, rows
 from .kernels import per_series
 from .multivariate import CUBE, Var, _cube
 from .regression import coefficient_table
@@ -234,8 +234,8 @@ def midas(low: DataFrame, high: DataFrame, y: str, x: str, order: str, ratio: in
     """
     h = high.select(F.col(order).alias("_h"), F.col(x).cast("double").alias("_x"))
     want = low.select(order, F.col(y).cast("double").alias("_y"), F.posexplode(F.sequence(F.lit(0), F.lit(k - 1))).alias("_p", "_j")).withColumn("_h", F.col(order) * ratio + ratio - 1 - F.col("_j"))
-    d = want.join(h, "_h").groupBy(order, "_y").agg(F.sort_array(F.collect_list(F.struct("_j", "_x"))).alias("v")).where(F.size("v") == k).orderBy(order)
-    got = d.select("_y", F.col("v._x").alias("x")).toPandas()  # one low-frequency series
+    d = want.join(h, "_h").groupBy(order, "_y").agg(F.sort_array(F.collect_list(F.struct("_j", "_x"))).alias("v")).where(F.size("v") == k)
+    got = bounded(d.select(order, "_y", F.col("v._x").alias("x")), 1_000_000, "low-frequency periods").sort_values(order)  # one series
     yy, xx = got["_y"].to_numpy(), np.stack(got["x"].to_numpy())
     if kind == "unrestricted":
         b = ols(yy, np.column_stack([np.ones(len(yy)), xx]))[0]

@@ -74,6 +74,25 @@ class Table:
             out.append(self.x.sum() - np.linalg.solve(np.eye(len(a)) - a, y).sum())
         return self.vector(loss=np.array(out), share=np.array(out) / self.x.sum())
 
+    def extension(self, use: DataFrame) -> dict:
+        """Use of a resource by sector (i, value) per unit of output: the intensities that footprint() takes."""
+        got = {r.i: r.v for r in use.groupBy("i").agg(F.sum("value").alias("v")).collect()}
+        return {n: got.get(n, 0.0) / x if x else 0.0 for n, x in zip(self.names, self.x, strict=True)}
+
+    def domar_weights(self) -> DataFrame:
+        """Gross output over the sum of final demand."""
+        return self.vector(weight=self.x / self.Y.sum())
+
+    def productivity(self, theta: float = 1.0, sigma: float = 1.0) -> DataFrame:
+        """Effects of productivity on real income: first order (Domar weights), own second order from cost shares under substitution elasticities of sectors (theta) and demand (sigma), influence, upstreamness, downstreamness."""
+        omega = self.A.T  # row: a buyer's cost shares
+        psi = np.linalg.inv(np.eye(len(self.x)) - omega)
+        b = self.Y / self.Y.sum()
+        weight = self.x / self.Y.sum()
+        cov = lambda share, v: share @ (v * v) - (share @ v) ** 2
+        second = np.array([(sigma - 1) * cov(b, psi[:, k]) + (theta - 1) * sum(weight[j] * cov(omega[j] / max(omega[j].sum(), 1e-300), psi[:, k]) * omega[j].sum() for j in range(len(b))) for k in range(len(b))])
+        return self.vector(first=weight, second=second, influence=b @ psi, upstream=self.G.sum(1), downstream=self.L.sum(0))
+
     def footprint(self, intensity: dict) -> DataFrame:
         """Satellite use by final demand of each sector, per unit output given."""
         f = np.array([intensity.get(n, 0.0) for n in self.names])

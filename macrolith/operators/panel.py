@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from ..functions import dist
 from ..functions.linalg import guarded_inverse
 from ..plans.gram import Moments
-from .describe import rows
+from .describe import bounded, rows
 from .regression import Fit, _test, coefficient_table, ols, robust
 from .transforms import demean, panel_shift, two_way_demean
 
+#: Periods (or cells of cohort and period) of a panel that the driver takes.
+PERIODS = 1_000_000
+
 
 def _within(df: DataFrame, y: str, x: list[str], unit: str, time: str, two_way: bool) -> DataFrame:
     d = df.dropna(subset=[y, *x]).select(unit, time, *[F.col(c).cast("double").alias(c) for c in [y, *x]])
@@ -41,7 +44,8 @@ def fixed_effects(df: DataFrame, y: str, x: list[str], unit: str, time: str, two
 def _driscoll_kraay(fit: Fit, time: str, bandwidth: int | None = None) -> np.ndarray:
     """Scores summed by time, one row a time, then a Bartlett sum."""
     e = fit.residual()
-    s = fit.df.groupBy(time).agg(*[F.sum(e * F.col(c)).alias(f"s{i}") for i, c in enumerate(fit.terms)]).orderBy(time).toPandas().to_numpy(float)[:, 1:]
+    s = fit.df.groupBy(time).agg(*[F.sum(e * F.col(c)).alias(f"s{i}") for i, c in enumerate(fit.terms)])
+    s = bounded(s, PERIODS, "periods").sort_values(time).to_numpy(float)[:, 1:]
     t = len(s)
     bw = int(4 * (t / 100) ** (2 / 9)) if bandwidth is None else bandwidth
     meat = s.T @ s
@@ -236,7 +240,7 @@ def imputation(df: DataFrame, y: str, unit: str, time: str, first: str) -> DataF
 def bacon(df: DataFrame, y: str, unit: str, time: str, first: str) -> DataFrame:
     """kind, treated, control, weight, estimate: every two-group comparison of a balanced staggered panel. Only cell means by (cohort, t) are joined."""
     d = df.select(F.col(unit).alias("u"), F.col(time).alias("t"), F.coalesce(F.col(first), F.lit(0)).alias("g"), F.col(y).cast("double").alias("y"))
-    cells = d.groupBy("g", "t").agg(F.avg("y").alias("m"), F.count("*").alias("n")).toPandas()  # cohorts times periods
+    cells = bounded(d.groupBy("g", "t").agg(F.avg("y").alias("m"), F.count("*").alias("n")), PERIODS, "cells of cohort and period")
     times = np.sort(cells.t.unique())
     size = cells.groupby("g").n.max()
     total = size.sum()

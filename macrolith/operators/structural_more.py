@@ -994,3 +994,50 @@ def example(name: str) -> dict[str, float]:
     if name not in EXAMPLES:
         raise ValueError(f"example {name} is not known; there are {', '.join(sorted(EXAMPLES))}")
     return dict(EXAMPLES[name])
+
+
+# -- accessors, bounds as text -------------------------------------------------------
+
+
+def solution_facts(spark: SparkSession, s: Solution) -> DataFrame:
+    """variables, shocks, stable_roots, determined, stable (largest root of the law of motion under 1), largest_root."""
+    top = float(np.abs(np.linalg.eigvals(s.g)).max())
+    return rows(spark, [{"variables": len(s.g), "shocks": s.h.shape[1], "stable_roots": s.roots, "determined": bool(s.determined), "stable": top < 1, "largest_root": top}], "variables int, shocks int, stable_roots int, determined boolean, stable boolean, largest_root double")
+
+
+def parse_bound(text: str) -> tuple[str, float | None, float | None]:
+    """``i[t] >= 0`` or ``i <= 0.5`` as variable, lower, upper."""
+    for mark in (">=", "<="):
+        if mark in text:
+            left, _, right = text.partition(mark)
+            name = left.strip().removesuffix("[t]").strip()
+            if not name.isidentifier():
+                raise ValueError(f"{left.strip()} is not a variable")
+            return (name, float(right), None) if mark == ">=" else (name, None, float(right))
+    raise ValueError("a bound has >= or <=")
+
+
+def particle_posterior(df: DataFrame, model: Model, priors: dict[str, tuple[str, float, float]], observed: list[str], time: str = "t", draws: int = 48, particles: int = 100, noise: float = 0.05, seed: int = 0, guess: dict[str, float] | None = None) -> DataFrame:
+    """parameter, mean, sd, log_ml: prior draws weighted by particle likelihoods (one importance step of SMC squared); draws are rows."""
+    spark, names = df.sparkSession, list(priors)
+    y = _sample(df, observed, time)
+    table = spark.createDataFrame([(int(i), *map(float, r)) for i, r in enumerate(prior_draws(priors, draws, seed))], "draw long, " + ", ".join(f"`{n}` double" for n in names)).repartition(2 * spark.sparkContext.defaultParallelism)
+
+    def go(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                try:
+                    s = Solution(model.at(**dict(zip(names, map(float, r[1:]), strict=True))), guess)
+                    at = [s.model.variables.index(v) for v in observed]
+                    ll = particle_likelihood(lambda x, e, s=s: x @ s.g.T + e @ s.h.T, np.zeros(len(s.g)), s.h.shape[1], lambda x, s=s, at=at: x[:, at] + s.steady[at], y, noise, particles, seed + int(r[0]))[0] if s.determined else None
+                except (ValueError, np.linalg.LinAlgError, ZeroDivisionError, OverflowError):
+                    ll = None
+                out.append((*r, ll))
+            yield pd.DataFrame(out, columns=["draw", *names, "ll"])
+
+    got = table.mapInPandas(go, "draw long, " + ", ".join(f"`{n}` double" for n in names) + ", ll double").where("ll is not null")
+    top = got.agg(F.max("ll")).first()[0]
+    w = F.exp(F.col("ll") - F.lit(float(top)))
+    r = got.agg(F.avg(w).alias("ml"), *[(F.sum(w * F.col(n)) / F.sum(w)).alias(f"m_{n}") for n in names], *[(F.sum(w * F.col(n) * F.col(n)) / F.sum(w)).alias(f"s_{n}") for n in names]).first()
+    return rows(spark, [{"parameter": n, "mean": r[f"m_{n}"], "sd": math.sqrt(max(0.0, r[f"s_{n}"] - r[f"m_{n}"] ** 2)), "log_ml": float(top + math.log(r.ml))} for n in names], "parameter string, mean double, sd double, log_ml double")

@@ -5,10 +5,10 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import arima, choice, factors, identification, limited, moments, panels, projections, regression, results, seasonal, structural, structural_more, systems, transforms, unitroots, vectors, volatility
+from ..operators import arima, choice, factors, identification, limited, moments, nonlinear, panels, projections, regression, results, seasonal, structural, structural_more, systems, transforms, unitroots, vectors, volatility
 from ..sources import examples
 from . import sqlkit
-from .catalog import _AR, _GUESS, _growth, _scaled, register
+from .catalog import _AR, _GUESS, _X, _growth, _io, _scaled, register
 from .sqlkit import r
 
 _PAIR, _FOUR = ["revenue", "disc"], ["revenue", "qty", "disc", "tax"]
@@ -1269,3 +1269,73 @@ def _(t):
 def _(t):
     return examples.list_sources(t("tsm").sparkSession)
 
+
+# -- nonlinear series, more of input-output, accessors -------------------------------------
+
+
+@register("threshold_linearity", digits=4)
+def _(t):
+    return nonlinear.threshold_linearity(t("tsm"), "disc", "t", replicates=19)
+
+
+@register("threshold_forecast", digits=3)
+def _(t):
+    return nonlinear.threshold_forecast(t("tsm"), "disc", "t", paths=100)
+
+
+_SM = "SELECT d AS y, x, x * x AS x2, x * x * x AS x3, x * x * x * x AS x4 FROM (SELECT disc AS d, lag(disc) OVER (ORDER BY t) AS x FROM {tsm}) WHERE x IS NOT NULL"
+_SMF = ", ".join(sqlkit.regression(_SM, "y", ["1.0e0", "x", "x2", "x3", "x4"][: 2 + j], f"s{j}") for j in range(4))
+
+
+@register("smooth_linearity", f"WITH {_SMF}, f AS (SELECT 'lm3' AS test, (s0.rss - s3.rss) / 3 / (s3.rss / (s3.n - 5)) AS s, 3.0e0 AS a, s3.n - 5 AS b FROM s0, s3 UNION ALL SELECT 'h4', (s2.rss - s3.rss) / (s3.rss / (s3.n - 5)), 1.0e0, s3.n - 5 FROM s2, s3 UNION ALL SELECT 'h3', (s1.rss - s2.rss) / (s2.rss / (s2.n - 4)), 1.0e0, s2.n - 4 FROM s1, s2 UNION ALL SELECT 'h2', (s0.rss - s1.rss) / (s1.rss / (s1.n - 3)), 1.0e0, s1.n - 3 FROM s0, s1) SELECT test, {r('s', 3)} AS statistic, {r(sqlkit.f_sf('s', 'a', 'b'), 3)} AS p_value FROM f", digits=3)
+def _(t):
+    return nonlinear.smooth_linearity(t("tsm"), "disc", "t")
+
+
+@register("smooth_forecast", digits=3)
+def _(t):
+    return nonlinear.smooth_forecast(t("tsm"), "disc", "t", paths=100)
+
+
+@register("bandwidth_sheather_jones", digits=4)
+def _(t):
+    return nonlinear.bandwidth_sj(t("tsm"), "disc", "t")
+
+
+@register("io_domar_weights", f"SELECT i, {r('x / (SELECT sum(value) * 0.5 FROM {sales})')} AS weight FROM {_X}")
+def _(t):
+    return _io(t).domar_weights()
+
+
+@register("io_productivity")
+def _(t):
+    return _io(t).productivity(0.5, 0.9)
+
+
+@register("io_extension_intensities", f"SELECT i, {r('value * 0.5 / x')} AS intensity FROM {{sales}} JOIN {_X} USING (i)")
+def _(t):
+    a = _io(t)
+    use = a.extension(t("sales").select("i", (F.col("value") * 0.5).alias("value")))
+    return a.vector(intensity=np.array([use[n] for n in a.names]))
+
+
+@register("io_ghosh_inverse_identity", f"SELECT i, {r('x', 5)} AS x FROM {_X}", digits=5)
+def _(t):
+    a = _io(t)
+    return a.vector(x=(a.x - a.Z.sum(0)) @ a.G)
+
+
+@register("io_allocation_coefficients", f"SELECT f.i, f.j, {r('f.value / x')} AS value FROM {{flows}} f JOIN {_X} x ON x.i = f.i")
+def _(t):
+    a = _io(t)
+    return a.matrix(a.B)
+
+
+@register("structural_facts", "SELECT CAST(3 AS INT) AS variables, CAST(1 AS INT) AS shocks, CAST(3 AS INT) AS stable_roots, true AS determined, true AS stable, 0.8e0 AS largest_root")
+def _(t):
+    return structural_more.solution_facts(t("tsm").sparkSession, structural.Solution(_growth(), _GUESS))
+
+
+@register("structural_particle_posterior", digits=2)
+def _(t):
+    return structural_more.particle_posterior(_scaled(t), _AR, _PRIORS, ["y"], draws=24, particles=60, guess=_Y0)
