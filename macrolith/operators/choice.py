@@ -149,7 +149,7 @@ def independence_of_alternatives(df: DataFrame, y: str, x: list[str], omit, tabl
 # -- selection by likelihood --------------------------------------------------------
 
 
-def heckman_ml(df: DataFrame, y: str, x: list[str], selected: str, z: list[str]) -> DataFrame:
+def heckman_ml(df: DataFrame, y: str, x: list[str], selected: str, z: list[str], steps: int = 15) -> DataFrame:
     """Coefficient rows of outcome and selection (prefix s:), then sigma and rho, by maximum likelihood; the outcome may be null where not selected."""
     d = df.withColumn("_y", F.coalesce(F.col(y).cast("double"), F.lit(0.0)))
     sel = binary(d, selected, z, "probit")
@@ -167,7 +167,7 @@ def heckman_ml(df: DataFrame, y: str, x: list[str], selected: str, z: list[str])
         return np.where(v[:, 1] > 0.5, log_pdf(e) - theta[-2] + log_cdf((g + r * e) / math.sqrt(1 - r * r)), log_cdf(-g))
 
     fill = d.fillna(0.0, subset=[c for c in x])
-    m = maximise(fill, cols, log, np.concatenate((f.b, sel.b, [0.5 * math.log(f.rss / f.n), 0.0])))
+    m = maximise(fill, cols, log, np.concatenate((f.b, sel.b, [0.5 * math.log(f.rss / f.n), 0.0])), steps)
     s, r = math.exp(m.theta[-2]), math.tanh(m.theta[-1])
     jac = np.diag([1.0] * (kx + kz) + [s, 1 - r * r])
     return coefficient_table(df.sparkSession, ["const", *x, "s:const", *[f"s:{c}" for c in z], "sigma", "rho"], np.concatenate((m.theta[:-2], [s, r])), jac @ m.cov @ jac)

@@ -17,11 +17,9 @@ from ..plans.ordered import exact_quantiles
 from .describe import rows
 from .regression import Fit, binary, coefficient_table, linear, ols
 
-_ERF = np.vectorize(math.erf)
-
 
 def cdf(z: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + _ERF(z / math.sqrt(2)))
+    return dist.norm_cdf_array(z)
 
 
 def log_cdf(z: np.ndarray) -> np.ndarray:

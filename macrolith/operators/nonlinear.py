@@ -71,8 +71,16 @@ def smooth_linearity(df: DataFrame, column: str, order: str, p: int = 1, d: int
     def f(t, y):
         z, x = lag_matrix(y, p)
         z, s = z[:, 0], y[p - d : len(y) - d]
+        # Scaled, which leaves the spans as they are; by orthogonal factors, as powers are near one another.
+        s, x = (s - s.mean()) / s.std(), np.column_stack([x[:, 0], x[:, 1:]])
         add = [x[:, 1:] * s[:, None] ** j for j in (1, 2, 3)]
-        rss = [float((ols(z, np.hstack([x, *add[:k]]))[1] ** 2).sum()) for k in range(4)]
+
+        def left(k):
+            q = np.linalg.qr(np.hstack([x, *add[:k]]))[0]
+            e = z - q @ (q.T @ z)
+            return float(e @ e)
+
+        rss = [left(k) for k in range(4)]
         n, k = len(z), x.shape[1]
         out = []
         for name, a, b in (("lm3", 0, 3), ("h4", 2, 3), ("h3", 1, 2), ("h2", 0, 1)):

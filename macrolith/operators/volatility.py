@@ -161,10 +161,9 @@ class Model:
             return float("inf")
         if k == "cgarch":
             return p[0]
-        if k == "egarch":
-            return math.exp(p[0] / (1 - p[3]))
-        if k == "fiegarch":
-            return math.exp(p[0])
+        if k in ("egarch", "fiegarch"):
+            log = p[0] / (1 - p[3]) if k == "egarch" else p[0]
+            return math.exp(log) if log < 700 else float("inf")
         return (p[0] / (1 - s)) ** (2 / p[4]) if k == "aparch" else p[0] / (1 - s)
 
     def news(self, p: np.ndarray, z: np.ndarray, s: float) -> np.ndarray:

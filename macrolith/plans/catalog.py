@@ -16,11 +16,18 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 
+def _all() -> None:
+    """The further queries and their SQL register themselves on import, once this module is whole."""
+    from . import catalog_more, oracles  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _all()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_SQL)
 
 
@@ -1250,6 +1257,3 @@ def _(t):
 def _(t):
     m = structural.Model(["y[t] = 0.6 * y[t-1] + u[t] + e[t]", "u[t] = 0.9 * u[t-1] + 0.3 * v[t]"], ["y", "u"], ["e", "v"], {})
     return structural.shock_contributions(_scaled(t), structural.Solution(m, {"y": 0.0, "u": 0.0}), ["y"])
-
-
-from . import catalog_more, oracles  # noqa: E402, F401 - registers the further queries and their SQL

@@ -777,7 +777,7 @@ def _(t):
 
 def _binary_panel(t):
     m = t("panel").groupBy("t").agg(F.avg("y").alias("m"))
-    return t("panel").join(m, "t").where("t % 4 = 0").select("unit", "t", (F.col("y") > F.col("m")).cast("double").alias("d"), "x")
+    return t("panel").join(m, "t").select("unit", "t", (F.col("y") > F.col("m")).cast("double").alias("d"), "x")
 
 
 for _k in ("pooled", "fe", "re", "cre"):
@@ -849,7 +849,7 @@ def _(t):
     return choice.ordered_effects(d, limited.ordered(d, "g", ["d", "y"]), ["d", "y"], [0, 1, 2])
 
 
-@register("multinomial_chances", "SELECT " + ", ".join(f"round(avg(CASE WHEN g = {k} THEN 1.0e0 ELSE 0.0e0 END), 4) + 0.0 AS p_{k}" for k in range(3)) + " FROM (SELECT CASE WHEN q < 1.7 THEN 0 WHEN q < 3.4 THEN 1 ELSE 2 END AS g FROM {xs})", digits=4)
+@register("multinomial_chances", "SELECT " + ", ".join(f"round(avg(CASE WHEN g = {k} THEN 1.0e0 ELSE 0.0e0 END), 3) + 0.0 AS p_{k}" for k in range(3)) + " FROM (SELECT CASE WHEN q < 1.7 THEN 0 WHEN q < 3.4 THEN 1 ELSE 2 END AS g FROM {xs})", digits=3)
 def _(t):
     d = _grades(t)
     return choice.multinomial_chances(d, limited.multinomial(d, "g", ["d"]), ["d"], [0, 1, 2]).agg(*[F.avg(f"p_{k}").alias(f"p_{k}") for k in range(3)])
@@ -881,8 +881,8 @@ def _(t):
 
 @register("heckman_ml", digits=3)
 def _(t):
-    d = t("xs").where("id % 7 = 0").withColumn("s", (F.col("tax") + F.col("d") > 0.7).cast("double"))
-    return choice.heckman_ml(d, "y", ["q"], "s", ["tax", "d"])
+    d = t("xs").withColumn("s", (F.col("tax") + F.col("d") > 0.7).cast("double"))
+    return choice.heckman_ml(d, "y", ["q"], "s", ["tax", "d"], steps=5)
 
 
 @register("robust_mm", digits=4)
@@ -1283,7 +1283,7 @@ def _(t):
     return nonlinear.threshold_forecast(t("tsm"), "disc", "t", paths=100)
 
 
-_SM = "SELECT d AS y, x, x * x AS x2, x * x * x AS x3, x * x * x * x AS x4 FROM (SELECT disc AS d, lag(disc) OVER (ORDER BY t) AS x FROM {tsm}) WHERE x IS NOT NULL"
+_SM = "SELECT d AS y, x, x * x AS x2, x * x * x AS x3, x * x * x * x AS x4 FROM (SELECT d, (x - avg(x) OVER ()) / stddev_pop(x) OVER () AS x FROM (SELECT disc AS d, lag(disc) OVER (ORDER BY t) AS x FROM {tsm}) WHERE x IS NOT NULL)"
 _SMF = ", ".join(sqlkit.regression(_SM, "y", ["1.0e0", "x", "x2", "x3", "x4"][: 2 + j], f"s{j}") for j in range(4))
 
 

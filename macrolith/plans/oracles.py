@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import catalog_more  # noqa: F401 - its queries are registered first
 from . import sqlkit as k
 from .base import sql
 from .catalog import _FC, _QUERIES, _SQL

@@ -7,7 +7,8 @@ from macrolith.plans import catalog
 from macrolith.plans.base import TABLES
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"equality_tests_two_groups"}
+#: These run in the driver's check; here they would take most of the time.
+SLOW = {"equality_tests_two_groups", "heckman_ml", "did_honest", "did_pretrend", "panel_logit_margins", "panel_logit_re", "panel_logit_cre", "panel_logit_fe", "panel_probit_re", "panel_probit_cre", "robust_mm", "tobit_effects", "structural_learning_rate"}
 
 
 @pytest.fixture(scope="module")
