@@ -20,6 +20,8 @@ def norm_cdf_array(z: np.ndarray) -> np.ndarray:
     for k in range(3, 120, 2):
         term = term * x * x / k
         total = total + term
+        if not term.size or term.max() < 1e-17:
+            break
     upper = 0.5 - np.exp(-0.5 * x * x) / math.sqrt(2 * math.pi) * total
     far = a > 3
     if far.any():

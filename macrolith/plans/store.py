@@ -14,7 +14,7 @@ def shared_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        if not re.match(r"local(\[.*\])?$", sc.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="macrolith-")
         sc.setCheckpointDir(root)
