@@ -7,16 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_main, langid, license, media, pll, simhash, tokenbin, toxicity
+from . import align, bpe, decontaminate, html_main, langid, license, media, pll, simhash, spelling, tokenbin, toxicity, vecdup
 
-#: Name of the public tokenizer file that the token queries use; its folder is found by the package public_tokenizers.
-TOKENIZER = "word_bpe_49k.json"
+#: Names of the public tokenizer files that the token queries use; their folder is found by the package public_tokenizers.
+TOKENIZER, BYTES, PIECES = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,8 +70,20 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vecdup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_corpus(_table(spark, sf_dir, "documents"), tokenizer_path(BYTES), tokenizer_path(PIECES))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_toxicity, op4_simhash, op5_bpe, op6_html_extraction, op7_language, op8_media, op9_pseudo_likelihood, op10_license_scan)}
+    return {f.__name__: f for f in (op1_decontamination, op2_token_files, op3_toxicity, op4_simhash, op5_bpe, op6_html_extraction, op7_language, op8_media, op9_pseudo_likelihood, op10_license_scan, op11_embedding_near_dedup, op12_spelling_variants, op13_tokenizer_alignment)}
 
 
 _WORDS = r"coalesce(regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
