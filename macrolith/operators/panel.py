@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -25,6 +26,7 @@ def _within(df: DataFrame, y: str, x: list[str], unit: str, time: str, two_way:
 
 
 def fixed_effects(df: DataFrame, y: str, x: list[str], unit: str, time: str, two_way: bool = False, cov: str = "cluster") -> Fit:
+    """Within regression on unit effects, with two_way also time effects; balanced or not, of units that times connect."""
     d = _within(df, y, x, unit, time, two_way)
     m = Moments.of(d, [y, *x])
     b, inv, rss = m.solve(y, x)
@@ -163,40 +165,38 @@ def wooldridge_ar(df: DataFrame, y: str, x: list[str], unit: str, time: str) ->
 # -- difference-in-differences; first is the first treated time, 0 or null: never -----------------
 
 
+@dataclass
+class EventEffects:
+    """Effects by event time (the reference is left out) and their covariance."""
+
+    times: list[int]
+    b: np.ndarray
+    v: np.ndarray
+
+    def table(self, spark) -> DataFrame:
+        return rows(spark, [{"event_time": int(k), "estimate": float(x), "std_error": float(math.sqrt(max(s, 0)))} for k, x, s in zip(self.times, self.b, np.diag(self.v), strict=True)], "event_time int, estimate double, std_error double")
+
+    def covariance(self, spark) -> DataFrame:
+        """event_time, other_time, value: a row a pair."""
+        return rows(spark, [{"event_time": int(k), "other_time": int(m), "value": float(self.v[i, j])} for i, k in enumerate(self.times) for j, m in enumerate(self.times)], "event_time int, other_time int, value double")
+
+
 def event_study(df: DataFrame, y: str, unit: str, time: str, first: str, leads: int = 3, horizon: int = 5) -> DataFrame:
     """Two-way fixed effects event study: event_time, estimate, std_error; reference -1, ends are binned."""
+    return event_effects(df, y, unit, time, first, leads, horizon).table(df.sparkSession)
+
+
+def event_effects(df: DataFrame, y: str, unit: str, time: str, first: str, leads: int = 3, horizon: int = 5) -> EventEffects:
     e = F.when(F.col(first) > 0, F.greatest(F.lit(-leads), F.least(F.lit(horizon), F.col(time) - F.col(first))))
     ks = [k for k in range(-leads, horizon + 1) if k != -1]
     names = [f"e{k}".replace("-", "m") for k in ks]
     d = df.select(unit, time, F.col(y).cast("double").alias(y), *[F.coalesce((e == k).cast("double"), F.lit(0.0)).alias(n) for k, n in zip(ks, names, strict=True)])
     d = d.dropna(subset=[y])
-    w = alternating_demean(d, [y, *names], unit, time)
+    w = two_way_demean(d, [y, *names], unit, time)
     m = Moments.of(w, [y, *names])
     b, inv, rss = m.solve(y, names)
     fit = Fit(y, names, b, inv, inv, m.n, rss, m.sub([y])[0, 0], w)
-    v = robust(fit, "cluster", unit)
-    return rows(df.sparkSession, [{"event_time": k, "estimate": float(x), "std_error": float(math.sqrt(max(s, 0)))} for k, x, s in zip(ks, b, np.diag(v), strict=True)], "event_time int, estimate double, std_error double")
-
-
-def alternating_demean(df: DataFrame, columns: list[str], unit: str, time: str, tol: float = 1e-10, most: int = 100) -> DataFrame:
-    """Unit and time means out in turn until nothing moves; balanced panels need one pass."""
-    from ..plans.store import Kept
-
-    counts = df.groupBy(unit).count().agg(F.min("count"), F.max("count")).first()
-    if counts[0] == counts[1] == df.select(F.count_distinct(time)).first()[0]:
-        return two_way_demean(df, columns, unit, time)
-    before = None
-    for _ in range(most):
-        kept = Kept(demean(demean(df, columns, [unit]), columns, [time]))
-        if before:
-            before.drop()
-        before, new = kept, kept.rows
-        moved = new.agg(*[F.max(F.abs(F.col(c))) for c in columns]).first()
-        by = new.groupBy(unit).agg(*[F.abs(F.avg(c)).alias(c) for c in columns]).agg(*[F.max(c) for c in columns]).first()
-        df = new
-        if all(b <= tol * max(1.0, m) for b, m in zip(by, moved, strict=True)):
-            break
-    return df
+    return EventEffects(ks, b, robust(fit, "cluster", unit))
 
 
 def group_time_att(df: DataFrame, y: str, unit: str, time: str, first: str, control: str = "never") -> DataFrame:

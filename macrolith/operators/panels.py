@@ -19,9 +19,9 @@ from ..plans.gram import Moments
 from .describe import rows
 from .further import _unit_sums
 from .limited import log_cdf
-from .panel import alternating_demean, fixed_effects, group_time_att
+from .panel import EventEffects, fixed_effects, group_time_att
 from .regression import Fit, coefficient_table, ols, robust
-from .transforms import demean, panel_shift
+from .transforms import demean, panel_shift, two_way_demean
 
 # -- errors -----------------------------------------------------------------------
 
@@ -254,6 +254,10 @@ def panel_margins(df: DataFrame, table: DataFrame, x: list[str], link: str = "lo
 
 def sun_abraham(df: DataFrame, y: str, unit: str, time: str, first: str, leads: int = 3, horizon: int = 3) -> DataFrame:
     """event_time, estimate, std_error: cohort by event time marks in a two-way regression, averaged with cohort shares; the reference is -1."""
+    return sun_abraham_effects(df, y, unit, time, first, leads, horizon).table(df.sparkSession)
+
+
+def sun_abraham_effects(df: DataFrame, y: str, unit: str, time: str, first: str, leads: int = 3, horizon: int = 3) -> EventEffects:
     d = df.select(unit, time, F.coalesce(F.col(first), F.lit(0)).alias("_g"), F.col(y).cast("double").alias(y)).dropna(subset=[y])
     cohorts = [r for r in d.where("_g > 0").groupBy("_g").agg(F.count_distinct(unit).alias("n")).orderBy("_g").limit(101).collect()]
     if len(cohorts) > 100:
@@ -265,20 +269,21 @@ def sun_abraham(df: DataFrame, y: str, unit: str, time: str, first: str, leads:
         for k in ks:
             names.append(f"c{r['_g']}_{k}".replace("-", "m"))
             cells.append(((F.col("_g") == r["_g"]) & (e == k)).cast("double").alias(names[-1]))
-    w = alternating_demean(d.select(unit, time, y, *cells), [y, *names], unit, time)
+    w = two_way_demean(d.select(unit, time, y, *cells), [y, *names], unit, time)
     m = Moments.of(w, [y, *names])
     # Cells that no row has, or that unit and time effects span, have no coefficient.
     kept = [n for n in names if m.sub([n])[0, 0] > 1e-9]
     b, inv, rss = m.solve(y, kept)
     fit = Fit(y, kept, b, inv, inv, m.n, rss, m.sub([y])[0, 0], w)
     v = robust(fit, "cluster", unit)
-    out = []
+    found, weight = [], []
     for k in ks:
         g = np.array([next((float(r.n) for r in cohorts if n == f"c{r['_g']}_{k}".replace("-", "m")), 0.0) for n in kept])
         if g.sum():
-            g = g / g.sum()
-            out.append({"event_time": k, "estimate": float(g @ b), "std_error": float(math.sqrt(max(0.0, g @ v @ g)))})
-    return rows(df.sparkSession, out, "event_time int, estimate double, std_error double")
+            found.append(k)
+            weight.append(g / g.sum())
+    a = np.array(weight).reshape(len(found), len(kept))
+    return EventEffects(found, a @ b, a @ v @ a.T)
 
 
 def long_differences(df: DataFrame, y: str, unit: str, time: str, first: str, control: str = "notyet", draws: int = 50, seed: int = 1) -> DataFrame:
@@ -330,10 +335,12 @@ def pooled_projection(df: DataFrame, y: str, unit: str, time: str, first: str, p
     return rows(df.sparkSession, out, "window string, estimate double, std_error double, n long")
 
 
-def pretrend(effects: DataFrame) -> DataFrame:
-    """statistic, df, p_value: squared ratios of the estimates before event time -1 to their errors, added up."""
-    s, k = effects.where("event_time < -1 and std_error > 0").agg(F.sum(F.pow(F.col("estimate") / F.col("std_error"), 2)), F.count("*")).first()
-    return rows(effects.sparkSession, [{"statistic": float(s or 0.0), "df": int(k), "p_value": float(dist.chi2_sf(s, k)) if k else None}], "statistic double, df int, p_value double")
+def pretrend(effects: EventEffects, spark) -> DataFrame:
+    """statistic, df, p_value: are all effects before event time -1 zero, by their joint covariance."""
+    at = [i for i, k in enumerate(effects.times) if k < -1]
+    b, v = effects.b[at], effects.v[np.ix_(at, at)]
+    s = float(b @ guarded_inverse(v) @ b) if at else 0.0
+    return rows(spark, [{"statistic": s, "df": len(at), "p_value": float(dist.chi2_sf(s, len(at))) if at else None}], "statistic double, df int, p_value double")
 
 
 def weights(df: DataFrame, unit: str, time: str, first: str) -> DataFrame:
@@ -346,41 +353,3 @@ def weights(df: DataFrame, unit: str, time: str, first: str) -> DataFrame:
     share = times.join(cohort.select(F.col("g").alias("_g"), F.col("s").alias("_s")), F.col("_g") <= F.col("t")).groupBy("t").agg(F.sum("_s").alias("D"))
     cells = times.join(cohort.select("g"), F.col("t") >= F.col("g"))
     return cells.join(share, "t").join(cohort, "g").where("D > 0 and D < 1").select(F.col("g").alias("cohort"), "t", (F.col("s") * (1 - F.col("D")) / (F.col("D") * (1 - F.col("D")))).alias("weight"))
-
-
-def honest(beta: np.ndarray, cov: np.ndarray, pre: int, restriction: str = "rm", limit: float = 1.0, weight: np.ndarray | None = None, level: float = 0.95) -> tuple[float, float]:
-    """Interval of a combination of effects after treatment when departures from parallel trends are limited: by ``limit`` times the largest step before (rm), or by a second difference (sd).
-
-    Worst departures are added to the normal interval. Estimates are ordered by event time without the reference.
-    """
-    post = len(beta) - pre
-    w = np.eye(post)[0] if weight is None else np.asarray(weight, float)
-    z = dist.norm_ppf(0.5 + level / 2)
-    est = float(w @ beta[pre:])
-    se = math.sqrt(float(w @ cov[pre:, pre:] @ w))
-    path = np.concatenate((beta[:pre], [0.0]))
-    if restriction == "rm":
-        step = limit * (np.abs(np.diff(path)).max() if pre else 0.0)
-        far = step * np.arange(1, post + 1)
-        return est - float(np.abs(w) @ far) - z * se, est + float(np.abs(w) @ far) + z * se
-    slope = path[-1] - path[-2] if pre else 0.0
-    k = np.arange(1, post + 1)
-    line, bend = slope * k, limit * k * (k + 1) / 2
-    g = np.zeros(len(beta))
-    g[pre:] = w
-    if pre:
-        g[pre - 1] += float(w @ k)  # the line is drawn through the last estimate before
-    se = math.sqrt(float(g @ cov @ g))
-    mid = est - float(w @ line)
-    return mid - float(np.abs(w) @ bend) - z * se, mid + float(np.abs(w) @ bend) + z * se
-
-
-def honest_bounds(effects: DataFrame, restriction: str = "rm", limits: tuple[float, ...] = (0.0, 0.5, 1.0, 2.0), level: float = 0.95) -> DataFrame:
-    """limit, lower, upper, breakdown (the largest limit whose interval leaves zero out): errors of the estimates are taken as uncorrelated."""
-    r = effects.where("event_time <> -1").orderBy("event_time").toPandas()
-    b, v = r.estimate.to_numpy(float), np.diag(r.std_error.to_numpy(float) ** 2)
-    pre = int((r.event_time < -1).sum())
-    got = [honest(b, v, pre, restriction, m, level=level) for m in limits]
-    clear = [m for m, (lo, hi) in zip(limits, got, strict=True) if lo > 0 or hi < 0]
-    return rows(effects.sparkSession, [{"limit": float(m), "lower": float(lo), "upper": float(hi), "breakdown": float(max(clear)) if clear else None} for m, (lo, hi) in zip(limits, got, strict=True)], "limit double, lower double, upper double, breakdown double")
-

@@ -7,6 +7,7 @@ but small matrices.
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass, field
 
@@ -70,14 +71,16 @@ class Fit:
 
 
 def coefficient_table(spark, terms: list[str], b: np.ndarray, v: np.ndarray, dof: float | None = None, level: float = 0.95) -> DataFrame:
-    """Tidy rows; t with dof, else normal."""
+    """Tidy rows; t with dof, else normal. The covariance of all terms goes with the estimates as their column's metadata (``results.covariance``)."""
     crit = dist.t_ppf(0.5 + level / 2, dof) if dof else dist.norm_ppf(0.5 + level / 2)
     out = []
     for t, x, s in zip(terms, b, np.sqrt(np.maximum(np.diag(v), 0)), strict=True):
         z = x / s if s > 0 else float("nan")
         p = (dist.t_two_sided(z, dof) if dof else 2 * (1 - dist.norm_cdf(abs(z)))) if s > 0 else float("nan")
         out.append({"term": t, "estimate": float(x), "std_error": float(s), "stat": float(z), "p_value": float(p), "ci_lower": float(x - crit * s), "ci_upper": float(x + crit * s)})
-    return rows(spark, out, COEFFICIENTS)
+    table = rows(spark, out, COEFFICIENTS)
+    pairs = [[float(c) if math.isfinite(c) else None for c in r] for r in np.asarray(v, float)]
+    return table.withMetadata("estimate", {"covariance": json.dumps({"terms": list(terms), "values": pairs})})
 
 
 def _complete(df: DataFrame, columns: list[str]) -> DataFrame:

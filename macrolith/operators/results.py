@@ -169,10 +169,27 @@ def refs(keys: list[str], form: str = "text") -> str:
 # -- accessors ----------------------------------------------------------------------
 
 
+def covariance(table: DataFrame) -> DataFrame:
+    """term, other_term, value: a row a pair of a coefficient table's terms."""
+    known = _carried(table, "estimate")
+    if not known:
+        raise ValueError("the table's estimates carry no covariance")
+    return rows(table.sparkSession, [{"term": a, "other_term": b, "value": v} for (a, b), v in known.items()], "term string, other_term string, value double")
+
+
+def _carried(table: DataFrame, value: str) -> dict[tuple[str, str], float | None]:
+    told = json.loads(table.schema[value].metadata.get("covariance", "{}")) if value in table.columns else {}
+    return {(a, b): v for a, r in zip(told.get("terms", []), told.get("values", []), strict=True) for b, v in zip(told["terms"], r, strict=True)}
+
+
 class Result:
-    """Any tidy table of terms and estimates, read as a fitted model: one for all estimators whose results are such rows."""
+    """Any tidy table of terms and estimates, read as a fitted model: one for all estimators whose results are such rows.
+
+    covariance: rows (term, other_term, value); by default what the table's
+    estimates carry. Without it only the errors are known.
+    """
 
-    def __init__(self, table: DataFrame, key: str = "term", value: str = "estimate", error: str = "std_error", dof: float | None = None, nobs: int | None = None, linear: bool = True):
+    def __init__(self, table: DataFrame, key: str = "term", value: str = "estimate", error: str = "std_error", dof: float | None = None, nobs: int | None = None, linear: bool = True, covariance: DataFrame | None = None):
         if {key, value} - set(table.columns):
             raise ValueError(f"the table needs {key} and {value}")
         self.table, self.key, self.value, self.error, self._dof, self._nobs, self._linear = table, key, value, error, dof, nobs, linear
@@ -180,6 +197,10 @@ class Result:
         got = table.select(*keep).limit(MOST).collect()
         self._v = {str(r[0]): r[1] for r in got}
         self._e = {str(r[0]): r[2] for r in got} if error in table.columns else {}
+        if covariance is not None:
+            self._c = {(str(r[0]), str(r[1])): r[2] for r in covariance.select("term", "other_term", "value").limit(MOST * 100).collect()}
+        else:
+            self._c = _carried(table, value)
 
     #: Rows that are not parameters.
     SUMMARY = ("loglik", "aic", "bic", "hqic", "r2", "n", "j", "j_p", "scale", "persistence", "halflife", "unconditional_variance", "arch_order", "garch_order")
@@ -191,8 +212,53 @@ class Result:
         return {k: self._e.get(k) for k in self.coef()}
 
     def vcov(self) -> np.ndarray:
-        """Diagonal, which is what a tidy table has."""
-        return np.diag([float(v) ** 2 if v is not None else math.nan for v in self.stderror().values()])
+        """Covariance of all terms; where only errors are known, what lies off the diagonal is NaN."""
+        e = self.stderror()
+        own = lambda a, b: self._c.get((a, b), float(e[a]) ** 2 if a == b and e[a] is not None else None)
+        return np.array([[math.nan if (v := own(a, b)) is None else v for b in e] for a in e], float).reshape(len(e), len(e))
+
+    def _rows(self, weights: list[dict[str, float]]) -> np.ndarray:
+        terms = list(self.coef())
+        if unknown := {k for w in weights for k in w} - set(terms):
+            raise ValueError(f"no terms {sorted(unknown)}")
+        return np.array([[w.get(t, 0.0) for t in terms] for w in weights])
+
+    def _spread(self, g: np.ndarray) -> np.ndarray:
+        """g V g' over the terms that g uses."""
+        used = np.flatnonzero(np.abs(g).max(0) > 0)
+        v = g[:, used] @ self.vcov()[np.ix_(used, used)] @ g[:, used].T
+        if not np.isfinite(v).all():
+            raise ValueError("the covariance of these terms is not known")
+        return v
+
+    def combination(self, weights: dict[str, float], value: float = 0.0) -> dict[str, float]:
+        """A weighted sum of terms: estimate, std_error, stat and p_value against a value."""
+        g = self._rows([weights])
+        b = float((g @ np.array([float(x) for x in self.coef().values()]))[0])
+        return self._told(b, math.sqrt(max(0.0, float(self._spread(g)[0, 0]))), value)
+
+    def _told(self, b: float, se: float, value: float) -> dict[str, float]:
+        z = (b - value) / se if se > 0 else math.nan
+        p = dist.t_two_sided(z, self._dof) if self._dof else 2 * (1 - dist.norm_cdf(abs(z)))
+        return {"estimate": b, "std_error": se, "stat": z, "p_value": float(p)}
+
+    def wald(self, restrictions: list[dict[str, float]], values: list[float] | None = None) -> dict[str, float]:
+        """Do all weighted sums have their values (zero by default): statistic, df, p_value by chi-square."""
+        g = self._rows(restrictions)
+        d = g @ np.array([float(x) for x in self.coef().values()]) - np.array(values if values is not None else [0.0] * len(g))
+        v = self._spread(g)
+        df = int(np.linalg.matrix_rank(v))
+        s = float(d @ np.linalg.pinv(v) @ d)
+        return {"statistic": s, "df": df, "p_value": float(dist.chi2_sf(max(s, 0.0), df))}
+
+    def delta(self, f: Callable[[dict[str, float]], float], value: float = 0.0, step: float = 1e-5) -> dict[str, float]:
+        """A smooth function of the terms: estimate, std_error, stat and p_value, by central differences."""
+        b = {k: float(v) for k, v in self.coef().items()}
+        g = np.zeros((1, len(b)))
+        for i, (k, v) in enumerate(b.items()):
+            h = step * max(1.0, abs(v))
+            g[0, i] = (f(b | {k: v + h}) - f(b | {k: v - h})) / (2 * h)
+        return self._told(float(f(b)), math.sqrt(max(0.0, float(self._spread(g)[0, 0]))), value)
 
     def confint(self, level: float = 0.95) -> dict[str, tuple[float, float]]:
         z = dist.t_ppf(0.5 + level / 2, self._dof) if self._dof else dist.norm_ppf(0.5 + level / 2)

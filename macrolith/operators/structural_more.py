@@ -477,6 +477,8 @@ def sequential(df: DataFrame, model: Model, priors: dict[str, tuple[str, float,
             scale *= math.exp(won.mean() - 0.3)
         if phi >= 1:
             break
+    else:
+        raise RuntimeError(f"{most} rounds have not reached the posterior (tempered to {phi:.3g} of it): allow more rounds or particles")
     out = spark.createDataFrame([(int(i), 1.0 / particles, float(a + b), *map(float, r)) for i, (a, b, r) in enumerate(zip(ll, pr, x, strict=True))], "draw long, weight double, log_posterior double, " + ", ".join(f"`{n}` double" for n in names))
     return out, float(log_ml)
 

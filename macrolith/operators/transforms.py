@@ -96,11 +96,64 @@ def demean(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
 
 
 def two_way_demean(df: DataFrame, columns: list[str], unit: str, time: str) -> DataFrame:
-    """One pass: x - unit mean - time mean + grand mean; the exact within transform of balanced panels only."""
-    grand = df.agg(*[F.avg(c).alias(c) for c in columns]).first()
+    """The residuals of each column on unit and time effects; rows with a null in any column or key are left out.
+
+    Balanced panels take means out in one pass. Others are solved for the time
+    effects (``time_effects``); the unit effects are means of what is left.
+    """
+    d = df.dropna(subset=[unit, time, *columns])
+    cells = d.groupBy(unit, time).agg(F.count("*").alias("n"))
+    count, most, units, times = cells.agg(F.count("*"), F.max("n"), F.count_distinct(unit), F.count_distinct(time)).first()
+    if count and (most, count) != (1, units * times):
+        effects = time_effects(d, columns, unit, time)
+        left = d.join(effects, time).withColumns({c: F.col(c) - F.col(f"_b_{c}") for c in columns}).drop(*[f"_b_{c}" for c in columns])
+        return demean(left, columns, [unit])
+    grand = d.agg(*[F.avg(c).alias(c) for c in columns]).first()
     for key, tag in ((unit, "u"), (time, "t")):
-        df = df.join(df.groupBy(key).agg(*[F.avg(c).alias(f"_{tag}_{c}") for c in columns]), key)
-    return df.withColumns({c: F.col(c) - F.col(f"_u_{c}") - F.col(f"_t_{c}") + F.lit(grand[c]) for c in columns}).drop(*[f"_{g}_{c}" for g in "ut" for c in columns])
+        d = d.join(d.groupBy(key).agg(*[F.avg(c).alias(f"_{tag}_{c}") for c in columns]), key)
+    return d.withColumns({c: F.col(c) - F.col(f"_u_{c}") - F.col(f"_t_{c}") + F.lit(grand[c]) for c in columns}).drop(*[f"_{g}_{c}" for g in "ut" for c in columns])
+
+
+def time_effects(df: DataFrame, columns: list[str], unit: str, time: str, tol: float = 1e-12, most: int = 1000) -> DataFrame:
+    """time, _b_{column}: effects of the times when units have effects too, by conjugate gradients.
+
+    Unit effects are solved out, which leaves one equation a time. Vectors are
+    rows by time, all columns side by side; a step is two aggregates over the
+    panel's cells, weighted by rows, so neither units nor times need fit on one
+    machine. Steps end when the scaled residuals have fallen to ``tol``; if they
+    haven't after ``most`` steps, that is an error.
+    """
+    from ..plans.store import Kept
+
+    k = range(len(columns))
+    cells = Kept(df.groupBy(F.col(unit).alias("u"), F.col(time).alias("t")).agg(F.count("*").cast("double").alias("n"), *[F.sum(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(columns)]))
+    c = cells.rows
+    means = c.groupBy("u").agg(*[(F.sum(f"s{i}") / F.sum("n")).alias(f"m{i}") for i in k])
+    start = c.join(means, "u").groupBy("t").agg(F.sum("n").alias("d"), *[F.sum(F.col(f"s{i}") - F.col("n") * F.col(f"m{i}")).alias(f"r{i}") for i in k])
+    # Residuals that are rounding of the column itself are as good as zero.
+    least = [1e-30 * (v or 0.0) for v in c.agg(*[F.sum(F.col(f"s{i}") * F.col(f"s{i}") / F.col("n")) for i in k]).first()]
+    state = start.select("t", "d", *[F.lit(0.0).alias(f"b{i}") for i in k], *[F.col(f"r{i}") for i in k], *[(F.col(f"r{i}") / F.col("d")).alias(f"p{i}") for i in k])
+    now, held, first = state, None, None
+    for _ in range(most):
+        p = c.join(now.select("t", *[f"p{i}" for i in k]), "t").groupBy("u").agg(*[(F.sum(F.col("n") * F.col(f"p{i}")) / F.sum("n")).alias(f"m{i}") for i in k])
+        through = c.join(p, "u").groupBy("t").agg(*[F.sum(F.col("n") * F.col(f"m{i}")).alias(f"g{i}") for i in k])
+        both = Kept(now.join(through, "t").select(*now.columns, *[(F.col("d") * F.col(f"p{i}") - F.col(f"g{i}")).alias(f"q{i}") for i in k]))
+        sums = both.rows.agg(*[F.sum(F.col(f"{a}{i}") * F.col(f"{b}{i}") / (F.lit(1.0) if a == "p" else F.col("d"))) for i in k for a, b in (("r", "r"), ("p", "q"), ("r", "q"), ("q", "q"))]).first()
+        if held:
+            held.drop()
+        held = both
+        rr, pq, rq, qq = (sums[j::4] for j in range(4))
+        first = first or [v or 0.0 for v in rr]
+        if all((v or 0.0) <= max(tol * tol * f, z) for v, f, z in zip(rr, first, least, strict=True)):
+            break
+        alpha = [a / b if b and b > 0 and a > 0 else 0.0 for a, b in zip(rr, pq, strict=True)]
+        beta = [max(0.0, a - 2 * x * b + x * x * d) / a if a > 0 else 0.0 for a, b, d, x in zip(rr, rq, qq, alpha, strict=True)]
+        r = [F.col(f"r{i}") - F.lit(alpha[i]) * F.col(f"q{i}") for i in k]
+        now = held.rows.select("t", "d", *[(F.col(f"b{i}") + F.lit(alpha[i]) * F.col(f"p{i}")).alias(f"b{i}") for i in k], *[r[i].alias(f"r{i}") for i in k], *[(r[i] / F.col("d") + F.lit(beta[i]) * F.col(f"p{i}")).alias(f"p{i}") for i in k])
+    else:
+        raise RuntimeError(f"time effects haven't settled after {most} steps")
+    cells.drop()
+    return held.rows.select(F.col("t").alias(time), *[F.col(f"b{i}").alias(f"_b_{x}") for i, x in enumerate(columns)])
 
 
 def lag_design(df: DataFrame, columns: list[str], p: int, order: str, by: list[str] | None = None) -> DataFrame:

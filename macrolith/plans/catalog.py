@@ -155,7 +155,14 @@ def _(t):
     return transforms.demean(t("panel").select("unit", "t", F.log("y").alias("y")), ["y"], ["unit"])
 
 
-@register("two_way_demean", "SELECT unit, t, round(y - avg(y) OVER (PARTITION BY unit) - avg(y) OVER (PARTITION BY t) + avg(y) OVER (), 6) + 0.0 AS y FROM {panel}")
+#: Residuals of y and x on unit and time effects, by projections in turn: the panel has gaps. A step takes unit means out, then gives the time means left.
+_TWO_WAY = """WITH RECURSIVE p AS MATERIALIZED (SELECT unit, t, y, x FROM {panel}),
+it AS (SELECT 0 AS k, t, 0.0e0 AS ty, 0.0e0 AS tx FROM p GROUP BY t UNION ALL
+SELECT k + 1, t, avg(y - ay), avg(x - ax) FROM (SELECT it.k, p.t, p.y, p.x, avg(p.y - it.ty) OVER (PARTITION BY p.unit) AS ay, avg(p.x - it.tx) OVER (PARTITION BY p.unit) AS ax FROM p JOIN it ON it.t = p.t WHERE it.k < 150) GROUP BY k, t),
+w AS (SELECT unit, t, y - avg(y) OVER (PARTITION BY unit) AS y, x - avg(x) OVER (PARTITION BY unit) AS x FROM (SELECT p.unit, p.t, p.y - ty AS y, p.x - tx AS x FROM p JOIN it ON it.t = p.t AND it.k = 150)) """
+
+
+@register("two_way_demean", _TWO_WAY + "SELECT unit, t, round(y, 6) + 0.0 AS y FROM w")
 def _(t):
     return transforms.two_way_demean(t("panel").select("unit", "t", "y"), ["y"], "unit", "t")
 
@@ -670,7 +677,7 @@ def _(t):
     return panel.panel_table(panel.fixed_effects(t("panel"), "y", ["x"], "unit", "t")).select("term", "std_error")
 
 
-@register("panel_fe_two_way", "SELECT 'x' AS term, round(sum(x * y) / sum(x * x), 6) + 0.0 AS estimate FROM (SELECT y - avg(y) OVER (PARTITION BY unit) - avg(y) OVER (PARTITION BY t) + avg(y) OVER () AS y, x - avg(x) OVER (PARTITION BY unit) - avg(x) OVER (PARTITION BY t) + avg(x) OVER () AS x FROM {panel})")
+@register("panel_fe_two_way", _TWO_WAY + "SELECT 'x' AS term, round(sum(x * y) / sum(x * x), 6) + 0.0 AS estimate FROM w")
 def _(t):
     return panel.panel_table(panel.fixed_effects(t("panel"), "y", ["x"], "unit", "t", True)).select("term", "estimate")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import arima, choice, factors, identification, limited, moments, nonlinear, panels, projections, regression, results, seasonal, structural, structural_more, systems, transforms, unitroots, vectors, volatility
+from ..operators import arima, choice, describe, factors, identification, limited, moments, nonlinear, panel, panels, projections, regression, results, seasonal, structural, structural_more, systems, transforms, trends, unitroots, vectors, volatility
 from ..sources import examples
 from . import sqlkit
 from .catalog import _AR, _GUESS, _X, _growth, _io, _scaled, register
@@ -817,7 +817,7 @@ def _(t):
 
 @register("did_pretrend", digits=4)
 def _(t):
-    return panels.pretrend(panels.sun_abraham(t("did"), "y", "unit", "t", "first", 3, 2))
+    return panels.pretrend(panels.sun_abraham_effects(t("did"), "y", "unit", "t", "first", 3, 2), t("did").sparkSession)
 
 
 @register("did_weights", f"WITH u AS (SELECT DISTINCT unit, first FROM {{did}}), n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM u), d AS (SELECT t, (SELECT count(*) FROM u WHERE first > 0 AND first <= t) / (SELECT n FROM n) AS d FROM (SELECT DISTINCT t FROM {{did}})), s AS (SELECT first AS g, count(*) / (SELECT n FROM n) AS s FROM u WHERE first > 0 GROUP BY first) SELECT g AS cohort, t, {r('s * (1 - d) / (d * (1 - d))')} AS weight FROM s CROSS JOIN d WHERE t >= g AND d > 0 AND d < 1")
@@ -827,7 +827,17 @@ def _(t):
 
 @register("did_honest", digits=5)
 def _(t):
-    return panels.honest_bounds(panels.sun_abraham(t("did"), "y", "unit", "t", "first", 3, 2))
+    return trends.honest_bounds(panels.sun_abraham_effects(t("did"), "y", "unit", "t", "first", 3, 2), t("did").sparkSession)
+
+
+@register("did_honest_smooth", digits=5)
+def _(t):
+    return trends.honest_bounds(panels.sun_abraham_effects(t("did"), "y", "unit", "t", "first", 3, 2), t("did").sparkSession, "sd", (0.0, 0.1, 0.5))
+
+
+@register("did_event_covariance", digits=5)
+def _(t):
+    return panel.event_effects(t("did"), "y", "unit", "t", "first", 2, 2).covariance(t("did").sparkSession)
 
 
 # -- limited dependent variables, robust and selected regressions ---------------------------------
@@ -1236,6 +1246,30 @@ def _(t):
     return results.accessor_table(t("xs").sparkSession, f.table(), f.dof).select("term", "estimate")
 
 
+_COV = "WITH " + sqlkit.regression("SELECT y, q, d FROM {xs}", "y", ["1.0e0", "q", "d"])
+
+
+@register("covariance_rows", _COV + " " + " UNION ALL ".join(f"SELECT '{a}' AS term, '{b}' AS other_term, {r(f'v{i}_{j} * rss / (n - 3)', 9)} AS value FROM fit" for i, a in enumerate(("const", "q", "d")) for j, b in enumerate(("const", "q", "d"))), digits=9)
+def _(t):
+    return results.covariance(regression.ols(t("xs"), "y", ["q", "d"], "ols").table())
+
+
+_W = "(b1 * b1 * v2_2 - 2 * b1 * b2 * v1_2 + b2 * b2 * v1_1) / (v1_1 * v2_2 - v1_2 * v1_2) * (n - 3) / rss"
+
+
+@register("wald_two_terms", _COV + f" SELECT 'both_zero' AS test, {r(_W, 3)} AS statistic, 2.0e0 AS df FROM fit UNION ALL SELECT 'equal', {r('power(b1 - b2, 2) / (v1_1 - 2 * v1_2 + v2_2) * (n - 3) / rss', 3)}, 1.0e0 FROM fit", digits=3)
+def _(t):
+    f = results.Result(regression.ols(t("xs"), "y", ["q", "d"], "ols").table())
+    both, equal = f.wald([{"q": 1.0}, {"d": 1.0}]), f.wald([{"q": 1.0, "d": -1.0}])
+    return describe.rows(t("xs").sparkSession, [{"test": k, "statistic": w["statistic"], "df": float(w["df"])} for k, w in (("both_zero", both), ("equal", equal))], "test string, statistic double, df double")
+
+
+@register("delta_method", _COV + f" SELECT {r('b2 / b1')} AS estimate, {r('sqrt((v2_2 - 2 * b2 / b1 * v1_2 + power(b2 / b1, 2) * v1_1) * rss / (n - 3)) / abs(b1)')} AS std_error FROM fit")
+def _(t):
+    f = results.Result(regression.ols(t("xs"), "y", ["q", "d"], "ols").table()).delta(lambda b: b["d"] / b["q"])
+    return describe.rows(t("xs").sparkSession, [{k: f[k] for k in ("estimate", "std_error")}], "estimate double, std_error double")
+
+
 @register("uncertainty_bounds", digits=5)
 def _(t):
     return results.uncertainty_bounds(regression.ols(t("xs"), "y", ["q"], "ols").table())

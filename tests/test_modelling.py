@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from macrolith.operators import arima, factors, identification, moments, panels, projections, seasonal, structural, structural_more, systems, unitroots, vectors, volatility
+from macrolith.operators import arima, factors, identification, moments, panels, projections, seasonal, structural, structural_more, systems, trends, unitroots, vectors, volatility
 from macrolith.operators.multivariate import Var
 
 RNG = np.random.default_rng(5)
@@ -149,7 +149,7 @@ def test_conditional_logit_denominator_by_enumeration():
 
 def test_honest_intervals_widen_with_the_limit():
     b, v = np.array([0.1, -0.05, 1.0, 1.2]), np.eye(4) * 0.01
-    width = [np.diff(panels.honest(b, v, 2, "rm", m))[0] for m in (0.0, 1.0, 2.0)]
+    width = [np.diff(trends.honest(b, v, 2, "rm", m))[0] for m in (0.0, 1.0, 2.0)]
     assert width == sorted(width) and abs(width[0] - 2 * 1.96 * 0.1) < 1e-3
 
 

@@ -187,7 +187,7 @@ def test_bacon_weights_give_the_two_way_estimate(spark):
 
 def test_unbalanced_two_way_demeaning_converges(did):
     d = did.where("not (u = 3 and t = 2) and not (u = 5 and t > 6)")
-    got = panel.alternating_demean(d.select("u", "t", "x"), ["x"], "u", "t", 1e-12)
+    got = transforms.two_way_demean(d.select("u", "t", "x"), ["x"], "u", "t")
     assert got.groupBy("u").agg(F.abs(F.avg("x")).alias("m")).agg(F.max("m")).first()[0] < 1e-9
 
 
