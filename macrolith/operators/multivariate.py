@@ -1,7 +1,8 @@
 """Vector autoregressions, impulse responses, decompositions, local projections, cointegration.
 
-A system is small in columns and is fitted in a kernel (many systems run in
-parallel by a group column). Bootstrap replicates and posterior draws are rows
+A system is small in columns. One system of any length is fitted from sums over
+stretches of its order (``plans/lagged.py``); with a group column each system is
+a kernel and many run in parallel. Bootstrap replicates and posterior draws are rows
 of spark.range, seeded by their number, so results don't depend on partitions.
 """
 
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import dist
 from ..functions.linalg import companion, guarded_inverse, ols
 from ..functions.linalg import lags as lag_matrix
+from ..plans.lagged import Stretches, autoregression, cointegration, dickey_fuller, lag_columns, products, projections, regress, square, unscaled
 from .describe import rows
 from .kernels import per_series
 from .series import newey_west
@@ -40,6 +42,7 @@ class Var:
 
     n = property(lambda self: self.y.shape[1])
     b = property(lambda self: self.fit[3])
+    inv = property(lambda self: self.fit[2])
     u = property(lambda self: self.fit[4])
     rows = property(lambda self: len(self.fit[0]))
 
@@ -111,12 +114,55 @@ class Var:
         """F of the lags of cause in the equation of effect."""
         k = [1 + j * self.n + cause for j in range(self.p)]
         b = self.b[k, effect]
-        v = self.sigma_dof[effect, effect] * self.fit[2][np.ix_(k, k)]
+        v = self.sigma_dof[effect, effect] * self.inv[np.ix_(k, k)]
         f = float(b @ np.linalg.solve(v, b)) / self.p
         dof = self.rows - self.b.shape[0]
         return f, self.p, dof, dist.f_sf(f, self.p, dof)
 
 
+class Summed(Var):
+    """The same from cross products of [1, y, lags] of one long system; y holds its last p rows only."""
+
+    def __init__(self, s: Stretches, p: int, g: np.ndarray | None = None, last: bool = True):
+        self.p, self.s = p, s
+        n = len(s.columns)
+        g = autoregression(s, p) if g is None else g
+        x = [0, *range(1 + n, 1 + n * (p + 1))]
+        b, inv, rss = regress(g, list(range(1, 1 + n)), x)
+        self._b, self._inv = unscaled(b, inv, s.mean, s.sd, np.tile(s.mean, p), np.tile(s.sd, p))
+        self._rss = rss * np.outer(s.sd, s.sd)
+        self._rows = round(g[0, 0])
+        self.y = s.last(p) if last else np.zeros((p, n))
+
+    b = property(lambda self: self._b)
+    inv = property(lambda self: self._inv)
+    rows = property(lambda self: self._rows)
+    sigma = property(lambda self: self._rss / self._rows)
+    sigma_dof = property(lambda self: self._rss / (self._rows - self._b.shape[0]))
+
+
+def fitted_system(df: DataFrame, columns: list[str], order: str, p: int, last: bool = False, parts: int | None = None) -> Summed:
+    """The autoregression of one system, of any length."""
+    return Summed(Stretches(df, columns, order, p, parts=parts), p, last=last)
+
+
+def per_system(df: DataFrame, columns: list[str], order: str, p: int, f, schema: str, by: str | None, last: bool = False) -> DataFrame:
+    """f(model) -> columns of the result: of the one system, by sums, or of each group's by a kernel."""
+    if by:
+        return per_series(df, columns, order, lambda t, y: f(Var(y, p)), schema, by)
+    return _frame(df.sparkSession, f(fitted_system(df, columns, order, p, last)), schema)
+
+
+def _frame(spark, columns: dict, schema: str) -> DataFrame:
+    pdf = pd.DataFrame({k: list(v) for k, v in columns.items()}).replace([np.inf, -np.inf], np.nan)
+    return rows(spark, [{k: _plain(v) for k, v in r.items()} for r in pdf.to_dict("records")], schema)
+
+
+def _plain(v):
+    v = v.item() if isinstance(v, np.generic) else v
+    return None if isinstance(v, float) and math.isnan(v) else v
+
+
 def _cube(a: np.ndarray, names: list[str], first: int = 1) -> dict:
     h, v, s = a.shape
     return {"horizon": np.repeat(np.arange(first, first + h), v * s), "variable": np.tile(np.repeat(names, s), h), "shock": np.tile(names, h * v), "value": a.ravel()}
@@ -128,35 +174,38 @@ CUBE = "horizon int, variable string, shock string, value double"
 def var_coefficients(df: DataFrame, columns: list[str], order: str, p: int = 1, by: str | None = None) -> DataFrame:
     """equation, term, estimate, std_error (degrees of freedom adjusted)."""
 
-    def f(t, y):
-        m = Var(y, p)
+    def f(m):
         terms = ["const", *[f"{c}_l{j}" for j in range(1, p + 1) for c in columns]]
-        se = np.sqrt(np.outer(np.diag(m.fit[2]), np.diag(m.sigma_dof)))
+        se = np.sqrt(np.outer(np.diag(m.inv), np.diag(m.sigma_dof)))
         return {"equation": np.tile(columns, len(terms)), "term": np.repeat(terms, len(columns)), "estimate": m.b.ravel(), "std_error": se.ravel()}
 
-    return per_series(df, columns, order, f, "equation string, term string, estimate double, std_error double", by)
+    return per_system(df, columns, order, p, f, "equation string, term string, estimate double, std_error double", by)
 
 
 def lag_order(df: DataFrame, columns: list[str], order: str, most: int = 4, by: str | None = None) -> DataFrame:
     """p, aic, bic, hqic; each p on its own sample."""
 
-    def f(t, y):
-        c = [Var(y, p).criteria() for p in range(1, most + 1)]
-        return {"p": range(1, most + 1), **{k: [x[k] for x in c] for k in ("aic", "bic", "hqic")}}
-
-    return per_series(df, columns, order, f, "p int, aic double, bic double, hqic double", by)
+    told = lambda c: {"p": range(1, most + 1), **{k: [x[k] for x in c] for k in ("aic", "bic", "hqic")}}
+    schema = "p int, aic double, bic double, hqic double"
+    if by:
+        return per_series(df, columns, order, lambda t, y: told([Var(y, p).criteria() for p in range(1, most + 1)]), schema, by)
+    s, n = Stretches(df, columns, order, most), len(columns)
+    # Each order's own rows: those that all orders use, and the few that only shorter ones reach.
+    g = s.sums(lambda z, place, own: np.concatenate([(lambda at: products(np.hstack([np.ones((len(at), 1)), lag_columns(z, at, range(p + 1))])))(own[place[own] > p]) for p in range(1, most + 1)]))
+    cuts = np.cumsum([0, *[(1 + n * (p + 1)) ** 2 for p in range(1, most + 1)]])
+    return _frame(df.sparkSession, told([Summed(s, p, square(g[cuts[p - 1] : cuts[p]]), last=False).criteria() for p in range(1, most + 1)]), schema)
 
 
 def irf(df: DataFrame, columns: list[str], order: str, p: int = 1, horizon: int = 12, method: str = "cholesky", cumulative: bool = False, by: str | None = None) -> DataFrame:
-    def f(t, y):
-        a = Var(y, p).irf(horizon, method)
+    def f(m):
+        a = m.irf(horizon, method)
         return _cube(np.cumsum(a, axis=0) if cumulative else a, columns)
 
-    return per_series(df, columns, order, f, CUBE, by)
+    return per_system(df, columns, order, p, f, CUBE, by)
 
 
 def fevd(df: DataFrame, columns: list[str], order: str, p: int = 1, horizon: int = 12, method: str = "cholesky", by: str | None = None) -> DataFrame:
-    return per_series(df, columns, order, lambda t, y: _cube(Var(y, p).fevd(horizon, method), columns), CUBE, by)
+    return per_system(df, columns, order, p, lambda m: _cube(m.fevd(horizon, method), columns), CUBE, by)
 
 
 def historical_decomposition(df: DataFrame, columns: list[str], order: str, p: int = 1, method: str = "cholesky", by: str | None = None) -> DataFrame:
@@ -176,24 +225,23 @@ def historical_decomposition(df: DataFrame, columns: list[str], order: str, p: i
 def var_forecast(df: DataFrame, columns: list[str], order: str, p: int = 1, steps: int = 8, level: float = 0.95, by: str | None = None) -> DataFrame:
     z = dist.norm_ppf(0.5 + level / 2)
 
-    def f(t, y):
-        m, s = Var(y, p).forecast(steps)
+    def f(v):
+        m, s = v.forecast(steps)
         return {"horizon": np.repeat(np.arange(1, steps + 1), len(columns)), "variable": np.tile(columns, steps), "forecast": m.ravel(), "lower": (m - z * s).ravel(), "upper": (m + z * s).ravel()}
 
-    return per_series(df, columns, order, f, "horizon int, variable string, forecast double, lower double, upper double", by)
+    return per_system(df, columns, order, p, f, "horizon int, variable string, forecast double, lower double, upper double", by, last=True)
 
 
 def granger(df: DataFrame, columns: list[str], order: str, p: int = 1, by: str | None = None) -> DataFrame:
-    def f(t, y):
-        m = Var(y, p)
+    def f(m):
         out = [(columns[i], columns[j], *m.granger(i, j)) for i in range(m.n) for j in range(m.n) if i != j]
         return dict(zip(("cause", "effect", "statistic", "df1", "df2", "p_value"), zip(*out, strict=True), strict=True))
 
-    return per_series(df, columns, order, f, "cause string, effect string, statistic double, df1 int, df2 int, p_value double", by)
+    return per_system(df, columns, order, p, f, "cause string, effect string, statistic double, df1 int, df2 int, p_value double", by)
 
 
 def stability(df: DataFrame, columns: list[str], order: str, p: int = 1, by: str | None = None) -> DataFrame:
-    return per_series(df, columns, order, lambda t, y: {"root": range(1, len(columns) * p + 1), "modulus": Var(y, p).roots}, "root int, modulus double", by)
+    return per_system(df, columns, order, p, lambda m: {"root": range(1, len(columns) * p + 1), "modulus": m.roots}, "root int, modulus double", by)
 
 
 #: Rows of one system that the driver takes; more are an error.
@@ -309,6 +357,13 @@ def local_projection(df: DataFrame, columns: list[str], shock: str, order: str,
     """horizon 0.., variable, value, std_error, lower, upper: y(t + h) on the shock and lags of all columns; Newey-West, bandwidth h + 1 at least."""
     z = dist.norm_ppf(0.5 + level / 2)
     k = columns.index(shock)
+    schema = "horizon int, variable string, value double, std_error double, lower double, upper double"
+    if not by:
+        n = df.dropna(subset=columns).count()
+        width = lambda h, m: min(m - 1, bandwidth if bandwidth is not None else max(h + 1, int(4 * (m / 100) ** (2 / 9))))
+        s = Stretches(df, columns, order, lags + max(width(h, n - lags - h) for h in range(horizon + 1)), horizon)
+        got = projections(s, k, horizon, lags, width)
+        return rows(df.sparkSession, [{"horizon": h, "variable": c, "value": float(b), "std_error": float(e), "lower": float(b - z * e), "upper": float(b + z * e)} for h in range(horizon + 1) for c, (b, e) in zip(columns, got[h], strict=True)], schema)
 
     def f(t, y):
         out = []
@@ -322,7 +377,7 @@ def local_projection(df: DataFrame, columns: list[str], shock: str, order: str,
                 out.append((h, c, b[0], se, b[0] - z * se, b[0] + z * se))
         return dict(zip(("horizon", "variable", "value", "std_error", "lower", "upper"), zip(*out, strict=True), strict=True))
 
-    return per_series(df, columns, order, f, "horizon int, variable string, value double, std_error double, lower double, upper double", by)
+    return per_series(df, columns, order, f, schema, by)
 
 
 def local_projection_iv(df: DataFrame, columns: list[str], shock: str, instrument: str, order: str, horizon: int = 12, lags: int = 4, by: str | None = None) -> DataFrame:
@@ -351,22 +406,25 @@ TRACE_5 = (3.76, 15.41, 29.68, 47.21, 68.52)
 
 def johansen(df: DataFrame, columns: list[str], order: str, p: int = 2, by: str | None = None) -> DataFrame:
     """rank, eigenvalue, trace, max_eigen, trace_cv_5; p lags in levels, unrestricted constant."""
+    n, schema = len(columns), "rank int, eigenvalue double, trace double, max_eigen double, trace_cv_5 double"
+
+    def told(s00, s11, s01, m):
+        w = np.sort(np.linalg.eigvals(np.linalg.solve(s11, s01.T @ np.linalg.solve(s00, s01))).real)[::-1]
+        w = np.clip(w, 0, 1 - 1e-15)
+        lr = -m * np.log(1 - w)
+        return {"rank": range(n), "eigenvalue": w, "trace": [lr[r:].sum() for r in range(n)], "max_eigen": lr, "trace_cv_5": [TRACE_5[n - r - 1] if n - r <= 5 else None for r in range(n)]}
 
     def f(t, y):
         d = np.diff(y, axis=0)
-        n = y.shape[1]
-        z0 = d[p - 1 :]
-        z1 = y[p - 1 : -1]
+        z0, z1 = d[p - 1 :], y[p - 1 : -1]
         x = np.hstack([np.ones((len(z0), 1)), *[d[p - 1 - j : len(d) - j] for j in range(1, p)]])
         r0, r1 = z0 - x @ np.linalg.lstsq(x, z0, rcond=None)[0], z1 - x @ np.linalg.lstsq(x, z1, rcond=None)[0]
         m = len(z0)
-        s00, s11, s01 = r0.T @ r0 / m, r1.T @ r1 / m, r0.T @ r1 / m
-        w = np.sort(np.linalg.eigvals(np.linalg.solve(s11, s01.T @ np.linalg.solve(s00, s01))).real)[::-1]
-        w = np.clip(w, 0, 1 - 1e-15)
-        lr = -m * np.log(1 - w)
-        return {"rank": range(n), "eigenvalue": w, "trace": [lr[r:].sum() for r in range(n)], "max_eigen": lr, "trace_cv_5": [TRACE_5[n - r - 1] if n - r <= 5 else None for r in range(n)]}
+        return told(r0.T @ r0 / m, r1.T @ r1 / m, r0.T @ r1 / m, m)
 
-    return per_series(df, columns, order, f, "rank int, eigenvalue double, trace double, max_eigen double, trace_cv_5 double", by)
+    if by:
+        return per_series(df, columns, order, f, schema, by)
+    return _frame(df.sparkSession, told(*cointegration(Stretches(df, columns, order, p), p)), schema)
 
 
 def engle_granger(df: DataFrame, y: str, x: list[str], order: str, lags: int = 1, by: str | None = None) -> DataFrame:
@@ -377,7 +435,13 @@ def engle_granger(df: DataFrame, y: str, x: list[str], order: str, lags: int = 1
         b, e, _ = ols(v[:, 0], np.column_stack([np.ones(len(v)), v[:, 1:]]))
         return {"term": ["const", *x, "adf_t"], "estimate": [*b, adf(e, lags, "none")[0]]}
 
-    return per_series(df, [y, *x], order, f, "term string, estimate double", by)
+    if by:
+        return per_series(df, [y, *x], order, f, "term string, estimate double", by)
+    s = Stretches(df, [y, *x], order, lags + 2)
+    b = regress(square(s.sums(lambda z, place, own: products(z[own]))), [0], list(range(1, 1 + len(x))))[0][:, 0]
+    t = dickey_fuller(s, 0, lags, "none", combine=np.concatenate(([1.0], -b)))[0]
+    slope = b * s.sd[0] / s.sd[1:]
+    return _frame(df.sparkSession, {"term": ["const", *x, "adf_t"], "estimate": [s.mean[0] - slope @ s.mean[1:], *slope, t]}, "term string, estimate double")
 
 
 def cointegrating_regression(df: DataFrame, y: str, x: list[str], order: str, method: str = "fmols", leads: int = 1, by: str | None = None) -> DataFrame:
@@ -420,22 +484,18 @@ def cointegrating_regression(df: DataFrame, y: str, x: list[str], order: str, me
 
 def ardl(df: DataFrame, y: str, x: list[str], order: str, p: int = 1, q: int = 1, by: str | None = None) -> DataFrame:
     """term, estimate, std_error of an ARDL(p, q..), long-run multipliers (lr_*), and the bounds F (bounds_f)."""
-
-    def f(t, v):
-        m = max(p, q)
-        yy = v[m:, 0]
-        cols, names = [np.ones(len(yy))], ["const"]
-        for j in range(1, p + 1):
-            cols.append(v[m - j : len(v) - j, 0])
-            names.append(f"{y}_l{j}")
-        for i, c in enumerate(x, 1):
-            for j in range(q + 1):
-                cols.append(v[m - j : len(v) - j, i])
-                names.append(f"{c}_l{j}")
-        z = np.column_stack(cols)
-        b, e, inv = ols(yy, z)
-        s2 = e @ e / (len(yy) - z.shape[1])
-        se = np.sqrt(s2 * np.diag(inv))
+    names = ["const", *[f"{y}_l{j}" for j in range(1, p + 1)], *[f"{c}_l{j}" for c in x for j in range(q + 1)]]
+    k, most = 1 + len(x), max(p, q)
+
+    def designs(v: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """y and the regressors with levels; its difference and those of differences only."""
+        one = np.ones((len(at), 1))
+        own = np.hstack([v[at, :1], one, lag_columns(v[:, :1], at, range(1, p + 1)), *[lag_columns(v[:, i : i + 1], at, range(q + 1)) for i in range(1, k)]])
+        d = np.vstack([np.zeros((1, k)), np.diff(v, axis=0)])
+        return own, np.hstack([d[at, :1], one, lag_columns(d[:, :1], at, range(1, p)), *[lag_columns(d[:, i : i + 1], at, range(q)) for i in range(1, k)]])
+
+    def told(b, inv, rss, rss0, n):
+        s2 = rss / (n - len(b))
         gap = 1 - b[1 : 1 + p].sum()
         lr = [b[1 + p + i * (q + 1) : 1 + p + (i + 1) * (q + 1)].sum() / gap for i in range(len(x))]
         ser = []
@@ -444,15 +504,29 @@ def ardl(df: DataFrame, y: str, x: list[str], order: str, p: int = 1, q: int = 1
             g[1 : 1 + p] = r / gap
             g[1 + p + i * (q + 1) : 1 + p + (i + 1) * (q + 1)] = 1 / gap
             ser.append(math.sqrt(s2 * g @ inv @ g))
-        # Without the levels: first differences only.
-        d = np.diff(v, axis=0)
-        dz = [np.ones(len(yy))] + [d[m - 1 - j : len(d) - j, 0] for j in range(1, p)] + [d[m - 1 - j : len(d) - j, i] for i in range(1, len(x) + 1) for j in range(q)]
-        r0 = ols(d[m - 1 :, 0], np.column_stack(dz))[1]
-        k = 1 + len(x)
-        bounds = ((r0 @ r0) - (e @ e)) / k / s2
-        return {"term": [*names, *[f"lr_{c}" for c in x], "bounds_f"], "estimate": [*b, *lr, bounds], "std_error": [*se, *ser, None]}
+        return {"term": [*names, *[f"lr_{c}" for c in x], "bounds_f"], "estimate": [*b, *lr, (rss0 - rss) / k / s2], "std_error": [*np.sqrt(s2 * np.diag(inv)), *ser, None]}
 
-    return per_series(df, [y, *x], order, f, "term string, estimate double, std_error double", by)
+    def f(t, v):
+        own, short = designs(v, np.arange(most, len(v)))
+        b, e, inv = ols(own[:, 0], own[:, 1:])
+        r0 = ols(short[:, 0], short[:, 1:])[1]
+        return told(b, inv, e @ e, r0 @ r0, len(own))
+
+    if by:
+        return per_series(df, [y, *x], order, f, "term string, estimate double, std_error double", by)
+    s = Stretches(df, [y, *x], order, most + 1)
+
+    def both(z, place, own):
+        a, c = designs(z, own[place[own] > most])
+        return np.concatenate([products(a), products(c)])
+
+    g, width = s.sums(both), 1 + len(names)
+    g, short = square(g[: width * width]), square(g[width * width :])
+    b, inv, rss = regress(g, [0], list(range(1, width)))
+    of = [*[0] * p, *[i for i in range(1, k) for _ in range(q + 1)]]
+    b, inv = unscaled(b, inv, s.mean[:1], s.sd[:1], s.mean[of], s.sd[of])
+    rss0 = regress(short, [0], list(range(1, len(short))))[2][0, 0]
+    return _frame(df.sparkSession, told(b[:, 0], inv, rss[0, 0] * s.sd[0] ** 2, rss0 * s.sd[0] ** 2, s.n - most), "term string, estimate double, std_error double")
 
 
 def principal_factors(df: DataFrame, columns: list[str], r: int = 1) -> tuple[np.ndarray, np.ndarray, DataFrame]:

@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from ..functions import dist
 from ..functions.linalg import lags as lag_matrix
 from ..functions.linalg import ols
+from ..plans.lagged import unit_root_battery
 from ..plans.ordered import blocked, exact_quantiles
-from .kernels import per_series
+from .describe import rows
+from .kernels import per_series, tidy
 
 
 def run(df: DataFrame, column: str, order: str, f, schema: str, by: str | None = None) -> DataFrame:
@@ -408,15 +410,21 @@ def df_gls(y: np.ndarray, lags: int, kind: str = "constant") -> float:
 def unit_root(df: DataFrame, column: str, order: str, kind: str = "constant", lags: int | None = None, by: str | None = None) -> DataFrame:
     """test (adf, phillips_perron, kpss, df_gls), statistic, lags, n, cv_1, cv_5, cv_10."""
 
+    schema = "test string, statistic double, lags int, n int, cv_1 double, cv_5 double, cv_10 double"
+    names = ("test", "statistic", "lags", "n", "cv_1", "cv_5", "cv_10")
+
+    def told(a, p, n, z, bw, k, kb, gls, total):
+        return [("adf", a, p, n, *critical_values(kind, n)), ("phillips_perron", z, bw, total - 1, *critical_values(kind, total - 1)), ("kpss", k, kb, total, *KPSS[kind]), ("df_gls", gls, p, n, *([None] * 3 if kind == "trend" else critical_values("none", n)))]
+
     def f(t, y):
         a, p, n, _ = adf(y, lags, kind)
         z, _, bw = phillips_perron(y, kind)
-        k, kb = kpss(y, kind)
-        cv = critical_values(kind, n)
-        rows = [("adf", a, p, n, *cv), ("phillips_perron", z, bw, len(y) - 1, *critical_values(kind, len(y) - 1)), ("kpss", k, kb, len(y), *KPSS[kind]), ("df_gls", df_gls(y, p, kind), p, n, *([None] * 3 if kind == "trend" else critical_values("none", n)))]
-        return dict(zip(("test", "statistic", "lags", "n", "cv_1", "cv_5", "cv_10"), zip(*rows, strict=True), strict=True))
+        return tidy(names, told(a, p, n, z, bw, *kpss(y, kind), df_gls(y, p, kind), len(y)))
 
-    return run(df, column, order, f, "test string, statistic double, lags int, n int, cv_1 double, cv_5 double, cv_10 double", by)
+    if by:
+        return run(df, column, order, f, schema, by)
+    (a, p, n), (z, bw), (k, kb), (gls,), total = unit_root_battery(df, column, order, kind, lags)
+    return rows(df.sparkSession, [dict(zip(names, r, strict=True)) for r in told(a, p, n, z, bw, k, kb, gls, total)], schema)
 
 
 # -- volatility and autoregression ------------------------------------------

@@ -19,7 +19,7 @@ from ..functions import dist
 from ..functions.linalg import guarded_inverse, ols
 from ..functions.linalg import lags as lag_matrix
 from .kernels import per_series, tidy
-from .multivariate import CUBE, TRACE_5, Var, _cube, system
+from .multivariate import _cube, CUBE, per_system, system, TRACE_5, Var
 
 TESTS = "test string, statistic double, df int, p_value double"
 
@@ -55,37 +55,35 @@ class Given(Var):
 def coefficient_covariance(df: DataFrame, columns: list[str], order: str, p: int = 1, by: str | None = None) -> DataFrame:
     """equation, term, equation2, term2, value: residual covariance (degrees of freedom adjusted) times the inverse Gram matrix."""
 
-    def f(t, y):
-        m = Var(y, p)
-        v = np.kron(m.sigma_dof, m.fit[2])
+    def f(m):
+        v = np.kron(m.sigma_dof, m.inv)
         names = [(c, k) for c in columns for k in terms_of(columns, p)]
         n = len(names)
         a = [names[i // n] for i in range(n * n)]
         b = [names[i % n] for i in range(n * n)]
         return {"equation": [x[0] for x in a], "term": [x[1] for x in a], "equation2": [x[0] for x in b], "term2": [x[1] for x in b], "value": v.ravel()}
 
-    return per_series(df, columns, order, f, "equation string, term string, equation2 string, term2 string, value double", by)
+    return per_system(df, columns, order, p, f, "equation string, term string, equation2 string, term2 string, value double", by)
 
 
 def lag_coefficients(df: DataFrame, columns: list[str], order: str, p: int = 1, by: str | None = None) -> DataFrame:
     """lag, equation, variable, value: the matrices A_1 .. A_p."""
 
-    def f(t, y):
-        m, n = Var(y, p), len(columns)
+    def f(m):
+        n = len(columns)
         return tidy(("lag", "equation", "variable", "value"), [(j, columns[i], columns[k], m.b[1 + (j - 1) * n + k, i]) for j in range(1, p + 1) for i in range(n) for k in range(n)])
 
-    return per_series(df, columns, order, f, "lag int, equation string, variable string, value double", by)
+    return per_system(df, columns, order, p, f, "lag int, equation string, variable string, value double", by)
 
 
 def dimensions(df: DataFrame, columns: list[str], order: str, p: int = 1, by: str | None = None) -> DataFrame:
     """variables, lags, coefficients (of one equation), rows_used, loglik, stationary."""
 
-    def f(t, y):
-        m = Var(y, p)
+    def f(m):
         ll = -m.rows * m.n / 2 * (math.log(2 * math.pi) + 1) - m.rows / 2 * np.linalg.slogdet(m.sigma)[1]
         return {"variables": [m.n], "lags": [p], "coefficients": [1 + m.n * p], "rows_used": [m.rows], "loglik": [ll], "stationary": [bool(m.roots[0] < 1)]}
 
-    return per_series(df, columns, order, f, "variables int, lags int, coefficients int, rows_used int, loglik double, stationary boolean", by)
+    return per_system(df, columns, order, p, f, "variables int, lags int, coefficients int, rows_used int, loglik double, stationary boolean", by)
 
 
 def fitted(df: DataFrame, columns: list[str], order: str, p: int = 1, by: str | None = None) -> DataFrame:
@@ -101,7 +99,7 @@ def fitted(df: DataFrame, columns: list[str], order: str, p: int = 1, by: str |
 
 def point_forecast(df: DataFrame, columns: list[str], order: str, p: int = 1, steps: int = 8, by: str | None = None) -> DataFrame:
     """horizon, variable, forecast by recursion."""
-    return per_series(df, columns, order, lambda t, y: {"horizon": np.repeat(np.arange(1, steps + 1), len(columns)), "variable": np.tile(columns, steps), "forecast": Var(y, p).forecast(steps)[0].ravel()}, "horizon int, variable string, forecast double", by)
+    return per_system(df, columns, order, p, lambda m: {"horizon": np.repeat(np.arange(1, steps + 1), len(columns)), "variable": np.tile(columns, steps), "forecast": m.forecast(steps)[0].ravel()}, "horizon int, variable string, forecast double", by, last=True)
 
 
 def structural_shocks(df: DataFrame, columns: list[str], order: str, p: int = 1, method: str = "cholesky", by: str | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import accumulate
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PARTS = 64
@@ -16,10 +16,8 @@ def running_sum(df: DataFrame, order: str, value: str, name: str, parts: int = P
     Rows are bucketed by approximate quantiles of the order, summed inside each
     bucket by a window, and shifted by the total of the buckets before.
     """
-    cuts = df.select(F.percentile_approx(order, [k / parts for k in range(1, parts)], 2000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    bucket = sum(((F.col(order) > F.lit(c)).cast("int") for c in cuts), F.lit(0))
-    d = df.withColumn("_bucket", bucket)
+    cuts = sorted(set(df.select(F.percentile_approx(order, [k / parts for k in range(1, parts)], 2000)).first()[0] or []))
+    d = df.withColumn("_bucket", _stretch(order, cuts))
     totals = dict(d.groupBy("_bucket").agg(F.sum(value)).collect())  # one row a bucket
     keys = sorted(totals)
     before = dict(zip(keys, [0, *accumulate(totals[k] for k in keys)], strict=False))
@@ -28,17 +26,42 @@ def running_sum(df: DataFrame, order: str, value: str, name: str, parts: int = P
     return d.withColumn(name, F.sum(value).over(w) + shift[F.col("_bucket")]).drop("_bucket")
 
 
-def blocked(df: DataFrame, order: str, before: int = 0, after: int = 0, parts: int = PARTS) -> tuple[DataFrame, list[int]]:
+#: Rows of a stretch that are worth a task, and stretches at most.
+STRETCH, MOST_PARTS = 250_000, 256
+
+
+def _stretch(order: str, cuts: list) -> Column:
+    """How many of the sorted cuts lie below the order's value, by halving."""
+
+    def of(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col(order) > F.lit(cuts[mid]), of(mid + 1, hi)).otherwise(of(lo, mid))
+
+    return of(0, len(cuts))
+
+
+def blocked(df: DataFrame, order: str, before: int = 0, after: int = 0, parts: int | None = None, total: int | None = None) -> tuple[DataFrame, list[int]]:
     """Rows with _block (consecutive stretches of the order), _place (1-based position among all) and _halo, and the rows of each block.
 
     With before or after, each block also has that many rows of its neighbours,
     marked _halo, so that windows over a block see them. Blocks come from
     approximate quantiles and are merged until each has rows enough for its
-    neighbours. Order values must be distinct.
+    neighbours; their number follows the rows (total, counted if not given)
+    unless parts says it. Order values must be distinct.
     """
-    cuts = df.select(F.percentile_approx(order, [k / parts for k in range(1, parts)], 2000)).first()[0] or []
-    raw = F.coalesce(sum(((F.col(order) > F.lit(c)).cast("int") for c in sorted(set(cuts))), F.lit(0)), F.lit(0))
-    d = df.withColumn("_block", raw)
+    if parts is None:
+        total = df.count() if total is None else total
+        parts = max(1, min(MOST_PARTS, -(-total // STRETCH)))
+    if parts == 1:
+        total = df.count() if total is None else total
+        # Always 0, but no constant to the optimizer, so the window keeps its key.
+        d = df.withColumn("_block", F.pmod(F.hash(order), F.lit(1)))
+        d = d.withColumn("_place", F.row_number().over(Window.partitionBy("_block").orderBy(order)).cast("long"))
+        return d.withColumn("_halo", F.lit(False)), [total]
+    cuts = df.select(F.percentile_approx(order, [k / parts for k in range(1, parts)], 100 * parts)).first()[0] or []
+    d = df.withColumn("_block", _stretch(order, sorted(set(cuts))))
     counts = dict(d.groupBy("_block").count().collect())  # at most parts rows
     least, block, sizes = max(1, before, after), {}, []
     held = 0
@@ -55,13 +78,12 @@ def blocked(df: DataFrame, order: str, before: int = 0, after: int = 0, parts: i
         sizes = [held]
     sizes = sizes or [0]
     start = [0, *accumulate(sizes)][:-1]
-    number = F.create_map(*[F.lit(x) for k, v in (block or {0: 0}).items() for x in (k, v)])
-    shift = F.create_map(*[F.lit(x) for k, v in enumerate(start) for x in (k, v)])
-    d = d.withColumn("_block", number[F.col("_block")])
-    d = d.withColumn("_place", (F.row_number().over(Window.partitionBy("_block").orderBy(order)) + shift[F.col("_block")]).cast("long"))
+    at = lambda values, k: F.element_at(F.array(*[F.lit(v) for v in values]), k + 1)
+    d = d.withColumn("_block", at([block.get(k, 0) for k in range(parts)], F.col("_block")))
+    d = d.withColumn("_place", (F.row_number().over(Window.partitionBy("_block").orderBy(order)) + at(start, F.col("_block"))).cast("long"))
     if not before and not after:
         return d.withColumn("_halo", F.lit(False)), sizes
-    own, size = F.col("_place") - shift[F.col("_block")], F.create_map(*[F.lit(x) for k, v in enumerate(sizes) for x in (k, v)])[F.col("_block")]
+    own, size = F.col("_place") - at(start, F.col("_block")), at(sizes, F.col("_block"))
     to = F.filter(
         F.array(F.col("_block"), F.when(own > size - before, F.col("_block") + 1), F.when(own <= after, F.col("_block") - 1)),
         lambda b: b.isNotNull() & (b >= 0) & (b < len(sizes)),
