@@ -1,18 +1,20 @@
 """Byte-pair encoding as a bounded-lookahead streaming transducer, and its decoder.
 
 From the merge list one pass in rank order computes the sufficient lookahead:
-for each token the number of symbols to the right of its end that can still
-decide whether it stands. Texts are fed to the transducer in pieces. What lies
-before a blank is stable at once, for no merge crosses it; inside a word that
-goes on, a token is stable when its end lies that far behind the input read so
-far. Stable tokens are emitted, the rest is held, so what the transducer holds
-is bounded however long a text or a word is.
-
-``Lanes`` runs the transducers of a batch of texts side by side: every text is
-fed in pieces, cut at the last blank; the distinct chunks that a piece closes
-are merged in lockstep with numpy, or one after another by a ``Transducer`` if
-they are longer than its window, and their emissions are remembered in a memo
-of bounded size. The ids that a round emits go straight into the digests.
+how many symbols to the right of a token's end can still decide whether it
+stands. The transducer reads a word symbol by symbol. A sequence of tokens is
+an encoding exactly if each two neighbours are the encoding of what they spell
+together; so each prefix has one last token, found among the tokens that end
+there by asking whether it may follow the last token before it. A trie of the
+tokens follows all that may still be growing. A token is stable when every
+growing one leads back to it, and is emitted then; what is held stays within
+the lookahead and the longest token (tested), however long a word is.
+
+``Lanes`` feeds the texts of a batch in pieces of ``PIECE`` characters, cut at
+the last blank, for no token crosses it; each distinct chunk between blanks goes
+through the transducer once and what it emitted is kept in a memo of bounded
+size. A text whose piece has no blank keeps a transducer of its own open from
+there on. The ids that a round emits go straight into the digests.
 
 Normaliser, splitter and merges come from a public tokenizer file in the JSON
 form of the tokenizers library; only the parts listed in ``Spec`` are known,
@@ -47,10 +49,10 @@ from pyspark.sql import DataFrame
 from .chunks import MEMO_BYTES, ChunkTable, layout
 from .common import by_batch, only
 
-#: Words that an encoder remembers for single texts.
-MEMO = 20_000
+#: Words that an encoder remembers for single texts, and pairs of tokens whose following is remembered.
+MEMO, PAIRS = 20_000, 2_000_000
 #: Characters of a text that are fed at once.
-PIECE = 1 << 20
+PIECE = 1 << 12
 _SHIFT = 20
 
 
@@ -131,15 +133,23 @@ class Encoder:
             self.rank[s.vocab[a] << _SHIFT | s.vocab[b]] = k
             self.made.append(s.vocab[a + b])
         self.size = {i: len(t.removesuffix(s.end) if s.end else t) for t, i in s.vocab.items()}
-        #: A word of more characters is emitted before its end.
-        self.window = max(64, s.lookahead)
-        self.inner_of = np.array([self.inner[c] for c in chars], np.int64)
-        self.last_of = np.array([self.last[c] for c in chars], np.int64)
-        self.made_of = np.array(self.made, np.int64)
-        keys = np.array(list(self.rank), np.int64)
-        order = np.argsort(keys)
-        self.pair_keys, self.pair_rank = keys[order], np.array(list(self.rank.values()), np.int64)[order]
+        self.inner_of, self.last_of = [self.inner[c] for c in chars], [self.last[c] for c in chars]
         self.words: dict[str, tuple[int, ...]] = {}
+        #: What tokens are spelled with, and a trie of them; a token stands under -1.
+        self.spelled = {i: (i,) for i in {*self.inner_of, *self.last_of}}
+        for pair, made in zip(self.rank, self.made, strict=True):
+            self.spelled.setdefault(made, self.spelled[pair >> _SHIFT] + self.spelled[pair & (1 << _SHIFT) - 1])
+        self.trie: dict = {}
+        for i, x in self.spelled.items():
+            if len(x) == 1 or self.merge(list(x)) == [i]:
+                node = self.trie
+                for c in x:
+                    node = node.setdefault(c, {})
+                node[-1] = i
+        self.longest = max(map(len, self.spelled.values()))
+        self.follows: dict[int, bool] = {}
+        #: Symbols fed to transducers so far.
+        self.fed = 0
 
     def normal(self, text: str) -> str:
         s = self.spec
@@ -196,63 +206,18 @@ class Encoder:
                     heapq.heappush(heap, (q, x, ids[x], ids[y]))
         return [x for x in ids if x >= 0]
 
-    def merge_many(self, words: list[bytes]) -> list[np.ndarray]:
-        """As merge() of the symbols of each word that ends, all words in lockstep: one merge a word and round."""
-        if not words:
-            return []
-        none = len(self.made)
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        raw = np.frombuffer(b"".join(words), np.uint8)
-        ends = np.cumsum(size) - 1
-        sym = self.inner_of[raw]
-        sym[ends] = self.last_of[raw[ends]]
-        rank = np.full(len(sym), none, np.int64)
-        rank[:-1] = self._ranks(sym[:-1], sym[1:])
-        rank[ends] = none
-        of, done = np.arange(len(words)), []
-        while len(of):
-            begin = np.cumsum(size) - size
-            best = np.minimum.reduceat(rank, begin)
-            over = best == none
-            if over.any():
-                flag = np.repeat(over, size)
-                done.append((of[over], size[over], sym[flag]))
-                sym, rank, size, of, best = sym[~flag], rank[~flag], size[~over], of[~over], best[~over]
-                if not len(of):
-                    break
-            owner = np.repeat(np.arange(len(of)), size)
-            at = np.flatnonzero(rank == best[owner])
-            at = at[np.concatenate(([True], owner[at[1:]] != owner[at[:-1]]))]
-            sym[at] = self.made_of[best]
-            stop = np.cumsum(size) - 1
-            keep = np.ones(len(sym), bool)
-            keep[at + 1] = False
-            end = at + 1 == stop
-            sym, rank = sym[keep], rank[keep]
-            size = size - 1
-            at = at - np.arange(len(at))
-            rank[at] = none
-            k = at[~end]
-            rank[k] = self._ranks(sym[k], sym[k + 1])
-            k = at[at > np.cumsum(size) - size]
-            rank[k - 1] = self._ranks(sym[k - 1], sym[k])
-        order = np.concatenate([x[0] for x in done])
-        sizes = np.concatenate([x[1] for x in done])
-        parts = np.split(np.concatenate([x[2] for x in done]), np.cumsum(sizes)[:-1])
-        out: list = [None] * len(words)
-        for k, p in zip(order.tolist(), parts, strict=True):
-            out[k] = p
-        return out
-
-    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left.astype(np.int64) << _SHIFT | right
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == key, self.pair_rank[at], len(self.made))
+    def may_follow(self, a: int, b: int) -> bool:
+        """Are these two tokens the encoding of what they spell together?"""
+        if len(self.follows) > PAIRS:
+            self.follows.clear()
+        v = self.follows[a << _SHIFT | b] = self.merge([*self.spelled[a], *self.spelled[b]]) == [a, b]
+        return v
 
     def word(self, word: str) -> tuple[int, ...]:
         ids = self.words.get(word)
         if ids is None:
-            ids = tuple(self.merge(self.symbols(word, True)))
+            t = Word(self)
+            ids = tuple(t.push(self.symbols(word, True), True))
             if len(self.words) > MEMO:
                 self.words.clear()
             self.words[word] = ids
@@ -274,6 +239,65 @@ class Encoder:
         return [i for at in range(0, len(text), PIECE) for i in t.feed(text[at : at + PIECE])] + t.close()
 
 
+class Word:
+    """The state of one word: of each prefix since what was emitted its last token and where that begins, and the tokens that are growing."""
+
+    def __init__(self, encoder: Encoder):
+        self.e = encoder
+        #: By places since the last emitted token, which stands at place 0 (None at the word's begin).
+        self.token: list[int | None] = [None]
+        self.begin: list[int] = [0]
+        self.growing: list[tuple[int, dict]] = []
+
+    def push(self, symbols: list[int], ended: bool) -> list[int]:
+        """Reads symbols; returns the tokens that have become stable, all of them when the word has ended."""
+        e, token, begin, growing = self.e, self.token, self.begin, self.growing
+        known, trie = e.follows.get, e.trie
+        e.fed += len(symbols)
+        for c in symbols:
+            growing.append((len(token) - 1, trie))
+            now, found = [], False
+            for at, node in growing:
+                node = node.get(c)
+                if node is None:
+                    continue
+                now.append((at, node))
+                if not found and (t := node.get(-1)) is not None:
+                    last = token[at]
+                    ok = last is None or known(last << _SHIFT | t)
+                    if ok is None:
+                        ok = e.may_follow(last, t)
+                    if ok:
+                        token.append(t)
+                        begin.append(at)
+                        found = True
+            growing = now
+        self.growing = growing
+        n = len(token) - 1
+        chain, at = [], n
+        while at:
+            chain.append(at)
+            at = begin[at]
+        if not ended:
+            # Every token that is growing leads back to the chain at some place; what lies before the first of these stands.
+            on, stable = {0, *chain}, n
+            for at, _ in growing:
+                while at not in on:
+                    at = begin[at]
+                stable = min(stable, at)
+            chain = [k for k in chain if k <= stable]
+        out = [token[k] for k in reversed(chain)]
+        if chain and not ended:
+            k = chain[0]
+            self.token, self.begin = token[k:], [max(0, x - k) for x in begin[k:]]
+            self.growing = [(at - k, node) for at, node in growing]
+        return out
+
+    @property
+    def held(self) -> int:
+        return len(self.token) - 1
+
+
 class Transducer:
     """Takes pieces of a text and returns ids as soon as they are stable; what it holds is bounded."""
 
@@ -281,7 +305,8 @@ class Transducer:
         self.e = encoder
         self.raw = self.text = ""
         self.run: regex.Pattern | None = None  # the class of the word that is being emitted
-        self.held: list[int] = []
+        self.open: Word | None = None
+        self.last = ""  # the open word's last character, which may turn out to be its end
 
     def feed(self, piece: str) -> list[int]:
         e, out = self.e, []
@@ -317,38 +342,27 @@ class Transducer:
         for m in e.pattern.finditer(self.text):
             if not ended and m.end() > len(self.text) - 2:
                 break
-            out += e.word(m[0]) if len(m[0]) <= e.window else e.merge(e.symbols(m[0], True))
+            out += e.word(m[0])
             last = m.end()
         else:
             last = len(self.text) if ended else max(last, len(self.text) - 2)
         self.text = self.text[last:]
-        if not ended and len(self.text) > e.window and (m := e.pattern.search(self.text)) and len(m[0]) > e.window:
+        if not ended and len(self.text) > e.longest and (m := e.pattern.search(self.text)) and len(m[0]) > e.longest:
             self.run = regex.compile(r"\p{L}*" if regex.match(r"\p{L}", m[0]) else r"[^\s\p{L}\p{N}]*")
             out += self._more(m[0], False)
             self.text = self.text[m.end() :]
         return out
 
     def _more(self, word: str, ended: bool) -> list[int]:
-        """Adds to the open word. Its last symbol stays held, for it may turn out to be the word's end."""
-        e, out, ahead = self.e, [], self.e.spec.lookahead
-        self.held += e.symbols(word, False)
+        """Adds to the open word. Its last character stays held, for it may turn out to be the word's end."""
+        self.open = self.open or Word(self.e)
+        word = self.last + word
         if ended:
-            back = {v: k for k, v in e.inner.items()}
-            self.held[-1] = e.last[back[self.held[-1]]]
-            out = e.merge(self.held)
-            self.run, self.held = None, []
-        else:
-            while len(self.held) > 2 * ahead + e.window:
-                # A bounded window of the word: what ends a lookahead before its own end stands.
-                part = self.held[: 2 * ahead + e.window]
-                done = 0
-                for t in e.merge(list(part)):
-                    if done + e.size[t] > len(part) - ahead - 1:
-                        break
-                    out.append(t)
-                    done += e.size[t]
-                self.held = self.held[done:]
-        return out
+            out = self.open.push(self.e.symbols(word, True), True)
+            self.run, self.open, self.last = None, None, ""
+            return out
+        self.last = word[-1:]
+        return self.open.push(self.e.symbols(word[:-1], False), False) if len(word) > 1 else []
 
 
 class Decoder:
@@ -415,35 +429,21 @@ class Lanes:
 
     def _emissions(self, chunks: list[bytes]) -> list[bytes]:
         """What a transducer emits for each chunk that a blank or the text's end closes."""
-        e, words, plan = self.e, [], []
+        e, out = self.e, []
+        inner, last = e.inner_of, e.last_of
         for c in chunks:
-            s = c.decode()
-            if len(s) > e.window:
-                plan.append(np.array(e.encode(s), np.int64))
-                continue
-            if s.isascii() and s.isalpha():
-                plan.append((len(words), len(words) + 1, None))
-                words.append(c.lower() if e.spec.lower else c)
-                continue
-            first, special = len(words), []
-            for part, is_special in e.parts(s):
-                if is_special:
-                    special.append((len(words) - first, e.spec.special[part]))
-                else:
-                    words += [w.encode() for w in e.pattern.findall(e.normal(part))]
-            plan.append((first, len(words), special or None))
-        ids = e.merge_many(words)
-        out = []
-        for p in plan:
-            if isinstance(p, np.ndarray):
-                out.append(p.astype("<u4").tobytes())
-            elif p[2] is None:
-                out.append(ids[p[0]].astype("<u4").tobytes() if p[1] - p[0] == 1 else b"".join([x.astype("<u4").tobytes() for x in ids[p[0] : p[1]]]))
+            if c.isalpha():
+                low = c.lower() if e.spec.lower else c
+                ids = Word(e).push([*[inner[b] for b in low[:-1]], last[low[-1]]], True)
             else:
-                row = [x.tolist() for x in ids[p[0] : p[1]]]
-                for at, i in reversed(p[2]):
-                    row.insert(at, [i])
-                out.append(np.array([i for x in row for i in x], "<u4").tobytes())
+                ids = []
+                for part, special in e.parts(c.decode()):
+                    if special:
+                        ids.append(e.spec.special[part])
+                    else:
+                        for w in e.pattern.findall(e.normal(part)):
+                            ids += Word(e).push(e.symbols(w, True), True)
+            out.append(np.array(ids, "<u4").tobytes())
         return out
 
     def rounds(self, texts: pa.Array) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
@@ -452,7 +452,8 @@ class Lanes:
             yield list(range(len(texts))), *self.table.ids(texts)
             return
         left = {k: (t or "", 0, "") for k, t in enumerate(texts.to_pylist())}
-        while left:
+        own: dict[int, tuple[str, int, Transducer]] = {}
+        while left or own:
             rows, fed, after = list(left), [], {}
             for k, (t, at, held) in left.items():
                 piece = held + t[at : at + self.piece]
@@ -462,9 +463,24 @@ class Lanes:
                     continue
                 cut = max(piece.rfind(" "), piece.rfind("\n")) + 1
                 fed.append(piece[:cut])
-                after[k] = (t, at, piece[cut:])
-            yield rows, *self.table.ids(pa.array(fed, pa.large_string()))
+                if cut:
+                    after[k] = (t, at, piece[cut:])
+                else:
+                    own[k] = (t, at - len(piece), Transducer(self.e))
+            if rows:
+                yield rows, *self.table.ids(pa.array(fed, pa.large_string()))
             left = after
+            # Texts without a blank for so long go on by themselves.
+            rows, ids = [k for k in own if k not in left], []
+            for k in rows:
+                t, at, machine = own.pop(k)
+                ids.append(machine.feed(t[at : at + self.piece]))
+                if at + self.piece >= len(t):
+                    ids[-1] += machine.close()
+                else:
+                    own[k] = (t, at + self.piece, machine)
+            if rows:
+                yield rows, np.array([i for x in ids for i in x], "<u4"), np.cumsum([0, *map(len, ids)])
 
 
 class _Digests:

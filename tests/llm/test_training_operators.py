@@ -132,25 +132,50 @@ def test_chunks_equal_the_library_with_a_tiny_memo():
             ids, begin = e.ids(pa.array(texts[at : at + 500]))
             assert [x.tolist() for x in np.split(ids, begin[1:-1])] == want[at : at + 500]
         assert e.table.held <= size
-    e = bpe.Encoder(tokenizer_path())
-    words = [x.encode() for x in "a hello thereof übermäßig 漢字 xyzzyxyzzy aaaaaaaaaaaaaaaaaaaaa".split()]
-    assert [x.tolist() for x in e.merge_many(words)] == [e.merge(e.symbols(w.decode(), True)) for w in words] and e.merge_many([]) == []
 
 
-def test_every_chunk_goes_through_the_transducer():
-    """Fed in pieces, whatever their size; all ids come from what the lanes emit."""
+def test_words_read_symbol_by_symbol_equal_merges():
+    e, r = bpe.Encoder(tokenizer_path()), random.Random(8)
+    words = "a hello thereof übermäßig 漢字 xyzzyxyzzy aaaaaaaaaaaaaaaaaaaaa".split()
+    words += ["".join(r.choice(letters) for _ in range(r.randint(1, 400))) for letters in ("ab", "thean", "aeiouäöß", "!?.'", "漢é🎉a", "in", "abcdefghijklmnopqrstuvwxyz") for _ in range(60)]
+    words += ["".join(r.choice(e.spec.merges[r.randrange(20_000)]).replace("</w>", "") for _ in range(60)) for _ in range(100)]
+    early = 0
+    for w in words:
+        symbols = e.symbols(w, True)
+        want = e.merge(list(symbols))
+        t, got, most = bpe.Word(e), [], 0
+        for at in range(0, len(symbols) - 1, 7):
+            got += t.push(symbols[at : min(at + 7, len(symbols) - 1)], False)
+            assert got == want[: len(got)]
+            most = max(most, t.held)
+        early += len(got) > 0
+        assert got + t.push(symbols[-1:], True) == want
+        # What is held is bounded by the merge list, not by the word.
+        assert most <= e.spec.lookahead + e.longest
+    assert early > 400 and e.fed == sum(len(e.symbols(w, True)) for w in words)
+
+
+def test_every_chunk_goes_through_the_transducer(monkeypatch):
+    """Fed in pieces, whatever their size; all ids come from what words emit, symbol by symbol."""
     import pyarrow as pa
 
+    emitted = []
+    push = bpe.Word.push
+    monkeypatch.setattr(bpe.Word, "push", lambda self, symbols, ended: (lambda out: (emitted.append((len(out), ended)), out)[1])(push(self, symbols, ended)))
+
     texts = [*EDGE, *TRICKY, "a b " * 500 + "y" * 900 + " end", "\n" * 900]
     want = library(texts)[1]
     for piece in (64, 1000, bpe.PIECE):
         lanes = bpe.Lanes(tokenizer_path(), piece=piece)
+        emitted.clear()
         got, fed_rows = [[] for _ in texts], 0
         for fed, ids, begin in lanes.rounds(pa.array(texts)):
             fed_rows += len(fed)
             for k, x in zip(fed, np.split(ids, begin[1:-1]), strict=True):
                 got[k] += x.tolist()
-        assert got == want and lanes.table.learned > 0 and (piece == bpe.PIECE) == (fed_rows == len(texts))
+        assert got == want and fed_rows > len(texts)
+        # Each distinct chunk's symbols were fed, and the text without a blank gave ids before its end.
+        assert lanes.e.fed > lanes.table.learned and sum(n for n, _ in emitted) > 0 and any(n and not ended for n, ended in emitted)
         decoded = [bpe._Digests() for _ in texts]
         for fed, ids, begin in lanes.rounds(pa.array(texts)):
             for k, n, *x in zip(fed, np.diff(begin).tolist(), *[bpe._pieces(t, ids, begin) for t in (lanes.numbers, lanes.tokens, lanes.bytes)], strict=True):
@@ -207,9 +232,9 @@ def test_bpe_against_library(spark, edge):
             n = r.randint(1, 300)
             out += tr.feed(x[at : at + n])
             at += n
-            most = max(most, len(tr.raw) + len(tr.text) + len(tr.held))
+            most = max(most, len(tr.raw) + len(tr.text) + (tr.open.held if tr.open else 0))
         assert out + tr.close() == ids, x[:60]
-    assert most < 8 * e.window  # constant memory
+    assert most < 2 * (300 + e.spec.lookahead + e.longest)  # constant memory
     assert bpe.Decoder(e.spec).decode(e.encode("Grüße, 漢字 ok")) == "grüße , 漢字 ok "
     rows = {r.doc_id: r for r in bpe.encode_decode(edge, tokenizer_path()).collect()}
     ids = library([EDGE[7]])[1][0]
