@@ -1,15 +1,20 @@
 """License scans by conditional compression.
 
 Candidate blocks are windows of ``AROUND`` characters about the words that
-license notices share. Each block is compressed alone and with every template
-as a zstandard raw-content dictionary; templates are ranked by how many bytes
-they save. Winners are confirmed by the exact wording: the word edits that turn
-the template into a stretch of the block must not be over ``EDITS`` of its
-words, and none may touch a word of ``DECIDING``, those that tell licenses
-apart (families, versions, clauses), in the template or in the text. Of
+license notices share (``CUES``) and about the family names of licenses
+(``FAMILIES``). Templates that a block can hold, by the words it has, are each
+given to zstandard as a raw-content dictionary; the block is compressed alone
+and with each, and they are ranked by how many bytes they save. Winners are
+confirmed by the exact wording: the word edits that turn the template into a
+stretch of the block must not be over ``EDITS`` of its words (one at least, from
+``SHORT`` words on), and none may touch a word of ``DECIDING``, those that tell
+licenses apart (families, versions, clauses), in the template or in the text. Of
 confirmed stretches that overlap only the one with the least edits counts, the
 longer one among equals. Every window of a text is scanned.
 
+Besides the notices of ``TEMPLATES`` each name of ``NAMES`` is looked for in the
+``FRAMES`` by which a text grants it, reported as ``<license>-named``.
+
 Versions are one word, without a final .0 (2.0 is 2, GPLv3 is gpl 3). The
 names of an SPDX expression are a word each, and each follows the tag anew.
 
@@ -22,6 +27,7 @@ equal results; a very long text is scanned window by window.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +38,9 @@ from pyspark.sql import DataFrame
 from .common import by_batch, only
 
 CUES = ("licen", "copyright", "permission is hereby", "redistribut", "spdx", "warrant", "public domain", "creative commons", "cc0")
-AROUND, EDITS, LEVEL = 400, 0.15, 3
+#: Names of families that stand for a license without such a word; MIT notices always have one.
+FAMILIES = ("apache", "bsd", "isc", "mozilla", "mpl", "gnu", "gpl", "lgpl", "agpl", "cc0", "cc", "artistic", "eclipse", "epl", "boost", "unlicense", "attribution")
+AROUND, EDITS, SHORT, LEVEL = 400, 0.15, 5, 3
 
 #: Short public notices by which licenses are named or granted.
 TEMPLATES = {
@@ -84,6 +92,33 @@ GPL-2.0 GPL-2.0+ GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0+ GPL-3.0-only GPL
 LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later MIT MIT-0 MPL-1.1 MPL-2.0 MS-PL NCSA OFL-1.1 PSF-2.0 Python-2.0 Unlicense WTFPL Zlib""".split()
 TEMPLATES |= {f"{k}-spdx": f"SPDX-License-Identifier: {k}" for k in SPDX}
 
+#: Short names of licenses, without their articles.
+NAMES = {
+    "AGPL-3.0": ("AGPL v3", "GNU AGPL v3", "GNU Affero General Public License v3"),
+    "Apache-2.0": ("Apache 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache License, Version 2.0", "Apache Software License 2.0"),
+    "Artistic-2.0": ("Artistic License 2.0",),
+    "BSD": ("BSD License",),
+    "BSD-2-Clause": ("BSD 2-Clause License", "2-Clause BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "3-Clause BSD License"),
+    "BSL-1.0": ("Boost Software License 1.0",),
+    "CC0-1.0": ("CC0 1.0", "Creative Commons Zero 1.0"),
+    "EPL-1.0": ("EPL 1.0", "Eclipse Public License 1.0"),
+    "EPL-2.0": ("EPL 2.0", "Eclipse Public License 2.0"),
+    "GPL-2.0": ("GPL v2", "GNU GPL v2", "GNU GPL version 2", "GNU General Public License v2", "GNU General Public License version 2", "GPL 2.0 License"),
+    "GPL-3.0": ("GPL v3", "GNU GPL v3", "GNU GPL version 3", "GNU General Public License v3", "GNU General Public License version 3", "GPL 3.0 License"),
+    "ISC": ("ISC License",),
+    "LGPL-2.1": ("LGPL v2.1", "GNU LGPL v2.1", "GNU Lesser General Public License v2.1"),
+    "LGPL-3.0": ("LGPL v3", "GNU LGPL v3", "GNU Lesser General Public License v3"),
+    "MIT": ("MIT License", "MIT Software License"),
+    "MPL-2.0": ("MPL 2.0", "Mozilla Public License 2.0", "Mozilla Public License v2.0"),
+    "Unlicense": ("Unlicense",),
+}
+for _k, _long in _CLAUSES.items():
+    for _v in ("4.0", "3.0"):
+        NAMES[f"CC-{_k}-{_v}"] = (f"CC {_k} {_v}", f"CC {_k} {_v} License", f"Creative Commons {_long} {_v}", f"Creative Commons {_long} {_v} License")
+#: How a text grants or names one.
+FRAMES = ("licensed under {}", "licensed under the {}", "released under {}", "released under the {}", "distributed under the {}", "available under the {}", "provided under the {}", "published under the {}", "under the terms of the {}", "under the {} or later", "uses the {}", "covered by the {}", "license: {}")
+
 #: Words that tell licenses apart, besides versions and the names of SPDX tags.
 DECIDING = frozenset("apache mit bsd isc mozilla mpl gnu gpl lgpl agpl general lesser library affero creative commons cc cc0 zero attribution sharealike noncommercial noderivatives noderivs by nc sa nd share alike non commercial derivatives artistic boost eclipse epl unlicense clause only".split())
 
@@ -151,12 +186,32 @@ def stretches(template: list[str], block: list[str], most: int) -> list[tuple[in
     return [(d, s, j) for j, (d, s) in enumerate(row) if d <= most and s < j]
 
 
+def named() -> dict[str, str]:
+    """The frames filled with each name, by <license>-named-<number>; not those that are a template word for word."""
+    known, out = {tuple(words(t)) for t in TEMPLATES.values()}, {}
+    for k, names in NAMES.items():
+        for frame in FRAMES:
+            for name in names:
+                text = frame.format(name)
+                if (w := tuple(words(text))) not in known:
+                    known.add(w)
+                    out[f"{k}-named-{len(out)}"] = text
+    return out
+
+
+_NUMBER = re.compile(r"-named-\d+$")
+_PART = re.compile(r"\w")
+
+
 def blocks(text: str | None, around: int = AROUND) -> list[tuple[str, int]]:
-    """Windows about the cues; those that overlap are one, up to eight windows long. With each the characters that it shares with the one before."""
+    """Windows about the cues and family names; those that overlap are one, up to eight windows long. With each the characters that it shares with the one before."""
     if not text:
         return []
     low = text.lower()
-    found = sorted(m for c in CUES if c in low for m in _all(low, c))
+    found = [m for c in CUES if c in low for m in _all(low, c)]
+    # A family name is a word of its own, or the begin of one with a version.
+    found += [m for c in FAMILIES if c in low for m in _all(low, c) if not (m and _PART.match(low[m - 1])) and not low[m + len(c) : m + len(c) + 1].isalpha() or low[m + len(c) : m + len(c) + 2].startswith("v") and low[m + len(c) + 1 : m + len(c) + 2].isdigit()]
+    found.sort()
     out: list[list[int]] = []
     for k in found:
         if out and k - around <= out[-1][1] and k - out[-1][0] < 8 * around:
@@ -175,18 +230,38 @@ def _all(text: str, cue: str) -> Iterator[int]:
 
 class Scanner:
     def __init__(self, templates: dict[str, str] | None = None, edit_share: float = EDITS, level: int = LEVEL):
-        self.templates = dict(sorted((templates or TEMPLATES).items()))
+        self.templates = dict(sorted((templates or TEMPLATES | named()).items()))
         self.words = {k: words(t) for k, t in self.templates.items()}
-        self.deciding = {k: {w for w in t if decides(w)} for k, t in self.words.items()}
-        self.share = edit_share
+        self.most = {k: max(int(edit_share * len(w)), int(len(w) >= SHORT)) for k, w in self.words.items()}
+        self.counts = {k: Counter(w) for k, w in self.words.items()}
         self.plain = zstandard.ZstdCompressor(level=level)
         self.packers = {k: zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, t in self.templates.items()}
-
-    def rank(self, block: str) -> list[tuple[int, str]]:
+        #: Templates by their rarest deciding word, or under None: only those whose word a block has need a look.
+        of = Counter(w for c in self.counts.values() for w in c)
+        self.by: dict[str | None, list[str]] = {}
+        for k, c in self.counts.items():
+            self.by.setdefault(min((w for w in c if decides(w)), key=lambda w: (of[w], w), default=None), []).append(k)
+
+    def possible(self, own: list[str]) -> list[str]:
+        """Templates that the block's words can make up: all deciding ones, and no more missing than edits allow."""
+        had = Counter(own)
+        out = []
+        for k in [*self.by.get(None, []), *(k for w in had for k in self.by.get(w, []))]:
+            missing = 0
+            for w, n in self.counts[k].items():
+                if (lack := n - had[w]) > 0:
+                    missing += lack
+                    if missing > self.most[k] or decides(w):
+                        break
+            else:
+                out.append(k)
+        return out
+
+    def rank(self, block: str, names: list[str] | None = None) -> list[tuple[int, str]]:
         """Bytes saved and name, the most first."""
         raw = block.encode("utf-8", "surrogatepass")
         alone = len(self.plain.compress(raw))
-        return sorted(((alone - len(p.compress(raw)), k) for k, p in self.packers.items()), key=lambda x: (-x[0], x[1]))
+        return sorted(((alone - len(self.packers[k].compress(raw)), k) for k in (self.packers if names is None else names)), key=lambda x: (-x[0], x[1]))
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[str, int, int]]]:
         """Number of blocks; name, bytes saved and word edits of each confirmed notice."""
@@ -194,16 +269,13 @@ class Scanner:
         before: set[tuple[str, int]] = set()
         for b, shared in bs:
             own = words(b)
-            had, near = set(own), []
-            for saved, k in self.rank(b):
+            near = []
+            for saved, k in self.rank(b, names) if (names := self.possible(own)) else []:
                 if saved <= 0:
                     break
-                if not self.deciding[k] <= had:
-                    continue
-                most = int(self.share * len(self.words[k]))
                 # The bound on edits with all words alike is quick; the exact one with deciding words comes after it.
-                if edits(self.words[k], own) <= most:
-                    near += [(d, lo - hi, -saved, k, lo, hi) for d, lo, hi in stretches(self.words[k], own, most)]
+                if edits(self.words[k], own) <= self.most[k]:
+                    near += [(d, lo - hi, -saved, k, lo, hi) for d, lo, hi in stretches(self.words[k], own, self.most[k])]
             taken: list[tuple[int, int]] = []
             # A notice that the block before confirmed too, as far from the end of what both share.
             common = len(words(b[:shared]))
@@ -211,36 +283,14 @@ class Scanner:
             for d, _, saved, k, lo, hi in sorted(near):
                 if all(hi <= x or y <= lo for x, y in taken):
                     taken.append((lo, hi))
-                    now.add((k, len(own) - lo))
-                    if (k, common - lo) not in before:
-                        found.append((k, -saved, d))
+                    name = _NUMBER.sub("-named", k)
+                    now.add((name, len(own) - lo))
+                    if (name, common - lo) not in before:
+                        found.append((name, -saved, d))
             before = now
         return len(bs), found
 
 
-def scan(self, text: str | None) -> tuple[int, list[tuple[str, int, int]]]:
-        """Number of blocks; name, bytes saved and word edits of each confirmed notice."""
-        found, bs = [], blocks(text)
-        for b in bs:
-            own = words(b)
-            had, near = set(own), []
-            for saved, k in self.rank(b):
-                if saved <= 0:
-                    break
-                if not self.deciding[k] <= had:
-                    continue
-                most = int(self.share * len(self.words[k]))
-                # The bound on edits with all words alike is quick; the exact one with deciding words comes after it.
-                if edits(self.words[k], own) <= most:
-                    near += [(d, lo - hi, -saved, k, lo, hi) for d, lo, hi in stretches(self.words[k], own, most)]
-            taken: list[tuple[int, int]] = []
-            for d, _, saved, k, lo, hi in sorted(near):
-                if all(hi <= x or y <= lo for x, y in taken):
-                    taken.append((lo, hi))
-                    found.append((k, -saved, d))
-        return len(bs), found
-
-
 def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
     """Per document row: doc_id, licenses (names, sorted, comma-joined; empty if none), n_blocks, n_confirmed, bytes_saved and word_edits (of the one that saves most, else null)."""
     rows = only(docs, doc_id, text).toDF("doc_id", "text")

@@ -3,6 +3,7 @@
 import hashlib
 import io
 import random
+import re
 import zlib
 
 import numpy as np
@@ -477,6 +478,35 @@ def test_edits_against_plain_dynamic_program():
         assert license.edits(t, b) == min(d[-1])
 
 
+#: Usual ways to say under which license something is, and which one.
+PHRASINGS = """MIT: This project uses the MIT License|Released under the terms of the MIT license|Licensed under the MIT License|distributed under the MIT license|available under the MIT License|The code is released under the MIT license, see LICENSE|license: MIT License|covered by the MIT License
+Apache-2.0: licensed under Apache 2.0|Licensed under the Apache License 2.0|released under the Apache 2.0 license|Distributed under the Apache License, Version 2.0|available under the Apache Software License 2.0|under the terms of the Apache License, Version 2.0|provided under the Apache 2.0 license
+GPL-2.0: This software is released under the GNU GPL v2 or later|licensed under the GPLv2|under the terms of the GNU General Public License v2|distributed under the GNU General Public License version 2
+GPL-3.0: licensed under GPLv3|released under the GNU GPL version 3|under the terms of the GNU General Public License version 3
+LGPL-2.1: licensed under the GNU LGPL v2.1|under the terms of the GNU Lesser General Public License v2.1
+AGPL-3.0: licensed under the GNU AGPL v3|released under the AGPLv3
+BSD-3-Clause: Available under the BSD 3-clause license|licensed under the 3-Clause BSD License|distributed under the BSD 3-Clause License
+BSD-2-Clause: released under the BSD 2-Clause License
+ISC: licensed under the ISC license|distributed under the ISC License
+MPL-2.0: licensed under MPL 2.0|available under the Mozilla Public License 2.0|under the terms of the Mozilla Public License v2.0
+CC-BY-4.0: licensed under CC BY 4.0|published under the Creative Commons Attribution 4.0 License
+CC-BY-NC-ND-4.0: Creative Commons Attribution-NonCommercial-NoDerivatives 4.0|Published under CC BY-NC-ND 4.0
+EPL-2.0: licensed under the Eclipse Public License 2.0
+BSL-1.0: distributed under the Boost Software License 1.0
+Unlicense: released under the Unlicense""".splitlines()
+
+
+@pytest.mark.parametrize(("want", "text"), [(k, t) for line in PHRASINGS for k, _, ts in [line.partition(": ")] for t in ts.split("|")])
+def test_usual_phrasings_of_licenses(want, text):
+    found = {f[0] for f in license.Scanner().scan(f"Some words of no use.\n{text}.\nAnd more of them.")[1]}
+    assert any(re.fullmatch(rf"{re.escape(want)}(-named|-name|-short|-long)?", f) for f in found) and len(found) == 1
+
+
+@pytest.mark.parametrize("text", ["Der Hund ging mit der Katze unter der Lizenz", "an apache helicopter under the bridge", "license to chill", "BSD was released in 1977", "the eclipse of 2024 was public", "a boost for software", "under the GNU license", "general public opinion version 3", "Licensed under the Apache License, Version 1.1"])
+def test_plain_words_are_no_license(text):
+    assert license.Scanner().scan(text)[1] == []
+
+
 def test_license_scan(spark, edge):
     texts = [f"some words\nx {t} and more words\n" for t in license.TEMPLATES.values()]
     rows = sorted(license.scan(docs_of(spark, [*texts, "a license to chill", "Licensed under CC BY-SA 4.0.", None])).collect())
