@@ -16,7 +16,8 @@ order.
 
 Dictionaries hold up to ``DICTIONARY`` bytes a language, from the ``SALTS``
 documents that have the smallest hash in their share of the hashes: a bounded
-sample of the labelled rows, found by a scan of ids and languages alone. Rows
+sample of the labelled rows, found by a scan of ids and languages alone; of each
+a stretch of ``PIECE`` bytes that begins at a place told by its hash. Rows
 that share a doc_id (or have none) and a language count as one in it, by their
 smallest text.
 
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 from .common import by_batch, keep_rows, only
 
 DICTIONARY, SALTS, BLOCK, LEVEL = 110 << 10, 128, 4 << 10, 6
-#: Bytes of one sampled document that a dictionary takes at most.
+#: Bytes of a stretch of one sampled document that a dictionary takes at most.
 PIECE = 1 << 10
 #: Shares of the smallest size under which a margin counts as narrow.
 MARGIN = 0.001
@@ -134,7 +135,8 @@ def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
     if not picked:
         return Model({}, block=block)
     # One row a hash, so that what comes to the driver is bounded whatever repeats.
-    got = rows.where(F.col("h").isin(picked)).select("lang", "h", F.substring("text", 1, 4 * piece).alias("text")).where("text is not null").groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
+    begin = (F.pmod(F.shiftright("h", 14), F.greatest(F.length("text") - piece, F.lit(0)) + 1) + 1).cast("int")
+    got = rows.where(F.col("h").isin(picked)).select("lang", "h", F.substring(F.col("text"), begin, F.lit(piece)).alias("text")).where("text is not null").groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
     samples: dict[str, bytes] = {}
     for r in sorted(got, key=lambda r: (r.lang, -len(r.text), r.h)):
         had = samples.get(r.lang, b"")
