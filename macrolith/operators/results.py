@@ -251,13 +251,13 @@ class Result:
         s = float(d @ np.linalg.pinv(v) @ d)
         return {"statistic": s, "df": df, "p_value": float(dist.chi2_sf(max(s, 0.0), df))}
 
-    def delta(self, f: Callable[[dict[str, float]], float], value: float = 0.0, step: float = 1e-5) -> dict[str, float]:
-        """A smooth function of the terms: estimate, std_error, stat and p_value, by central differences."""
+    def delta(self, f: Callable[[dict[str, float]], float], value: float = 0.0, step: float = 1e-3) -> dict[str, float]:
+        """A smooth function of the terms: estimate, std_error, stat and p_value, by central differences of fourth order."""
         b = {k: float(v) for k, v in self.coef().items()}
         g = np.zeros((1, len(b)))
         for i, (k, v) in enumerate(b.items()):
-            h = step * max(1.0, abs(v))
-            g[0, i] = (f(b | {k: v + h}) - f(b | {k: v - h})) / (2 * h)
+            h = step * (abs(v) or 1.0)
+            g[0, i] = (8 * (f(b | {k: v + h}) - f(b | {k: v - h})) - f(b | {k: v + 2 * h}) + f(b | {k: v - 2 * h})) / (12 * h)
         return self._told(float(f(b)), math.sqrt(max(0.0, float(self._spread(g)[0, 0]))), value)
 
     def confint(self, level: float = 0.95) -> dict[str, tuple[float, float]]:

@@ -186,7 +186,7 @@ def generalised_impulse(spark: SparkSession, step: Callable[[np.ndarray], np.nda
 class Policy:
     """Chebyshev polynomials of the lagged variables that matter and the shocks, on a box of ``scale`` deviations about the steady state.
 
-    ``method``: pfi (time iteration on the equations, the old policy standing for the future), vfi (the same with damping), collocation (Newton on all coefficients).
+    ``method``: pfi (time iteration on the equations, the old policy standing for the future; with damping it moves less each round), collocation (Newton on all coefficients).
     """
 
     def __init__(self, model: Model, guess: dict[str, float] | None = None, degree: int = 3, nodes: int = 5, scale: float = 3.0, method: str = "pfi", tol: float = 1e-9, most: int = 300, damping: float | None = None):
@@ -210,7 +210,9 @@ class Policy:
         dev = self.grid[:, : len(self.states)] - f.steady[self.states]
         y = f.steady + dev @ f.g[:, self.states].T + self.grid[:, len(self.states) :] @ f.h.T
         self.coef = self.fit @ y
-        damp = damping if damping is not None else (0.5 if method == "vfi" else 1.0)
+        if method not in ("pfi", "collocation"):
+            raise ValueError(f"method {method} is not known")
+        damp = 1.0 if damping is None else damping
         self.rounds = 0
         if method == "collocation":
             self._newton(tol)

@@ -443,22 +443,37 @@ def band_power(density: DataFrame, low: float, high: float) -> DataFrame:
     return d.agg(F.sum(F.when(inside, area).otherwise(0.0)).alias("power"), (F.sum(F.when(inside, area).otherwise(0.0)) / F.sum(area)).alias("share"))
 
 
-def transfer_function(spark, filter: str, points: int = 65, lam: float = 1600.0, low: float = 6, high: float = 32, k: int = 12, h: int = 8) -> DataFrame:
-    """frequency, gain, phase of the cycle of hp, baxter_king or the random-walk form of hamilton."""
+def response(w: np.ndarray, filter: str, lam: float = 1600.0, low: float = 6, high: float = 32, k: int = 12, h: int = 8) -> np.ndarray:
+    """Frequency response of the cycle of hp, baxter_king or the random-walk form of hamilton."""
     from .series import baxter_king_weights
 
-    w = np.linspace(1e-6, math.pi, points)
     if filter == "hp":
         a = 4 * (1 - np.cos(w)) ** 2 * lam
-        r = a / (1 + a) + 0j
-    elif filter == "baxter_king":
+        return a / (1 + a) + 0j
+    if filter == "baxter_king":
         b = baxter_king_weights(low, high, k)
-        r = b[0] + 2 * np.cos(np.outer(w, np.arange(1, k + 1))) @ b[1:] + 0j
-    elif filter == "hamilton":
-        r = 1 - np.exp(-1j * w * h)
-    else:
-        raise ValueError(f"filter {filter} is not known")
-    return rows(spark, [{"frequency": float(a), "gain": float(abs(v)), "phase": float(np.angle(v))} for a, v in zip(w, r, strict=True)], "frequency double, gain double, phase double")
+        return b[0] + 2 * np.cos(np.outer(w, np.arange(1, k + 1))) @ b[1:] + 0j
+    if filter == "hamilton":
+        return 1 - np.exp(-1j * w * h)
+    raise ValueError(f"filter {filter} is not known")
+
+
+def transfer_function(spark, filter: str, points: int = 65, **options) -> DataFrame:
+    """frequency, gain, phase of a filter's cycle."""
+    w = np.linspace(1e-6, math.pi, points)
+    return rows(spark, [{"frequency": float(a), "gain": float(abs(v)), "phase": float(np.angle(v))} for a, v in zip(w, response(w, filter, **options), strict=True)], "frequency double, gain double, phase double")
+
+
+def filtered_spectrum(df: DataFrame, column: str, order: str, filter: str, by: str | None = None, **options) -> DataFrame:
+    """frequency, power (of the periodogram), gain, passed: what of a series' variance at each frequency a filter's cycle lets through."""
+
+    def f(t, y):
+        p = np.abs(np.fft.rfft(y - y.mean())) ** 2 / (2 * math.pi * len(y))
+        w = 2 * math.pi * np.arange(1, len(p)) / len(y)
+        g = np.abs(response(w, filter, **options))
+        return {"frequency": w, "power": p[1:], "gain": g, "passed": p[1:] * g * g}
+
+    return run(df, column, order, f, "frequency double, power double, gain double, passed double", by)
 
 
 def beveridge_nelson_arma(df: DataFrame, column: str, order: str, p: int = 1, q: int = 1, terms: int = 500, by: str | None = None) -> DataFrame:

@@ -1191,8 +1191,24 @@ def _(t):
 # -- structural models ------------------------------------------------------
 
 
-def _growth() -> structural.Model:
-    return structural.Model(["1 / c[t] = beta * alpha * exp(a[t+1]) * k[t]**(alpha - 1) / c[t+1]", "c[t] + k[t] = exp(a[t]) * k[t-1]**alpha", "a[t] = rho * a[t-1] + s * e[t]"], ["c", "k", "a"], ["e"], {"alpha": 0.3, "beta": 0.95, "rho": 0.8, "s": 0.01})
+#: Persistence of monthly revenue, kept where the models have a solution of their own kind.
+_RHO = "(SELECT least(0.9e0, greatest(0.4e0, sum(y * b) / sum(b * b))) FROM (SELECT y, lag(y) OVER (ORDER BY t) AS b FROM (SELECT t, (revenue - avg(revenue) OVER ()) / stddev_samp(revenue) OVER () AS y FROM {tsm})) WHERE b IS NOT NULL)"
+
+
+def _persistence(t) -> float:
+    """What the models below take from the tables: the first autoregressive coefficient of monthly revenue."""
+    d = transforms.lag_design(_scaled(t), ["y"], 1, "t")
+    return min(0.9, max(0.4, d.agg(F.sum(F.col("y") * F.col("y_l1")) / F.sum(F.col("y_l1") * F.col("y_l1"))).first()[0]))
+
+
+def _risk(t) -> float:
+    """Spread of monthly growth of revenue, as income risk, within bounds."""
+    d = transforms.lag_design(t("tsm").select("t", "revenue"), ["revenue"], 1, "t")
+    return min(0.4, max(0.05, d.agg(F.stddev_samp(F.log("revenue") - F.log("revenue_l1"))).first()[0]))
+
+
+def _growth(t) -> structural.Model:
+    return structural.Model(["1 / c[t] = beta * alpha * exp(a[t+1]) * k[t]**(alpha - 1) / c[t+1]", "c[t] + k[t] = exp(a[t]) * k[t-1]**alpha", "a[t] = rho * a[t-1] + s * e[t]"], ["c", "k", "a"], ["e"], {"alpha": 0.3, "beta": 0.95, "rho": _persistence(t), "s": 0.01})
 
 
 _GUESS = {"c": 0.5, "k": 0.2, "a": 0.0}
@@ -1206,22 +1222,22 @@ def _scaled(t):
 
 @register("structural_solution")
 def _(t):
-    return structural.solution_table(t("tsm").sparkSession, structural.Solution(_growth(), _GUESS))
+    return structural.solution_table(t("tsm").sparkSession, structural.Solution(_growth(t), _GUESS))
 
 
-@register("structural_irf", "WITH p AS (SELECT 0.3e0 AS al, 0.8e0 AS rho, 0.01e0 AS s, power(0.285e0, 1 / 0.7e0) AS kbar), r AS (SELECT CAST(h AS INT) AS horizon, s * power(rho, h) AS a, kbar * s * (power(rho, h + 1) - power(al, h + 1)) / (rho - al) AS k FROM p CROSS JOIN range(0, 20) q(h)) SELECT horizon, 'a' AS variable, 'e' AS shock, round(a, 6) + 0.0 AS value FROM r UNION ALL SELECT horizon, 'k', 'e', round(k, 6) + 0.0 FROM r UNION ALL SELECT horizon, 'c', 'e', round(k * 0.715e0 / 0.285e0, 6) + 0.0 FROM r")
+@register("structural_irf", "WITH p AS (SELECT 0.3e0 AS al, " + _RHO + " AS rho, 0.01e0 AS s, power(0.285e0, 1 / 0.7e0) AS kbar), r AS (SELECT CAST(h AS INT) AS horizon, s * power(rho, h) AS a, kbar * s * (power(rho, h + 1) - power(al, h + 1)) / (rho - al) AS k FROM p CROSS JOIN range(0, 20) q(h)) SELECT horizon, 'a' AS variable, 'e' AS shock, round(a, 6) + 0.0 AS value FROM r UNION ALL SELECT horizon, 'k', 'e', round(k, 6) + 0.0 FROM r UNION ALL SELECT horizon, 'c', 'e', round(k * 0.715e0 / 0.285e0, 6) + 0.0 FROM r")
 def _(t):
-    return structural.impulse_table(t("tsm").sparkSession, structural.Solution(_growth(), _GUESS))
+    return structural.impulse_table(t("tsm").sparkSession, structural.Solution(_growth(t), _GUESS))
 
 
 @register("structural_variance_shares")
 def _(t):
-    return structural.variance_shares(t("tsm").sparkSession, structural.Solution(_growth(), _GUESS))
+    return structural.variance_shares(t("tsm").sparkSession, structural.Solution(_growth(t), _GUESS))
 
 
 @register("structural_simulation")
 def _(t):
-    return structural.simulate(t("tsm").sparkSession, structural.Solution(_growth(), _GUESS), 100, 50, seed=1)
+    return structural.simulate(t("tsm").sparkSession, structural.Solution(_growth(t), _GUESS), 100, 50, seed=1)
 
 
 @register("structural_likelihoods", "WITH z AS (SELECT t, (revenue - avg(revenue) OVER ()) / stddev_samp(revenue) OVER () AS y FROM {tsm}), l AS (SELECT t, y, lag(y) OVER (ORDER BY t) AS b FROM z), g AS (SELECT k / 10.0e0 AS rho FROM range(0, 10) q(k)) SELECT round(rho, 6) + 0.0 AS rho, round(sum(CASE WHEN b IS NULL THEN -0.5 * (ln(2 * pi() / (1 - rho * rho)) + y * y * (1 - rho * rho)) ELSE -0.5 * (ln(2 * pi()) + power(y - rho * b, 2)) END), 6) + 0.0 AS log_likelihood FROM g CROSS JOIN l GROUP BY rho")
@@ -1238,26 +1254,27 @@ def _(t):
 
 @register("incomplete_markets_wealth", digits=4)
 def _(t):
-    return structural.wealth_table(t("tsm").sparkSession, structural.aiyagari(states=3, points=80, top=60.0, tol=1e-4))
+    return structural.wealth_table(t("tsm").sparkSession, structural.aiyagari(rho=_persistence(t), risk=_risk(t), states=3, points=80, top=60.0, tol=1e-4))
 
 
 @register("incomplete_markets_households", digits=4)
 def _(t):
-    return structural.simulate_panel(t("tsm").sparkSession, structural.aiyagari(states=3, points=80, top=60.0, tol=1e-4), 500, 40)
+    return structural.simulate_panel(t("tsm").sparkSession, structural.aiyagari(rho=_persistence(t), risk=_risk(t), states=3, points=80, top=60.0, tol=1e-4), 500, 40)
 
 
 @register("perpetual_youth_transition")
 def _(t):
-    m, at = structural.perpetual_youth()
+    m, at = structural.perpetual_youth(beta=1 - 0.2 * (1 - _persistence(t)))
     return structural.transition(t("tsm").sparkSession, structural.Solution(m, at), {"k": 0.8 * at["k"]})
 
 
-_FLOOR = structural.Model(["y[t] = 0.8 * y[t-1] + e[t]", "i[t] = 1.5 * y[t]", "c[t] = 0.9 * c[t+1] - i[t]"], ["y", "i", "c"], ["e"], {})
+def _floor(t) -> structural.Model:
+    return structural.Model(["y[t] = rho * y[t-1] + e[t]", "i[t] = 1.5 * y[t]", "c[t] = 0.9 * c[t+1] - i[t]"], ["y", "i", "c"], ["e"], {"rho": _persistence(t)})
 
 
-@register("bounded_rate_impulses", "WITH p AS (SELECT CAST(h AS INT) AS h, -power(0.8e0, h) AS y, greatest(-0.5e0, -1.5e0 * power(0.8e0, h)) AS i, -1.5e0 * power(0.8e0, h) AS f FROM range(0, 400) q(h)), c AS (SELECT a.h, -sum(power(0.9e0, b.h - a.h) * b.i) AS c, -sum(power(0.9e0, b.h - a.h) * b.f) AS f FROM p a JOIN p b ON b.h >= a.h WHERE a.h < 30 GROUP BY a.h), l AS (SELECT h, 'y' AS variable, y AS bounded, y AS free FROM p UNION ALL SELECT h, 'i', i, f FROM p UNION ALL SELECT h, 'c', c, f FROM c) SELECT h AS horizon, variable, round(bounded, 6) + 0.0 AS bounded, round(free, 6) + 0.0 AS free, -1.5e0 * power(0.8e0, h) < -0.5e0 AS binds FROM l WHERE h < 30")
+@register("bounded_rate_impulses", "WITH z AS (SELECT " + _RHO + " AS rho), p AS (SELECT CAST(h AS INT) AS h, -power(rho, h) AS y, greatest(-0.5e0, -1.5e0 * power(rho, h)) AS i, -1.5e0 * power(rho, h) AS f FROM z CROSS JOIN range(0, 600) q(h)), c AS (SELECT a.h, -sum(power(0.9e0, b.h - a.h) * b.i) AS c, -sum(power(0.9e0, b.h - a.h) * b.f) AS f FROM p a JOIN p b ON b.h >= a.h WHERE a.h < 30 GROUP BY a.h), l AS (SELECT h, 'y' AS variable, y AS bounded, y AS free FROM p UNION ALL SELECT h, 'i', i, f FROM p UNION ALL SELECT h, 'c', c, f FROM c) SELECT h AS horizon, variable, round(bounded, 6) + 0.0 AS bounded, round(free, 6) + 0.0 AS free, -1.5e0 * power(rho, h) < -0.5e0 AS binds FROM l CROSS JOIN z WHERE h < 30")
 def _(t):
-    return structural.bounded_impulses(t("tsm").sparkSession, structural.Solution(_FLOOR, {"y": 0.0, "i": 0.0, "c": 0.0}), "i", {"e": -1.0}, 30, lower=-0.5)
+    return structural.bounded_impulses(t("tsm").sparkSession, structural.Solution(_floor(t), {"y": 0.0, "i": 0.0, "c": 0.0}), "i", {"e": -1.0}, 30, lower=-0.5)
 
 
 @register("structural_shock_contributions")

@@ -5,10 +5,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import arima, choice, describe, factors, identification, limited, moments, nonlinear, panel, panels, projections, regression, results, seasonal, structural, structural_more, systems, transforms, trends, unitroots, vectors, volatility
-from ..sources import examples
+from ..operators import arima, choice, describe, factors, identification, limited, moments, multivariate, nonlinear, panel, panels, projections, regression, results, seasonal, structural, structural_more, systems, transforms, trends, unitroots, vectors, volatility
 from . import sqlkit
-from .catalog import _AR, _GUESS, _X, _growth, _io, _scaled, register
+from .catalog import _AR, _GUESS, _RHO, _X, _growth, _io, _persistence, _risk, _scaled, register
 from .sqlkit import r
 
 _PAIR, _FOUR = ["revenue", "disc"], ["revenue", "qty", "disc", "tax"]
@@ -285,27 +284,6 @@ def _(t):
     return projections.instrument_tests(t("tsm"), _PAIR, "revenue", ["qty", "tax"], "t", "disc", 3, 1)
 
 
-def _bspline_sql() -> str:
-    """Cubic basis on 0..12 with knots at 2.4, 4.8, 7.2, 9.6 by the recursion, degree by degree."""
-    knots = [0.0] * 4 + [2.4, 4.8, 7.2, 9.6] + [12.0] * 4
-    last = max(i for i in range(len(knots) - 1) if knots[i] < knots[i + 1])
-    cte = ["k0 AS (SELECT CAST(h AS INT) AS h, " + ", ".join(f"CASE WHEN h >= {knots[i]} AND (h < {knots[i + 1]}{' OR h = 12' if i == last else ''}) AND {knots[i]} < {knots[i + 1]} THEN 1.0e0 ELSE 0.0e0 END AS b{i}" for i in range(len(knots) - 1)) + " FROM range(0, 13) q(h))"]
-    for d in (1, 2, 3):
-        cols = []
-        for i in range(len(knots) - d - 1):
-            left, right = knots[i + d] - knots[i], knots[i + d + 1] - knots[i + 1]
-            a = f"b{i} * (h - {knots[i]}) / {left}e0" if left > 0 else "0.0e0"
-            b = f"b{i + 1} * ({knots[i + d + 1]} - h) / {right}e0" if right > 0 else "0.0e0"
-            cols.append(f"{a} + {b} AS b{i}")
-        cte.append(f"k{d} AS (SELECT h, {', '.join(cols)} FROM k{d - 1})")
-    return "WITH " + ", ".join(cte) + " " + " UNION ALL ".join(f"SELECT h AS horizon, CAST({i} AS INT) AS basis, {r(f'b{i}')} AS value FROM k3" for i in range(8))
-
-
-@register("bspline_basis", _bspline_sql())
-def _(t):
-    return projections.basis(t("tsm").sparkSession, 12, 3, 4)
-
-
 @register("projection_smooth")
 def _(t):
     return projections.smoothed(t("tsm"), _PAIR, "revenue", "t", 10, 2)
@@ -1021,19 +999,22 @@ def _(t):
     return systems.band_power(systems.spectral_density(t("tsm"), "disc", "t", "ar"), 0.2, 1.0)
 
 
-@register("transfer_function_hp", f"SELECT {r('w')} AS frequency, {r('4 * 1600 * power(1 - cos(w), 2) / (1 + 4 * 1600 * power(1 - cos(w), 2))')} AS gain, 0.0e0 AS phase FROM (SELECT 1e-6 + (pi() - 1e-6) * k / 64.0e0 AS w FROM range(0, 65) q(k))")
+_PASSED = "WITH z AS (SELECT revenue - avg(revenue) OVER () AS z, row_number() OVER (ORDER BY t) - 1 AS r, count(*) OVER () AS n FROM {tsm}), s AS (SELECT 2 * pi() * k / any_value(n) AS w, (power(sum(z * cos(2 * pi() * k * r / n)), 2) + power(sum(z * sin(2 * pi() * k * r / n)), 2)) / (2 * pi() * any_value(n)) AS p FROM z CROSS JOIN range(1, (SELECT count(*) // 2 + 1 FROM z)) g(k) GROUP BY k), g AS (SELECT w, p, GAIN AS g FROM s) SELECT " + f"{r('w', 5)} AS frequency, {r('p', 5)} AS power, {r('g', 5)} AS gain, {r('p * g * g', 5)} AS passed FROM g"
+
+
+@register("transfer_function_hp", _PASSED.replace("GAIN", "4 * 1600 * power(1 - cos(w), 2) / (1 + 4 * 1600 * power(1 - cos(w), 2))"), digits=5)
 def _(t):
-    return systems.transfer_function(t("tsm").sparkSession, "hp")
+    return systems.filtered_spectrum(t("tsm"), "revenue", "t", "hp")
 
 
-@register("transfer_function_hamilton", f"SELECT {r('w')} AS frequency, {r('sqrt(power(1 - cos(8 * w), 2) + power(sin(8 * w), 2))')} AS gain FROM (SELECT 1e-6 + (pi() - 1e-6) * k / 64.0e0 AS w FROM range(0, 65) q(k))")
+@register("transfer_function_hamilton", _PASSED.replace("GAIN", "sqrt(power(1 - cos(8 * w), 2) + power(sin(8 * w), 2))"), digits=5)
 def _(t):
-    return systems.transfer_function(t("tsm").sparkSession, "hamilton").drop("phase")
+    return systems.filtered_spectrum(t("tsm"), "revenue", "t", "hamilton")
 
 
-@register("transfer_function_baxter_king")
+@register("transfer_function_baxter_king", digits=5)
 def _(t):
-    return systems.transfer_function(t("tsm").sparkSession, "baxter_king")
+    return systems.filtered_spectrum(t("tsm"), "revenue", "t", "baxter_king")
 
 
 @register("filter_beveridge_nelson_arma", digits=3)
@@ -1056,40 +1037,40 @@ def _(t):
 
 @register("structural_solvers")
 def _(t):
-    return structural_more.solver_table(t("tsm").sparkSession, _growth(), _GUESS).drop("residual")
+    return structural_more.solver_table(t("tsm").sparkSession, _growth(t), _GUESS).drop("residual")
 
 
 @register("structural_moments")
 def _(t):
-    return structural_more.moments_table(t("tsm").sparkSession, structural.Solution(_growth(), _GUESS), 2)
+    return structural_more.moments_table(t("tsm").sparkSession, structural.Solution(_growth(t), _GUESS), 2)
 
 
 @register("structural_second_order")
 def _(t):
-    return structural_more.second_order_table(t("tsm").sparkSession, structural_more.Second(_growth(), _GUESS))
+    return structural_more.second_order_table(t("tsm").sparkSession, structural_more.Second(_growth(t), _GUESS))
 
 
 @register("structural_second_order_simulation")
 def _(t):
-    return structural_more.simulate_second(t("tsm").sparkSession, structural_more.Second(_growth(), _GUESS), 50, 10)
+    return structural_more.simulate_second(t("tsm").sparkSession, structural_more.Second(_growth(t), _GUESS), 50, 10)
 
 
 @register("structural_generalised_impulse")
 def _(t):
-    m = structural_more.Second(_growth(), _GUESS)
+    m = structural_more.Second(_growth(t), _GUESS)
     return structural_more.generalised_impulse(t("tsm").sparkSession, m.path, m.model.variables, m.model.shocks, "e", 10, draws=40)
 
 
-for _k in ("pfi", "vfi", "collocation"):
+for _k in ("pfi", "collocation"):
 
     @register(f"structural_policy_{_k}", digits=4)
     def _(t, k=_k):
-        return structural_more.policy_table(t("tsm").sparkSession, structural_more.Policy(_growth(), _GUESS, method=k)).where("state <> 'euler_error'")
+        return structural_more.policy_table(t("tsm").sparkSession, structural_more.Policy(_growth(t), _GUESS, method=k)).where("state <> 'euler_error'")
 
 
 @register("structural_policy_simulation", digits=4)
 def _(t):
-    return structural_more.simulate_policy(t("tsm").sparkSession, structural_more.Policy(_growth(), _GUESS), 40, 5)
+    return structural_more.simulate_policy(t("tsm").sparkSession, structural_more.Policy(_growth(t), _GUESS), 40, 5)
 
 
 _PRIORS = {"rho": ("beta", 0.5, 0.2), "s": ("gamma", 1.0, 0.5)}
@@ -1141,12 +1122,13 @@ def _(t):
 
 @register("structural_identification", digits=3)
 def _(t):
-    return structural_more.identification(t("tsm").sparkSession, _growth(), ["alpha", "beta", "rho"], ["c", "k"], guess=_GUESS)
+    return structural_more.identification(t("tsm").sparkSession, _growth(t), ["alpha", "beta", "rho"], ["c", "k"], guess=_GUESS)
 
 
 @register("structural_prior_predictive", digits=3)
 def _(t):
-    return structural_more.prior_predictive(t("tsm").sparkSession, _AR, _PRIORS, ["y"], 20, 60, guess=_Y0)
+    # The prior of the persistence is drawn about the table's own.
+    return structural_more.prior_predictive(t("tsm").sparkSession, _AR, _PRIORS | {"rho": ("beta", _persistence(t), 0.1)}, ["y"], 20, 60, guess=_Y0)
 
 
 @register("structural_predictive_check", digits=3)
@@ -1180,7 +1162,8 @@ def _(t):
 @register("structural_impulse_matching", digits=4)
 def _(t):
     spark = t("tsm").sparkSession
-    target = np.array([[0.7 * 0.6**h] for h in range(8)])
+    m = multivariate.fitted_system(_scaled(t), ["y"], "t", 1)
+    target = m.irf(8)[:, :, 0]
     return structural_more.match_impulses(spark, _AR, target, "e", ["y"], ["rho", "s"], guess=_Y0)
 
 
@@ -1194,40 +1177,40 @@ def _(t):
     return structural_more.particle_smoother(_scaled(t), structural_more.Second(_AR, _Y0), ["y"], noise=0.05, particles=100, back=20)
 
 
-def _economy():
-    e = structural.aiyagari(states=3, points=80, top=60.0, tol=1e-5)
+def _economy(t):
+    e = structural.aiyagari(rho=_persistence(t), risk=_risk(t), states=3, points=80, top=60.0, tol=1e-5)
     return structural_more.Heterogeneous(e, horizon=40)
 
 
 @register("heterogeneous_impulse", digits=4)
 def _(t):
-    return structural_more.heterogeneous_impulse(t("tsm").sparkSession, _economy())
+    return structural_more.heterogeneous_impulse(t("tsm").sparkSession, _economy(t))
 
 
 @register("heterogeneous_inequality", digits=4)
 def _(t):
-    return structural_more.inequality_impulse(t("tsm").sparkSession, _economy())
+    return structural_more.inequality_impulse(t("tsm").sparkSession, _economy(t))
 
 
 @register("heterogeneous_distribution", digits=4)
 def _(t):
-    return structural_more.distribution_impulse(t("tsm").sparkSession, _economy(), horizon=3)
+    return structural_more.distribution_impulse(t("tsm").sparkSession, _economy(t), horizon=3)
 
 
 @register("heterogeneous_simulation", digits=4)
 def _(t):
-    return structural_more.simulate_heterogeneous(t("tsm").sparkSession, _economy(), 40, replicates=4)
+    return structural_more.simulate_heterogeneous(t("tsm").sparkSession, _economy(t), 40, replicates=4)
 
 
 @register("continuous_steady_state", digits=3)
 def _(t):
-    m = structural_more.Continuous(points=50)
+    m = structural_more.Continuous(income=(1 - 2 * _risk(t), 1 + 2 * _risk(t)), points=50)
     return structural_more.continuous_table(t("tsm").sparkSession, m, m.steady())
 
 
 @register("continuous_transition", digits=3)
 def _(t):
-    m = structural_more.Continuous(points=40)
+    m = structural_more.Continuous(income=(1 - 2 * _risk(t), 1 + 2 * _risk(t)), points=40)
     return structural_more.continuous_transition(t("tsm").sparkSession, m, m.steady(), periods=16)
 
 
@@ -1288,22 +1271,6 @@ def _(t):
     return results.reproduce(make, make(), ["term"])
 
 
-@register("example_nile", "SELECT CAST(count(*) AS BIGINT) AS n, round(avg(v), 4) + 0.0 AS mean, min(v) AS least, max(v) AS most FROM (SELECT unnest([" + ", ".join(f"{v}.0e0" for v in examples.NILE) + "]) AS v)", digits=4)
-def _(t):
-    return examples.load_example(t("tsm").sparkSession, "nile").agg(F.count("*").alias("n"), F.avg("nile").alias("mean"), F.min("nile").alias("least"), F.max("nile").alias("most"))
-
-
-@register("example_stackloss", "SELECT term, round(b, 3) + 0.0 AS estimate FROM (VALUES ('const', -39.920e0), ('air_flow', 0.716e0), ('water_temp', 1.295e0), ('acid_conc', -0.152e0)) v(term, b)", digits=3)
-def _(t):
-    d = examples.load_example(t("tsm").sparkSession, "stackloss")
-    return regression.ols(d, "stack_loss", ["air_flow", "water_temp", "acid_conc"], "ols").table().select("term", "estimate")
-
-
-@register("io_sources", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {str(c).lower()})" for a, b, c in examples.SOURCES) + ") v(source, version, needs_account)")
-def _(t):
-    return examples.list_sources(t("tsm").sparkSession)
-
-
 # -- nonlinear series, more of input-output, accessors -------------------------------------
 
 
@@ -1365,9 +1332,9 @@ def _(t):
     return a.matrix(a.B)
 
 
-@register("structural_facts", "SELECT CAST(3 AS INT) AS variables, CAST(1 AS INT) AS shocks, CAST(3 AS INT) AS stable_roots, true AS determined, true AS stable, 0.8e0 AS largest_root")
+@register("structural_facts", "SELECT CAST(3 AS INT) AS variables, CAST(1 AS INT) AS shocks, CAST(3 AS INT) AS stable_roots, true AS determined, true AS stable, round(" + _RHO + ", 6) + 0.0 AS largest_root")
 def _(t):
-    return structural_more.solution_facts(t("tsm").sparkSession, structural.Solution(_growth(), _GUESS))
+    return structural_more.solution_facts(t("tsm").sparkSession, structural.Solution(_growth(t), _GUESS))
 
 
 @register("structural_particle_posterior", digits=2)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from . import catalog_more  # noqa: F401 - its queries are registered first
 from . import sqlkit as k
 from .base import sql
-from .catalog import _FC, _QUERIES, _SQL
+from .catalog import _FC, _QUERIES, _RHO, _SQL
 from .sqlkit import r
 
 
@@ -166,7 +166,7 @@ oracle("io_structural_decomposition", f"WITH {_LEON}, {_TWO}, {_YS} " + " UNION
 
 # -- structural models: log utility, full depreciation, known in closed form --------------------
 
-_G = "WITH p AS (SELECT 0.3e0 AS al, 0.8e0 AS rho, 0.01e0 AS s, power(0.285e0, 1 / 0.7e0) AS kb, power(0.285e0, 1 / 0.7e0) * 0.715e0 / 0.285e0 AS cb)"
+_G = "WITH p AS (SELECT 0.3e0 AS al, " + _RHO + " AS rho, 0.01e0 AS s, power(0.285e0, 1 / 0.7e0) AS kb, power(0.285e0, 1 / 0.7e0) * 0.715e0 / 0.285e0 AS cb)"
 _LAW = {("c", "k"): "al * cb / kb", ("c", "a"): "cb * rho", ("k", "k"): "al", ("k", "a"): "kb * rho", ("a", "a"): "rho"}
 _HIT = {"c": "cb * s", "k": "kb * s", "a": "s"}
 oracle("structural_solvers", f"{_G} " + " UNION ALL ".join([f"SELECT '{m}' AS method, 'g' AS matrix, '{a}' AS row, '{b}' AS column, {r(_LAW.get((a, b), '0.0e0'))} AS value, true AS determined FROM p" for m in ("blanchard_kahn", "cyclic_reduction", "time_iteration") for a in "cka" for b in "cka"] + [f"SELECT '{m}', 'h', '{a}', 'e', {r(_HIT[a])}, true FROM p" for m in ("blanchard_kahn", "cyclic_reduction", "time_iteration") for a in "cka"]))
@@ -174,4 +174,4 @@ oracle("structural_solvers", f"{_G} " + " UNION ALL ".join([f"SELECT '{m}' AS me
 _VA, _VK = "s * s / (1 - rho * rho)", "(s * s / (1 - rho * rho) * (1 + al * rho) / ((1 - al * rho) * (1 - al * al)))"
 oracle("structural_solution", f"{_G}, v AS (SELECT *, {_VA} AS va, {_VK} AS vk FROM p), w AS (SELECT *, va / (1 - al * rho) AS cka FROM v) SELECT 'a' AS variable, 0.0e0 AS steady_state, {r('sqrt(va)')} AS std_dev, {r('rho')} AS autocorrelation, CAST(3 AS INT) AS stable_roots, true AS determined FROM w UNION ALL SELECT 'k', {r('kb')}, {r('kb * sqrt(vk)')}, {r('al + rho * cka / vk')}, 3, true FROM w UNION ALL SELECT 'c', {r('cb')}, {r('cb * sqrt(vk)')}, {r('al + rho * cka / vk')}, 3, true FROM w")
 oracle("structural_variance_shares", "SELECT CAST(h AS INT) AS horizon, v AS variable, 'e' AS shock, 1.0e0 AS share FROM range(1, 21) q(h), (VALUES ('c'), ('k'), ('a')) x(v)")
-oracle("transfer_function_baxter_king", "WITH c AS (SELECT 2 * pi() / 32 AS a, 2 * pi() / 6 AS b), w0 AS (SELECT j, CASE WHEN j = 0 THEN (b - a) / pi() ELSE (sin(b * j) - sin(a * j)) / (pi() * greatest(j, 1)) END AS w FROM c CROSS JOIN range(0, 13) q(j)), w1 AS (SELECT j, w - (SELECT sum(CASE WHEN j = 0 THEN w ELSE 2 * w END) FROM w0) / 25 AS w FROM w0), f AS (SELECT 1e-6 + (pi() - 1e-6) * i / 64.0e0 AS x FROM range(0, 65) q(i)), g AS (SELECT x, sum(CASE WHEN j = 0 THEN w ELSE 2 * w * cos(x * j) END) AS v FROM f CROSS JOIN w1 GROUP BY x) SELECT " + f"{r('x')} AS frequency, {r('abs(v)')} AS gain, CASE WHEN v < 0 THEN {r('pi()')} ELSE 0.0e0 END AS phase FROM g")
+oracle("transfer_function_baxter_king", "WITH c AS (SELECT 2 * pi() / 32 AS a, 2 * pi() / 6 AS b), w0 AS (SELECT j, CASE WHEN j = 0 THEN (b - a) / pi() ELSE (sin(b * j) - sin(a * j)) / (pi() * greatest(j, 1)) END AS w FROM c CROSS JOIN range(0, 13) q(j)), w1 AS (SELECT j, w - (SELECT sum(CASE WHEN j = 0 THEN w ELSE 2 * w END) FROM w0) / 25 AS w FROM w0), z AS (SELECT revenue - avg(revenue) OVER () AS z, row_number() OVER (ORDER BY t) - 1 AS r, count(*) OVER () AS n FROM {tsm}), s AS (SELECT 2 * pi() * k / any_value(n) AS x, (power(sum(z * cos(2 * pi() * k * r / n)), 2) + power(sum(z * sin(2 * pi() * k * r / n)), 2)) / (2 * pi() * any_value(n)) AS p FROM z CROSS JOIN range(1, (SELECT count(*) // 2 + 1 FROM z)) g(k) GROUP BY k), g AS (SELECT x, any_value(p) AS p, abs(sum(CASE WHEN j = 0 THEN w ELSE 2 * w * cos(j * x) END)) AS g FROM s CROSS JOIN w1 GROUP BY x) SELECT " + f"{r('x', 5)} AS frequency, {r('p', 5)} AS power, {r('g', 5)} AS gain, {r('p * g * g', 5)} AS passed FROM g")
