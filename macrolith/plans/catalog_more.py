@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import arima, choice, describe, factors, identification, limited, moments, multivariate, nonlinear, panel, panels, projections, regression, results, seasonal, structural, structural_more, systems, transforms, trends, unitroots, vectors, volatility
+from ..operators import arima, choice, describe, factors, identification, limited, moments, multivariate, nonlinear, panel, panels, projections, regression, results, seasonal, statespace, structural, structural_more, systems, transforms, trends, unitroots, vectors, volatility
 from . import sqlkit
 from .catalog import _AR, _GUESS, _RHO, _X, _growth, _io, _persistence, _risk, _scaled, register
 from .sqlkit import r
@@ -1032,6 +1032,47 @@ def _(t):
     return seasonal.x11_summary(t("tsm"), "revenue", "t")
 
 
+# -- state space by a parallel scan ------------------------------------------------------
+
+_LEVEL = statespace.local_level(0.05, 0.01, 5.0, 1.0)
+
+
+def _observed(t):
+    """Monthly discounts, every seventh month unseen."""
+    return t("tsm").select("t", F.when(F.col("t") % 7 != 0, F.col("disc")).alias("y"))
+
+
+_KALMAN = """WITH RECURSIVE o AS MATERIALIZED (SELECT row_number() OVER (ORDER BY t) AS i, t, CASE WHEN t % 7 <> 0 THEN disc END AS y FROM {tsm}),
+f AS (SELECT i, t, CASE WHEN y IS NULL THEN 5.0e0 ELSE 5 + (y - 5) / 1.05e0 END AS m, CASE WHEN y IS NULL THEN 1.0e0 ELSE 1 - 1 / 1.05e0 END AS p, CASE WHEN y IS NULL THEN 0.0e0 ELSE -0.5 * (ln(2 * pi() * 1.05e0) + power(y - 5, 2) / 1.05e0) END AS ll FROM o WHERE i = 1
+UNION ALL SELECT o.i, o.t, CASE WHEN y IS NULL THEN m ELSE m + (p + 0.01e0) / (p + 0.06e0) * (y - m) END, CASE WHEN y IS NULL THEN p + 0.01e0 ELSE (p + 0.01e0) * 0.05e0 / (p + 0.06e0) END, CASE WHEN y IS NULL THEN 0.0e0 ELSE -0.5 * (ln(2 * pi() * (p + 0.06e0)) + power(y - m, 2) / (p + 0.06e0)) END FROM f JOIN o ON o.i = f.i + 1)"""
+
+
+@register("statespace_filtered", _KALMAN + f" SELECT t, CAST(0 AS INT) AS state, {r('m')} AS mean, {r('p')} AS variance FROM f")
+def _(t):
+    return statespace.filtered(_observed(t), ["y"], "t", _LEVEL)
+
+
+@register("statespace_smoothed", _KALMAN + f", s AS (SELECT i, t, m, p FROM f WHERE i = (SELECT max(i) FROM o) UNION ALL SELECT f.i, f.t, f.m + f.p / (f.p + 0.01e0) * (s.m - f.m), f.p + power(f.p / (f.p + 0.01e0), 2) * (s.p - f.p - 0.01e0) FROM s JOIN f ON f.i = s.i - 1) SELECT t, CAST(0 AS INT) AS state, {r('m')} AS mean, {r('p')} AS variance FROM s")
+def _(t):
+    return statespace.smoothed(_observed(t), ["y"], "t", _LEVEL)
+
+
+@register("statespace_log_likelihood", _KALMAN + f" SELECT {r('sum(ll)', 5)} AS log_likelihood FROM f", digits=5)
+def _(t):
+    v = statespace.Line(_observed(t), ["y"], "t").log_likelihoods([_LEVEL])[0]
+    return describe.rows(t("tsm").sparkSession, [{"log_likelihood": float(v)}], "log_likelihood double")
+
+
+@register("statespace_forecast", _KALMAN + f" SELECT CAST(h AS INT) AS horizon, 'y' AS variable, {r('m')} AS forecast, {r('sqrt(p + 0.01e0 * h + 0.05e0)')} AS std_error FROM f CROSS JOIN range(1, 5) q(h) WHERE i = (SELECT max(i) FROM o)")
+def _(t):
+    return statespace.forecast(_observed(t), ["y"], "t", _LEVEL, 4).drop("lower", "upper")
+
+
+@register("statespace_estimate", digits=3)
+def _(t):
+    return statespace.estimate(_observed(t), ["y"], "t", lambda p: statespace.local_level(float(np.exp(p[0])), float(np.exp(p[1])), 5.0, 1.0), [-3.0, -4.0], ["log_var_error", "log_var_level"])[0].select("term", "estimate", "std_error")
+
+
 # -- structural models -----------------------------------------------------------------
 
 
