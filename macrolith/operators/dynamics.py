@@ -192,14 +192,12 @@ def zivot_andrews(df: DataFrame, column: str, order: str, lags: int = 0, trim: f
 
 
 def explosive(df: DataFrame, column: str, order: str, window: int | None = None, by: str | None = None) -> DataFrame:
-    """Right-tailed recursive tests: sadf, gsadf."""
+    """Right-tailed recursive tests: sadf, gsadf. ``breaks.bubble_tests`` has their p values."""
+    from .breaks import recursive_roots, smallest_window
 
     def f(t, y):
-        n = len(y)
-        w = window or max(8, int((0.01 + 1.8 / math.sqrt(n)) * n))
-        first = [adf(y[:b], 0)[0] for b in range(w, n + 1)]
-        sup = [max(adf(y[a:b], 0)[0] for a in range(0, b - w + 1)) for b in range(w, n + 1)]
-        return {"test": ["sadf", "gsadf"], "statistic": [max(first), max(sup)]}
+        first, most = recursive_roots(y, window or smallest_window(len(y)))
+        return {"test": ["sadf", "gsadf"], "statistic": [first.max(), most.max()]}
 
     return run(df, column, order, f, "test string, statistic double", by)
 

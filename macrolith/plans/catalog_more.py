@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import arima, choice, describe, factors, identification, limited, moments, multivariate, nonlinear, panel, panels, projections, regression, results, seasonal, statespace, structural, structural_more, systems, transforms, trends, unitroots, vectors, volatility
+from ..operators import arima, breaks, choice, describe, factors, identification, limited, moments, multivariate, nonlinear, panel, panels, projections, regression, restricted, results, seasonal, statespace, structural, structural_more, systems, transforms, trends, unitroots, vectors, volatility
 from . import sqlkit
 from .catalog import _AR, _GUESS, _RHO, _X, _growth, _io, _persistence, _risk, _scaled, register
 from .sqlkit import r
@@ -1032,6 +1032,70 @@ def _(t):
     return seasonal.x11_summary(t("tsm"), "revenue", "t")
 
 
+# -- breaks and episodes ---------------------------------------------------------------
+
+
+def _one_break_sql() -> str:
+    """Least squares on a constant and x before and after each possible break, by running sums."""
+    run = lambda e: f"sum({e}) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING)"
+    sums = {"n": "1.0e0", "x": "x", "y": "y", "xx": "x * x", "xy": "x * y", "yy": "y * y"}
+    p = ", ".join(f"{run(e)} - ({e}) AS b_{k}, sum({e}) OVER () AS a_{k}" for k, e in sums.items())
+    rss = lambda n, x, y, xx, xy, yy: f"({yy} - power({y}, 2) / {n} - power({xy} - {x} * {y} / {n}, 2) / ({xx} - power({x}, 2) / {n}))"
+    before = rss(*[f"b_{k}" for k in sums])
+    after = rss(*[f"(a_{k} - b_{k})" for k in sums])
+    whole = rss(*[f"a_{k}" for k in sums])
+    return (
+        f"WITH o AS (SELECT t, disc AS x, revenue AS y FROM {{tsm}}), p AS (SELECT t, count(*) OVER () AS m, row_number() OVER (ORDER BY t) - 1 AS i, {p} FROM o), h AS (SELECT CAST(greatest(3, floor(0.15e0 * max(m))) AS INT) AS h FROM p), "
+        f"c AS (SELECT t, {before} + {after} AS s FROM p CROSS JOIN h WHERE i >= h AND m - i >= h) "
+        f"SELECT CAST(0 AS INT) AS breaks, {r(f'any_value({whole})', 4)} AS rss, '' AS dates FROM p UNION ALL SELECT CAST(1 AS INT), {r('s', 4)}, CAST(t AS VARCHAR) FROM (SELECT * FROM c ORDER BY s LIMIT 1)"
+    )
+
+
+@register("break_regression_one", _one_break_sql(), digits=4)
+def _(t):
+    return breaks.break_tests(t("tsm"), "revenue", ["disc"], "t", 1).select("breaks", "rss", "dates")
+
+
+@register("break_regression_tests", digits=4)
+def _(t):
+    return breaks.break_tests(t("panel"), "y", ["x"], "t", 3, by="unit")
+
+
+@register("break_regression_coefficients", digits=4)
+def _(t):
+    return breaks.break_coefficients(t("panel"), "y", ["x"], "t", 2, by="unit")
+
+
+@register("bubble_tests", digits=4)
+def _(t):
+    return breaks.bubble_tests(t("gaps"), "y", "t", 12, replicates=200, by="unit")
+
+
+@register("bubble_path", digits=4)
+def _(t):
+    return breaks.bubble_path(t("tsm"), "revenue", "t", 30, replicates=200)
+
+
+@register("bubble_episodes", digits=4)
+def _(t):
+    return breaks.bubble_episodes(t("panel"), "y", "t", replicates=60, level=0.5, by="unit")
+
+
+@register("identify_weighted_posterior", digits=4)
+def _(t):
+    return restricted.summary(restricted.draws(t("tsm"), _PAIR, "t", zeros=[("disc", "revenue", 0)], signs=[("revenue", "revenue", 0, 1)], horizon=6, draws=200))
+
+
+@register("identify_weighted_estimate", digits=4)
+def _(t):
+    return restricted.summary(restricted.draws(t("tsm"), _FOUR, "t", zeros=[("disc", "revenue", 0)], signs=[("revenue", "revenue", 0, 1), ("qty", "revenue", 0, 1)], horizon=4, draws=200, posterior=False))
+
+
+@register("identify_effective_draws", digits=4)
+def _(t):
+    return restricted.effective_draws(restricted.draws(t("tsm"), _PAIR, "t", zeros=[("disc", "revenue", 0)], signs=[("revenue", "revenue", 0, 1)], horizon=1, draws=300))
+
+
 # -- state space by a parallel scan ------------------------------------------------------
 
 _LEVEL = statespace.local_level(0.05, 0.01, 5.0, 1.0)

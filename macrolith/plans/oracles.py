@@ -175,3 +175,22 @@ _VA, _VK = "s * s / (1 - rho * rho)", "(s * s / (1 - rho * rho) * (1 + al * rho)
 oracle("structural_solution", f"{_G}, v AS (SELECT *, {_VA} AS va, {_VK} AS vk FROM p), w AS (SELECT *, va / (1 - al * rho) AS cka FROM v) SELECT 'a' AS variable, 0.0e0 AS steady_state, {r('sqrt(va)')} AS std_dev, {r('rho')} AS autocorrelation, CAST(3 AS INT) AS stable_roots, true AS determined FROM w UNION ALL SELECT 'k', {r('kb')}, {r('kb * sqrt(vk)')}, {r('al + rho * cka / vk')}, 3, true FROM w UNION ALL SELECT 'c', {r('cb')}, {r('cb * sqrt(vk)')}, {r('al + rho * cka / vk')}, 3, true FROM w")
 oracle("structural_variance_shares", "SELECT CAST(h AS INT) AS horizon, v AS variable, 'e' AS shock, 1.0e0 AS share FROM range(1, 21) q(h), (VALUES ('c'), ('k'), ('a')) x(v)")
 oracle("transfer_function_baxter_king", "WITH c AS (SELECT 2 * pi() / 32 AS a, 2 * pi() / 6 AS b), w0 AS (SELECT j, CASE WHEN j = 0 THEN (b - a) / pi() ELSE (sin(b * j) - sin(a * j)) / (pi() * greatest(j, 1)) END AS w FROM c CROSS JOIN range(0, 13) q(j)), w1 AS (SELECT j, w - (SELECT sum(CASE WHEN j = 0 THEN w ELSE 2 * w END) FROM w0) / 25 AS w FROM w0), z AS (SELECT revenue - avg(revenue) OVER () AS z, row_number() OVER (ORDER BY t) - 1 AS r, count(*) OVER () AS n FROM {tsm}), s AS (SELECT 2 * pi() * k / any_value(n) AS x, (power(sum(z * cos(2 * pi() * k * r / n)), 2) + power(sum(z * sin(2 * pi() * k * r / n)), 2)) / (2 * pi() * any_value(n)) AS p FROM z CROSS JOIN range(1, (SELECT count(*) // 2 + 1 FROM z)) g(k) GROUP BY k), g AS (SELECT x, any_value(p) AS p, abs(sum(CASE WHEN j = 0 THEN w ELSE 2 * w * cos(j * x) END)) AS g FROM s CROSS JOIN w1 GROUP BY x) SELECT " + f"{r('x', 5)} AS frequency, {r('p', 5)} AS power, {r('g', 5)} AS gain, {r('p * g * g', 5)} AS passed FROM g")
+
+
+# -- stretches of a series by running sums ---------------------------------------------------
+
+_SEG = "WITH o AS (SELECT t, revenue AS y, row_number() OVER (ORDER BY t) AS i FROM {tsm}), p AS (SELECT 0 AS i, 0.0e0 AS s, 0.0e0 AS q UNION ALL SELECT i, sum(y) OVER (ORDER BY t), sum(y * y) OVER (ORDER BY t) FROM o), n AS (SELECT max(i) AS n, CAST(greatest(2, floor(0.15e0 * max(i))) AS INT) AS h FROM p), r AS (SELECT a.i AS a, b.i AS b, b.q - a.q - power(b.s - a.s, 2) / (b.i - a.i) AS c FROM p a JOIN p b ON b.i > a.i CROSS JOIN n WHERE b.i - a.i >= h)"
+_BIC = lambda m: r(f"n * ln(s / n) + {2 * m + 1} * ln(n)")
+oracle(
+    "bai_perron_breaks",
+    f"{_SEG}, m0 AS (SELECT c AS s, n FROM r CROSS JOIN n WHERE a = 0 AND b = n), m1 AS (SELECT x.c + z.c AS s, n, x.b AS k FROM r x JOIN r z ON z.a = x.b CROSS JOIN n WHERE x.a = 0 AND z.b = n ORDER BY s LIMIT 1), "
+    f"m2 AS (SELECT x.c + w.c + z.c AS s, n, x.b AS k, w.b AS j FROM r x JOIN r w ON w.a = x.b JOIN r z ON z.a = w.b CROSS JOIN n WHERE x.a = 0 AND z.b = n ORDER BY s LIMIT 1) "
+    f"SELECT CAST(0 AS INT) AS breaks, {r('s')} AS rss, {_BIC(0)} AS bic, '' AS dates FROM m0 UNION ALL SELECT 1, {r('s')}, {_BIC(1)}, CAST((SELECT t FROM o WHERE i = k + 1) AS VARCHAR) FROM m1 UNION ALL SELECT 2, {r('s')}, {_BIC(2)}, (SELECT CAST(t AS VARCHAR) FROM o WHERE i = k + 1) || ',' || (SELECT CAST(t AS VARCHAR) FROM o WHERE i = j + 1) FROM m2",
+)
+oracle(
+    "explosive_roots",
+    "WITH o AS (SELECT t, revenue - avg(revenue) OVER () AS y, row_number() OVER (ORDER BY t) AS i FROM {tsm}), d AS (SELECT i, y - lag(y) OVER (ORDER BY i) AS d, lag(y) OVER (ORDER BY i) AS x FROM o), p AS (SELECT 1 AS i, 0.0e0 AS sx, 0.0e0 AS sd, 0.0e0 AS xx, 0.0e0 AS xd, 0.0e0 AS dd UNION ALL SELECT i, sum(x) OVER w, sum(d) OVER w, sum(x * x) OVER w, sum(x * d) OVER w, sum(d * d) OVER w FROM d WHERE i > 1 WINDOW w AS (ORDER BY i)), "
+    "s AS (SELECT a.i AS a, b.i AS b, b.i - a.i AS m, b.sx - a.sx AS sx, b.sd - a.sd AS sd, b.xx - a.xx AS xx, b.xd - a.xd AS xd, b.dd - a.dd AS dd FROM p a JOIN p b ON b.i - a.i >= 29), "
+    "c AS (SELECT a, b, m, xx - sx * sx / m AS vx, xd - sx * sd / m AS vxd, dd - sd * sd / m AS vd FROM s), "
+    f"q AS (SELECT a, b, vxd / vx / sqrt((vd - vxd * vxd / vx) / (m - 2) / vx) AS t FROM c) SELECT 'sadf' AS test, {r('max(t)')} AS statistic FROM q WHERE a = 1 UNION ALL SELECT 'gsadf', {r('max(t)')} FROM q",
+)
