@@ -499,6 +499,16 @@ def _(t):
     return series.unit_root(t("tsm"), "revenue", "t").where("test = 'kpss'").select("statistic")
 
 
+@register("unit_root_one_series")
+def _(t):
+    return series.unit_root(t("tsm"), "revenue", "t", "constant", 1).where("test = 'adf'").select("statistic", "lags", "n", "cv_5")
+
+
+@register("unit_root_chosen_lags")
+def _(t):
+    return series.unit_root(t("tsm"), "disc", "t", "trend")
+
+
 @register("unit_root_battery")
 def _(t):
     return series.unit_root(t("panel"), "y", "t", "constant", 1, "unit")

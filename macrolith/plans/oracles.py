@@ -194,3 +194,69 @@ oracle(
     "c AS (SELECT a, b, m, xx - sx * sx / m AS vx, xd - sx * sd / m AS vxd, dd - sd * sd / m AS vd FROM s), "
     f"q AS (SELECT a, b, vxd / vx / sqrt((vd - vxd * vxd / vx) / (m - 2) / vx) AS t FROM c) SELECT 'sadf' AS test, {r('max(t)')} AS statistic FROM q WHERE a = 1 UNION ALL SELECT 'gsadf', {r('max(t)')} FROM q",
 )
+
+
+# -- lagged systems: the regressions of each horizon, reduced ranks of a pair, long-run multipliers -----
+
+_ROWS = "SELECT t, revenue AS p, disc AS q, row_number() OVER (ORDER BY t) AS i, count(*) OVER () AS n FROM {tsm}"
+_LEADS = f"SELECT a.i, h, b.p AS yp, b.q AS yq, a.p AS s, x.p AS p1, x.q AS q1, z.p AS p2, z.q AS q2, a.n FROM o a JOIN o b ON b.i >= a.i AND b.i <= a.i + 6 CROSS JOIN LATERAL (SELECT b.i - a.i AS h) JOIN o x ON x.i = a.i - 1 JOIN o z ON z.i = a.i - 2"
+_LP_X = ["s", "1.0e0", "p1", "q1", "p2", "q2"]
+
+
+def _projection_part(v: str, name: str) -> str:
+    fit = f"fit_{v}"
+    e = f"(y{v} - " + " - ".join(f"b{i} * ({x})" for i, x in enumerate(_LP_X)) + ")"
+    score = "(" + " + ".join(f"v0_{i} * ({x})" for i, x in enumerate(_LP_X)) + ")"
+    return (
+        f"{k.regression('SELECT * FROM w', f'y{v}', _LP_X, fit, by='h')},\n"
+        f"sc_{v} AS (SELECT w.h, w.i, {score} * {e} AS a FROM w JOIN {fit} f ON f.h = w.h),\n"
+        f"hac_{v} AS (SELECT x.h, sum(CASE WHEN z.i = x.i THEN 1.0e0 ELSE 2 * (1 - (x.i - z.i) / (bw + 1.0e0)) END * x.a * z.a) AS s FROM sc_{v} x JOIN bws ON bws.h = x.h JOIN sc_{v} z ON z.h = x.h AND z.i BETWEEN x.i - bw AND x.i GROUP BY x.h)"
+    )
+
+
+_LP_OUT = lambda v, name: f"SELECT CAST(f.h AS INT) AS horizon, '{name}' AS variable, {r('b0')} AS value, {r('sqrt(s)')} AS std_error, {r('b0 - 1.959963984540054e0 * sqrt(s)')} AS lower, {r('b0 + 1.959963984540054e0 * sqrt(s)')} AS upper FROM fit_{v} f JOIN hac_{v} g ON g.h = f.h"
+oracle(
+    "local_projection",
+    f"WITH o AS ({_ROWS}), w AS ({_LEADS}), bws AS (SELECT h, CAST(greatest(h + 1, floor(4 * power(count(*) / 100.0e0, 2.0e0 / 9))) AS INT) AS bw FROM w GROUP BY h),\n{_projection_part('p', 'revenue')},\n{_projection_part('q', 'disc')}\n{_LP_OUT('p', 'revenue')} UNION ALL {_LP_OUT('q', 'disc')}",
+)
+
+_JO = "SELECT p - lag(p) OVER w AS dp, q - lag(q) OVER w AS dq, lag(p) OVER w AS lp, lag(q) OVER w AS lq, lag(p) OVER w - lag(p, 2) OVER w AS dp1, lag(q) OVER w - lag(q, 2) OVER w AS dq1, row_number() OVER w AS i FROM (SELECT t, revenue AS p, disc AS q FROM {tsm}) WINDOW w AS (ORDER BY t)"
+_JX = ["1.0e0", "dp1", "dq1"]
+_RES = lambda y: f"({y} - " + " - ".join(f"f{y}.b{i} * ({x})" for i, x in enumerate(_JX)) + ")"
+_EIG = "(tr + {} * sqrt(greatest(tr * tr - 4 * dt, 0))) / 2"
+oracle(
+    "johansen",
+    f"WITH w AS (SELECT * FROM ({_JO}) WHERE i > 2), "
+    + ", ".join(k.regression("SELECT * FROM w", y, _JX, f"f{y}") for y in ("dp", "dq", "lp", "lq"))
+    + f", u AS (SELECT {_RES('dp')} AS a, {_RES('dq')} AS b, {_RES('lp')} AS c, {_RES('lq')} AS d FROM w CROSS JOIN fdp CROSS JOIN fdq CROSS JOIN flp CROSS JOIN flq), "
+    "s AS (SELECT count(*) AS n, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(c * c) AS cc, sum(c * d) AS cd, sum(d * d) AS dd, sum(a * c) AS ac, sum(a * d) AS ad, sum(b * c) AS bc, sum(b * d) AS bd FROM u), "
+    # S10 S00^-1 S01 = [[m, o], [o, r]]; then S11^-1 times it.
+    "g AS (SELECT *, (bb * ac * ac - 2 * ab * ac * bc + aa * bc * bc) / (aa * bb - ab * ab) AS m, (bb * ac * ad - ab * (ac * bd + bc * ad) + aa * bc * bd) / (aa * bb - ab * ab) AS o, (bb * ad * ad - 2 * ab * ad * bd + aa * bd * bd) / (aa * bb - ab * ab) AS r FROM s), "
+    "e AS (SELECT n, (dd * m - 2 * cd * o + cc * r) / (cc * dd - cd * cd) AS tr, (m * r - o * o) / (cc * dd - cd * cd) AS dt FROM g), "
+    f"z AS (SELECT n, {_EIG.format('1')} AS l1, {_EIG.format('-1')} AS l2 FROM e) "
+    f"SELECT CAST(0 AS INT) AS rank, {r('l1')} AS eigenvalue, {r('-n * (ln(1 - l1) + ln(1 - l2))')} AS trace, {r('-n * ln(1 - l1)')} AS max_eigen, 15.41e0 AS trace_cv_5 FROM z UNION ALL SELECT 1, {r('l2')}, {r('-n * ln(1 - l2)')}, {r('-n * ln(1 - l2)')}, 3.76e0 FROM z",
+)
+
+_AR = "SELECT revenue AS y, disc AS x, lag(revenue) OVER w AS y1, lag(disc) OVER w AS x1, row_number() OVER w AS i FROM {tsm} WINDOW w AS (ORDER BY t)"
+_S2, _GAP = "(rss / (n - 4))", "(1 - b1)"
+_LR = f"((b2 + b3) / {_GAP})"
+_G = ("0.0e0", f"({_LR} / {_GAP})", f"(1 / {_GAP})", f"(1 / {_GAP})")
+_LRV = " + ".join(f"{_G[i]} * {_G[j]} * v{i}_{j}" for i in range(4) for j in range(4))
+oracle(
+    "ardl",
+    f"WITH w AS (SELECT * FROM ({_AR}) WHERE i > 1), {k.regression('SELECT * FROM w', 'y', ['1.0e0', 'y1', 'x', 'x1'])}, {k.regression('SELECT * FROM w', 'y - y1', ['1.0e0', 'x - x1'], 'short')} "
+    + " UNION ALL ".join(f"SELECT '{n}' AS term, {r(f'b{i}')} AS estimate, {r(f'sqrt({_S2} * v{i}_{i})')} AS std_error FROM fit" for i, n in enumerate(("const", "revenue_l1", "disc_l0", "disc_l1")))
+    + f" UNION ALL SELECT 'lr_disc', {r(_LR)}, {r(f'sqrt({_S2} * ({_LRV}))')} FROM fit UNION ALL SELECT 'bounds_f', {r('(short.rss - fit.rss) / 2 / (fit.rss / (fit.n - 4))')}, NULL FROM fit CROSS JOIN short",
+)
+
+_DF = "SELECT y - lag(y) OVER w AS d, lag(y) OVER w AS l, lag(y) OVER w - lag(y, 2) OVER w AS d1, row_number() OVER w AS i FROM (SELECT t, revenue AS y FROM {tsm}) WINDOW w AS (ORDER BY t)"
+oracle("unit_root_one_series", f"WITH {k.regression(f'SELECT * FROM ({_DF}) WHERE i > 2', 'd', ['l', 'd1', '1.0e0'])} SELECT {r('b0 / sqrt(rss / (n - 3) * v0_0)')} AS statistic, CAST(1 AS INT) AS lags, CAST(n AS INT) AS n, {r('-2.86154e0 - 2.8903e0 / n - 4.234e0 / (n * n) - 40.040e0 / (n * n * n)')} AS cv_5 FROM fit")
+
+_PQ = "SELECT revenue AS p, disc AS q, lag(revenue) OVER w AS p1, lag(disc) OVER w AS q1, lag(revenue, 2) OVER w AS p2, lag(disc, 2) OVER w AS q2, row_number() OVER w AS i FROM {tsm} WINDOW w AS (ORDER BY t)"
+_TERMS = ("const", "revenue_l1", "disc_l1")
+_UV = "u AS (SELECT p - va.b0 - va.b1 * p1 - va.b2 * q1 AS a, q - vb.b0 - vb.b1 * p1 - vb.b2 * q1 AS b FROM w CROSS JOIN va CROSS JOIN vb), s AS (SELECT sum(a * a) / (count(*) - 3) AS s11, sum(a * b) / (count(*) - 3) AS s12, sum(b * b) / (count(*) - 3) AS s22 FROM u)"
+oracle(
+    "var_coefficient_covariance",
+    f"WITH w AS (SELECT * FROM ({_PQ}) WHERE i > 1), {k.regression('SELECT * FROM w', 'p', ['1.0e0', 'p1', 'q1'], 'va')}, {k.regression('SELECT * FROM w', 'q', ['1.0e0', 'p1', 'q1'], 'vb')}, {_UV} "
+    + " UNION ALL ".join(f"SELECT '{e}' AS equation, '{a}' AS term, '{f}' AS equation2, '{b}' AS term2, {r(f's{1 + min(m, o)}{1 + max(m, o)} * v{i}_{j}', 8)} AS value FROM va CROSS JOIN s" for m, e in enumerate(("revenue", "disc")) for i, a in enumerate(_TERMS) for o, f in enumerate(("revenue", "disc")) for j, b in enumerate(_TERMS)),
+)
