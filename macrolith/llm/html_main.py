@@ -3,12 +3,14 @@
 A page is cut into leaf blocks: the runs of text that no block-level tag
 interrupts, each with its open ancestors. Features are the ancestors' tags, the
 parts of their class and id names, and the block's text (links, length, marks,
-place). A two-label chain (main text or not), trained on labelled pages by
+sentences, place, the length of its neighbours). A two-label chain (main text or not), trained on labelled pages by
 maximum likelihood, gives each block a label by Viterbi decoding.
 
 The labelled pages are made here by ``labelled_pages``: many layouts of the
 containers in which articles and what surrounds them are commonly put, with
-random words, so no page of the tables is learned from.
+random words, so no page of the tables is learned from. A share of the
+containers has names without a meaning, so that the shape of text and the place
+must do where names are unknown.
 
 Edge cases: null and empty html give no block and the empty text; scripts,
 styles, comments and the head are never text; unclosed tags and comments end
@@ -161,13 +163,20 @@ def path_features(path: tuple) -> list[str]:
     return sorted(out)
 
 
-_MARKS = (("copyright", re.compile(r"[©®]")), ("cookie", re.compile(r"(?i)\bcookies?\b|\bprivacy\b|\bgdpr\b")), ("sentence", re.compile(r"[.!?…][\"'»”)]*$")), ("date", re.compile(r"\d{4}[-/]\d\d?[-/]\d\d?")), ("bars", re.compile(r"[|·•»›] ")), ("ask", re.compile(r"(?i)\b(subscribe|sign up|log ?in|newsletter|share this|advertisement|sponsored|reply|read more|comments?)\b")))
+_MARKS = (("copyright", re.compile(r"[©®]")), ("cookie", re.compile(r"(?i)\bcookies?\b|\bprivacy\b|\bgdpr\b")), ("sentence", re.compile(r"[.!?…][\"'»”)]*$")), ("date", re.compile(r"\d{4}[-/]\d\d?[-/]\d\d?")), ("bars", re.compile(r"[|·•»›] ")), ("said", re.compile(r"^[A-Z]\w+(?: \w+)?(?: (?:wrote|says|said|replied))?: ")), ("ask", re.compile(r"(?i)\b(subscribe|sign up|log ?in|newsletter|share this|advertisement|sponsored|reply|read more|comments?)\b")))
 
 
-def text_features(block: Block, k: int, n: int) -> list[str]:
+_END = re.compile(r"[.!?…][\"'»”)]* |[.!?…][\"'»”)]*$")
+
+
+def _size(block: Block | None) -> int:
+    return -1 if block is None else min(6, int(math.log2(len(block.text) + 1)) // 2)
+
+
+def text_features(block: Block, k: int, n: int, before: Block | None = None, after: Block | None = None) -> list[str]:
     t = block.text
     share = min(1.0, block.linked / max(1, len(t)))
-    out = [f"links {0 if share == 0 else 1 if share < 0.3 else 2 if share < 0.8 else 3}", f"size {min(6, int(math.log2(len(t) + 1)) // 2)}", "first" if not k else "last" if k == n - 1 else "mid"]
+    out = [f"links {0 if share == 0 else 1 if share < 0.3 else 2 if share < 0.8 else 3}", f"size {_size(block)}", f"ends {min(4, len(_END.findall(t)))}", f"before {_size(before)}", f"after {_size(after)}", "first" if not k else "last" if k == n - 1 else "mid"]
     out += [f"mark {name}" for name, p in _MARKS if p.search(t)]
     return out
 
@@ -241,7 +250,7 @@ class Chain:
                 if len(self.memo) > 20_000:
                     self.memo.clear()
                 e = self.memo[b.path] = sum(get(f, 0.0) for f in path_features(b.path))
-            e += sum([get(f, 0.0) for f in text_features(b, k, n)])
+            e += sum([get(f, 0.0) for f in text_features(b, k, n, blocks[k - 1] if k else None, blocks[k + 1] if k + 1 < n else None)])
             if k:
                 a, c = s0 + m0[0], s1 + m1[0]
                 u, v = s0 + m0[1], s1 + m1[1]
@@ -269,12 +278,14 @@ _SIDE_BOXES = (
     ("div", 'class="cookie-notice"'), ("div", 'class="cookie-banner"'), ("div", 'id="cookie-consent"'), ("div", 'class="notice"'), ("div", 'class="alert"'), ("div", 'class="popup"'), ("div", 'class="modal"'), ("div", 'role="dialog"'), ("div", 'class="gdpr"'), ("p", 'class="notice"'), ("section", 'class="cookies"'),
     ("form", ""), ("form", 'class="newsletter"'), ("div", 'class="subscribe"'), ("div", 'class="search"'), ("form", 'class="login"'), ("div", 'class="signup"'), ("fieldset", ""),
     ("div", 'class="comments"'), ("section", 'class="comments"'), ("div", 'id="comments"'), ("section", 'id="comments"'), ("ol", 'class="comment-list"'), ("div", 'class="comment"'), ("div", 'class="reader-comments"'), ("ul", 'class="commentlist"'), ("div", 'id="disqus_thread"'), ("div", 'class="discussion"'), ("div", 'class="replies"'), ("div", 'class="responses"'), ("aside", 'class="comments"'), ("article", 'class="comment"'),
+    ("div", 'class="cmts"'), ("div", 'class="cmt-list"'), ("div", 'id="cmt"'), ("div", 'class="reactions"'), ("div", 'class="feedback"'), ("div", 'class="discuss"'), ("div", 'class="disc"'), ("div", 'class="thread"'), ("section", 'class="user-opinions"'),
+    ("div", 'class="promo-box"'), ("div", 'class="adbox"'), ("div", 'class="teaser"'), ("div", 'class="upsell"'), ("div", 'class="dfp"'), ("div", 'class="partner"'),
     ("div", 'class="share"'), ("div", 'class="social"'), ("div", 'class="pagination"'), ("div", 'class="tags"'), ("div", 'hidden'), ("div", 'style="display:none"'), ("div", 'role="complementary"'), ("div", 'role="contentinfo"'),
 )
 _MAIN_BOXES = (("article", ""), ("article", ""), ("article", 'class="post"'), ("main", ""), ("div", 'class="content"'), ("div", 'id="content"'), ("div", 'class="article-body"'), ("div", 'class="post-content"'), ("section", 'class="story"'), ("div", 'class="entry"'), ("div", 'class="main-text"'), ("div", 'itemprop="articleBody" class="article"'), ("div", ""))
 
 
-def labelled_pages(count: int = 700, seed: int = 11) -> list[tuple[str, list[int]]]:
+def labelled_pages(count: int = 1000, seed: int = 11) -> list[tuple[str, list[int]]]:
     """Pages and the label of each of their blocks, in order."""
     r = random.Random(seed)
     syllables = [a + b for a in "b d f g l m n p r s t v z th st".split() for b in "a e i o u an er in on".split()]
@@ -290,9 +301,24 @@ def labelled_pages(count: int = 700, seed: int = 11) -> list[tuple[str, list[int
             n -= k
         return " ".join(out)
 
-    def side(tag: str, attributes: str) -> tuple[str, list[int]]:
+    def nameless(attributes: str, share: float) -> str:
+        """Now and then a name without a meaning, or none."""
+        return attributes if r.random() > share else r.choice(("", f'class="{"".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(r.randint(2, 4)))}-{r.randint(1, 99)}"', f'id="{r.choice("qxzwk")}{r.randint(1, 999)}"'))
+
+    def said() -> str:
+        return f"{word().capitalize()}{r.choice((':', ' wrote:', ' says:', ' replied:'))} {prose(r.randint(2, 14))}"
+
+    def side(tag: str, attributes: str, blank: bool = False) -> tuple[str, list[int]]:
         kind = r.random()
         n = r.randint(1, 5)
+        if blank:
+            tag = "div"
+        if tag == "div" and (blank or r.random() < 0.25):
+            # Without a name that tells: links, or what readers wrote.
+            attributes = nameless(attributes, 1.0)
+            kind = r.choice((0.1, 0.1, 0.99))
+            if kind > 0.9:
+                return f"<{tag} {attributes}>" + "".join(f"<{(t := r.choice(('p', 'div')))}>{said()}</{t}>" for _ in range(n)) + f"</{tag}>", [0] * n
         if tag in ("ul", "ol"):
             return f"<{tag} {attributes}>" + "".join(f"<li>{'<a href=x>' * (k := r.random() < 0.6)}{prose(r.randint(1, 15))}{'</a>' * k}</li>" for _ in range(n)) + f"</{tag}>", [0] * n
         if tag == "p":
@@ -308,9 +334,14 @@ def labelled_pages(count: int = 700, seed: int = 11) -> list[tuple[str, list[int
     pages = []
     for _ in range(count):
         parts: list[tuple[str, list[int]]] = []
-        some = lambda least, most: [side(*r.choice(_SIDE_BOXES)) for _ in range(r.randint(least, most))]
+        blank = r.random() < 0.15  # no name on the page says anything
+        some = lambda least, most: [side(*r.choice(_SIDE_BOXES), blank) for _ in range(r.randint(least, most))]
         parts += some(0, 4)
         tag, attributes = r.choice(_MAIN_BOXES)
+        if tag == "div" or blank:
+            tag, attributes = "div", nameless(attributes, 1.0 if blank else 0.4)
+        elif r.random() < 0.06:
+            tag, attributes = r.choice((("div", nameless("", 1.0)), ("td", "")))
         body: list[tuple[str, list[int]]] = []
         if r.random() < 0.85:
             head = f"<h1>{prose(r.randint(1, 9))}</h1>"
@@ -341,7 +372,13 @@ def labelled_pages(count: int = 700, seed: int = 11) -> list[tuple[str, list[int
             body.insert(r.randint(0, len(body)), side(*r.choice(_SIDE_BOXES)))
         if r.random() < 0.2:
             body.append(side(*r.choice([b for b in _SIDE_BOXES if "omment" in b[1]])))
-        parts.append((f"<{tag} {attributes}>" + "".join(b[0] for b in body) + f"</{tag}>", [y for b in body for y in b[1]]))
+        whole = f"<{tag} {attributes}>" + "".join(b[0] for b in body) + f"</{tag}>"
+        labels = [y for b in body for y in b[1]]
+        if tag == "td":
+            n = r.randint(0, 4)
+            whole = "<table><tr><td>" + "".join(f"<a href=/{word()}>{prose(1)}</a><{r.choice(('br', 'p'))}>" for _ in range(n)) + f"</td>{whole}</tr></table>"
+            labels = [0] * (len(leaf_blocks(whole)) - len(labels)) + labels
+        parts.append((whole, labels))
         parts += some(0, 4)
         wrap = r.choice(("", "", "<div>", '<div class="wrapper">', '<div id="page">'))
         page = "<!DOCTYPE html><html><head><title>x</title></head><body>" + wrap + "".join(p[0] for p in parts) + "</div>" * bool(wrap) + "</body></html>"
@@ -355,7 +392,8 @@ def train(pages: list[tuple[str, list[int]]] | None = None) -> Chain:
     rows = []
     for page, labels in pages if pages is not None else labelled_pages():
         blocks = leaf_blocks(page)
-        rows.append(([path_features(b.path) + text_features(b, k, len(blocks)) for k, b in enumerate(blocks)], labels))
+        around = [None, *blocks, None]
+        rows.append(([path_features(b.path) + text_features(b, k, len(blocks), around[k], around[k + 2]) for k, b in enumerate(blocks)], labels))
     return Chain.fit(rows)
 
 

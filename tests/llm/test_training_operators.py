@@ -478,6 +478,41 @@ def test_edits_against_plain_dynamic_program():
         assert license.edits(t, b) == min(d[-1])
 
 
+_ART = "<p>The committee met on Tuesday to discuss the new budget for the town, and agreed on most points.</p><p>Another paragraph follows with more words about the matter at hand and its history.</p>"
+_HEAD = "<html><body><nav><a href=/>Home</a></nav>"
+
+
+@pytest.fixture(scope="module")
+def chain():
+    return html_main.train()
+
+
+@pytest.mark.parametrize(
+    ("page", "title"),
+    [
+        (f"{_HEAD}<article><h1>Title of it</h1>{_ART}</article><div class='zzq-disc'><div>Bob wrote: nice article!</div><div>Ann: I disagree with this</div></div>", True),
+        (f"{_HEAD}<article><h1>Title of it</h1>{_ART}</article><div class='cmts'><p>Bob: nice article!</p><p>Ann: I disagree with this.</p></div>", True),
+        (f'{_HEAD}<main><h1>Title of it</h1>{_ART}<div class="promo-box">Buy now and save 20%</div></main>', True),
+        (f"<table><tr><td><a href=/>Home</a><br><a href=/n>News</a></td><td><h1>Title of it</h1>{_ART}</td></tr></table>", True),
+        (f"<body><div class='x1'>{_ART}</div>", False),
+        (f"{_HEAD}<article><h1>Title of it</h1>{_ART}<div class='cmts'><p>Bob: nice article!</p></div></article>", True),
+    ],
+)
+def test_layouts_whose_names_say_little(chain, page, title):
+    want = ["Title of it"] * title + ["The committee met on Tuesday to discuss the new budget for the town, and agreed on most points.", "Another paragraph follows with more words about the matter at hand and its history."]
+    assert html_main.main_text(page, chain) == "\n".join(want)
+
+
+def test_extraction_of_long_pages_and_clashing_columns(spark, chain):
+    long = _HEAD + "<article>" + _ART * 4000 + "</article>"
+    rows = [(1, "u", long, "t", 5), (1, "u", long, "t", 5), (2, None, None, "t", 5), (None, "v", "", None, None), (3, "w", "<p", "t", 1), (4, "x", "plain words without a tag", "t", 1)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    got = sorted((str(r.page_id), r.url, r.n_chars, r.text.count("\n")) for r in html_main.extract(d, chain).collect())
+    assert got[0][0] == "1" and got[0] == got[1] and got[0][3] == 7999 and [g[2] for g in got if g[0] in ("2", "3", "None")] == [0, 0, 0]
+    assert html_main.extract(d.limit(0), chain).count() == 0
+    assert [f.name for f in html_main.extract(d, chain).schema] == ["page_id", "url", "text", "n_chars"]
+
+
 #: Usual ways to say under which license something is, and which one.
 PHRASINGS = """MIT: This project uses the MIT License|Released under the terms of the MIT license|Licensed under the MIT License|distributed under the MIT license|available under the MIT License|The code is released under the MIT license, see LICENSE|license: MIT License|covered by the MIT License
 Apache-2.0: licensed under Apache 2.0|Licensed under the Apache License 2.0|released under the Apache 2.0 license|Distributed under the Apache License, Version 2.0|available under the Apache Software License 2.0|under the terms of the Apache License, Version 2.0|provided under the Apache 2.0 license
