@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.ordered import blocked
+from ..plans.store import stored
 
 INF = float("inf")
 
@@ -27,9 +28,16 @@ def keep_rows(df: DataFrame, order: list[str], positions: list[int]) -> DataFram
     if len(order) == 1:
         d, _ = blocked(df, order[0])
         return d.where(F.col("_place").isin(positions)).drop("_block", "_place", "_halo")
-    # Of several columns the first rows up to the last position are enough.
-    w = Window.orderBy(*order)
-    return df.orderBy(*order).limit(max(positions, default=0)).withColumn("_row", F.row_number().over(w)).where(F.col("_row").isin(positions)).drop("_row")
+    # Of several columns: ranges of the order, stored so that they stay what they are, then places within and the rows of the ranges before.
+    d = stored(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    before, shift = 0, []
+    for r in d.groupBy("_range").count().orderBy("_range").collect():  # one row a partition
+        shift += [F.lit(r["_range"]), F.lit(before)]
+        before += r["count"]
+    if not shift:
+        return df.limit(0)
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) + F.create_map(*shift)[F.col("_range")]
+    return d.withColumn("_row", place).where(F.col("_row").isin(positions)).drop("_row", "_range")
 
 
 def diagnose(df: DataFrame, columns: list[str], short: int = 10) -> DataFrame:

@@ -139,6 +139,10 @@ def t_test(df: DataFrame, y: str, group: str | None = None, mu: float = 0.0, equ
 _TEST = "test string, statistic double, df1 double, df2 double, p_value double"
 
 
+#: Groups that tests of their equality take.
+GROUPS = 2_000
+
+
 def _one_way(cells: list, k: int, n: float) -> tuple[float, float, float]:
     grand = sum(c.n * c.m for c in cells) / n
     between = sum(c.n * (c.m - grand) ** 2 for c in cells)
@@ -150,6 +154,8 @@ def equality_tests(df: DataFrame, y: str, group: str) -> DataFrame:
     """Battery over groups: anova, welch, bartlett, levene, brown_forsythe, kruskal_wallis, van_der_waerden, mood_median; f_variance and mann_whitney with two groups."""
     d = df.select(F.col(y).cast("double").alias("y"), F.col(group).alias("g")).where("y is not null and g is not null")
     cells_of = lambda x, c: x.groupBy("g").agg(F.count(c).alias("n"), F.avg(c).alias("m"), F.coalesce(F.var_samp(c), F.lit(0.0)).alias("v")).orderBy("g").collect()
+    if d.select("g").distinct().limit(GROUPS + 1).count() > GROUPS:
+        raise ValueError(f"more than {GROUPS} groups")
     cells = cells_of(d, "y")
     k, n = len(cells), sum(c.n for c in cells)
     out = []

@@ -324,9 +324,16 @@ def local_whittle(df: DataFrame, column: str, order: str, power: float = 0.65, b
         m = int(n**power)
         w = 2 * math.pi * np.arange(1, m + 1) / n
         p = np.abs(np.fft.fft(y - y.mean())[1 : m + 1]) ** 2
-        grid = np.linspace(-0.49, 1.0, 2000)
-        loss = [math.log((p * w ** (2 * d)).mean()) - 2 * d * np.log(w).mean() for d in grid]
-        return {"d": [grid[int(np.argmin(loss))]], "std_error": [1 / (2 * math.sqrt(m))]}
+        loss = lambda d: math.log((p * w ** (2 * d)).mean()) - 2 * d * np.log(w).mean()
+        grid = np.linspace(-0.49, 1.0, 150)
+        k = int(np.argmin([loss(d) for d in grid]))
+        # The loss is convex in d: golden section between the neighbours.
+        lo, hi = grid[max(0, k - 1)], grid[min(len(grid) - 1, k + 1)]
+        r = (math.sqrt(5) - 1) / 2
+        while hi - lo > 1e-12:
+            a, b = hi - r * (hi - lo), lo + r * (hi - lo)
+            lo, hi = (lo, b) if loss(a) < loss(b) else (a, hi)
+        return {"d": [(lo + hi) / 2], "std_error": [1 / (2 * math.sqrt(m))]}
 
     return run(df, column, order, f, "d double, std_error double", by)
 

@@ -24,10 +24,11 @@ class Table:
         at = {n: k for k, n in enumerate(self.names)}
         n = len(at)
         self.Z, self.Y = np.zeros((n, n)), np.zeros(n)
-        for r in z.groupBy("i", "j").agg(F.sum("value").alias("v")).collect():
-            self.Z[at[r.i], at[r.j]] = r.v
-        for r in y.groupBy("i").agg(F.sum("value").alias("v")).collect():
-            self.Y[at[r.i]] = r.v
+        place = lambda c: c.to_pandas().map(at).to_numpy()
+        got = z.groupBy("i", "j").agg(F.sum("value").cast("double").alias("v")).toArrow()
+        self.Z[place(got["i"]), place(got["j"])] = got["v"].to_numpy()
+        got = y.groupBy("i").agg(F.sum("value").cast("double").alias("v")).toArrow()
+        self.Y[place(got["i"])] = got["v"].to_numpy()
         self.x = self.Z.sum(1) + self.Y
 
     @property
@@ -111,6 +112,14 @@ def decomposition(a: Table, b: Table) -> DataFrame:
     return a.vector(technology=0.5 * (dl @ a.Y + dl @ b.Y), demand=0.5 * (a.L @ dy + b.L @ dy))
 
 
+def decomposition_ratio(a: Table, b: Table) -> DataFrame:
+    """i, technology, demand: factors whose product is the ratio of output in b to a, geometric mean of both polar forms."""
+    mixed, other = b.L @ a.Y, a.L @ b.Y
+    old, new = a.L @ a.Y, b.L @ b.Y
+    with np.errstate(all="ignore"):
+        return a.vector(technology=np.sqrt(mixed / old * new / other), demand=np.sqrt(other / old * new / mixed))
+
+
 def balance(z: DataFrame, row: dict, column: dict, steps: int = 1000, tol: float = 1e-12) -> DataFrame:
     """RAS: rows and columns scaled in turn to given totals."""
     t = Table(z, z.select("i", F.lit(0.0).alias("value")))

@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from ..functions import dist
 from ..functions.linalg import guarded_inverse
-from ..plans.gram import Moments
+from ..plans.gram import Moments, shared_products
 from .describe import bounded, rows
 from .regression import Fit, _test, coefficient_table, ols, robust
 from .transforms import demean, panel_shift, two_way_demean
 
+#: Units whose pairs are looked at one by one.
+UNITS = 1_000
 #: Periods (or cells of cohort and period) of a panel that the driver takes.
 PERIODS = 1_000_000
 
@@ -133,7 +135,7 @@ def modified_wald(fe: Fit) -> DataFrame:
 
 
 def pesaran_cd(fe: Fit) -> DataFrame:
-    """Cross-section dependence. The sum over pairs of units comes from squares of sums by time when the panel is balanced; else pairs of units are joined on time."""
+    """Cross-section dependence. The sum over pairs of units comes from squares of sums by time when the panel is balanced; else sums over the periods that each pair shares are added up as matrices of units, ``UNITS`` at most."""
     u, t = fe.extra["unit"], fe.extra["time"]
     d = fe.df.select(F.col(u).alias("u"), F.col(t).alias("t"), fe.residual().alias("e"))
     stats = d.groupBy("u").agg(F.avg("e").alias("m"), F.stddev_pop("e").alias("s"), F.count("*").alias("n"))
@@ -145,9 +147,17 @@ def pesaran_cd(fe: Fit) -> DataFrame:
         rho = (sq - n_units * total_t) / 2 / total_t
         cd = math.sqrt(2 * total_t / (n_units * (n_units - 1))) * rho
     else:
-        a, b = z.select("t", F.col("u").alias("i"), F.col("e").alias("x")), z.select("t", F.col("u").alias("j"), F.col("e").alias("y"))
-        pairs = a.join(b, "t").where("i < j").groupBy("i", "j").agg(F.corr("x", "y").alias("r"), F.count("*").alias("k")).where("k > 2 and r is not null")
-        cd = math.sqrt(2 / (n_units * (n_units - 1))) * pairs.agg(F.sum(F.sqrt("k") * F.col("r"))).first()[0]
+        units = [r.u for r in stats.select("u").orderBy("u").limit(UNITS + 1).collect()]
+        if len(units) > UNITS:
+            raise ValueError(f"an unbalanced panel has {UNITS} units at most here")
+        wide = z.groupBy("t").pivot("u", units).agg(F.first("e")).toDF("t", *[f"_u{i}" for i in range(len(units))])
+        k, s, q, p = shared_products(wide, wide.columns[1:])
+        with np.errstate(all="ignore"):
+            m = s / k
+            sd = np.sqrt(np.maximum(q / k - m * m, 0))
+            r = (p / k - m * m.T) / (sd * sd.T)
+        used = np.triu((k > 2) & np.isfinite(r), 1)
+        cd = math.sqrt(2 / (n_units * (n_units - 1))) * float((np.sqrt(k) * np.where(used, r, 0.0))[used].sum())
     return _test(fe.df.sparkSession, "pesaran_cd", cd, 1, 2 * (1 - dist.norm_cdf(abs(cd))))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dist
 from ..functions.linalg import guarded_inverse
-from ..plans.gram import Moments
+from ..plans.gram import Moments, gram
 from .describe import rows
 from .further import _unit_sums
 from .limited import log_cdf
@@ -37,16 +37,15 @@ def pcse(df: DataFrame, y: str, x: list[str], unit: str, time: str, pairwise: bo
     units = [r.u for r in d.select("u").distinct().orderBy("u").limit(2001).collect()]
     if len(units) > 2000:
         raise ValueError("panel-corrected errors take 2000 units at most")
-    wide = d.groupBy("t").pivot("u", units).agg(F.first("e"))
-    es = wide.drop("t").toPandas().to_numpy(float)
-    ok = ~np.isnan(es)
+    # A row a period; products of units are summed in Arrow batches, so periods may be as many as there are.
+    wide = d.groupBy("t").pivot("u", units).agg(F.first("e")).toDF("t", *[f"_u{i}" for i in range(len(units))])
+    names = [f"_u{i}" for i in range(len(units))]
+    full = wide.dropna(subset=names)
+    whole = not pairwise and full.limit(1).count() > 0
+    n, g = gram(full if whole else wide.fillna(0.0, subset=names), names)
+    s = g[1:, 1:] / n
     if pairwise:
-        z = np.where(ok, es, 0.0)
-        s = z.T @ z / np.maximum(ok.T.astype(float) @ ok, 1)
-    else:
-        full = ok.all(1)
-        z = es[full] if full.any() else np.where(ok, es, 0.0)
-        s = z.T @ z / len(z)
+        s = g[1:, 1:] / np.maximum(gram(wide.select(*[F.col(c).isNotNull().cast("double").alias(c) for c in names]), names)[1][1:, 1:], 1)
     at = {u: i for i, u in enumerate(units)}
     terms = fit.terms
 

@@ -835,6 +835,13 @@ def _(t):
     return _io(t).footprint({k: 0.1 * (k + 1) for k in range(5)}).select("i", "production")
 
 
+@register("io_structural_decomposition_ratio")
+def _(t):
+    a = _io(t)
+    b = inputoutput.Table(t("flows").withColumn("value", F.col("value") * (1 + 0.1 * F.col("i"))), t("sales"))
+    return inputoutput.decomposition_ratio(a, b)
+
+
 @register("io_structural_decomposition")
 def _(t):
     a = _io(t)

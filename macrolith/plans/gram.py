@@ -76,6 +76,25 @@ def gram(df: DataFrame, columns: list[str], weight: str | Column | None = None)
     return n, out
 
 
+def shared_products(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each pair of columns, over the rows that have both: rows, sums of the first, sums of its squares, sums of products. Partial matrices are added up in Arrow batches."""
+    k = len(columns)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((4, k, k))
+        for b in batches:
+            a = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns]).astype(float)
+            ok = ~np.isnan(a)
+            a, ok = np.where(ok, a, 0.0), ok.astype(float)
+            held += [ok.T @ ok, a.T @ ok, (a * a).T @ ok, a.T @ a]
+        yield pa.RecordBatch.from_arrays([pa.array(range(4 * k * k), pa.int32()), pa.array(held.ravel())], ["at", "v"])
+
+    got = df.select(*[F.col(c).cast("double") for c in columns]).mapInArrow(part, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas()
+    out = np.zeros(4 * k * k)
+    out[got["at"].to_numpy()] = got["v"].to_numpy()
+    return tuple(out.reshape(4, k, k))
+
+
 class Moments:
     """Solves regressions among the columns of one aggregate; const stands for the constant.
 

@@ -164,6 +164,10 @@ _TECH = lambda i: " + ".join(f"1.5 * (h.m{i}_{j} - l.m{i}_{j}) * y{j}" for j in
 _DEM = lambda i: " + ".join(f"0.5 * (h.m{i}_{j} + l.m{i}_{j}) * y{j}" for j in range(_N))
 oracle("io_structural_decomposition", f"WITH {_LEON}, {_TWO}, {_YS} " + " UNION ALL ".join(f"SELECT CAST({i} AS INT) AS i, {r(_TECH(i))} AS technology, {r(_DEM(i))} AS demand FROM l CROSS JOIN h CROSS JOIN d" for i in range(_N)))
 
+# Demand is the same mix twice over, so each ratio of it is two and technology's is that of the inverses.
+_OVER = lambda m, i: "(" + " + ".join(f"{m}.m{i}_{j} * y{j}" for j in range(_N)) + ")"
+oracle("io_structural_decomposition_ratio", f"WITH {_LEON}, {_TWO}, {_YS} " + " UNION ALL ".join(f"SELECT CAST({i} AS INT) AS i, {r(_OVER('h', i) + ' / ' + _OVER('l', i))} AS technology, 2.0e0 AS demand FROM l CROSS JOIN h CROSS JOIN d" for i in range(_N)))
+
 # -- structural models: log utility, full depreciation, known in closed form --------------------
 
 _G = "WITH p AS (SELECT 0.3e0 AS al, " + _RHO + " AS rho, 0.01e0 AS s, power(0.285e0, 1 / 0.7e0) AS kb, power(0.285e0, 1 / 0.7e0) * 0.715e0 / 0.285e0 AS cb)"

@@ -165,3 +165,82 @@ def test_likelihood_tables_have_covariances(spark):
     table = limited.tobit(d.selectExpr("greatest(y + x, 0) AS y", "x"), "y", ["x"])
     v = results.Result(table).vcov()
     assert np.isfinite(v).all() and np.allclose(v, v.T) and abs(v[0, 1]) > 0
+
+
+def panel_of(spark, seed=3):
+    r = np.random.default_rng(seed)
+    out = [(u, t, float(r.normal() + 0.5 * u * np.sin(t)), float(r.normal())) for u in range(5) for t in range(20) if (u + t) % 6 or u == 0]
+    return out, spark.createDataFrame(out, "u int, t int, y double, x double")
+
+
+def test_pesaran_cd_of_an_unbalanced_panel(spark):
+    _, d = panel_of(spark)
+    f = panel.fixed_effects(d, "y", ["x"], "u", "t")
+    e = {(x.u, x.t): x.y - f.b[0] * x.x for x in f.df.collect()}
+    total = 0.0
+    for i in range(5):
+        for j in range(i + 1, 5):
+            shared = [t for t in range(20) if (i, t) in e and (j, t) in e]
+            total += math.sqrt(len(shared)) * np.corrcoef([e[i, t] for t in shared], [e[j, t] for t in shared])[0, 1]
+    assert panel.pesaran_cd(f).first().statistic == pytest.approx(math.sqrt(2 / 20) * total, abs=1e-10)
+
+
+@pytest.mark.parametrize("pairwise", [False, True])
+def test_panel_corrected_errors_against_plain_matrices(spark, pairwise):
+    from macrolith.operators import panels
+
+    rows, d = panel_of(spark)
+    f = panels.pcse(d, "y", ["x"], "u", "t", pairwise)
+    a = np.array(rows)
+    x = np.column_stack([np.ones(len(a)), a[:, 3]])
+    e = a[:, 2] - x @ f.b
+    wide = np.full((20, 5), np.nan)
+    wide[a[:, 1].astype(int), a[:, 0].astype(int)] = e
+    full = wide[~np.isnan(wide).any(1)]
+    s = full.T @ full / len(full)
+    if pairwise:
+        ok = ~np.isnan(wide)
+        z = np.where(ok, wide, 0)
+        s = z.T @ z / (ok.T.astype(float) @ ok)
+    meat = sum(np.outer(x[i], x[j]) * s[int(a[i, 0]), int(a[j, 0])] for i in range(len(a)) for j in range(len(a)) if a[i, 1] == a[j, 1])
+    inv = np.linalg.inv(x.T @ x)
+    assert np.allclose(f.v, inv @ meat @ inv)
+
+
+def test_rows_by_place_in_an_order_of_several_columns(spark):
+    from macrolith.operators import cleaning
+
+    d = spark.range(500).selectExpr("id % 7 AS a", "500 - id AS b", "id")
+    want = [r.id for r in d.orderBy("a", "b").collect()]
+    got = cleaning.keep_rows(d, ["a", "b"], [1, 72, 73, 500, 900])
+    assert sorted(r.id for r in got.collect()) == sorted(want[k - 1] for k in (1, 72, 73, 500)) and got.columns == d.columns
+    assert cleaning.keep_rows(d.limit(0), ["a", "b"], [1]).count() == 0
+
+
+def test_groups_of_equality_tests_are_bounded(spark):
+    from macrolith.operators import describe
+
+    with pytest.raises(ValueError):
+        describe.equality_tests(spark.range(describe.GROUPS + 1).selectExpr("cast(id as double) AS y", "id AS g"), "y", "g")
+
+
+def test_memory_is_the_exact_optimum(spark):
+    from macrolith.operators import further
+
+    y = np.cumsum(np.random.default_rng(5).normal(size=300)) * 0.3 + np.random.default_rng(6).normal(size=300)
+    d = further.local_whittle(spark.createDataFrame([(k, float(v)) for k, v in enumerate(y)], "t int, y double"), "y", "t").first().d
+    m = int(300**0.65)
+    w = 2 * math.pi * np.arange(1, m + 1) / 300
+    p = np.abs(np.fft.fft(y - y.mean())[1 : m + 1]) ** 2
+    loss = lambda q: math.log((p * w ** (2 * q)).mean()) - 2 * q * np.log(w).mean()
+    assert loss(d) <= min(loss(q) for q in np.linspace(d - 1e-3, d + 1e-3, 101)) + 1e-13
+
+
+def test_ratios_of_output_multiply(spark):
+    from macrolith.operators import inputoutput
+
+    flows = lambda k: spark.createDataFrame([(i, j, float(1 + i + j * k)) for i in range(3) for j in range(3)], "i int, j int, value double")
+    demand = lambda k: spark.createDataFrame([(i, float(20 + i * k)) for i in range(3)], "i int, value double")
+    a, b = inputoutput.Table(flows(1), demand(1)), inputoutput.Table(flows(2), demand(3))
+    got = sorted(tuple(r) for r in inputoutput.decomposition_ratio(a, b).select("i", "technology", "demand").collect())
+    assert np.allclose([g[1] * g[2] for g in got], b.x / a.x)
