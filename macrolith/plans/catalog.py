@@ -613,6 +613,11 @@ def _(t):
     return multivariate.stability(t("tsm"), _PAIR, "t", 2)
 
 
+@register("bayesian_var_thousand_draws", digits=2)
+def _(t):
+    return multivariate.bvar(t("tsm"), ["revenue", "qty", "disc"], "t", 2, 1000)
+
+
 @register("bayesian_var")
 def _(t):
     return multivariate.bvar(t("tsm"), _PAIR, "t", 1, 300)
