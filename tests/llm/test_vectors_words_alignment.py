@@ -179,10 +179,12 @@ def test_automaton_numbers_and_errors():
 
 
 def test_automaton_is_minimal():
-    words = sorted(a + b for a in ("abcd", "efgh", "ijkl") for b in ("ing", "ings", "ed"))
-    a = spelling.Automaton(words)
-    # States after each of the three stems are one: one start, 9 within stems, and ed, ing, ings share their ends.
-    assert len(a.next) == 1 + 9 + 5
+    r = random.Random(4)
+    stems = sorted(a + b for a in ("abcd", "efgh", "ijkl") for b in ("ing", "ings", "ed"))
+    for words in [stems, *(sorted({"".join(r.choice("abc") for _ in range(r.randint(1, 6))) for _ in range(50)}) for _ in range(30))]:
+        # As many states as prefixes differ in what may follow them.
+        follow = {frozenset(w[len(p) :] for w in words if w.startswith(p)) for p in {w[:k] for w in words for k in range(len(w) + 1)}}
+        assert len(spelling.Automaton(words).next) == len(follow)
 
 
 WORDS = "doc_id long, text string, word string, n int, root string"
