@@ -47,7 +47,7 @@ from .components import components
 
 THRESHOLD, CONFIDENCE, MISSED, SEED = 0.93, 6.0, 1e-6, 11
 #: Members that a bucket has about, and members that one side of a task has at most about.
-TARGET, BLOCK = 256, 1024
+TARGET, BLOCK = 1024, 2048
 #: Slack for estimates in single precision.
 _SLACK = 1e-4
 #: Cells of a block of estimates.
