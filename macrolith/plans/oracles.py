@@ -264,3 +264,10 @@ oracle(
     f"WITH w AS (SELECT * FROM ({_PQ}) WHERE i > 1), {k.regression('SELECT * FROM w', 'p', ['1.0e0', 'p1', 'q1'], 'va')}, {k.regression('SELECT * FROM w', 'q', ['1.0e0', 'p1', 'q1'], 'vb')}, {_UV} "
     + " UNION ALL ".join(f"SELECT '{e}' AS equation, '{a}' AS term, '{f}' AS equation2, '{b}' AS term2, {r(f's{1 + min(m, o)}{1 + max(m, o)} * v{i}_{j}', 8)} AS value FROM va CROSS JOIN s" for m, e in enumerate(("revenue", "disc")) for i, a in enumerate(_TERMS) for o, f in enumerate(("revenue", "disc")) for j, b in enumerate(_TERMS)),
 )
+
+_E = "f AS (SELECT unit, t, y - avg(y) OVER (PARTITION BY unit) AS y, x - avg(x) OVER (PARTITION BY unit) AS x FROM {panel}), b AS (SELECT sum(x * y) / sum(x * x) AS b FROM f), e AS (SELECT unit, t, y - b * x AS e FROM f CROSS JOIN b)"
+_CD = "sqrt(2.0e0 / (n * (n - 1))) * s"
+oracle(
+    "panel_pesaran_cd",
+    f"WITH {_E}, p AS (SELECT corr(a.e, c.e) AS r, count(*) AS k FROM e a JOIN e c ON c.t = a.t AND c.unit > a.unit GROUP BY a.unit, c.unit HAVING count(*) > 2), s AS (SELECT sum(sqrt(k) * r) AS s FROM p), n AS (SELECT CAST(count(DISTINCT unit) AS DOUBLE) AS n FROM e), c AS (SELECT {_CD} AS cd FROM s CROSS JOIN n) SELECT 'pesaran_cd' AS test, {r('cd')} AS statistic, 1.0e0 AS df1, CAST(NULL AS DOUBLE) AS df2, {r(k.normal_two_sided('cd'))} AS p_value FROM c",
+)
