@@ -11,7 +11,7 @@ from ..functions import dist
 from ..functions.linalg import lags as lag_matrix
 from ..functions.linalg import ols
 from .kernels import per_series
-from .series import adf, arma, garch, nelder_mead, run
+from .series import arma, garch, nelder_mead, run
 
 # -- state space ------------------------------------------------------------
 

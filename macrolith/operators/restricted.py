@@ -15,7 +15,6 @@ order; draws are rows, seeded by their number.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
