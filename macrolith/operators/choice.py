@@ -14,7 +14,8 @@ from ..functions.linalg import guarded_inverse
 from ..plans.gram import Moments, gram
 from ..plans.likelihood import maximise
 from ..plans.ordered import exact_quantiles
-from .describe import rows
+from ..plans.store import Kept
+from .describe import rows, value_ranks
 from .limited import log_cdf, log_pdf
 from .regression import Fit, _auxiliary, _test, binary, coefficient_table, linear, ols
 
@@ -406,13 +407,15 @@ def siegel_tukey(df: DataFrame, y: str, group: str) -> DataFrame:
 
 
 def signed_rank(df: DataFrame, y: str, pair: str) -> DataFrame:
-    """Wilcoxon of y - pair: normal approximation with ties, zeros left out."""
-    from .describe import rank_average
-
-    d = df.select((F.col(y) - F.col(pair)).alias("d")).where("d is not null and d <> 0").withColumn("a", F.abs("d"))
-    r = rank_average(d, "a", "r")
-    w, ss = r.agg(F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)), F.sum(F.col("r") * F.col("r"))).first()
-    n = r.count()
+    """Wilcoxon of y - pair: normal approximation with ties, zeros left out.
+
+    Distances and their counts are stored once: computed again, a sum of doubles may differ in its last digit.
+    """
+    d = df.select((F.col(y) - F.col(pair)).alias("d")).where("d is not null and d <> 0")
+    kept = Kept(d.groupBy(F.abs("d").alias("a")).agg(F.count("*").alias("_c"), F.count_if(F.col("d") > 0).alias("up")))
+    r = F.col("r")
+    n, w, ss = value_ranks(kept.rows, "a", "r").agg(F.sum("_c"), F.sum(F.col("up") * r), F.sum(F.col("_c") * r * r)).first()
+    kept.drop()
     z = (w - n * (n + 1) / 4) / math.sqrt(ss / 4)
     return _test(df.sparkSession, "signed_rank", z, 1, 2 * (1 - dist.norm_cdf(abs(z))))
 

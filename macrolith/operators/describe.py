@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import dist
 from ..functions.columns import normal_cdf, normal_quantile
 from ..plans.ordered import exact_quantiles, running_sum
-from ..plans.store import Kept
+from ..plans.store import Kept, stored
 
 
 def rows(spark, records: list[dict], schema: str) -> DataFrame:
@@ -40,17 +40,27 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     return finite.agg(F.array(*parts).alias("v")).select(F.inline("v"))
 
 
-def rank_average(df: DataFrame, column: str, name: str, by: list[str] | None = None) -> DataFrame:
-    """Average ranks through counts by value: only distinct values are ordered, not rows."""
+def value_ranks(counts: DataFrame, column: str, name: str, by: list[str] | None = None) -> DataFrame:
+    """Average ranks of distinct values from their counts _c. The counts are read several times, so they must be stored if they come from sums whose last digits may differ from run to run."""
     keys = by or []
-    counts = df.groupBy(*keys, column).agg(F.count("*").alias("_c"))
     if keys:
         run = F.sum("_c").over(Window.partitionBy(*keys).orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow))
         counts = counts.withColumn("_run", run)
     else:
         counts = running_sum(counts, column, "_c", "_run")
-    ranks = counts.select(*keys, column, (F.col("_run") - F.col("_c") + (F.col("_c") + 1) / 2).alias(name))
-    return df.join(ranks, [*keys, column])
+    return counts.withColumn(name, F.col("_run") - F.col("_c") + (F.col("_c") + 1) / 2).drop("_run")
+
+
+def rank_average(df: DataFrame, column: str, name: str, by: list[str] | None = None) -> DataFrame:
+    """Average ranks through counts by value: only distinct values are ordered, not rows.
+
+    Rows are stored first, as ranks are joined to them by value: a sum of doubles
+    that is computed twice may differ in its last digit and would lose its row.
+    """
+    keys = by or []
+    df = stored(df)
+    counts = df.groupBy(*keys, column).agg(F.count("*").alias("_c"))
+    return df.join(value_ranks(counts, column, name, by).select(*keys, column, name), [*keys, column])
 
 
 def correlation_test(df: DataFrame, x: str, y: str, method: str = "pearson", level: float = 0.95) -> DataFrame:

@@ -5,8 +5,9 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from macrolith.operators import dynamics, limited
+from macrolith.operators import choice, describe, dynamics, limited
 
 RNG = np.random.default_rng(3)
 
@@ -110,3 +111,19 @@ def test_long_memory_of_noise_is_none(spark):
     d = spark.createDataFrame(pd.DataFrame({"t": range(2000), "y": RNG.normal(size=2000)}))
     r = dynamics.gph(d, "y", "t").first()
     assert abs(r.d) < 3 * r.std_error
+
+
+def jittered(spark, v):
+    """Rows whose values differ in a late digit whenever they are computed again, as sums of doubles do whose parts arrive in another order."""
+    noise = F.udf(lambda x: x + float(np.random.default_rng().uniform(-1, 1)) * 1e-9, "double").asNondeterministic()
+    return spark.createDataFrame([(int(k), float(x)) for k, x in enumerate(v)], "k long, v double").withColumn("a", noise("v"))
+
+
+def test_ranks_keep_rows_whose_values_differ_from_run_to_run(spark):
+    v = np.array([3.0, -1.5, 4.25, -2.0, 6.0, 0.5, -7.5, 8.0, 9.5, -0.25])
+    d = jittered(spark, v).withColumn("zero", F.lit(0.0))
+    r = pd.Series(np.abs(v)).rank().to_numpy()
+    want = (r[v > 0].sum() - len(v) * (len(v) + 1) / 4) / np.sqrt((r * r).sum() / 4)
+    assert choice.signed_rank(d, "a", "zero").first().statistic == pytest.approx(want, abs=1e-9)
+    ranks = describe.rank_average(d, "a", "r").select("k", "r").toPandas().set_index("k").r
+    assert np.allclose(ranks.reindex(range(len(v))), pd.Series(v).rank())
