@@ -376,33 +376,38 @@ def breusch_godfrey(fit: Fit, order: str, lags: int = 1) -> DataFrame:
 
 def siegel_tukey(df: DataFrame, y: str, group: str) -> DataFrame:
     """Equal spread of two groups: normal approximation of the rank sum, ranks being dealt from both ends (ties get their mean): test, statistic, df1, df2, p_value."""
-    from .describe import rank_average
-
     d = df.select(F.col(y).cast("double").alias("y"), F.col(group).alias("g")).where("y is not null and g is not null")
-    n = d.count()
-    counts = d.groupBy("y").agg(F.count("*").alias("c"))
-    ranked = rank_average(d, "y", "r").select("y", "r").distinct().join(counts, "y")
-    lo = F.col("r") - (F.col("c") - 1) / 2  # first and last place of a value
-    hi = F.col("r") + (F.col("c") - 1) / 2
+    kept = Kept(d.groupBy("y", "g").agg(F.count("*").alias("c")))
+    cells = kept.rows.groupBy("g").agg(F.sum("c").alias("n")).orderBy("g").limit(3).collect()
+    if len(cells) != 2:
+        kept.drop()
+        raise ValueError("a two-sample test needs two groups")
+    a, b = cells
+    n = a.n + b.n
+    values = kept.rows.groupBy("y").agg(F.sum("c").alias("_c"), F.sum(F.when(F.col("g") == F.lit(a.g), F.col("c")).otherwise(0)).alias("own"))
+    # Places as doubles: squares of half the rows exceed an integer from some 93,000 rows on.
+    r, c = F.col("r"), F.col("_c")
+    lo = r - (c - 1) / 2  # first and last place of a value
+    hi = r + (c - 1) / 2
+    half = float((n + 1) // 2)
 
     def total(m):
         """Sum of the ranks of places 1..m: from the bottom 1, 4, 5, 8, 9.., from the top 2, 3, 6, 7.."""
-        half = F.lit((n + 1) // 2)
-        low = F.least(m, half)
+        low = F.least(m, F.lit(half))
         # Place i <= half has rank 2 i - 1 if i is odd, else 2 i.
         s_low = low * low + F.floor(low / 2)
         # Place i > half counts j = n + 1 - i from the top: rank 2 j if j is odd, else 2 j - 1.
         up = lambda j: j * (j + 1) - F.floor(j / 2)
-        s_high = F.when(m > half, up(F.lit(n) - half) - up(F.lit(n) - m)).otherwise(0.0)
+        s_high = F.when(m > half, up(F.lit(n - half)) - up(F.lit(float(n)) - m)).otherwise(0.0)
         return s_low + s_high
 
-    scored = d.join(ranked.withColumn("s", (total(hi) - total(lo - 1)) / F.col("c")).select("y", "s"), "y")
-    cells = scored.groupBy("g").agg(F.count("*").alias("n"), F.sum("s").alias("w")).orderBy("g").limit(3).collect()
-    if len(cells) != 2:
-        raise ValueError("a two-sample test needs two groups")
-    a, b = cells
-    mean, var = scored.agg(F.avg("s"), F.var_pop("s")).first()
-    z = (a.w - a.n * mean) / math.sqrt(var * a.n * b.n / (n - 1))
+    scored = value_ranks(values, "y", "r").select("_c", "own", ((total(hi) - total(lo - 1)) / c).alias("s"))
+    k, m = (n + 1) // 2, n // 2
+    mean = (k * k + k // 2 + m * (m + 1) - m // 2) / n
+    gap = F.col("s") - mean
+    over, var = scored.agg(F.sum(F.col("own") * gap), F.sum(c * gap * gap) / n).first()
+    kept.drop()
+    z = over / math.sqrt(var * a.n * b.n / (n - 1))
     return _test(df.sparkSession, "siegel_tukey", z, 1, 2 * (1 - dist.norm_cdf(abs(z))))
 
 

@@ -113,6 +113,22 @@ def test_long_memory_of_noise_is_none(spark):
     assert abs(r.d) < 3 * r.std_error
 
 
+@pytest.mark.parametrize("n", [11, 120_001])
+def test_siegel_tukey_of_many_rows_equals_ranks_dealt_one_by_one(spark, n):
+    """Squares of half the rows of the longer table are beyond an integer."""
+    y = np.arange(n) * 7919 % (n // 2)
+    g = np.where(np.sin(np.arange(n)) > 0.2 - 1e-6 * y, "b", "a")
+    place = np.arange(1, n + 1)
+    top = n + 1 - place
+    rank = np.where(place <= (n + 1) // 2, np.where(place % 2 == 1, 2 * place - 1, 2 * place), np.where(top % 2 == 1, 2 * top, 2 * top - 1)).astype(float)
+    at = np.argsort(y, kind="stable")
+    s = pd.DataFrame({"y": y[at], "s": rank}).groupby("y").s.transform("mean").to_numpy()
+    own = g[at] == "a"
+    want = (s[own].sum() - own.sum() * s.mean()) / np.sqrt(s.var() * own.sum() * (~own).sum() / (n - 1))
+    got = choice.siegel_tukey(spark.createDataFrame(pd.DataFrame({"y": y.astype(float), "g": g})), "y", "g").first()
+    assert got.statistic == pytest.approx(want, abs=1e-9)
+
+
 def jittered(spark, v):
     """Rows whose values differ in a late digit whenever they are computed again, as sums of doubles do whose parts arrive in another order."""
     noise = F.udf(lambda x: x + float(np.random.default_rng().uniform(-1, 1)) * 1e-9, "double").asNondeterministic()
