@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions.linalg import guarded_inverse
 from ..plans.ordered import blocked
+from ..plans.store import Kept
 from .describe import rows
 
 
@@ -98,19 +99,22 @@ def total(e: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
 
 
 def _update(m: Model, mean: np.ndarray, cov: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """State after an observation, and its log density."""
+    """State after an observation, and its log density: -inf where the observation's covariance is not positive, as at variances of zero."""
     ok = ~np.isnan(y)
     if not ok.any():
         return mean, cov, 0.0
     h, r = m.see[ok], m.error[np.ix_(ok, ok)]
     f = h @ cov @ h.T + r
     v = y[ok] - h @ mean
+    sign, size = (1.0, math.log(f[0, 0])) if len(v) == 1 and f[0, 0] > 0 else np.linalg.slogdet(f)
+    if not (sign > 0 and math.isfinite(size)):
+        return mean, cov, -math.inf
     if len(v) == 1:
         g = cov @ h[0] / f[0, 0]
-        return mean + g * v[0], cov - np.outer(g, h[0] @ cov), -0.5 * (math.log(2 * math.pi * f[0, 0]) + v[0] ** 2 / f[0, 0])
+        return mean + g * v[0], cov - np.outer(g, h[0] @ cov), -0.5 * (math.log(2 * math.pi) + size + v[0] ** 2 / f[0, 0])
     inv = guarded_inverse(f)
     g = cov @ h.T @ inv
-    return mean + g @ v, cov - g @ h @ cov, -0.5 * (len(v) * math.log(2 * math.pi) + float(np.linalg.slogdet(f)[1]) + float(v @ inv @ v))
+    return mean + g @ v, cov - g @ h @ cov, -0.5 * (len(v) * math.log(2 * math.pi) + float(size) + float(v @ inv @ v))
 
 
 def forward(m: Model, y: np.ndarray, start: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, float]:
@@ -273,16 +277,26 @@ def estimate(df: DataFrame, columns: list[str], order: str, build: Callable[[np.
     """Maximum likelihood of build(theta): term, estimate, std_error (of theta, by the Hessian), and the model found.
 
     Newton steps; all points of the differences and of the line search are
-    evaluated together. It raises if the steps don't settle.
+    evaluated together. It raises if the steps don't settle. Where the
+    likelihood only flattens out (a log variance toward minus infinity), they
+    end once the slope is below tol, and the error of that parameter is large.
     """
     from .regression import coefficient_table
 
-    line, theta = Line(df, columns, order, parts), np.array(start, float)
+    # Every step reads the series twice, so it is computed once and kept.
+    kept = Kept(df.select(order, *[F.col(c).cast("double").alias(c) for c in columns]))
+    line, theta = Line(kept.rows, columns, order, parts), np.array(start, float)
     k = len(theta)
 
     def at(points: list[np.ndarray]) -> np.ndarray:
+        """Log-likelihoods; -1e300 where there is none, as at variances that are zero or infinite in doubles."""
         with np.errstate(all="ignore"):
-            return np.nan_to_num(line.log_likelihoods([build(p) for p in points]), nan=-1e300)
+            models = [build(p) for p in points]
+            good = [i for i, m in enumerate(models) if all(np.isfinite(v).all() for v in (m.move, m.see, m.shock, m.error, m.mean, m.cov))]
+            out = np.full(len(points), -1e300)
+            if good:
+                out[good] = np.nan_to_num(line.log_likelihoods([models[i] for i in good]), nan=-1e300, posinf=-1e300, neginf=-1e300)
+            return out
 
     for _ in range(steps):
         h = 1e-3 * (1 + np.abs(theta))
@@ -299,13 +313,18 @@ def estimate(df: DataFrame, columns: list[str], order: str, build: Callable[[np.
         move = q @ ((q.T @ g) / np.maximum(np.abs(w), 1e-6 * max(1.0, np.abs(w).max())))
         if abs(g @ move) < tol:
             break
-        sizes = [2.0, *0.5 ** np.arange(8)]
-        tried = at([theta + s * move for s in sizes])
-        if tried.max() <= ll[0]:
+        # Far from the maximum a step may be thousands too long; then shorter ones follow.
+        for first in (0, 8, 16, 24, 32):
+            sizes = [*([] if first else [2.0]), *0.5 ** np.arange(first, first + 8)]
+            tried = at([theta + s * move for s in sizes])
+            if tried.max() > ll[0]:
+                break
+        else:
             break
         theta = theta + sizes[int(np.argmax(tried))] * move
     else:
         raise RuntimeError(f"the likelihood hasn't settled after {steps} steps")
+    kept.drop()
     return coefficient_table(df.sparkSession, names, theta, guarded_inverse(-hess)), build(theta)
 
 

@@ -86,3 +86,21 @@ def test_estimates_are_at_the_top(spark, walk):
         assert statespace.forward(build(np.add(p, d)), y[:, None], None)[2] < best
     got = {r.term: r for r in table.collect()}
     assert abs(got["log_error"].estimate) < 4 * got["log_error"].std_error and abs(got["log_level"].estimate - np.log(0.25)) < 4 * got["log_level"].std_error
+
+
+@pytest.mark.parametrize("parts", PARTS)
+def test_estimation_from_variances_thousands_of_times_too_large(spark, parts):
+    """The first steps lead to variances of zero, where there is no density; the likelihood flattens out as the level's variance vanishes."""
+    y = 5 + 0.004 * np.random.default_rng(1).standard_normal(84)
+    df = spark.createDataFrame([(k, float(v)) for k, v in enumerate(y)], "t int, y double")
+    table, m = statespace.estimate(df, ["y"], "t", lambda p: statespace.local_level(float(np.exp(p[0])), float(np.exp(p[1])), 5.0, 1.0), [-3.0, -4.0], ["error", "level"], parts)
+    got = {r.term: r.estimate for r in table.collect()}
+    # The mean is estimated by the first state, which has a spread of its own.
+    assert got["error"] == pytest.approx(np.log(y.var(ddof=1)), abs=2e-3) and got["level"] < -20
+    assert m.error[0, 0] == pytest.approx(np.exp(got["error"]))
+
+
+def test_observations_without_a_density_are_not_likely():
+    for see in ([[1.0]], [[1.0], [1.0]]):
+        m = statespace.Model([[1.0]], see, [[0.0]], np.zeros((len(see), len(see))), [0.0], [[0.0]])
+        assert statespace.forward(m, np.ones((3, len(see))), None)[2] == -np.inf
