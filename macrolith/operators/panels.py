@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import dist
 from ..functions.linalg import guarded_inverse
 from ..plans.gram import Moments, gram
+from ..plans.store import Kept
 from .describe import rows
 from .further import _unit_sums
 from .limited import log_cdf
@@ -191,8 +192,24 @@ def _random_effect(link: str, quadrature: int):
 
 
 def panel_binary(df: DataFrame, y: str, x: list[str], unit: str, time: str, link: str = "logit", model: str = "re", quadrature: int = 12) -> DataFrame:
-    """Coefficient rows: pooled (errors by unit), fe (conditional logit; units without variation drop out), re (normal unit effects, last term sigma_u), cre (with unit means)."""
-    d = df.dropna(subset=[y, *x]).select(unit, time, *[F.col(c).cast("double").alias(c) for c in [y, *x]])
+    """Coefficient rows: pooled (errors by unit), fe (conditional logit; units without variation drop out), re (normal unit effects, last term sigma_u), cre (with unit means).
+
+    Each Newton step reads the panel twice, so it is computed once and kept: joins that it comes from don't run, nor broadcast their tables, in each pass.
+    """
+    kept = [Kept(df.dropna(subset=[y, *x]).select(unit, time, *[F.col(c).cast("double").alias(c) for c in [y, *x]]))]
+    names = list(x)
+    if model == "cre":
+        means = kept[0].rows.groupBy(unit).agg(*[F.avg(c).alias(f"mean_{c}") for c in x])
+        kept.append(Kept(kept[0].rows.join(means, unit)))
+        names += [f"mean_{c}" for c in x]
+    try:
+        return _unit_binary(kept[-1].rows, y, names, unit, time, link, model, quadrature)
+    finally:
+        for k in kept:
+            k.drop()
+
+
+def _unit_binary(d: DataFrame, y: str, x: list[str], unit: str, time: str, link: str, model: str, quadrature: int) -> DataFrame:
     if model == "fe":
         if link != "logit":
             raise ValueError("unit effects can be conditioned out of a logit only")
@@ -205,31 +222,27 @@ def panel_binary(df: DataFrame, y: str, x: list[str], unit: str, time: str, link
             return float(s @ v[:, 0]) - conditional_logsum(s, n)
 
         b, cov, _ = unit_maximum(d, [y, *x], unit, time, log, np.zeros(len(x)))
-        return coefficient_table(df.sparkSession, x, b, cov)
-    names = list(x)
-    if model == "cre":
-        means = d.groupBy(unit).agg(*[F.avg(c).alias(f"mean_{c}") for c in x])
-        d, names = d.join(means, unit), [*x, *[f"mean_{c}" for c in x]]
+        return coefficient_table(d.sparkSession, x, b, cov)
     if model == "pooled":
 
         def log(theta, v):
             z = (2 * v[:, 0] - 1) * (np.column_stack([np.ones(len(v)), v[:, 1:]]) @ theta)
             return float((-np.logaddexp(0, -z) if link == "logit" else log_cdf(z)).sum())
 
-        b, cov, _ = unit_maximum(d, [y, *names], unit, time, log, np.zeros(1 + len(names)))
+        b, cov, _ = unit_maximum(d, [y, *x], unit, time, log, np.zeros(1 + len(x)))
 
         def score(t, v):
             h = 1e-5
             g = np.array([(log(b + h * e, v) - log(b - h * e, v)) / (2 * h) for e in np.eye(len(b))])
             return np.concatenate((np.outer(g, g).ravel(), [1.0]))
 
-        s = _unit_sums(d, [y, *names], time, unit, score)
+        s = _unit_sums(d, [y, *x], time, unit, score)
         g = s[-1]
-        return coefficient_table(df.sparkSession, ["const", *names], b, cov @ s[:-1].reshape(len(b), len(b)) @ cov * g / (g - 1))
-    b, cov, _ = unit_maximum(d, [y, *names], unit, time, _random_effect(link, quadrature), np.concatenate((np.zeros(1 + len(names)), [-0.5])))
+        return coefficient_table(d.sparkSession, ["const", *x], b, cov @ s[:-1].reshape(len(b), len(b)) @ cov * g / (g - 1))
+    b, cov, _ = unit_maximum(d, [y, *x], unit, time, _random_effect(link, quadrature), np.concatenate((np.zeros(1 + len(x)), [-0.5])))
     sigma = math.exp(b[-1])
     jac = np.diag([1.0] * (len(b) - 1) + [sigma])
-    return coefficient_table(df.sparkSession, ["const", *names, "sigma_u"], np.concatenate((b[:-1], [sigma])), jac @ cov @ jac)
+    return coefficient_table(d.sparkSession, ["const", *x, "sigma_u"], np.concatenate((b[:-1], [sigma])), jac @ cov @ jac)
 
 
 def panel_margins(df: DataFrame, table: DataFrame, x: list[str], link: str = "logit", quadrature: int = 12) -> DataFrame:

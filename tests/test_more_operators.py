@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from macrolith.operators import choice, describe, dynamics, limited
+from macrolith.operators import choice, describe, dynamics, limited, panels
 
 RNG = np.random.default_rng(3)
 
@@ -143,3 +143,19 @@ def test_ranks_keep_rows_whose_values_differ_from_run_to_run(spark):
     assert choice.signed_rank(d, "a", "zero").first().statistic == pytest.approx(want, abs=1e-9)
     ranks = describe.rank_average(d, "a", "r").select("k", "r").toPandas().set_index("k").r
     assert np.allclose(ranks.reindex(range(len(v))), pd.Series(v).rank())
+
+
+@pytest.mark.parametrize("link", ["logit", "probit"])
+def test_unit_means_models_compute_their_panel_once(spark, link):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(v):
+        seen.add(1)
+        return v
+
+    r = np.random.default_rng(8)
+    cells = [(u, t, float(r.normal() + u % 3), float(r.normal())) for u in range(12) for t in range(8)]
+    d = spark.createDataFrame(cells, "u int, t int, x double, e double").withColumn("x", F.udf(count, "double").asNondeterministic()("x")).withColumn("y", (F.col("x") - 1 + F.col("e") > 0).cast("double"))
+    got = {c.term: c.estimate for c in panels.panel_binary(d, "y", ["x"], "u", "t", link, "cre", 4).collect()}
+    assert seen.value == len(cells)
+    assert list(got) == ["const", "x", "mean_x", "sigma_u"] and got["x"] > 0.5
