@@ -12,7 +12,7 @@ from ..functions import dist
 from ..functions.columns import normal_cdf
 from ..functions.linalg import guarded_inverse
 from ..plans.gram import Moments, gram
-from ..plans.likelihood import Maximum, maximise
+from ..plans.likelihood import Maximum, by_indices, maximise
 from ..plans.ordered import exact_quantiles
 from .describe import rows
 from .regression import Fit, binary, coefficient_table, linear, ols
@@ -35,6 +35,14 @@ def log_pdf(z: np.ndarray) -> np.ndarray:
     return -0.5 * z * z - 0.5 * math.log(2 * math.pi)
 
 
+def mills(z: np.ndarray, log: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First derivative of log_cdf and the second with its sign turned, given log_cdf(z)."""
+    far = z < -8
+    t = np.where(far, z, -1.0)
+    first = np.where(far, -t - 1 / t, np.exp(log_pdf(np.where(far, 0.0, z)) - np.where(far, 0.0, log)))
+    return first, np.where(far, 1 - 1 / (t * t), first * (z + first))
+
+
 def _table(df: DataFrame, terms: list[str], m: Maximum, theta: np.ndarray | None = None, cov: np.ndarray | None = None) -> DataFrame:
     return coefficient_table(df.sparkSession, [*terms], m.theta if theta is None else theta, m.cov if cov is None else cov)
 
@@ -96,7 +104,28 @@ def tobit(df: DataFrame, y: str, x: list[str], lower: float = 0.0, upper: float
         q = v[:, 0]
         return np.where(q <= lower, log_cdf((lower - z) / s), np.where(q >= upper, log_cdf((z - upper) / s), log_pdf((q - z) / s) - theta[-1]))
 
-    return _scaled(df, maximise(df, [y, *x], log, np.concatenate((f.b, [0.5 * math.log(f.rss / f.n)]))), x)
+    def derivatives(theta, v):
+        one = np.ones((len(v), 1))
+        design = np.hstack([one, v[:, 1:]])
+        z, s, q = design @ theta[:-1], math.exp(theta[-1]), v[:, 0]
+        low, high = q <= lower, q >= upper
+        cut = low | high
+        e = (q - z) / s
+        # Rows inside the bounds, then those at one of them.
+        first = [np.where(cut, 0.0, e / s), np.where(cut, 0.0, e * e - 1)]
+        second = {(0, 0): np.where(cut, 0.0, -1 / s**2), (0, 1): np.where(cut, 0.0, -2 * e / s), (1, 1): np.where(cut, 0.0, -2 * e * e)}
+        ll = float(np.where(cut, 0.0, log_pdf(e) - theta[-1]).sum())
+        if cut.any():
+            w = np.where(low[cut], lower - z[cut], z[cut] - upper) / s
+            chance = log_cdf(w)
+            a, b = mills(w, chance)
+            wz = np.where(low[cut], -1 / s, 1 / s)
+            ll += float(chance.sum())
+            first[0][cut], first[1][cut] = a * wz, -a * w
+            second[0, 0][cut], second[0, 1][cut], second[1, 1][cut] = -b * wz * wz, b * wz * w - a * wz, -b * w * w + a * w
+        return by_indices(ll, [design, one], first, second)
+
+    return _scaled(df, maximise(df, [y, *x], log, np.concatenate((f.b, [0.5 * math.log(f.rss / f.n)])), derivatives=derivatives), x)
 
 
 def truncated(df: DataFrame, y: str, x: list[str], lower: float = 0.0) -> DataFrame:

@@ -1,7 +1,7 @@
 """Maximum likelihood over rows: Newton steps whose sums come from one pass of Arrow batches each.
 
 A pass returns the log-likelihood, its gradient and its Hessian at one point as
-sums over rows (central differences of the batch's sum), or the log-likelihood
+sums over rows (central differences of the batch's sum, or a model's own derivatives), or the log-likelihood
 at several points for the line search. Only k + k^2 numbers leave a task.
 """
 
@@ -61,17 +61,46 @@ def _derivatives(log: Log, theta: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.concatenate(([mid, len(x)], g, hess.ravel()))
 
 
-def maximise(df: DataFrame, columns: list[str], log: Log, theta: np.ndarray, steps: int = 40, tol: float = 1e-7) -> Maximum:
-    """log(theta, rows) -> log-likelihood of each row."""
+def by_indices(loglik: float, designs: list[np.ndarray], first: list[np.ndarray], second: dict[tuple[int, int], np.ndarray]) -> np.ndarray:
+    """What a pass sums, from a row's derivatives by its indices, each of them a product of a design with its own parameters.
+
+    first[i] are derivatives by index i, second[i, j] (i <= j, zero if absent) by two.
+    """
+    ends = np.cumsum([0, *[d.shape[1] for d in designs]])
+    hess = np.zeros((ends[-1], ends[-1]))
+    for (i, j), w in second.items():
+        block = designs[i].T @ (w[:, None] * designs[j])
+        hess[ends[i] : ends[i + 1], ends[j] : ends[j + 1]] = block
+        hess[ends[j] : ends[j + 1], ends[i] : ends[i + 1]] = block.T
+    g = [d.T @ f for d, f in zip(designs, first, strict=True)]
+    return np.concatenate(([loglik, len(designs[0])], *g, hess.ravel()))
+
+
+def maximise(df: DataFrame, columns: list[str], log: Log, theta: np.ndarray, steps: int = 40, tol: float = 1e-7, derivatives: Log | None = None) -> Maximum:
+    """log(theta, rows) -> log-likelihood of each row.
+
+    derivatives(theta, rows) -> what by_indices gives: without differences a row costs about what its
+    likelihood costs, and a full step that gains is taken at once, a pass a step.
+    """
     df = df.dropna(subset=columns)
     k = len(theta)
+    look = derivatives or (lambda t, x: _derivatives(log, t, x))
+    v = None
     for step in range(1, steps + 1):
-        v = _pass(df, columns, lambda x, t=theta: _derivatives(log, t, x))
+        if v is None:
+            v = _pass(df, columns, lambda x, t=theta: look(t, x))
         ll, n, g, hess = v[0], int(v[1]), v[2 : 2 + k], v[2 + k :].reshape(k, k)
         w, q = np.linalg.eigh(-hess)
         move = q @ ((q.T @ g) / np.maximum(np.abs(w), 1e-8 * max(1.0, np.abs(w).max())))
         if np.abs(g @ move) < tol * max(1.0, abs(ll)) * 1e-3:
             break
+        if derivatives:
+            with np.errstate(all="ignore"):
+                ahead = _pass(df, columns, lambda x, t=theta + move: look(t, x))
+            if ahead[0] > ll and np.isfinite(ahead).all():
+                theta, v = theta + move, ahead
+                continue
+        v = None
         sizes = 0.5 ** np.arange(8)
         with np.errstate(all="ignore"):
             tried = _pass(df, columns, lambda x, t=theta, m=move: np.array([np.nan_to_num(log(t + s * m, x).sum(), nan=-1e300) for s in sizes]))
