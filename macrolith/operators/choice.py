@@ -12,11 +12,11 @@ from ..functions import dist
 from ..functions.columns import normal_cdf
 from ..functions.linalg import guarded_inverse
 from ..plans.gram import Moments, gram
-from ..plans.likelihood import maximise
+from ..plans.likelihood import by_indices, maximise
 from ..plans.ordered import exact_quantiles
 from ..plans.store import Kept
 from .describe import rows, value_ranks
-from .limited import log_cdf, log_pdf
+from .limited import log_cdf, log_pdf, mills
 from .regression import Fit, _auxiliary, _test, binary, coefficient_table, linear, ols
 
 PHI = 1 / math.sqrt(2 * math.pi)
@@ -167,8 +167,30 @@ def heckman_ml(df: DataFrame, y: str, x: list[str], selected: str, z: list[str],
         e = (v[:, 0] - m) / s
         return np.where(v[:, 1] > 0.5, log_pdf(e) - theta[-2] + log_cdf((g + r * e) / math.sqrt(1 - r * r)), log_cdf(-g))
 
+    def derivatives(theta, v):
+        one = np.ones((len(v), 1))
+        dx, dz = np.hstack([one, v[:, [at[c] for c in x]]]), np.hstack([one, v[:, [at[c] for c in z]]])
+        s, sh, ch = math.exp(theta[-2]), math.sinh(theta[-1]), math.cosh(theta[-1])
+        on = (v[:, 1] > 0.5).astype(float)
+        g = dz @ theta[kx : kx + kz]
+        # e and all that hangs on the outcome are zero where it isn't selected; there w = -g.
+        e = on * (v[:, 0] - dx @ theta[:kx]) / s
+        w = np.where(on > 0, g * ch + e * sh, -g)
+        chance = log_cdf(w)
+        a, b = mills(w, chance)
+        wm, wg, wp, wa = -on * sh / s, np.where(on > 0, ch, -1.0), -e * sh, on * (g * sh + e * ch)
+        ll = float((chance + on * (log_pdf(e) - theta[-2])).sum())
+        first = [e / s + a * wm, a * wg, e * e - on + a * wp, a * wa]
+        second = {
+            (0, 0): -on / s**2 - b * wm * wm, (0, 1): -b * wm * wg, (0, 2): -2 * e / s - b * wm * wp + a * on * sh / s, (0, 3): -b * wm * wa - a * on * ch / s,
+            (1, 1): -b * wg * wg, (1, 2): -b * wg * wp, (1, 3): -b * wg * wa + a * on * sh,
+            (2, 2): -2 * e * e - b * wp * wp + a * e * sh, (2, 3): -b * wp * wa - a * e * ch,
+            (3, 3): -b * wa * wa + a * on * w,
+        }
+        return by_indices(ll, [dx, dz, one, one], first, second)
+
     fill = d.fillna(0.0, subset=[c for c in x])
-    m = maximise(fill, cols, log, np.concatenate((f.b, sel.b, [0.5 * math.log(f.rss / f.n), 0.0])), steps)
+    m = maximise(fill, cols, log, np.concatenate((f.b, sel.b, [0.5 * math.log(f.rss / f.n), 0.0])), steps, derivatives=derivatives)
     s, r = math.exp(m.theta[-2]), math.tanh(m.theta[-1])
     jac = np.diag([1.0] * (kx + kz) + [s, 1 - r * r])
     return coefficient_table(df.sparkSession, ["const", *x, "s:const", *[f"s:{c}" for c in z], "sigma", "rho"], np.concatenate((m.theta[:-2], [s, r])), jac @ m.cov @ jac)

@@ -159,3 +159,39 @@ def test_unit_means_models_compute_their_panel_once(spark, link):
     got = {c.term: c.estimate for c in panels.panel_binary(d, "y", ["x"], "u", "t", link, "cre", 4).collect()}
     assert seen.value == len(cells)
     assert list(got) == ["const", "x", "mean_x", "sigma_u"] and got["x"] > 0.5
+
+
+@pytest.mark.parametrize("model", ["tobit", "heckman"])
+def test_own_derivatives_equal_differences_and_replace_them(spark, model, monkeypatch):
+    """No pass takes differences, whose cost a row grows with the square of the parameters."""
+    from macrolith.plans import likelihood
+
+    held, numeric = {}, likelihood._derivatives
+
+    def keep(df, columns, log, theta, *args, derivatives=None, **more):
+        held.update(log=log, derivatives=derivatives, columns=columns)
+        monkeypatch.setattr(likelihood, "_derivatives", None)
+        return likelihood.maximise(df, columns, log, theta, *args, derivatives=derivatives, **more)
+
+    r = np.random.default_rng(12)
+    n = 2000
+    x, z, e = r.normal(size=(3, n))
+    s = (0.3 + 0.5 * x + z + 0.6 * e + 0.8 * r.normal(size=n) > 0).astype(float)
+    y = 1 + 2 * x + 1.5 * e
+    d = spark.createDataFrame(pd.DataFrame({"x": x, "z": z, "s": s, "y": y, "c": np.clip(y, 0, 3)}))
+    if model == "tobit":
+        monkeypatch.setattr(limited, "maximise", keep)
+        got = limited.tobit(d, "c", ["x"], 0.0, 3.0)
+        v, points = np.column_stack([np.clip(y, 0, 3), x]), ([1.0, 2.0, 0.4], [0.2, -0.5, -0.3])
+        truth = {"const": 1, "x": 2, "sigma": 1.5}
+    else:
+        monkeypatch.setattr(choice, "maximise", keep)
+        got = choice.heckman_ml(d.withColumn("y", F.when(F.col("s") > 0, F.col("y"))), "y", ["x"], "s", ["x", "z"])
+        v, points = np.column_stack([np.where(s > 0, y, 0), s, x, z]), ([1.0, 2.0, 0.3, 0.5, 1.0, 0.4, 0.6], [0.5, 1.0, -0.3, 0.2, 0.4, 0.1, -0.9])
+        truth = {"const": 1, "x": 2, "s:z": 1, "sigma": 1.5, "rho": 0.6}
+    assert held["columns"][:2] == (["c", "x"] if model == "tobit" else ["_y", "s"])
+    for p in points:
+        a, b = held["derivatives"](np.array(p), v), numeric(held["log"], np.array(p), v)
+        assert np.allclose(a, b, rtol=1e-5, atol=2e-3)
+    found = {c.term: c.estimate for c in got.collect()}
+    assert all(abs(found[k] - t) < 0.15 for k, t in truth.items())
